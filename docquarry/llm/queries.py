@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact, langid, minhash, mixing, sharding, urls
+from . import bpe, exact, langid, minhash, mixing, sharding, substring, urls, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document when repeated runs of 13 words go."""
+    return substring.digest(substring.remove_repeats(table(spark, sf_dir, "documents"), 13))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and score of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -27,6 +32,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link counts and components of all vectors at cosine 0.95."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
@@ -53,19 +63,32 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive, found through the capture index and read back."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
     "op5_url_filters": urls.ORACLE_SQL,
+    "op10_warc": """
+WITH t AS (SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM t WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM t LEFT JOIN f USING (payload_digest)""",
     "op9_exact_dedup": """
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
