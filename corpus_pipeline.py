@@ -1,7 +1,74 @@
-"""Corpus pipeline (filled in below)."""
-STAGES = []
+"""Corpus pipeline: language ID, exact dedup, MinHash near-dedup, mixing of sources, byte-level BPE.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
+folder and reads it back as the next stage's docs. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.llm import bpe, exact, langid, minhash, mixing
+from docquarry.llm.common import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least certainty of the language at which a document stays.
+MIN_SCORE = 0.4
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(c) for c in COLUMNS if c in docs.columns]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a recognisable language: null, no letter, or certainty below MIN_SCORE."""
+    found = langid.identify(docs.select(*_columns(docs)), langid.train(docs, ~langid.held_out()), out="_language")
+    return found.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= MIN_SCORE)).select(*_columns(docs))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) keep the document with the largest id."""
+    kept = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*_columns(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five-word shingles, 80 %) stays: the smallest id."""
+    gone = minhash.near_duplicates(docs, size=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*_columns(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix opens them: not at all, once or twice, so that sources meet their targets."""
+    taken = mixing.mix_sources(docs).docs.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    named = taken.select(F.col("doc_id").alias("_id"), "_copies")
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*_columns(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and whether they decode to it."""
+    codec = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = bpe.encode_documents(docs.select(*_columns(docs)), codec)
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("minhash_near_dedup", drop_near_copies),
+    ("mix_sources", mix),
+    ("bpe_encode", encode),
+]
+
+#: SQL can express neither the language model nor the signatures; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs
