@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     final = connected_components(links)
     of_class = classes.join(final, F.col("rep") == F.col("id"), "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = sketched.join(of_class, "set_hash", "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 

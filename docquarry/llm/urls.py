@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, materialize
 
 #: (action, host, path) of the default policy.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -39,33 +39,34 @@ def registered_domain(host: Column) -> tuple[Column, Column]:
     return F.when(known, F.substring_index(host, ".", -3)).otherwise(two), F.when(known, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def _concentration(rows: DataFrame, n: str, k: str) -> DataFrame:
-    """One row: mean bad rate ``m`` over all rows and beta concentration ``c`` by the method of moments."""
-    mean = rows.agg(F.coalesce(F.sum(k) / F.sum(n), F.lit(0.5)).alias("m"))
-    spread = rows.where(F.col(n) > 0).crossJoin(F.broadcast(mean)).agg(F.max("m").alias("m0"), (F.sum(F.col(n) * F.pow(F.col(k) / F.col(n) - F.col("m"), 2)) / F.sum(n)).alias("s"), (F.count("*") / F.sum(n)).alias("g"))  # mean is one row
-    var = F.col("m0") * (1 - F.col("m0"))
-    return spread.select(F.coalesce(F.least(F.lit(1000.0), F.greatest(F.lit(2.0), var / F.greatest(F.col("s") - var * F.col("g"), F.lit(1e-6)) - 1)), F.lit(2.0)).alias("c"))
+def _concentration(rows: DataFrame, n: str, k: str, mean: float) -> float:
+    """Beta concentration by the method of moments, from one row of sums; ``mean`` is the bad rate over all rows."""
+    spread = rows.where(F.col(n) > 0).agg((F.sum(F.col(n) * F.pow(F.col(k) / F.col(n) - mean, 2)) / F.sum(n)).alias("s"), (F.count("*") / F.sum(n)).alias("g")).first()
+    if spread.s is None:
+        return 2.0
+    var = mean * (1 - mean)
+    return min(1000.0, max(2.0, var / max(spread.s - var * spread.g, 1e-6) - 1))
 
 
 def host_reputation(pages: DataFrame, z: float = 2.0) -> DataFrame:
     """Posterior of each host's bad rate. ``pages``: host, bad (0/1, null where no outcome is known).
 
     Outcomes are pre-aggregated by host, then by registered domain, then by suffix. Each level's posterior mean is
-    the mean of the beta prior of the level below; concentrations come from the data by moments. Output: host, n
+    the mean of the beta prior of the level below; concentrations come from the data by moments (three rows of sums). Output: host, n
     (known outcomes), mean and lower bound (mean - z standard deviations, at least 0) of the bad rate.
     """
     hosts = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     domain, suffix = registered_domain(F.col("host"))
-    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
+    hosts = materialize(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    top = suffixes.agg(((F.coalesce(F.sum("sk"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("g"))
-    cs, cd, ch = (_concentration(*x) for x in ((suffixes, "sn", "sk"), (domains, "dn", "dk"), (hosts, "n", "k")))
-    one = F.broadcast(top.crossJoin(cs.withColumnRenamed("c", "cs")).crossJoin(cd.withColumnRenamed("c", "cd")).crossJoin(ch.withColumnRenamed("c", "ch")))  # each side is a single row
-    suffix_mean = (F.col("sk") + F.col("cs") * F.col("g")) / (F.col("sn") + F.col("cs"))
-    domain_mean = (F.col("dk") + F.col("cd") * F.col("sm")) / (F.col("dn") + F.col("cd"))
-    a, b = F.col("k") + F.col("ch") * F.col("dm"), F.col("n") - F.col("k") + F.col("ch") * (1 - F.col("dm"))
-    rated = suffixes.crossJoin(one).select("suffix", "cd", "ch", suffix_mean.alias("sm")).join(domains, "suffix").select("domain", "ch", domain_mean.alias("dm")).join(hosts, "domain").select("host", "n", a.alias("a"), b.alias("b"))
+    known, bad = (x or 0 for x in suffixes.agg(F.sum("sn"), F.sum("sk")).first())
+    rate = bad / known if known else 0.5
+    cs, cd, ch = (_concentration(*x, rate) for x in ((suffixes, "sn", "sk"), (domains, "dn", "dk"), (hosts, "n", "k")))
+    suffix_mean = (F.col("sk") + cs * (bad + 1) / (known + 2)) / (F.col("sn") + cs)
+    domain_mean = (F.col("dk") + cd * F.col("sm")) / (F.col("dn") + cd)
+    a, b = F.col("k") + ch * F.col("dm"), F.col("n") - F.col("k") + ch * (1 - F.col("dm"))
+    rated = suffixes.select("suffix", suffix_mean.alias("sm")).join(domains, "suffix").select("domain", domain_mean.alias("dm")).join(hosts, "domain").select("host", "n", a.alias("a"), b.alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
     sd = F.sqrt(F.col("a") * F.col("b") / (F.pow(F.col("a") + F.col("b"), 2) * (F.col("a") + F.col("b") + 1)))
     return rated.select("host", "n", mean.alias("bad_mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("bad_lower"))

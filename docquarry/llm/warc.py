@@ -184,7 +184,7 @@ def lookup(directory: DataFrame, folder: str, wanted: DataFrame, max_entries: in
 
         placed = wanted.mapInArrow(find, "key string, page_id long, index string, index_at long, index_size long") if count else spark.createDataFrame([], "key string, page_id long, index string, index_at long, index_size long")
     else:
-        placed = _merge_by_range(wanted, blocks)
+        placed = _merge_by_range(wanted, blocks).where("index IS NOT NULL")  # pairs before the first entry
 
     def read(batches):
         files, base = open_folder(folder)
