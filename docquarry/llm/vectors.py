@@ -20,13 +20,25 @@ def _rows(column, dims: int) -> np.ndarray:
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector, v): v is the vector in double precision at unit length; null where it is null, empty or zero or
     holds a null or non-finite component."""
-    v = F.col("vector").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    top = F.array_max(F.transform(v, F.abs))  # scaled first, so that squares neither overflow nor vanish
-    scaled = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    return rows.select("id", F.when(fine, F.transform(scaled, lambda x: x / norm)).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat, lengths = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            x = np.where(flat.is_null().to_numpy(zero_copy_only=False), np.nan, flat.fill_null(0.0).to_numpy(zero_copy_only=False))
+            owner = np.repeat(np.arange(len(lists)), lengths)
+            top = np.zeros(len(lists))
+            np.maximum.at(top, owner, np.abs(x))  # scaled first, so that squares neither overflow nor vanish
+            fine = np.isfinite(top) & (top > 0)
+            part = fine[owner]
+            x, owner = x[part], owner[part]
+            x = x / top[owner]
+            x = x / np.sqrt(np.bincount(owner, x * x, len(lists)))[owner]
+            ends = np.concatenate([[0], np.cumsum(np.where(fine, lengths, 0))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(x), mask=pa.array(~fine))], names=["id", "v"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return rows.mapInArrow(run, "id long, v array<double>")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 4096, max_pivots: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -35,8 +47,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 4096,
     On the unit sphere that is a Euclidean range join of radius r = sqrt(2 - 2 * cosine). Pivots (about one per
     ``per_cell`` vectors, at most ``max_pivots``, the rows of smallest hash) split the vectors into nearest-pivot
     cells. For y in the cell of q and d(x, y) <= r the triangle inequality gives
-    d(x, q) <= d(x, y) + d(y, q) <= r + radius(q), and through d(y, q) <= d(y, p) also d(x, q) <= d(x, p) + 2 r;
-    x is replicated to the cells that both allow. Each cell is joined on its own: its home rows, in blocks of at
+    d(x, q) <= d(x, y) + d(y, q) <= r + radius(q), and through d(y, q) <= d(y, p) also d(x, q) <= d(x, p) + 2 r; as
+    the metric is Euclidean, x is even within r of the half-space nearer to q than to p, that is
+    d(x, q)^2 - d(x, p)^2 <= 2 r d(p, q). x is replicated to the cells that all bounds allow. Each cell is joined on its own: its home rows, in blocks of at
     most about ``per_cell``, meet blocks of all its rows, so a cell of any size is spread over many tasks and
     every home row sees all its partners once. Blocks return link counts and a union-find forest, never pairs.
     Identical vectors become one weighted row first.
@@ -72,7 +85,8 @@ def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivot
     n = classes.count()
     k = min(max_pivots, pieces(n, per_cell))
     drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(k).select("v").collect()  # at most max_pivots vectors
-    pivots = spark.sparkContext.broadcast(np.array([r[0] for r in drawn]))
+    centres = np.array([r[0] for r in drawn])
+    pivots, apart = spark.sparkContext.broadcast(centres), spark.sparkContext.broadcast(np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T))).astype(np.float32))
 
     def distances(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.value.T)))
@@ -99,6 +113,7 @@ def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivot
             cell, far = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             d = distances(x)
             near = (d <= far[:, None] + 2 * radius + SLACK) & (d <= bounds.value + radius + SLACK)
+            near &= d * d - far[:, None] ** 2 <= 2 * radius * apart.value[cell] + 1e-5
             near[np.arange(len(x)), cell] = True
             line, to = np.nonzero(near)
             for at in range(0, len(line), 1 << 14):
