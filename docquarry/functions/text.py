@@ -16,6 +16,11 @@ def py(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once: inside a lambda an outer expression would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, py(rf"\A{BLANK}+|{BLANK}+\z"), "")
 

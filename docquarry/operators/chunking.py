@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import is_blank, lines, py, strip, unify_breaks
+from ..functions.text import is_blank, let, lines, py, strip, unify_breaks
 from .lines import heading_level, heading_title, summary_boundary
 
 _IN_LINE = r"[\s\x1c-\x1f&&[^\n]]"
@@ -39,18 +39,20 @@ def structural_sections(text: Column) -> Column:
 def summary_sections(text: Column) -> Column:
     """Array of (path, text) of a section: each summary title after the first line with content opens a part and
     names it (path); one on the very first line names the first part; otherwise the name is empty."""
-    all_lines = lines(text)
-    marked = F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"), is_blank(x).alias("blank"), summary_boundary(x).alias("title")))
-    first = F.array_min(F.transform(F.filter(marked, lambda m: ~m.blank), lambda m: m.i))
-    starts = F.filter(marked, lambda m: (m.i == 0) | (m.title.isNotNull() & (m.i > first)))
-    parts = F.transform(
-        starts,
-        lambda m, k: F.struct(
-            F.coalesce(m.title, F.lit("")).alias("path"),
-            strip(F.array_join(F.slice(all_lines, m.i + 1, F.coalesce(F.get(starts, k + 1).i, F.size(all_lines)) - m.i), "\n")).alias("text"),
-        ),
-    )
-    return F.filter(parts, lambda p: p.text != "")
+
+    def cut(all_lines, starts):
+        def part(m, k):
+            end = F.coalesce(F.get(starts, k + 1).i, F.size(all_lines))
+            return F.struct(F.coalesce(m.title, F.lit("")).alias("path"), strip(F.array_join(F.slice(all_lines, m.i + 1, end - m.i), "\n")).alias("text"))
+
+        return F.filter(F.transform(starts, part), lambda p: p.text != "")
+
+    def marked(all_lines):
+        titled = F.filter(F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), summary_boundary(x).alias("title"))), lambda m: (m.i == 0) | m.title.isNotNull())
+        filled = F.array_min(F.filter(F.transform(all_lines, lambda x, i: F.when(~is_blank(x), i)), lambda i: i.isNotNull()))
+        return let(filled, lambda first: let(F.filter(titled, lambda m: (m.i == 0) | (m.i > first)), lambda starts: cut(all_lines, starts)))
+
+    return let(lines(text), marked)
 
 
 def is_special(text: Column) -> Column:

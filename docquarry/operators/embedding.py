@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 TERM = r"[a-z0-9]+|[一-鿿]{2,}"
 
 
@@ -17,14 +19,21 @@ def terms(text: Column) -> Column:
 
 def term_weights(text: Column) -> Column:
     """Sparse vector: hash of each term -> how often it occurs."""
-    found = terms(text)
-    return F.map_from_entries(F.transform(F.array_distinct(found), lambda t: F.struct(F.xxhash64(t), F.size(F.filter(found, lambda x: x == t)).cast("float"))))
+
+    def counted(found, starts):
+        return F.map_from_entries(F.transform(starts, lambda i, k: F.struct(F.get(found, i), (F.coalesce(F.get(starts, k + 1), F.size(found)) - i).cast("float"))))
+
+    def runs(found):
+        heads = F.filter(F.transform(found, lambda t, i: F.when((i == 0) | (t != F.get(found, i - 1)), i)), lambda i: i.isNotNull())
+        return let(heads, lambda starts: counted(found, starts))
+
+    return let(F.sort_array(F.transform(terms(text), lambda t: F.xxhash64(t))), runs)
 
 
 def term_vector(text: Column, dims: int) -> Column:
     """Dense vector: term counts in ``dims`` buckets of the hash."""
     bucket = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("float"))
+    return let(bucket, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("float")))
 
 
 @dataclass

@@ -30,7 +30,8 @@ def held(text: str, items) -> str:
 
 TITLE = rf"regexp_replace({strip(r'''CASE WHEN regexp_matches(trim(line), '^#{1,6}\s+.+$') THEN regexp_extract(trim(line), '^#{1,6}\s+(.+)$', 1) ELSE line END''')}, '[：:。；;\-—\s]+$', '')"
 BOUNDARY = rf"CASE WHEN {TITLE} <> '' AND (regexp_matches({TITLE}, {q(rules.SUMMARY_TITLE)}) OR (length({TITLE}) <= 32 AND (contains({TITLE}, '小结') OR suffix({TITLE}, '总结') OR suffix({TITLE}, '结论')) AND regexp_full_match({TITLE}, '[\p{{L}}\p{{N}}_\s、，,。.；;:：()（）《》【】\-]+'))) THEN {TITLE} END"
-LINES = f"fx AS ({FX}), l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM fx)"
+CLOSED = "CASE WHEN suffix(body, chr(10)) THEN left(body, length(body) - 1) ELSE body END"  # no line after the last break
+LINES = f"fx AS ({FX}), l AS (SELECT doc_id, unnest(string_split({CLOSED}, chr(10))) AS line, generate_subscripts(string_split({CLOSED}, chr(10)), 1) AS i FROM fx)"
 SECTIONS = rf"""{LINES}, h AS (SELECT *, length(regexp_extract({strip('line')}, '^(#{{1,2}})\s+.+$', 1)) AS lv, regexp_extract({strip('line')}, '^#{{1,2}}\s+(.+)$', 1) AS title FROM l),
 s0 AS (SELECT *, sum((lv > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec, last_value(CASE WHEN lv = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS t1 FROM h),
 sections AS (SELECT doc_id, sec, string_agg(line, chr(10) ORDER BY i) AS text, first(CASE lv WHEN 1 THEN title WHEN 2 THEN t1 || ' > ' || title ELSE '' END ORDER BY i) AS path FROM s0 GROUP BY doc_id, sec)"""
@@ -114,7 +115,7 @@ ORACLE: dict[str, str] = {
     "table_to_markdown": "SELECT n_regionkey, '| nation | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(CASE WHEN n_nationkey % 2 = 0 THEN '| ' || n_name || ' | ' || n_nationkey || ' |' ELSE '| ' || n_name || ' |  |' END, chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey",
     "font_heading": "SELECT p_partkey, CASE WHEN p_size >= 18 THEN '# ' WHEN p_size >= 15 THEN '## ' WHEN p_size >= 13 THEN '### ' WHEN p_size >= 11 AND p_partkey % 2 = 0 THEN '#### ' END AS prefix FROM part",
     "style_heading": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN starts_with(p_size::VARCHAR, '1') THEN 1 WHEN starts_with(p_size::VARCHAR, '2') THEN 2 WHEN starts_with(p_size::VARCHAR, '3') THEN 3 ELSE 4 END AS level FROM part",
-    "pdf_lines": """WITH w AS (SELECT l_orderkey AS doc, l_linenumber AS seq, l_shipmode AS text, l_quantity AS size, l_linenumber * 2.0 + (l_orderkey % 3) * l_linenumber AS top, CASE WHEN l_orderkey % 2 = 0 THEN 'Arial-Bold' ELSE 'Arial' END AS font FROM lineitem WHERE l_orderkey % 10 = 0),
+    "pdf_lines": """WITH w AS (SELECT p_partkey // 9 AS doc, p_partkey % 9 AS seq, p_size::VARCHAR AS text, (p_size // 3)::DOUBLE AS size, ((p_partkey % 9) * (p_partkey // 9 % 5))::DOUBLE AS top, CASE WHEN p_partkey // 9 % 2 = 0 THEN 'Arial-Bold' ELSE 'Arial' END AS font FROM part),
       n AS (SELECT *, coalesce((abs(top - lag(top) OVER (PARTITION BY doc ORDER BY seq)) >= 3)::INT, 0) AS nw FROM w), g AS (SELECT *, sum(nw) OVER (PARTITION BY doc ORDER BY seq) AS line FROM n),
       a AS (SELECT doc, line, string_agg(text, ' ' ORDER BY seq) AS t, avg(size) AS s, max(font = 'Arial-Bold') AS b FROM g GROUP BY ALL)
       SELECT doc, line, CASE WHEN s >= 18 THEN '# ' WHEN s >= 15 THEN '## ' WHEN s >= 13 THEN '### ' WHEN s >= 11 AND b THEN '#### ' ELSE '' END || t AS text FROM a""",
@@ -158,7 +159,7 @@ ORACLE: dict[str, str] = {
       SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 10""",
     "rrf_fusion": f"WITH e AS ({VEC}), a1 AS (SELECT b.vec_id, row_number() OVER (ORDER BY {COS} DESC, b.vec_id) AS r FROM e a, e b WHERE a.vec_id = 0 QUALIFY r <= 80), a2 AS (SELECT b.vec_id, row_number() OVER (ORDER BY {COS} DESC, b.vec_id) AS r FROM e a, e b WHERE a.vec_id = 7 QUALIFY r <= 80), f AS (SELECT vec_id, coalesce(1 / (60 + a1.r), 0) + coalesce(1 / (60 + a2.r), 0) AS s FROM a1 FULL JOIN a2 USING (vec_id)) SELECT vec_id, round(s, 9) AS score, row_number() OVER (ORDER BY s DESC, vec_id)::INT AS rank FROM f ORDER BY s DESC, vec_id LIMIT 80",
     "docname_hints": "SELECT * FROM (VALUES (0, 'a_1.md'), (1, '需求规格说明书'), (2, ''), (3, ''), (4, 'x.pdf,y.docx,the doc')) t(id, hints)",
-    "docname_score": f"WITH fx AS ({FX}) SELECT doc_id, CASE WHEN doc_id = 12 THEN 1.0 WHEN doc_id % 6 = 0 THEN 0.8 ELSE 0.0 END AS score, CASE WHEN doc_id = 12 THEN 'filename_in_query' WHEN doc_id % 6 = 0 THEN 'x' ELSE 'none' END AS reason FROM fx",
+    "docname_score": f"WITH fx AS ({FX}) SELECT doc_id, (CASE WHEN doc_id = 12 THEN 1.0 WHEN doc_id % 6 = 0 THEN 0.9 ELSE 0.0 END)::DOUBLE AS score, CASE WHEN doc_id = 12 THEN 'filename_in_query' WHEN doc_id % 6 = 0 THEN 'hint_in_filename' ELSE 'none' END AS reason FROM fx",
     "candidate_merge": "SELECT * FROM (VALUES ('a', 0.9::DOUBLE, 0.8::DOUBLE, 'token_overlap_high', 1), ('b', 0.5, 0.0, 'none', 2), ('z', 0.4, 1.0, 'filename_in_query', 3), ('y', 0.38, 0.9, 'hint_in_filename', 4)) t(chunk_uuid, score, docname_score, docname_reason, seq)",
     "composite_score": f"""{WITH}{META}, s AS (SELECT *, (doc_id % 100) / 100.0::DOUBLE AS sim, coalesce((term = '春季')::INT, 0) + coalesce((phase = 'design')::INT, 0) + coalesce((quality_level IN ('high'))::INT, 0) AS hits FROM meta)
       SELECT chunk_uuid, round_even(0.6::DOUBLE * sim + 0.25::DOUBLE * (hits / 3) + 0.15::DOUBLE * CASE WHEN n_links > 0 AND len(req_ids) > 0 THEN 0.8 WHEN len(req_ids) > 0 THEN 0.5 ELSE 0.2 END + 0.2::DOUBLE * 0.6::DOUBLE, 4) AS score, hits || '/3' AS matched,
@@ -169,8 +170,8 @@ ORACLE: dict[str, str] = {
       hit AS (SELECT seq, pos, chunk_uuid, row_number() OVER (PARTITION BY seq, pos ORDER BY chunk_uuid) AS n FROM lt JOIN own USING (t) QUALIFY n <= 2),
       nw AS (SELECT * FROM hit WHERE chunk_uuid NOT IN (SELECT chunk_uuid FROM res) QUALIFY row_number() OVER (PARTITION BY chunk_uuid ORDER BY seq, pos, n) = 1),
       b AS (SELECT *, (SELECT count(*) FROM nw x WHERE x.seq < nw.seq) AS before FROM nw) SELECT chunk_uuid, row_number() OVER (ORDER BY seq, pos, n)::INT AS seq FROM b WHERE before < 4""",
-    "project_chain": f"""{WITH}{META}, h AS (SELECT *, row_number() OVER (PARTITION BY project_id, phase ORDER BY chunk_uuid) AS n FROM meta WHERE phase IS NOT NULL QUALIFY n <= 8)
-      SELECT project_id, phase, row_number() OVER (PARTITION BY project_id, phase ORDER BY CASE quality_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, n)::INT AS place, chunk_uuid, quality_level FROM h""",
+    "project_chain": f"""{WITH}{META}, head AS (SELECT *, row_number() OVER (PARTITION BY project_id, phase ORDER BY chunk_uuid) AS n FROM meta WHERE phase IS NOT NULL QUALIFY n <= 8)
+      SELECT project_id, phase, row_number() OVER (PARTITION BY project_id, phase ORDER BY CASE quality_level WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, n)::INT AS place, chunk_uuid, quality_level FROM head""",
     "ingest_report": f"""{WITH}{META} SELECT doc_id, count(*) AS chunks_total, count(*) FILTER (contains(section_path, '小结') OR contains(section_path, '总结') OR contains(section_path, '结论')) AS chunks_summary_scoped, count(*) FILTER (needs_review) AS needs_review_count,
       round_even(100.0::DOUBLE * count(term) / count(*), 1) AS has_term_pct, round_even(100.0::DOUBLE * count(phase) / count(*), 1) AS has_phase_pct, round_even(100.0::DOUBLE * count(doc_type) / count(*), 1) AS has_doc_type_pct, least(count(*) FILTER (needs_review), 20)::INT AS n_items FROM meta GROUP BY doc_id""",
     "batch_totals": f"{WITH}{META} SELECT count(DISTINCT doc_id) AS files, count(*) AS total_chunks, count(*) FILTER (needs_review) AS total_review FROM meta",

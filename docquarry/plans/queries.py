@@ -75,7 +75,10 @@ def style_heading(spark, sf_dir):
 
 @query
 def pdf_lines(spark, sf_dir):
-    words = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.col("l_linenumber").alias("seq"), F.col("l_shipmode").alias("text"), F.col("l_quantity").alias("size"), F.expr("CAST(l_linenumber * 2.0 + (l_orderkey % 3) * l_linenumber AS DOUBLE)").alias("top"), F.when(F.col("l_orderkey") % 2 == 0, "Arial-Bold").otherwise("Arial").alias("fontname"))
+    words = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey DIV 9 AS doc", "1 AS page", "p_partkey % 9 AS seq", "CAST(p_size AS STRING) AS text", "CAST(p_size DIV 3 AS DOUBLE) AS size",
+        "CAST((p_partkey % 9) * (p_partkey DIV 9 % 5) AS DOUBLE) AS top", "CASE WHEN p_partkey DIV 9 % 2 = 0 THEN 'Arial-Bold' ELSE 'Arial' END AS fontname",
+    )
     return line_ops.rebuild_lines(words).select("doc", "line", "text")
 
 
