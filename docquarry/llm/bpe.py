@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .common import mix64
@@ -19,7 +20,8 @@ from .common import mix64
 NONE = np.int32(2**31 - 1)
 LONG = 4096  # bytes from which a piece is merged with a heap instead of a matrix row
 SLICE = 1 << 21  # bytes of text whose pieces are held at a time
-CACHE = 300_000  # pieces remembered by a worker
+CACHE = 200_000  # pieces remembered by a worker
+ROWS = 256  # rows of a batch that are encoded and given back at a time
 EACH = 1 << 20  # characters beyond which a text is split match by match
 
 
@@ -262,10 +264,23 @@ class Tokenizer:
 
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (of the whole text) and ``decoded`` (their bytes)."""
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    encoded = docs.select(*(F.col(f"`{c}`") for c in kept), tokenizer.encode(F.col(text_col)).alias("ids"))
-    return encoded.select("*", tokenizer.decode(F.col("ids")).alias("decoded"))
+    """``docs`` with ``ids`` (of the whole text) and ``decoded`` (their bytes); columns of these names are replaced.
+    Batches are worked on in slices of ``ROWS`` rows, so that a worker holds the ids of one slice only."""
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")))
+    names, shared, pattern = kept.columns, tokenizer.shared, tokenizer.pattern
+    at = names.index(text_col)
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches):
+        tokens = codec(shared, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                offsets, ids = tokens.encode_all(part.column(at).to_pylist())
+                decoded = [tokens.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.binary())], names=[*names, "ids", "decoded"])
+
+    return kept.mapInArrow(run, schema)
 
 
 def digest(encoded: DataFrame) -> DataFrame:
