@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(fx(spark, sf_dir).withColumn("first_heading", first_heading(F.col("body"))))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names (a temporary one where it is unset)."""
+    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="docquarry-")
+    path = f"{folder.rstrip('/')}/docquarry/store-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with all metadata and a printable key."""
     return with_metadata(chunks(spark, sf_dir)).withColumns({"chunk_uuid": F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("-"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")), "source_file": F.col("file_path")})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import file_name, lines
 from ..operators import catalog, chunking, embedding, filters, metadata, retrieval, store
 from ..operators import lines as line_ops
-from .fixtures import chunks, fx, table
+from .fixtures import chunks, fx, stored, table
 from .fixtures import metadata as meta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,7 +215,7 @@ def doc_type_alias(spark, sf_dir):
 
 @query
 def relaxed_recall(spark, sf_dir):
-    rows = meta(spark, sf_dir)
+    rows = stored(meta(spark, sf_dir))
     levels = filters.relaxed(term="春季", phase="requirement", doc_type="需求", project_id="src3", quality_level=["high"])
     found = retrieval.relaxed_recall([retrieval.ranked(filters.where(rows, p).select("chunk_uuid", "_confidence_overall"), F.col("_confidence_overall"), 80) for p in levels])
     return found.select("chunk_uuid", "level", "seq")
@@ -296,7 +296,7 @@ def composite_score(spark, sf_dir):
 
 @query
 def trace_expand(spark, sf_dir):
-    rows = meta(spark, sf_dir)
+    rows = stored(meta(spark, sf_dir))
     top = rows.where("size(trace_links) > 0").orderBy(F.desc("chunk_uuid")).limit(9)
     top = top.select("chunk_uuid", "trace_links", "project_id", F.row_number().over(Window.orderBy(F.desc("chunk_uuid"))).alias("seq"))
     return retrieval.expand_links(top, rows)
@@ -361,6 +361,6 @@ def rerank(spark, sf_dir):
 @query
 def search_hits(spark, sf_dir):
     provider = embedding.HashedTerms()
-    rows = provider.embed(meta(spark, sf_dir))
+    rows = stored(provider.embed(meta(spark, sf_dir)))
     hits = retrieval.search(rows, "《概要设计》 latency FR-1", *embedding.embed_query(spark, provider, "latency FR-1 12ms"), phase="design", quality_level=["high"])
     return hits.select("chunk_uuid", "composite_score", "why_hit.why_metadata_match", "why_hit.why_continuity", "why_hit.why_docname_match")
