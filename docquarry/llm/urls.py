@@ -84,8 +84,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float
     host, path = url_host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     number = F.regexp_extract("path", r"/([0-9]{1,18})(?:[^0-9]|$)", 1)
-    rows = rows.withColumn("_doc", F.when(number != "", number.cast("long")))
-    bad = outcomes.where("quality IS NOT NULL OR toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.when((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1), 1).otherwise(0)).alias("bad"))
+    rows = rows.withColumn("_doc", F.when(number != "", number.cast("long")).otherwise(-1 - F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 20))))  # pages without a number are spread
+    bad = outcomes.where("doc_id >= 0 AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.when((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1), 1).otherwise(0)).alias("bad"))
     rated = host_reputation(rows.join(bad, "_doc", "left").select("host", "bad"), z)
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("bad_lower") > limit, F.lit("block")).otherwise("allow"))

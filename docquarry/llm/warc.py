@@ -251,8 +251,9 @@ def resolve(records: DataFrame) -> DataFrame:
     """Replace what a revisit's header says of its payload by the length and digest of the response it names."""
     rows = materialize(records.drop("payload"), "records")
     response = rows.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_digest", "payload_bytes")).alias("_r"))
-    joined = rows.join(response, "refers_to", "left")
-    return joined.select("page_id", F.coalesce("_r.payload_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("_r.payload_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    revisits = rows.where("refers_to IS NOT NULL").join(response, "refers_to", "left")
+    alone = rows.where("refers_to IS NULL").withColumn("_r", F.lit(None).cast("struct<payload_digest:string,payload_bytes:long>"))  # no key: never shuffled
+    return revisits.unionByName(alone).select("page_id", F.coalesce("_r.payload_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("_r.payload_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
