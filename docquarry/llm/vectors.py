@@ -105,28 +105,37 @@ def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivot
         sizes[cell], radii[cell] = count, far
     bounds = spark.sparkContext.broadcast(radii)
 
+    def allowed(batch) -> np.ndarray:
+        cell, far = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        d = distances(_rows(pa.chunked_array([batch.column(0)]), dims))
+        near = (d <= far[:, None] + 2 * radius + SLACK) & (d <= bounds.value + radius + SLACK)
+        near &= d * d - far[:, None] ** 2 <= 2 * radius * apart.value[cell] + 1e-5
+        near[np.arange(len(cell)), cell] = True
+        return near
+
+    def tally(batches):  # how many rows each cell will get, before any is copied
+        total = np.zeros(k, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += allowed(batch).sum(axis=0)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
     def copies(batches):
         for batch in batches:
-            x = _rows(pa.chunked_array([batch.column(0)]), dims)
-            if not len(x):
+            if not batch.num_rows:
                 continue
-            cell, far = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            d = distances(x)
-            near = (d <= far[:, None] + 2 * radius + SLACK) & (d <= bounds.value + radius + SLACK)
-            near &= d * d - far[:, None] ** 2 <= 2 * radius * apart.value[cell] + 1e-5
-            near[np.arange(len(x)), cell] = True
-            line, to = np.nonzero(near)
+            line, to = np.nonzero(allowed(batch))
             for at in range(0, len(line), 1 << 14):
-                take, there = line[at : at + (1 << 14)], to[at : at + (1 << 14)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(take)) for i in range(3)), pa.array(there.astype(np.int32)), pa.array(there == cell[take])], names=["v", "rep", "weight", "cell", "home"])
+                take = pa.array(line[at : at + (1 << 14)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(to[at : at + (1 << 14)].astype(np.int32))], names=["v", "rep", "weight", "cell"])
 
-    spread = placed.mapInArrow(copies, "v array<double>, rep long, weight long, cell int, home boolean")
-    widths = spread.groupBy("cell").count().collect()  # a row for each pivot
+    widths = placed.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()  # a row for each pivot
     plan = spark.createDataFrame([(int(c), pieces(int(sizes[c]), per_cell), pieces(int(total), per_cell)) for c, total in widths], "cell int, _rows int, _cols int")
     row_of, col_of = (F.pmod(F.xxhash64("rep", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "_rows"), (2, "_cols")))
-    cast = spread.join(F.broadcast(plan), "cell")
-    lines = cast.where("home").select("v", "rep", "weight", "cell", row_of.alias("i"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("k"), F.lit(True).alias("row"))
-    columns = cast.select("v", "rep", "weight", "cell", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("i"), col_of.alias("k"), F.lit(False).alias("row"))
+    lines = placed.join(F.broadcast(plan), "cell").select("v", "rep", "weight", "cell", row_of.alias("i"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("k"), F.lit(True).alias("row"))
+    spread = placed.mapInArrow(copies, "v array<double>, rep long, weight long, cell int").join(F.broadcast(plan), "cell")
+    columns = spread.select("v", "rep", "weight", "cell", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("i"), col_of.alias("k"), F.lit(False).alias("row"))
 
     def compare(table: pa.Table) -> pa.Table:
         x, rep, weight = _rows(table["v"], dims), table["rep"].to_numpy(), table["weight"].to_numpy()
