@@ -44,8 +44,9 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
     (prefix sums; no source is gathered in a task) and cut into blocks of equal words. Slot t of the schedule maps
     the golden-ratio point frac((t + 1/2) * phi) through the cumulative targets to a source; its rank among the
     slots of that source names the block it takes, going round the stream as often as needed. ``slots`` bounds
-    the schedule at every input size; blocks grow instead. The target cuts the last block, so no document is taken
-    more than ``most`` times over. Per-source totals (at most ``max_sources`` rows) are collected to the driver.
+    these slots at every input size; blocks grow instead. Slots after them take the blocks that the points left
+    out (some for each source at most), so every source meets its target to the word, however small beside a block.
+    The target cuts the last block, so no document is taken more than ``most`` times over. Per-source totals (at most ``max_sources`` rows) are collected to the driver.
     Reruns agree. Rows without words, null ids and repeated rows are legal; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -66,7 +67,9 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: fl
     stream = materialize(prefix_sums(keyed, ["src", "_key", "doc_id", "size"], "size").join(near(sources), "src").select("doc_id", "src", "source", "size", "source_size", "target", "words", (F.col("before") - F.col("start")).alias("at"), "position"), "mix-stream")
     turn = stream.where("size > 0").select("position", "doc_id", "src", "source", "size", F.explode(F.expr(f"transform(sequence(0, {int(np.ceil(most)) - 1}), e -> named_struct('lo', at + e * source_size, 'hi', least(at + size + e * source_size, words)))")).alias("t")).where("t.lo < t.hi").select("position", "doc_id", "src", "source", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"))
     cut = turn.select("*", F.explode(F.expr(f"sequence(lo DIV {block}, (hi - 1) DIV {block})")).alias("rank"))
-    parts = cut.join(schedule(spark, limits, n_slots), ["src", "rank"]).select("slot", "source", "position", "doc_id", (F.greatest("lo", F.col("rank") * block) - F.col("lo")).alias("first_word"), (F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)).alias("words"))
+    planned = schedule(spark, limits, n_slots)
+    planned = planned.unionByName(left_out(planned, limits, n_slots, block))
+    parts = cut.join(planned, ["src", "rank"]).select("slot", "source", "position", "doc_id", (F.greatest("lo", F.col("rank") * block) - F.col("lo")).alias("first_word"), (F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)).alias("words"))
     took = parts.groupBy("position").agg(F.sum("words").alias("taken"), F.count_if(F.col("first_word") == 0).alias("copies"))
     out = stream.join(took, "position", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"), "position")
     return Mix(out, parts.select("slot", "source", "doc_id", "first_word", "words"))
@@ -94,3 +97,16 @@ def schedule(spark: SparkSession, limits: list[int], n_slots: int) -> DataFrame:
     counts = local.groupBy("src", "chunk").count()  # a row for each source and chunk of CHUNK slots
     shift = counts.select("src", "chunk", (F.sum("count").over(Window.partitionBy("src").orderBy("chunk")) - F.col("count")).alias("_s"))
     return local.join(shift, ["src", "chunk"]).select("slot", "src", (F.col("_r") + F.col("_s")).alias("rank"))
+
+
+def left_out(planned: DataFrame, limits: list[int], n_slots: int, block: int) -> DataFrame:
+    """(slot, src, rank) of the blocks for which ``planned`` has no slot, numbered from ``n_slots`` on. The driver sees
+    a count for each source."""
+    have = np.zeros(len(limits), np.int64)
+    for src, count in planned.groupBy("src").count().collect():
+        have[src] = count
+    lack = np.maximum(-(-np.array(limits, np.int64) // block) - have, 0)
+    first = n_slots + np.cumsum(lack) - lack
+    rows = [(int(i), int(have[i]), int(lack[i]), int(first[i])) for i in np.flatnonzero(lack)]
+    gaps = planned.sparkSession.createDataFrame(rows, "src int, have long, lack long, first long")
+    return gaps.select("src", "have", "first", F.explode(F.expr("sequence(0L, lack - 1)")).alias("i")).select((F.col("first") + F.col("i")).alias("slot"), "src", (F.col("have") + F.col("i")).alias("rank"))

@@ -250,6 +250,17 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_sources(empty).docs.count() == 0
 
 
+def test_mixing_meets_targets_below_a_block(spark):
+    sizes = {"a": 20000, "b": 3, "c": 9000, "d": 8, "e": 70, "f": 400, "g": 1}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, min(50, size - at)) for s, size in sizes.items() for at in range(0, size, 50))]
+    mix = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=16)
+    got = {r.source: r for r in mix.docs.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()}
+    assert {s: r.taken for s, r in got.items()} == {s: int(r.target + 1e-6) for s, r in got.items()}
+    assert all(r.over <= 0 for r in got.values()) and got["b"].taken == 6 and got["g"].taken == 2
+    slots = mix.pieces.select("slot", "source").distinct().collect()
+    assert len({r.slot for r in slots}) == len(slots) and len(slots) <= 16 + 2 * len(sizes)
+
+
 def test_schedule_is_low_discrepancy(spark):
     limits = [500, 300, 200]
     slots = mixing.schedule(spark, limits, 1000).orderBy("slot").collect()
