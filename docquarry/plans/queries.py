@@ -358,6 +358,13 @@ def rerank(spark, sf_dir):
     return retrieval.rerank(rows, asked).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), "seq")
 
 
+@query
+def rerank_all(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") + 1).alias("seq"), F.lit(0.0).alias("docname_score"))
+    return retrieval.rerank_all(rows, asked, stored).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), "seq")
+
+
 @query
 def search_hits(spark, sf_dir):
     provider = embedding.HashedTerms()
