@@ -30,8 +30,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) keep the document with the largest id."""
-    kept = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*_columns(docs))
+    kept = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    named = docs.withColumn("_sha", exact.text_sha256(F.col("text")))  # an id alone may be null or have other texts
+    return named.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").select(*_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialize, mix64, pieces
@@ -61,9 +61,14 @@ def _ids(column) -> np.ndarray:
     return column.to_numpy().astype(np.int64)
 
 
+def text_sha256(text: Column) -> Column:
+    """SHA-256 in hex of the text, A-Z lower-cased (null counts as empty)."""
+    return F.sha2(F.encode(lower_ascii(F.coalesce(text, F.lit(""))), "UTF-8"), 256)
+
+
 def digest_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the 32 bytes of SHA-256 of the text, A-Z lower-cased (null counts as empty)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(F.encode(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8"), 256)).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(text_sha256(F.col(text_col))).alias("digest"))
 
 
 def _groups(rows: DataFrame, shards: int) -> DataFrame:

@@ -57,6 +57,12 @@ def test_stages(spark):
     assert all(r.round_trip for r in got)
 
 
+def test_exact_copies_go_by_id_and_text(spark):
+    rows = [(None, "a"), (None, "b"), (4, "B"), (5, "x"), (5, "y"), (9, "Y"), (None, None), (3, "")]
+    got = cp.drop_exact_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, "a"), (4, "B"), (5, "x"), (9, "Y"), (3, "")])
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for name, stage in cp.STAGES:
