@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -36,12 +37,12 @@ def anchors(words: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _side(table: pa.Table) -> tuple[set, np.ndarray]:
-    """(ids of exact copies, replies sorted by key) of one block."""
-    copies, replies = set(), []
+def _side(table: pa.Table) -> tuple[dict, np.ndarray]:
+    """(digests of exact copies by id, replies sorted by key) of one block."""
+    copies, replies = {}, []
     for kind, entries in zip(table["kind"].to_pylist(), table["entries"].to_pylist(), strict=True):
         if kind == 0:
-            copies.add(int.from_bytes(entries, "big", signed=True))
+            copies.setdefault(int.from_bytes(entries[:8], "big", signed=True), set()).add(entries[8:])
         else:
             replies.append(np.frombuffer(entries, ENTRY))
     found = np.concatenate(replies) if replies else np.empty(0, ENTRY)
@@ -75,10 +76,14 @@ def _requests(block: int, keys: list, docs: list, buckets: int) -> pa.Table:
     return pa.table({"bucket": pa.array(names, pa.int32()), "block": pa.array(np.full(len(names), block), pa.int32()), "entries": pa.array(packed, pa.binary())})
 
 
-def _documents(left: pa.Table, copies: set) -> Iterator[tuple[int, np.ndarray]]:
+def _is_copy(copies: dict, doc: int, raw: bytes) -> bool:
+    return doc in copies and hashlib.md5(raw).digest() in copies[doc]
+
+
+def _documents(left: pa.Table, copies: dict) -> Iterator[tuple[int, np.ndarray]]:
     for doc, text in zip(left["id"].to_pylist(), left["text"].to_pylist(), strict=True):
-        if doc is not None and text and doc not in copies:
-            yield doc, word_hashes(text.encode())[0]
+        if doc is not None and text and not _is_copy(copies, doc, raw := text.encode()):
+            yield doc, word_hashes(raw)[0]
 
 
 def repeated(requests: DataFrame, only_later: bool) -> DataFrame:
@@ -113,7 +118,8 @@ class Repeats:
     repeated ones with their smallest document. A block holds a key at most twice (its smallest and largest
     document), so a passage of any frequency costs two entries a block and is never gathered by document. Texts
     are shuffled once, by block; all levels of one plan reuse that exchange. Exact copies of an earlier text are
-    found by digest first and take no part in the levels.
+    found by digest first and take no part in the levels: rows with the id and the digest of a copy, so that other
+    texts of a repeated id stay.
     """
 
     def __init__(self, docs: DataFrame, window: int, per_block: int, id_col: str, text_col: str):
@@ -122,8 +128,8 @@ class Repeats:
         self.rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(self.blocks)).cast("int"))
         digests = materialize(rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest")), "digests")
         first = digests.groupBy("digest").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-        copies = digests.join(first, "digest").where("id > _first").select("id").distinct()
-        self.copies = materialize(copies.select(F.pmod(F.xxhash64("id"), F.lit(self.blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("entries")), "copies")  # big-endian
+        copies = digests.join(first, "digest").where("id > _first").select("id", "digest").distinct()
+        self.copies = materialize(copies.select(F.pmod(F.xxhash64("id"), F.lit(self.blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "digest").alias("entries")), "copies")  # id, big-endian, and digest
 
     def meet(self, replies: DataFrame | None, run, schema: str) -> DataFrame:
         side = self.copies if replies is None else self.copies.union(replies.select("block", F.lit(1), "entries"))
@@ -204,7 +210,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_
             n = len(words)
             gone = np.zeros(n, bool)
             if doc is not None and n >= window:
-                if doc in copies:
+                if _is_copy(copies, doc, raw):
                     gone[:] = True
                 elif len(known):
                     hit, first = _lookup(known, run_hashes(word_hashes(raw)[0], window, 2))

@@ -250,6 +250,13 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix_sources(empty).docs.count() == 0
 
 
+def test_substring_copies_go_by_id_and_text(spark):
+    shared, own = (" ".join(f"{c}{i}" for i in range(20)) for c in "su")
+    rows = [(1, shared), (2, shared), (2, own), (3, "x " + own)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 13).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got) == [(1, 0, shared), (2, 0, own), (2, 20, ""), (3, 20, "x")]
+
+
 def test_mixing_meets_targets_below_a_block(spark):
     sizes = {"a": 20000, "b": 3, "c": 9000, "d": 8, "e": 70, "f": 400, "g": 1}
     rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, min(50, size - at)) for s, size in sizes.items() for at in range(0, size, 50))]
