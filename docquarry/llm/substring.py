@@ -112,7 +112,8 @@ def repeated(requests: DataFrame, only_later: bool) -> DataFrame:
 
 
 class Repeats:
-    """Documents dealt into blocks of about ``per_block``, and the levels over them.
+    """Documents dealt into blocks of about ``per_block``, and the levels over them. Id and text together choose the
+    block: different texts of one id, or of null ids, are spread; only rows equal in both stay together.
 
     A block asks, for every bucket of the hash space, which of its keys occur in other documents, and gets back the
     repeated ones with their smallest document. A block holds a key at most twice (its smallest and largest
@@ -125,11 +126,11 @@ class Repeats:
     def __init__(self, docs: DataFrame, window: int, per_block: int, id_col: str, text_col: str):
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.window, self.blocks = window, pieces(docs.count(), per_block)
-        self.rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(self.blocks)).cast("int"))
-        digests = materialize(rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest")), "digests")
+        self.rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(self.blocks)).cast("int"))
+        digests = materialize(self.rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", "block", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest")), "digests")
         first = digests.groupBy("digest").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-        copies = digests.join(first, "digest").where("id > _first").select("id", "digest").distinct()
-        self.copies = materialize(copies.select(F.pmod(F.xxhash64("id"), F.lit(self.blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "digest").alias("entries")), "copies")  # id, big-endian, and digest
+        copies = digests.join(first, "digest").where("id > _first").select("id", "block", "digest").distinct()
+        self.copies = materialize(copies.select("block", F.lit(0).alias("kind"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "digest").alias("entries")), "copies")  # id, big-endian, and digest
 
     def meet(self, replies: DataFrame | None, run, schema: str) -> DataFrame:
         side = self.copies if replies is None else self.copies.union(replies.select("block", F.lit(1), "entries"))

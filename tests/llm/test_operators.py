@@ -257,6 +257,12 @@ def test_substring_copies_go_by_id_and_text(spark):
     assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got) == [(1, 0, shared), (2, 0, own), (2, 20, ""), (3, 20, "x")]
 
 
+def test_substring_blocks_spread_null_and_repeated_ids(spark):
+    rows = [(d, f"{d} text {i}") for d in (None, 7) for i in range(300)]
+    levels = substring.Repeats(spark.createDataFrame(rows, "doc_id long, text string"), 13, 10, "doc_id", "text")
+    assert max(r["count"] for r in levels.rows.groupBy("block").count().collect()) < 60
+
+
 def test_mixing_meets_targets_below_a_block(spark):
     sizes = {"a": 20000, "b": 3, "c": 9000, "d": 8, "e": 70, "f": 400, "g": 1}
     rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, min(50, size - at)) for s, size in sizes.items() for at in range(0, size, 50))]
