@@ -72,6 +72,20 @@ def _sure(margin):
     return 1 / (1 + np.exp(-4 * np.clip(margin, -10, 10)))
 
 
+def families_of(langs: list[str]) -> list[list[str]]:
+    named = {code: name for name, codes in FAMILIES.items() for code in codes}
+    groups: dict[str, list[str]] = {}
+    for lang in sorted(set(langs)):
+        groups.setdefault(named.get(lang, lang), []).append(lang)
+    return [groups[g] for g in sorted(groups)]
+
+
+def machines(langs: list[str]) -> int:
+    """How many weight vectors a model of these languages holds."""
+    families = families_of(langs)
+    return len(families) + sum(len(f) * (len(f) - 1) // 2 for f in families)
+
+
 @dataclass
 class LanguageModel:
     """Families, a one-versus-rest machine for each family and a machine for each pair of languages within one."""
@@ -82,11 +96,7 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: np.ndarray) -> LanguageModel:
-        named = {code: name for name, codes in FAMILIES.items() for code in codes}
-        groups: dict[str, list[str]] = {}
-        for lang in sorted(set(langs.tolist())):
-            groups.setdefault(named.get(lang, lang), []).append(lang)
-        model = cls([groups[g] for g in sorted(groups)])
+        model = cls(families_of(langs.tolist()))
         if len(model.families) > 1:
             model.roots = np.array([fit_svm(x, np.where(np.isin(langs, f), 1.0, -1.0)) for f in model.families])
         for f in model.families:
@@ -129,12 +139,15 @@ class LanguageModel:
         return out.tolist(), np.clip(score, 0, 1).tolist()
 
 
-def train(docs: DataFrame, learnable: Column, per_language: int = 1000, max_languages: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, learnable: Column, per_language: int = 1000, max_model_mb: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on a bounded sample: about ``per_language`` rows of each label, drawn by a hash of the id from all rows
-    that ``learnable`` marks and whose text and label are not null; at most ``max_languages`` labels (the most
-    frequent). Features are computed on the executors; the driver gets ids and counts of non-zero buckets."""
+    that ``learnable`` marks and whose text and label are not null. Every label is learned; ValueError if the weights
+    of all machines would take more than ``max_model_mb``. Features are computed on the executors; the driver gets ids and counts of non-zero buckets."""
     rows = docs.where(learnable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_languages).collect()
+    most = (max_model_mb << 20) // ((DIM + 1) * 8)  # machines
+    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(most + 1).collect()
+    if machines([r[0] for r in counts]) > most:
+        raise ValueError(f"the weights of all languages take more than {max_model_mb} MB")
     if not counts:
         return LanguageModel()
     share = docs.sparkSession.createDataFrame([(r[0], min(1.0, per_language / r[1])) for r in counts], "_lang string, _share double")

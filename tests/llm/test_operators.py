@@ -263,6 +263,17 @@ def test_substring_blocks_spread_null_and_repeated_ids(spark):
     assert max(r["count"] for r in levels.rows.groupBy("block").count().collect()) < 60
 
 
+def test_language_id_learns_every_label(spark, monkeypatch):
+    rows = [(i, f"word number {i}", f"x{i % 401:03}") for i in range(802)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = []
+    monkeypatch.setattr(langid.LanguageModel, "fit", classmethod(lambda cls, x, langs: learned.extend(langs.tolist())))
+    langid.train(df, F.lit(True))
+    assert len(set(learned)) == 401
+    with pytest.raises(ValueError):
+        langid.train(df, F.lit(True), max_model_mb=1)
+
+
 def test_mixing_meets_targets_below_a_block(spark):
     sizes = {"a": 20000, "b": 3, "c": 9000, "d": 8, "e": 70, "f": 400, "g": 1}
     rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, min(50, size - at)) for s, size in sizes.items() for at in range(0, size, 50))]
