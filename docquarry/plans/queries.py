@@ -255,6 +255,13 @@ def sparse_topk(spark, sf_dir):
     return retrieval.sparse_top_k_many(rows, asked, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
+@query
+def sparse_topk_all(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", embedding.term_weights(F.col("text")).alias("sparse"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse"))
+    return retrieval.sparse_top_k_many(rows, asked, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
+
+
 @query
 def rrf_fusion(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
