@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, local runs) a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset in a local session a temporary one. A cluster has no
+    folder that all its machines share unless it is named, so there an unset one is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("docquarry.local.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set("docquarry.local.dir", folder)
     return folder.rstrip("/")
@@ -27,11 +31,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docquarry/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder: the table read back, and its path. Lineage ends there and lost executors
+    cost nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The same where the table stays until the caller clears the shared folder."""
+    return written(df, name)[0]
+
+
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a shared folder (file, hdfs, s3, gs: what pyarrow opens)."""
+    if "://" not in folder:
+        folder = "file://" + folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder)
+
+
+def discard(path: str) -> None:
+    """Remove a table of the shared folder that a later one has replaced."""
+    files, base = open_folder(path)
+    files.delete_dir(base)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, hot: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``groups``: an inner join on ``key`` that no key makes uneven.
+
+    ``groups`` holds each key once and in ``count`` how many of ``rows`` have it. Keys of more than one ``hot``-th of all
+    rows (fewer than ``hot`` of them, so their table is small at any size) are broadcast; all others, none of them large,
+    are joined by shuffle. ``rows`` is read twice and should be a written table. Null keys find nothing.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    limit = max(total // hot, 100)
+    large = F.broadcast(groups.where(F.col(count) > limit).drop(count))
+    small = groups.where(F.col(count) <= limit).drop(count)
+    rest = rows.join(large.select(key), key, "left_anti")
+    return rows.join(large, key).unionByName(rest.join(small, key))
 
 
 def pieces(rows: int, each: int) -> int:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact, langid, minhash, mixing, sharding, substring, urls, vectors, warc
+from . import bpe, exact, langid, minhash, mixing, oracle, sharding, substring, urls, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document when repeated runs of 13 words go."""
-    return substring.digest(substring.remove_repeats(table(spark, sf_dir, "documents"), 13))
+    return substring.digest(substring.remove_repeats(table(spark, sf_dir, "documents"), 13, texts=False))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,10 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
+    "op1_sharding": oracle.SHARDING,
+    "op2_substring_dedup": oracle.SUBSTRING,
+    "op4_embedding_near_dedup": oracle.VECTORS,
+    "op7_minhash_near_dedup": oracle.MINHASH,
     "op5_url_filters": urls.ORACLE_SQL,
     "op10_warc": """
 WITH t AS (SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -3,31 +3,32 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces
-from .words import run_hashes, word_hashes
+from .common import discard, join_groups, pieces, written
+from .words import double_keys, run_keys, word_keys
 
-ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8")])
+ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8")])
+WINDOW = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc", "<i8")])
 REQUEST = "bucket int, block int, entries binary"
 REPLY = "block int, entries binary"
+STATE = "block int, digest binary, region binary"
 
 
 def half(window: int) -> int:
-    """Length of the level below: two overlapping runs of this length cover ``window`` words."""
+    """Length of the runs that stand for a window before it is looked up: two that overlap cover it."""
     return (window + 1) // 2
 
 
 def anchors(words: np.ndarray, window: int) -> np.ndarray:
-    """For every window the least hash among its half-length runs. Equal windows have equal anchors, so anchors
-    alone decide which windows can repeat, and neighbouring windows mostly share theirs."""
-    short = run_hashes(words, half(window), 1)
+    """For every window the least key among its half-length runs. Equal windows have equal anchors, so a window whose
+    anchor is in one document alone cannot repeat, and neighbouring windows mostly share theirs."""
+    short = run_keys(words[:, 0], half(window), 1)
     n = len(words) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -37,208 +38,276 @@ def anchors(words: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _side(table: pa.Table) -> tuple[dict, np.ndarray]:
-    """(digests of exact copies by id, replies sorted by key) of one block."""
-    copies, replies = {}, []
-    for kind, entries in zip(table["kind"].to_pylist(), table["entries"].to_pylist(), strict=True):
-        if kind == 0:
-            copies.setdefault(int.from_bytes(entries[:8], "big", signed=True), set()).add(entries[8:])
-        else:
-            replies.append(np.frombuffer(entries, ENTRY))
-    found = np.concatenate(replies) if replies else np.empty(0, ENTRY)
-    return copies, found[np.argsort(found["key"], kind="stable")]
+def _same(entries: np.ndarray) -> np.ndarray:
+    """Whether each entry but the first has the key of the one before."""
+    same = entries["key"][1:] == entries["key"][:-1]
+    return same & (entries["more"][1:] == entries["more"][:-1]) if "more" in entries.dtype.names else same
 
 
-def _lookup(replies: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is among the replies, its smallest document) for each key."""
-    if not len(replies) or not len(keys):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(replies["key"], keys), len(replies) - 1)
-    return replies["key"][at] == keys, replies["doc"][at]
+def _sorted(entries: np.ndarray) -> np.ndarray:
+    order = [entries["doc"], entries["key"]]
+    return entries[np.lexsort([order[0], entries["more"], order[1]] if "more" in entries.dtype.names else order)]
+
+
+def _entries(kind: np.dtype, keys: np.ndarray, doc: int) -> np.ndarray:
+    """Distinct keys of one document as entries."""
+    out = np.empty(len(keys), kind)
+    out["doc"] = doc
+    if keys.ndim == 2:
+        out["key"], out["more"] = keys[:, 0], keys[:, 1]
+    else:
+        out["key"] = keys
+    out = _sorted(out)
+    return out[np.r_[True, ~_same(out)]] if len(out) else out
 
 
-def _requests(block: int, keys: list, docs: list, buckets: int) -> pa.Table:
+def _lookup(replies: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is among the sorted replies, its smallest document) for each key of one or two columns."""
+    found, first = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    if not len(replies) or not len(keys):
+        return found, first
+    key = keys[:, 0] if keys.ndim == 2 else keys
+    at = np.searchsorted(replies["key"], key)
+    left = np.flatnonzero(replies["key"][np.minimum(at, len(replies) - 1)] == key)
+    while len(left):  # more than one step only where first halves of keys agree
+        hit = np.ones(len(left), bool) if keys.ndim == 1 else replies["more"][at[left]] == keys[left, 1]
+        found[left[hit]], first[left[hit]] = True, replies["doc"][at[left[hit]]]
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < len(replies)]
+        left = left[replies["key"][at[left]] == key[left]]
+    return found, first
+
+
+def _requests(block: int, kind: np.dtype, found: list[np.ndarray], buckets: int) -> pa.Table:
     """The block's smallest and largest document for each key, packed by bucket of the key."""
-    key, doc = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (docs, np.int64)))
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
-    last = np.r_[first[1:], True] if len(key) else first
-    lone = first & last
-    take = np.concatenate([np.flatnonzero(first), np.flatnonzero(last & ~lone)])
-    entries = np.empty(len(take), ENTRY)
-    entries["key"], entries["doc"] = key[take], doc[take]
+    entries = _sorted(np.concatenate([np.empty(0, kind), *found]))
+    same = _same(entries)
+    first, last = (np.r_[True, ~same], np.r_[~same, True]) if len(entries) else (np.empty(0, bool),) * 2
+    entries = entries[first | last]
     bucket = ((entries["key"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    entries, bucket = entries[order], bucket[order]
-    names, starts = np.unique(bucket, return_index=True)
-    packed = [x.tobytes() for x in np.split(entries, starts[1:])] if len(names) else []
-    return pa.table({"bucket": pa.array(names, pa.int32()), "block": pa.array(np.full(len(names), block), pa.int32()), "entries": pa.array(packed, pa.binary())})
+    return _packed({"block": block}, "bucket", bucket[order], entries[order])
 
 
-def _is_copy(copies: dict, doc: int, raw: bytes) -> bool:
-    return doc in copies and hashlib.md5(raw).digest() in copies[doc]
+def _packed(fixed: dict, name: str, groups: np.ndarray, entries: np.ndarray) -> pa.Table:
+    """A row for each run of equal ``groups``, with its entries as bytes."""
+    names, starts = np.unique(groups, return_index=True)
+    parts = [x.tobytes() for x in np.split(entries, starts[1:])] if len(names) else []
+    columns = {name: pa.array(names, pa.int32()), **{k: pa.array(np.full(len(names), v), pa.int32()) for k, v in fixed.items()}}
+    return pa.table({**columns, "entries": pa.array(parts, pa.binary())})
 
 
-def _documents(left: pa.Table, copies: dict) -> Iterator[tuple[int, np.ndarray]]:
-    for doc, text in zip(left["id"].to_pylist(), left["text"].to_pylist(), strict=True):
-        if doc is not None and text and not _is_copy(copies, doc, raw := text.encode()):
-            yield doc, word_hashes(raw)[0]
-
-
-def repeated(requests: DataFrame, only_later: bool) -> DataFrame:
-    """(block, entries): for every key of at least two documents its smallest document, to each block that has it.
-    With ``only_later`` blocks that hold no later document get no reply."""
+def repeated(requests: DataFrame, kind: np.dtype) -> DataFrame:
+    """(block, entries): for every key of at least two documents its smallest document, to each block that has it."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, ENTRY) for x in table["entries"].to_pylist()]
+        parts = [np.frombuffer(x, kind) for x in table["entries"].to_pylist()]
         entries = np.concatenate(parts)
         block = np.repeat(table["block"].to_numpy(), [len(p) for p in parts])
-        order = np.argsort(entries["key"], kind="stable")
+        order = np.lexsort([entries[n] for n in kind.names if n != "doc"])
         entries, block = entries[order], block[order]
-        starts = np.flatnonzero(np.r_[True, entries["key"][1:] != entries["key"][:-1]])
+        starts = np.flatnonzero(np.r_[True, ~_same(entries)])
         low, high = (f.reduceat(entries["doc"], starts) for f in (np.minimum, np.maximum))
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(entries)]))
-        keep = (low < high)[group] & ((entries["doc"] > low[group]) if only_later else True)
-        block, group = block[keep], group[keep]
-        pair = np.unique(np.stack([block.astype(np.int64), group]), axis=1)
-        reply = np.empty(pair.shape[1], ENTRY)
-        reply["key"], reply["doc"] = entries["key"][starts][pair[1]], low[pair[1]]
-        names, at = np.unique(pair[0], return_index=True)
-        packed = [x.tobytes() for x in np.split(reply, at[1:])] if len(names) else []
-        return pa.table({"block": pa.array(names, pa.int32()), "entries": pa.array(packed, pa.binary())})
+        keep = (low < high)[group]
+        pair = np.unique(np.stack([block[keep].astype(np.int64), group[keep]]), axis=1)
+        reply = entries[starts][pair[1]]
+        reply["doc"] = low[pair[1]]
+        return _packed({}, "block", pair[0], reply)
 
     return requests.groupBy("bucket").applyInArrow(run, REPLY)
 
 
+def _side(table: pa.Table, kind: np.dtype) -> tuple[dict, np.ndarray]:
+    """(digests of exact copies by id, replies sorted by key) of one block."""
+    copies, replies = {}, []
+    for what, entries in zip(table["kind"].to_pylist(), table["entries"].to_pylist(), strict=True):
+        if what == 0:
+            copies.setdefault(int.from_bytes(entries[:8], "big", signed=True), set()).add(entries[8:])
+        else:
+            replies.append(np.frombuffer(entries, kind))
+    return copies, _sorted(np.concatenate([np.empty(0, kind), *replies]))
+
+
+def _md5(raw: bytes) -> bytes:
+    return hashlib.md5(raw).digest()
+
+
 class Repeats:
     """Documents dealt into blocks of about ``per_block``, and the levels over them. Id and text together choose the
     block: different texts of one id, or of null ids, are spread; only rows equal in both stay together.
 
-    A block asks, for every bucket of the hash space, which of its keys occur in other documents, and gets back the
+    A block asks, for every bucket of the key space, which of its keys occur in other documents, and gets back the
     repeated ones with their smallest document. A block holds a key at most twice (its smallest and largest
     document), so a passage of any frequency costs two entries a block and is never gathered by document. Texts
-    are shuffled once, by block; all levels of one plan reuse that exchange. Exact copies of an earlier text are
+    are shuffled once, by block; the passes over them reuse that exchange. Exact copies of an earlier text are
     found by digest first and take no part in the levels: rows with the id and the digest of a copy, so that other
     texts of a repeated id stay.
     """
 
     def __init__(self, docs: DataFrame, window: int, per_block: int, id_col: str, text_col: str):
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.window, self.blocks = window, pieces(docs.count(), per_block)
+        least = 3 * docs.sparkSession.sparkContext.defaultParallelism  # small tables: blocks for all cores
+        n = docs.count()
+        self.window, self.blocks = window, max(pieces(n, per_block), min(least, pieces(n, 64)))
         self.rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(self.blocks)).cast("int"))
-        digests = materialize(self.rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", "block", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest")), "digests")
+        digests = self.rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", "block", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
+        digests, self.digests_at = written(digests, "digests")
         first = digests.groupBy("digest").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-        copies = digests.join(first, "digest").where("id > _first").select("id", "block", "digest").distinct()
-        self.copies = materialize(copies.select("block", F.lit(0).alias("kind"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "digest").alias("entries")), "copies")  # id, big-endian, and digest
+        copies = join_groups(digests, first, "digest", "_n").where("id > _first").select("id", "block", "digest").distinct()
+        packed = F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "digest")  # id, big-endian, and digest
+        self.copies, self.copies_at = written(copies.select("block", F.lit(0).alias("kind"), packed.alias("entries")), "copies")
 
     def meet(self, replies: DataFrame | None, run, schema: str) -> DataFrame:
         side = self.copies if replies is None else self.copies.union(replies.select("block", F.lit(1), "entries"))
         return self.rows.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, schema)
 
-    def anchor_level(self) -> DataFrame:
-        """Requests for the half-length anchors of all windows."""
-        window, buckets = self.window, self.blocks
+    def _ask(self, replies: DataFrame | None, kind: np.dtype, keys) -> DataFrame:
+        """Requests of all documents but copies: what ``keys`` finds in their words, given the sorted replies."""
+        buckets = self.blocks
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            keys, docs = [], []
-            for doc, words in _documents(left, _side(right)[0]):
-                found = np.unique(anchors(words, window))
-                keys.append(found)
-                docs.append(np.full(len(found), doc, np.int64))
-            return _requests(left["block"][0].as_py() if left.num_rows else 0, keys, docs, buckets)
+            copies, known = _side(right, ANCHOR)
+            found = []
+            for doc, text in zip(left["id"].to_pylist(), left["text"].to_pylist(), strict=True):
+                if doc is not None and text:
+                    raw = text.encode()
+                    if doc not in copies or _md5(raw) not in copies[doc]:
+                        found.append(_entries(kind, keys(word_keys(raw), known), doc))
+            return _requests(left["block"][0].as_py() if left.num_rows else 0, kind, found, buckets)
 
-        return self.meet(None, run, REQUEST)
+        return self.meet(replies, run, REQUEST)
 
-    def window_level(self, replies: DataFrame) -> DataFrame:
-        """Requests for the windows whose anchor repeats."""
-        window, buckets = self.window, self.blocks
+    def windows(self) -> DataFrame:
+        """Replies of the first level: all windows that occur in two documents, with the smallest of them. Only windows
+        whose anchor repeats are asked for; their keys have 128 bits."""
+        window = self.window
+        near = repeated(self._ask(None, ANCHOR, lambda words, _: anchors(words, window)), ANCHOR)
 
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            copies, known = _side(right)
-            keys, docs = [], []
-            for doc, words in _documents(left, copies):
-                hit, _ = _lookup(known, anchors(words, window))
-                if hit.any():
-                    found = np.unique(run_hashes(words, window, 2)[hit])
-                    keys.append(found)
-                    docs.append(np.full(len(found), doc, np.int64))
-            return _requests(left["block"][0].as_py() if left.num_rows else 0, keys, docs, buckets)
+        def keys(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+            hit, _ = _lookup(known, anchors(words, window))
+            return run_keys(words, window, 2)[hit] if hit.any() else np.empty((0, 2), np.uint64)
 
-        return self.meet(replies, run, REQUEST)
+        return repeated(self._ask(near, WINDOW, keys), WINDOW)
 
-    def longer_level(self, replies: DataFrame, length: int) -> DataFrame:
-        """Requests for runs of twice ``length`` words whose two halves both repeat at ``length``."""
-        buckets = self.blocks
 
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            copies, known = _side(right)
-            keys, docs = [], []
-            for doc, words in _documents(left, copies):
-                hit, _ = _lookup(known, run_hashes(words, length, 2))
-                both = hit[:-length] & hit[length:]
-                if both.any():
-                    found = np.unique(run_hashes(words, 2 * length, 2)[both])
-                    keys.append(found)
-                    docs.append(np.full(len(found), doc, np.int64))
-            return _requests(left["block"][0].as_py() if left.num_rows else 0, keys, docs, buckets)
+def _regions(hit: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of neighbouring places that are hit, if longer than ``least``."""
+    edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > least]
 
-        return self.meet(replies, run, REQUEST)
 
+def extend(state: DataFrame, length: int, blocks: int) -> DataFrame:
+    """The next level: runs of ``2 * length`` words whose two halves both repeat at ``length``, looked up like windows.
+    ``state``: block, digest of the text, and the keys of one region of neighbouring runs that all repeat. Returns the
+    regions that repeat at the doubled length. One bit of an entry's document says whether its block has more texts
+    with the key, so 64-bit keys and texts, not ids, decide here: nothing is removed by these levels alone."""
+
+    def doubled(region: bytes) -> np.ndarray:
+        return double_keys(np.frombuffer(region, np.uint64), length)
 
-def remove_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) for every document.
+    def ask(table: pa.Table) -> pa.Table:
+        digests: dict[bytes, int] = {}
+        found = [_entries(ANCHOR, doubled(r), digests.setdefault(d, len(digests))) for d, r in zip(table["digest"].to_pylist(), table["region"].to_pylist(), strict=True)]
+        block = table["block"][0].as_py()
+        for entries in found:  # texts are numbered over all blocks
+            entries["doc"] += block << 32
+        return _requests(block, ANCHOR, found, blocks)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = _sorted(np.concatenate([np.empty(0, ANCHOR), *(np.frombuffer(x, ANCHOR) for x in right["entries"].to_pylist())]))
+        out = []
+        for block, digest, region in zip(*(left[c].to_pylist() for c in ("block", "digest", "region")), strict=True):
+            keys = doubled(region)
+            out += [(block, digest, keys[a:b].tobytes()) for a, b in _regions(_lookup(known, keys)[0], 0)]
+        columns = zip(*out, strict=True) if out else ([],) * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "digest", "region"), columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
+
+    usable = state.where(F.length("region") > 8 * length)
+    replies = repeated(usable.groupBy("block").applyInArrow(ask, REQUEST), ANCHOR)
+    return usable.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, STATE)
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text, longest_run) for every document; without ``texts`` kept_sha256, the
+    digest of the text that is left, in place of kept_text.
 
     A word is removed when a run of ``window`` words that covers it also starts in a document with a smaller id.
     Words are maximal runs of characters other than space and \\t-\\r, unchanged; windows are judged on the input.
-    Level 1 takes half-length runs (7 words for 13), of which each window is represented by its least hash; only
-    windows whose anchor repeats in another document go to level 2, the full window (64-bit hashes). Longer
-    repeats are unions of windows, so the levels beyond change nothing here; ``longest_repeats`` follows them.
 
-    Null and empty texts have no words; a null id neither removes nor is removed; rows that repeat an id are judged
-    one by one and never against each other. Whole texts of any length are read; extra columns are ignored; an
-    empty table gives no rows.
+    Level 1 finds the windows that repeat. Level by level, neighbouring runs that repeat at one length alone are
+    extended to twice that length, until no candidate survives. Every window of a longer repeated run repeats too, so
+    level 1 already holds all words that go; the levels beyond tell how far the repeats reach: ``longest_run`` is the
+    length (window, 2 * window, ...) of the last level that a run of the document survived, in texts that are not
+    equal; 0 where there is none. Equal texts have equal ``longest_run``.
+
+    Words and windows are compared by keys of 128 bits. Null and empty texts have no words; a null id neither removes
+    nor is removed; rows that repeat an id are judged one by one and never against each other; of equal texts the
+    smallest id keeps its words. Whole texts of any length are read; extra columns are ignored; an empty table gives
+    no rows.
     """
     levels = Repeats(docs, window, per_block, id_col, text_col)
-    replies = repeated(levels.window_level(repeated(levels.anchor_level(), False)), True)
+    last = ("kept_text", pa.string()) if texts else ("kept_sha256", pa.string())
+    names = [("block", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), last, ("digest", pa.binary()), ("regions", pa.list_(pa.binary()))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        copies, known = _side(right)
+        copies, known = _side(right, WINDOW)
         out = []
-        for doc, text in zip(left["id"].to_pylist(), left["text"].to_pylist(), strict=True):
+        for block, doc, text in zip(*(left[c].to_pylist() for c in ("block", "id", "text")), strict=True):
             raw = (text or "").encode()
             words = raw.split()
-            n = len(words)
+            n, digest, regions = len(words), _md5(raw), []
             gone = np.zeros(n, bool)
-            if doc is not None and n >= window:
-                if _is_copy(copies, doc, raw):
-                    gone[:] = True
-                elif len(known):
-                    hit, first = _lookup(known, run_hashes(word_hashes(raw)[0], window, 2))
-                    start = np.flatnonzero(hit & (first < doc))
-                    cover = np.zeros(n + 1, np.int64)
-                    np.add.at(cover, start, 1)
-                    np.add.at(cover, start + window, -1)
-                    gone = np.cumsum(cover[:-1]) > 0
+            copy = doc is not None and digest in copies.get(doc, ())
+            if copy:
+                gone[:] = n >= window
+            elif doc is not None and n >= window and len(known):
+                keys = run_keys(word_keys(raw), window, 2)
+                hit, first = _lookup(known, keys)
+                cover = np.zeros(n + 1, np.int64)
+                start = np.flatnonzero(hit & (first < doc))
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + window, -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                regions = [keys[a:b, 0].tobytes() for a, b in _regions(hit, 0)]
             kept = b" ".join(compress(words, (~gone).tolist()))
-            out.append((doc, n, int(gone.sum()), kept.decode()))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table({k: pa.array(v, t) for (k, t), v in zip((("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())), columns, strict=True)})
-
-    return levels.meet(replies, run, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def longest_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> Iterator[tuple[int, DataFrame]]:
-    """Go on doubling (13, 26, 52, ...) until no candidate survives. Yields (length, replies) of each level: the
-    repeated runs' hashes with their smallest document, by block. Copies of an earlier text take no part."""
-    levels = Repeats(docs, window, per_block, id_col, text_col)
-    found, length = materialize(repeated(levels.window_level(repeated(levels.anchor_level(), False)), False), "level"), window
-    while not found.isEmpty():
-        yield length, found
-        found = materialize(repeated(levels.longer_level(found, length), False), "level")
-        length *= 2
+            out.append((block, doc, n, int(gone.sum()), kept.decode() if texts else hashlib.sha256(kept).hexdigest(), digest, regions))
+        columns = zip(*out, strict=True) if out else ([],) * len(names)
+        return pa.table({k: pa.array(list(v), t) for (k, t), v in zip(names, columns, strict=True)})
+
+    schema = f"block int, doc_id long, n_words long, n_removed long, {last[0]} string, digest binary, regions array<binary>"
+    judged, _ = written(levels.meet(levels.windows(), run, schema), "judged")
+    discard(levels.digests_at)
+    discard(levels.copies_at)
+    return _with_longest(judged, window, levels.blocks)
+
+
+def _with_longest(judged: DataFrame, window: int, blocks: int) -> DataFrame:
+    """Run the levels beyond the first to their end and add ``longest_run``."""
+    hits = judged.where("size(regions) > 0").select("block", "digest", F.explode("regions").alias("region"))
+    reached = hits.select("digest").distinct().select("digest", F.lit(window).alias("longest"))
+    state, old, found = hits, None, [reached]
+    for level in count():
+        length = window << level
+        state, path = written(extend(state, length, blocks), "level")
+        if old:
+            discard(old)
+        old = path
+        if state.isEmpty():
+            discard(old)
+            break
+        found.append(written(state.select("digest").distinct().select("digest", F.lit(2 * length).alias("longest")), "reached")[0])
+    every = found[0]
+    for part in found[1:]:
+        every = every.union(part)
+    most = every.groupBy("digest").agg(F.max("longest").alias("longest_run"))
+    rows = judged.drop("block", "regions")
+    texts = rows.groupBy("digest").agg(F.count("*").alias("_n")).join(most, "digest", "left").withColumn("longest_run", F.coalesce("longest_run", F.lit(0)))
+    return join_groups(rows, texts, "digest", "_n").drop("digest")
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
-
+    """The words that are left as a digest."""
+    kept = F.col("kept_sha256") if "kept_sha256" in removed.columns else F.sha2(F.encode("kept_text", "UTF-8"), 256)
+    return removed.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"), "longest_run")

@@ -1,57 +1,64 @@
-"""Words of many texts as numpy arrays of 64-bit hashes, and hashes of runs of words."""
+"""Words of texts as 128-bit keys, and keys of runs of words."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from .common import mix64
 
+LONG = 64  # bytes beyond which a word is digested on its own
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_POWERS = np.ones(1, np.uint64)
-_INVERSE = np.ones(1, np.uint64)
-_WEIGHT = mix64(np.arange(1, 257, dtype=np.uint64))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base modulo 2^64 and of its inverse."""
-    global _POWERS, _INVERSE
-    if len(_POWERS) < n:
-        size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _BASE)], dtype=np.uint64)
-            _INVERSE = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(pow(int(_BASE), -1, 1 << 64)))], dtype=np.uint64)
-    return _POWERS, _INVERSE
-
-
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end) of each word: a maximal run of bytes other than space and \\t-\\r."""
-    raw = np.frombuffer(text, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = np.empty(len(raw) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[raw]
-    step = np.diff(inside)
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    power, inverse = _powers(len(raw))
+_MULTIPLY = np.array([0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15], np.uint64)
+
+
+def word_keys(text: bytes) -> np.ndarray:
+    """A row of two uint64 for each word, a maximal run of bytes other than space and \\t-\\r: two hashes of its
+    length and its bytes, eight at a time, by chains that share nothing. A chain alone is one-to-one on words of up to
+    eight bytes of one length; both together make 128 bits. Very long words have BLAKE2b digests instead."""
+    padded = text + bytes(9)
+    space = _SPACE[np.frombuffer(padded, np.uint8)]
+    space[len(text) :] = True
+    edge = np.flatnonzero(np.r_[True, space[:-1]] != space)
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    eights = np.ndarray((len(text) + 2,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    keys = np.empty((len(start), 2), np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_WEIGHT[raw] * power[: len(raw)], out=sums[1:])
-        hashes = (sums[end] - sums[start]) * inverse[start]
-        hashes = mix64(hashes + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, start, end
+        keys[:] = mix64(size.astype(np.uint64))[:, None] * _MULTIPLY
+        left = np.arange(len(start))
+        for at in range(0, LONG, 8):
+            left = left[size[left] > at] if at else left
+            if not len(left):
+                break
+            part = eights[start[left] + at]
+            spare = np.maximum(8 - (size[left] - at), 0).astype(np.uint64) * np.uint64(8)
+            part = part << spare >> spare
+            keys[left] = mix64((keys[left] ^ part[:, None]) * _MULTIPLY)
+    for i in np.flatnonzero(size > LONG):
+        keys[i] = np.frombuffer(hashlib.blake2b(text[start[i] : end[i]], digest_size=16).digest(), "<u8")
+    return keys
 
 
-def run_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of ``length`` consecutive words."""
+def run_keys(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """Key of each run of ``length`` consecutive words. ``words``: one or two columns of word keys; the columns are
+    mixed apart from each other, by multipliers of their own."""
     n = len(words) - length + 1
+    multiply = _MULTIPLY if words.ndim == 2 else _MULTIPLY[0]
     if n <= 0:
-        return np.empty(0, np.uint64)
+        return words[:0]
     with np.errstate(over="ignore"):
-        out = np.full(n, np.uint64(seed), np.uint64)
+        out = np.full((n, *words.shape[1:]), np.uint64(seed))
         for i in range(length):
-            out = out * np.uint64(0xC2B2AE3D27D4EB4F) + words[i : i + n]
+            out *= multiply
+            out += words[i : i + n]
             out ^= out >> np.uint64(32)
     return mix64(out)
+
+
+def double_keys(runs: np.ndarray, length: int) -> np.ndarray:
+    """Keys of runs of ``2 * length`` words from those of ``length`` words at neighbouring places."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64(runs[:-length]) * _MULTIPLY[0] + runs[length:])

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, components, exact, langid, minhash, mixing, queries, sharding, substring, urls, vectors, warc
+from docquarry.llm import bpe, components, exact, langid, minhash, mixing, queries, sharding, substring, urls, vectors, warc, words
 
 SPACE = " \t\n\r\x0b\x0c"
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,8 +84,39 @@ def test_substring_edges(spark, empty):
 
 def test_longest_repeats(spark):
     run = [f"x{i}" for i in range(60)]
-    given = spark.createDataFrame([(1, " ".join(["a", *run, "b"])), (2, " ".join(["c", *run, "d"]))], "doc_id long, text string")
-    assert [length for length, _ in substring.longest_repeats(given)] == [13, 26, 52]
+    rows = [(1, " ".join(["a", *run, "b"])), (2, " ".join(["c", *run, "d"])), (3, " ".join(["c", *run, "d"])), (4, " ".join(run[:20])), (5, " ".join(f"y{i}" for i in range(40))), (6, None)]
+    got = {r.doc_id: (r.n_removed, r.longest_run) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 52), 2: (60, 52), 3: (62, 52), 4: (20, 13), 5: (0, 0), 6: (0, 0)}
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_are_never_taken_for_others(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    keys = words.word_keys(f"{one} {other} {one[:64]} {other[:64]} a\0 a".encode())
+    assert len({bytes(k) for k in keys}) == 6
+    rows = [(i, " ".join([w] * 14)) for i, w in enumerate((one, other))]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substring.remove_repeats(given).collect()] == [0, 0]
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(given, 4, 80).collect()} == {0: 0, 1: 1}
+
+
+def test_word_keys_follow_split():
+    rng, seen = np.random.default_rng(4), {}
+    for _ in range(500):
+        parts = [bytes(rng.choice(list(b"ab\xc3c"), rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(rng.integers(0, 6))]
+        text = b"".join(p + bytes([rng.choice(list(b" \t\n\r\x0b\x0c"))]) * rng.integers(1, 3) for p in parts)
+        for text in (text, text.strip(), b" " + text):
+            keys = words.word_keys(text)
+            assert len(keys) == len(text.split())
+            assert all(seen.setdefault(w, bytes(k)) == bytes(k) for w, k in zip(text.split(), keys, strict=True))
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_language(spark, docs, empty):
@@ -200,6 +231,28 @@ def test_minhash_edges(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows of one id are one document, linked by each of its texts; reruns agree."""
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(9, one), (9, two), (4, one + " x"), (12, two.upper() + " y"), (9, one), (3, None)]
+    for n in (1, 5):
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), 4, 80).collect())
+        assert got == [(3, 3, True), (4, 4, True), (9, 4, False), (9, 4, False), (9, 4, False), (12, 4, False)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 8])
+def test_similar_texts_counts_whole_sets(size):
+    rng = np.random.default_rng(size)
+    for _ in range(200):
+        a = [b"%d" % x for x in rng.integers(0, 6, rng.integers(0, 30))]
+        b = list(a)
+        for _ in range(rng.integers(0, 3)):
+            if b:
+                b[rng.integers(0, len(b))] = b"new"
+        x, y = (shingles(b" ".join(w).decode(), size) for w in (a, b))
+        assert minhash.similar_texts(a, b, size, 60) == bool(x and y and 100 * len(x & y) >= 60 * len(x | y))
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
