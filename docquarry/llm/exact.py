@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, mix64, pieces
+from .common import join_groups, lower_ascii, materialize, mix64, pieces
 
-LEVELS, GAMMA = 48, 2
+GAMMA = 2
 INDEX = "shard int, n long, levels binary, digests binary, winners binary, counts binary"
 
 
@@ -20,10 +22,11 @@ def _halves(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def build_mph(digests: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Levels of bit arrays (uint32 count, then for each level uint32 bits and packed bits) and each key's slot.
-    A key's bit is set in the first level where no other key hits it; the slot is the number of set bits before."""
+    A key's bit is set in the first level where no other key hits it; the slot is the number of set bits before.
+    The digests are distinct; each level places more than half of the rest."""
     a, b = _halves(digests)
     left, out, slot, base = np.arange(len(digests)), [], np.empty(len(digests), np.int64), 0
-    for level in range(LEVELS):
+    for level in count():
         if not len(left):
             break
         bits = max(8, GAMMA * len(left))
@@ -34,8 +37,6 @@ def build_mph(digests: np.ndarray) -> tuple[bytes, np.ndarray]:
         base += int(hit.sum())
         out.append(np.uint32(bits).tobytes() + np.packbits(alone).tobytes())
         left = left[~hit]
-    if len(left):
-        raise ValueError("repeated digests in one shard")
     return np.uint32(len(out)).tobytes() + b"".join(out), slot
 
 
@@ -119,17 +120,17 @@ def exact_dedup(docs: DataFrame, history=None, per_shard: int = 50_000, id_col:
     stays. ``history`` is a condition on ``doc_id`` that marks the rows already indexed (by default the lower half
     of the id range): their distinct digests build the hash, all other rows are looked up in it. The split changes
     the work, never the result. Groups of any size are pre-aggregated, so a shard's size depends on distinct
-    digests alone, and the join that returns decisions to rows carries 40 bytes a row.
+    digests alone; the join that returns decisions to rows carries 40 bytes a row and splits no large group unevenly.
     A null doc_id loses to any other; rows repeated with the winning id are all kept; where all ids of a group are
     null its rows are all kept (keep_id null). An empty table gives no rows; other columns are ignored.
     """
     rows = materialize(digest_texts(docs, id_col, text_col), "digests")
-    lo, hi, count = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    lo, hi, n_rows = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     if history is None:
         history = F.col("doc_id") < F.lit(((lo or 0) + (hi or 0)) // 2)
     history = F.coalesce(history, F.lit(False))
-    shards = pieces(count, per_shard)
+    shards = pieces(n_rows, per_shard)
     index = build_index(rows.where(history), shards)
     decided = materialize(resolve(index, rows.where(~history), shards), "decided")
     keep = F.when(F.col("winner") > -(2**63), F.col("winner"))
-    return rows.join(decided, "digest").select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return join_groups(rows, decided.withColumn("_n", F.col("n")), "digest", "_n").select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
