@@ -8,12 +8,11 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, new_path
+from .common import join_groups, lower_ascii, materialize, new_path, open_folder
 
 REVISIT_FROM = 100  # bytes of payload from which equal payloads are stored once
 _NS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -21,11 +20,6 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 CAPTURE = "page_id long, key string, file string, at long, size long"
 
 
-def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a shared folder (file, hdfs, s3, gs: what pyarrow opens)."""
-    return fs.FileSystem.from_uri(folder if "://" in folder else "file:" + folder if folder.startswith("file:") else "file://" + folder)
-
-
 def url_key(url: Column) -> Column:
     """Sort key of a url: host labels reversed and joined by commas, ``)``, then path and query in lower case; the
     empty string for null. Blanks and control characters become ``%``."""
@@ -69,12 +63,19 @@ def parse_record(data: bytes) -> dict:
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, digest, refers_to. Only digests are grouped; the page with the smallest id of a payload
-    of at least REVISIT_FROM bytes is its response. A payload repeated under one page_id is stored again."""
+    of at least REVISIT_FROM bytes is its response. A payload repeated under one page_id is stored again. Payloads of
+    more than a thousandth of all pages (fewer than a thousand of them) are joined by broadcast, and short ones are not
+    joined at all, so that no body that many pages share is gathered in one task."""
     html = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    first = rows.where(F.length("html") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    joined = rows.join(first.select("digest", "_first"), "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    digests = materialize(rows.select("page_id", "digest", F.length("html").alias("n")), "payloads")
+    first = digests.where(F.col("n") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    first = materialize(first, "repeated")
+    limit = max(digests.count() // 1000, 100)
+    marked = rows.join(F.broadcast(first.where(F.col("_n") > limit).select("digest", "_first")), "digest", "left")
+    done = F.col("_first").isNotNull() | (F.length("html") < REVISIT_FROM)
+    rest = marked.where(~done).drop("_first").join(first.where(F.col("_n") <= limit).select("digest", "_first"), "digest", "left")
+    return marked.where(done).unionByName(rest).select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, per_file: int = 1 << 28) -> DataFrame:
@@ -160,66 +161,49 @@ def _block_lines(stream, at: int, size: int) -> list[list[str]]:
     return [line.split("\t") for line in zlib.decompress(stream.read(size)).decode().split("\n")[:-1]]
 
 
-def lookup(directory: DataFrame, folder: str, wanted: DataFrame, max_entries: int = 2_000_000) -> DataFrame:
+def lookup(directory: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
     """Captures (page_id, key, file, at, size) of the wanted (key, page_id) pairs.
 
-    The sparse directory has one entry for ``per_block`` captures. Up to ``max_entries`` of them (100 bytes each)
-    are sent to every executor, where a binary search names the block of each pair; beyond that bound the pairs are
-    merged with the directory by a range-partitioned sort. Pairs of one block then share one range read and a
-    binary search inside the block.
+    The directory lies in as many pieces as there are index files, one for each range partition of the captures. The
+    driver and the executors hold the first entry of each file alone; a pair finds its file there by binary search.
+    The pairs of a file meet the file's piece of the directory, where a binary search names the block; pairs of one
+    block share one range read, and a binary search inside the block finds the capture.
     """
     spark = directory.sparkSession
-    blocks = directory.select("first_key", F.coalesce("first_id", F.lit(-(2**63))).alias("first_id"), F.col("file").alias("index"), F.col("at").alias("index_at"), F.col("size").alias("index_size"))
-    wanted = wanted.select("key", F.coalesce("page_id", F.lit(-(2**63))).alias("page_id"))
-    count = blocks.count()
-    if count <= max_entries:
-        entries = spark.sparkContext.broadcast(sorted((k.encode(), i, f, at, n) for k, i, f, at, n in blocks.collect()))
-
-        def find(batches):
-            firsts = [x[:2] for x in entries.value]
-            for batch in batches:
-                at = [max(0, bisect.bisect_right(firsts, (k.encode(), i)) - 1) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                hit = [entries.value[i] for i in at]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([h[c] for h in hit], t) for c, t in ((2, pa.string()), (3, pa.int64()), (4, pa.int64())))], names=["key", "page_id", "index", "index_at", "index_size"])
-
-        placed = wanted.mapInArrow(find, "key string, page_id long, index string, index_at long, index_size long") if count else spark.createDataFrame([], "key string, page_id long, index string, index_at long, index_size long")
-    else:
-        placed = _merge_by_range(wanted, blocks).where("index IS NOT NULL")  # pairs before the first entry
-
-    def read(batches):
-        files, base = open_folder(folder)
-        last, lines, keys, name, stream = None, [], [], None, None
+    lowest = -(2**63)  # stands for a null page_id
+    entries = directory.select(F.col("file").alias("index"), "first_key", F.coalesce("first_id", F.lit(lowest)).alias("first_id"), "at", "size")
+    wanted = wanted.select("key", F.coalesce("page_id", F.lit(lowest)).alias("page_id"))
+    heads = entries.groupBy("index").agg(F.min(F.struct("first_key", "first_id")).alias("h")).select("h.first_key", "h.first_id", "index").collect()  # a row for each index file
+    if not heads:
+        return spark.createDataFrame([], CAPTURE)
+    files = spark.sparkContext.broadcast(sorted((k.encode(), i, name) for k, i, name in heads))
+
+    def place(batches):
+        firsts = [x[:2] for x in files.value]
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if last != (r["index"], r["index_at"]):
-                    if name != r["index"]:
-                        name, stream = r["index"], files.open_input_file(f"{base}/{r['index']}")
-                    last, lines = (r["index"], r["index_at"]), _block_lines(stream, r["index_at"], r["index_size"])
-                    keys = [(x[0].encode(), int(x[1]) if x[1] else -(2**63)) for x in lines]
-                key = r["key"].encode()
-                at = bisect.bisect_left(keys, (key, r["page_id"]))
-                while at < len(keys) and keys[at] == (key, r["page_id"]):
-                    x = lines[at]
-                    rows.append((r["page_id"] if r["page_id"] > -(2**63) else None, r["key"], x[2], int(x[3]), int(x[4])))
-                    at += 1
-            yield _captures(rows)
-
-    dealt = placed.repartition("index", "index_at").sortWithinPartitions("index", "index_at")
-    return dealt.mapInArrow(read, CAPTURE)
-
-
-def _merge_by_range(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks for wanted pairs by one range-partitioned sort of both: the block is the last directory entry at or
-    before the pair. Every partition starts with the last entry of the one before."""
-    both = wanted.select("key", "page_id", F.lit(1).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("index", "string"), ("index_at", "long"), ("index_size", "long")))).unionByName(blocks.select(F.col("first_key").alias("key"), F.col("first_id").alias("page_id"), F.lit(0).alias("kind"), "index", "index_at", "index_size"))
-    ordered = materialize(both.repartitionByRange("key", "page_id", "kind").withColumn("part", F.spark_partition_id()), "merge")
-    inside = Window.partitionBy("part").orderBy("key", "page_id", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    lasts = ordered.groupBy("part").agg(F.max(F.when(F.col("kind") == 0, F.struct("key", "page_id", "index", "index_at", "index_size"))).alias("e"))
-    before = lasts.select("part", F.last("e", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))  # a row for each partition
-    entry = F.last(F.when(F.col("kind") == 0, F.struct("index", "index_at", "index_size")), ignorenulls=True).over(inside)
-    found = ordered.withColumn("own", entry).join(F.broadcast(before), "part").where("kind = 1")
-    return found.select("key", "page_id", *(F.coalesce(F.col(f"own.{c}"), F.col(f"carry.{c}")).alias(c) for c in ("index", "index_at", "index_size")))
+            at = [max(0, bisect.bisect_right(firsts, (k.encode(), i)) - 1) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([files.value[i][2] for i in at], pa.string()), *batch.columns], names=["index", "key", "page_id"])
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks = sorted((k.encode(), i, at, n) for k, i, at, n in zip(*(right[c].to_pylist() for c in ("first_key", "first_id", "at", "size")), strict=True))
+        firsts, rows, last, keys, lines = [b[:2] for b in blocks], [], -1, [], []
+        if left.num_rows:
+            store, base = open_folder(folder)
+            with store.open_input_file(f"{base}/{left['index'][0].as_py()}") as stream:
+                for key, page_id in sorted((k.encode(), i) for k, i in zip(left["key"].to_pylist(), left["page_id"].to_pylist(), strict=True)):
+                    block = max(0, bisect.bisect_right(firsts, (key, page_id)) - 1)
+                    if block != last:
+                        last, lines = block, _block_lines(stream, *blocks[block][2:])
+                        keys = [(x[0].encode(), int(x[1]) if x[1] else lowest) for x in lines]
+                    at = bisect.bisect_left(keys, (key, page_id))
+                    while at < len(keys) and keys[at] == (key, page_id):
+                        x = lines[at]
+                        rows.append((page_id if page_id > lowest else None, x[0], x[2], int(x[3]), int(x[4])))
+                        at += 1
+        return pa.Table.from_batches([_captures(rows)])
+
+    placed = wanted.mapInArrow(place, "index string, key string, page_id long")
+    return placed.groupBy("index").cogroup(entries.groupBy("index")).applyInArrow(find, CAPTURE)
 
 
 def fetch(captures: DataFrame, folder: str) -> DataFrame:
@@ -251,9 +235,11 @@ def resolve(records: DataFrame) -> DataFrame:
     """Replace what a revisit's header says of its payload by the length and digest of the response it names."""
     rows = materialize(records.drop("payload"), "records")
     response = rows.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_digest", "payload_bytes")).alias("_r"))
-    revisits = rows.where("refers_to IS NOT NULL").join(response, "refers_to", "left")
-    alone = rows.where("refers_to IS NULL").withColumn("_r", F.lit(None).cast("struct<payload_digest:string,payload_bytes:long>"))  # no key: never shuffled
-    return revisits.unionByName(alone).select("page_id", F.coalesce("_r.payload_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("_r.payload_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    revisits = rows.where("refers_to IS NOT NULL").drop("payload_digest", "payload_bytes")
+    named = response.join(revisits.groupBy("refers_to").agg(F.count("*").alias("_n")), "refers_to")
+    found = join_groups(revisits, named, "refers_to", "_n").select("*", "_r.payload_digest", "_r.payload_bytes")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select(*columns).unionByName(rows.where("refers_to IS NULL").select(*columns))
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
