@@ -52,3 +52,18 @@ t AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, hex(en
 c AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(size - 1), lambda i: ('0x' || substring(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32 FROM t, tab),
 s AS (SELECT *, least(7, (2 * (sum(size) OVER (ORDER BY doc_id) - size) + size) * 8 // (2 * sum(size) OVER ()))::INT AS shard FROM c)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s"""
+
+#: Targets by water-filling; a source's documents in the order of a seeded hash form one stream, of which the mix takes the
+#: first target words, going round.
+MIXING = f"""
+WITH t AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM t GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM s),
+w AS (SELECT *, [5, 2, 1][src % 3 + 1] AS w FROM o),
+f AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - 2::DOUBLE * (sum(source_size) OVER q - source_size) AS rest, (sum(w) OVER () - sum(w) OVER q + w)::DOUBLE AS heavy, row_number() OVER q AS k FROM w
+  WINDOW q AS (ORDER BY source_size::DOUBLE / w, src ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT rest AS lr, heavy AS lh, k AS lk FROM f WHERE rest * w / heavy <= 2 * source_size ORDER BY k LIMIT 1),
+g AS (SELECT source, source_size, CASE WHEN lk IS NULL OR k < lk THEN 2::DOUBLE * source_size ELSE lr * w / lh END AS target FROM f LEFT JOIN l ON true),
+d AS (SELECT t.doc_id, size, source_size, target, floor(target + 1e-6)::BIGINT AS words, (sum(size) OVER (PARTITION BY t.source ORDER BY left(md5(doc_id || ':7'), 16), doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos
+  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, greatest(0, least(size, words - pos)) + greatest(0, least(size, words - pos - source_size)) AS taken FROM d"""

@@ -12,31 +12,38 @@ from pyspark.sql import types as T
 from .common import materialize
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str) -> DataFrame:
-    """Add ``before`` (sum of ``value`` over all earlier rows) and ``position`` (number of earlier rows).
+def prefix_sums(df: DataFrame, order: list[str], *values: str) -> DataFrame:
+    """Add ``before_<value>`` (sum over all earlier rows) for each of ``values`` and ``position`` (number of earlier
+    rows).
 
     Rows are range-partitioned by ``order`` and sorted; each partition sums its own rows in one streaming pass,
-    and one row per partition (its total) is all that the driver sees. ``value`` must hold no nulls. Ties in
-    ``order`` get neighbouring positions in either order. An empty table gives an empty result.
+    and one row per partition (its totals) is all that the driver sees. The values are whole numbers without nulls.
+    Ties in ``order`` get neighbouring positions in either order. An empty table gives an empty result.
     """
     names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_sum", T.LongType()), T.StructField("_row", T.LongType())])
+    sums = [f"_sum_{v}" for v in values]
+    added = [T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType()), *(T.StructField(s, T.LongType()) for s in sums)]
+    schema = T.StructType([*df.schema.fields, *added])
 
     def local(batches):
-        part, total, rows = TaskContext.get().partitionId(), 0, 0
+        part, rows, totals = TaskContext.get().partitionId(), 0, [0] * len(values)
         for batch in batches:
-            sizes = batch.column(names.index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = total + np.cumsum(sizes)
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(ends - sizes), pa.array(rows + np.arange(n, dtype=np.int64))], names=[*names, "_part", "_sum", "_row"])
-            total, rows = int(ends[-1]) if n else total, rows + n
+            n = batch.num_rows
+            columns = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(rows + np.arange(n, dtype=np.int64))]
+            for i, value in enumerate(values):
+                own = batch.column(names.index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = totals[i] + np.cumsum(own)
+                columns.append(pa.array(ends - own))
+                totals[i] = int(ends[-1]) if n else totals[i]
+            rows += n
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_part", "_row", *sums])
 
     keys = [F.asc_nulls_last(c) for c in order]
     done = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(local, schema), "prefix")
-    totals = done.groupBy("_part").agg(F.sum(value), F.count("*")).orderBy("_part").collect()
-    starts, total, rows = [], 0, 0
-    for part, size, count in totals:
-        starts.append((part, total, rows))
-        total, rows = total + size, rows + count
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _sum0 long, _row0 long")
-    return done.join(F.broadcast(offsets), "_part").select(*names, (F.col("_sum0") + F.col("_sum")).alias("before"), (F.col("_row0") + F.col("_row")).alias("position"))
+    starts, before = [], [0] * (1 + len(values))
+    for part, *totals in done.groupBy("_part").agg(F.count("*"), *map(F.sum, values)).orderBy("_part").collect():
+        starts.append((part, *before))
+        before = [a + b for a, b in zip(before, totals, strict=True)]
+    offsets = df.sparkSession.createDataFrame(starts, ", ".join(["_part int", "_row0 long", *(f"{s}0 long" for s in sums)]))
+    shifted = [(F.col(f"{s}0") + F.col(s)).alias(f"before_{v}") for s, v in zip(sums, values, strict=True)]
+    return done.join(F.broadcast(offsets), "_part").select(*names, *shifted, (F.col("_row0") + F.col("_row")).alias("position"))

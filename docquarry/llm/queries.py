@@ -87,6 +87,7 @@ ORACLE_SQL = {
     "op2_substring_dedup": oracle.SUBSTRING,
     "op4_embedding_near_dedup": oracle.VECTORS,
     "op7_minhash_near_dedup": oracle.MINHASH,
+    "op8_mixing_sources": oracle.MIXING,
     "op5_url_filters": urls.ORACLE_SQL,
     "op10_warc": """
 WITH t AS (SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -338,9 +338,26 @@ def test_mixing_meets_targets_below_a_block(spark):
     assert len({r.slot for r in slots}) == len(slots) and len(slots) <= 16 + 2 * len(sizes)
 
 
+def test_mixing_starves_no_source(spark):
+    rows = [(i, "w " * 500, "big") for i in range(120)] + [(1000 + i, "w " * 20, f"s{i:02}") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for slots in (1, 64, 1 << 18):
+        got = mixing.mix_sources(table, slots=slots).docs.collect()
+        assert all(r.taken == 2 * r.size == r.target for r in got if r.source != "big")
+        assert abs(sum(r.taken for r in got) - int(1.5 * sum(r.size for r in got))) <= len({r.source for r in got})
+
+
+def test_mixing_repeated_and_null_rows(spark):
+    rows = [(None, "a b c", None), (None, "a b c", None), (4, "a b", "s"), (4, "a b", "s"), (4, "", "t"), (5, None, "t")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(str, mixing.mix_sources(table.repartition(n)).docs.drop("position").collect())) for n in (1, 4)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert sum(r.taken for r in mixing.mix_sources(table).docs.collect()) == 15
+
+
 def test_schedule_is_low_discrepancy(spark):
     limits = [500, 300, 200]
-    slots = mixing.schedule(spark, limits, 1000).orderBy("slot").collect()
+    slots = mixing.schedule(spark, np.arange(3), np.array(limits), 1000).orderBy("slot").collect()
     assert [r.slot for r in slots] == list(range(1000))
     seen = Counter()
     for n, r in enumerate(slots, 1):
@@ -397,8 +414,8 @@ def test_warc(spark, tmp_path):
     directory = warc.write_index(captures, folder, per_block=7)
     wanted = captures.where("page_id % 3 = 0").select("key", "page_id").union(spark.createDataFrame([("zz)/none", 5), ("", 9)], "key string, page_id long"))
     want = {tuple(r) for r in captures.where("page_id % 3 = 0").collect()}
-    for bound in (1000, 0):
-        assert {tuple(r) for r in warc.lookup(directory, folder, wanted, max_entries=bound).collect()} == want
+    assert {tuple(r) for r in warc.lookup(directory, folder, wanted).collect()} == want
+    assert warc.lookup(directory.limit(0), folder, wanted).count() == 0
     stored = {r.page_id: r.payload for r in warc.fetch(captures, folder).where("record_type = 'response'").collect()}
     assert all(bytes(stored[d]) == (html or "").encode() for d, _, html in PAGES if d in stored)
     assert warc.archive_and_read(table.limit(0)).count() == 0
