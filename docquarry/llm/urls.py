@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize
+from .common import LOWER, UPPER, join_groups, materialize
 
 #: (action, host, path) of the default policy.
-RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+#: Suffixes of two labels: one of these labels before a country's two letters.
+COUNTRY_SUFFIX = r"(?:^|\.)(?:ac|co|com|edu|go|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$"
 
 
 def url_host_path(url: Column) -> tuple[Column, Column]:
@@ -24,7 +30,7 @@ def url_host_path(url: Column) -> tuple[Column, Column]:
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest rule that fits (null if none) and its action."""
+    """The longest rule that fits (null if none) and its action; of rules of one length the last one listed."""
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for act, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -33,29 +39,31 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def registered_domain(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the suffix is the last label, or one of the known two-label suffixes."""
+    """(registered domain, suffix): the suffix is the last label, or two labels such as ``co.uk``."""
     two = F.substring_index(host, ".", -2)
-    known = two.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(known, F.substring_index(host, ".", -3)).otherwise(two), F.when(known, two).otherwise(F.substring_index(host, ".", -1))
+    known = host.rlike(COUNTRY_SUFFIX)
+    domain = F.when(known, F.substring_index(host, ".", -3)).otherwise(two)
+    return domain, F.when(known, two).otherwise(F.substring_index(host, ".", -1))
 
 
 def _concentration(rows: DataFrame, n: str, k: str, mean: float) -> float:
     """Beta concentration by the method of moments, from one row of sums; ``mean`` is the bad rate over all rows."""
-    spread = rows.where(F.col(n) > 0).agg((F.sum(F.col(n) * F.pow(F.col(k) / F.col(n) - mean, 2)) / F.sum(n)).alias("s"), (F.count("*") / F.sum(n)).alias("g")).first()
+    off = F.col(n) * F.pow(F.col(k) / F.col(n) - mean, 2)
+    spread = rows.where(F.col(n) > 0).agg((F.sum(off) / F.sum(n)).alias("s"), (F.count("*") / F.sum(n)).alias("g")).first()
     if spread.s is None:
         return 2.0
     var = mean * (1 - mean)
     return min(1000.0, max(2.0, var / max(spread.s - var * spread.g, 1e-6) - 1))
 
 
-def host_reputation(pages: DataFrame, z: float = 2.0) -> DataFrame:
-    """Posterior of each host's bad rate. ``pages``: host, bad (0/1, null where no outcome is known).
+def host_reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
+    """Posterior of each host's bad rate. ``hosts``: host, n (known outcomes) and k (bad ones), each host once.
 
-    Outcomes are pre-aggregated by host, then by registered domain, then by suffix. Each level's posterior mean is
-    the mean of the beta prior of the level below; concentrations come from the data by moments (three rows of sums). Output: host, n
-    (known outcomes), mean and lower bound (mean - z standard deviations, at least 0) of the bad rate.
+    Outcomes are summed by registered domain, then by suffix. Each level's posterior mean is the mean of the beta prior
+    of the level below; concentrations come from the data by moments (three rows of sums). Output: host, n,
+    bad_mean, bad_lower (mean - z standard deviations, at least 0) and usual, the suffix's posterior mean, which
+    stands for what is usual there.
     """
-    hosts = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     domain, suffix = registered_domain(F.col("host"))
     hosts = materialize(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
@@ -64,32 +72,43 @@ def host_reputation(pages: DataFrame, z: float = 2.0) -> DataFrame:
     rate = bad / known if known else 0.5
     cs, cd, ch = (_concentration(*x, rate) for x in ((suffixes, "sn", "sk"), (domains, "dn", "dk"), (hosts, "n", "k")))
     suffix_mean = (F.col("sk") + cs * (bad + 1) / (known + 2)) / (F.col("sn") + cs)
-    domain_mean = (F.col("dk") + cd * F.col("sm")) / (F.col("dn") + cd)
+    domain_mean = (F.col("dk") + cd * F.col("usual")) / (F.col("dn") + cd)
     a, b = F.col("k") + ch * F.col("dm"), F.col("n") - F.col("k") + ch * (1 - F.col("dm"))
-    rated = suffixes.select("suffix", suffix_mean.alias("sm")).join(domains, "suffix").select("domain", domain_mean.alias("dm")).join(hosts, "domain").select("host", "n", a.alias("a"), b.alias("b"))
+    rated = suffixes.select("suffix", suffix_mean.alias("usual")).join(domains, "suffix").select("domain", "usual", domain_mean.alias("dm"))
+    rated = rated.join(hosts, "domain").select("host", "n", "usual", a.alias("a"), b.alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
     sd = F.sqrt(F.col("a") * F.col("b") / (F.pow(F.col("a") + F.col("b"), 2) * (F.col("a") + F.col("b") + 1)))
-    return rated.select("host", "n", mean.alias("bad_mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("bad_lower"))
+    return rated.select("host", "n", mean.alias("bad_mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("bad_lower"), "usual")
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = 0.5, z: float = 2.0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, lift: float = 1.0, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, bad_mean, bad_lower for every page.
 
     The longest fitting rule decides; elsewhere a page is blocked when the lower posterior bound of its host's bad
-    rate exceeds ``limit``. ``outcomes``: doc_id, quality, toxic; a page's outcome is that of the document whose
+    rate (``z`` = 1.645: 95 %) exceeds ``lift`` times what is usual under the host's suffix, so when the host is almost
+    surely worse than its like. ``outcomes``: doc_id, quality, toxic; a page's outcome is that of the document whose
     number is the first number in its path (bad: quality 0 or toxic 1; several rows: bad if any is; rows with
     neither known are ignored). Null and malformed urls share the empty host; pages repeated are judged each; empty
-    tables give no rows; other columns are ignored. Only built-in functions run.
+    tables give no rows, and without outcomes nothing is blocked but by rules; other columns are ignored. Only
+    built-in functions run, and no host or number that many pages share is gathered in one task.
     """
     host, path = url_host_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     number = F.regexp_extract("path", r"/([0-9]{1,18})(?:[^0-9]|$)", 1)
-    rows = rows.withColumn("_doc", F.when(number != "", number.cast("long")).otherwise(-1 - F.pmod(F.xxhash64("page_id", "path"), F.lit(1 << 20))))  # pages without a number are spread
-    bad = outcomes.where("doc_id >= 0 AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.when((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1), 1).otherwise(0)).alias("bad"))
-    rated = host_reputation(rows.join(bad, "_doc", "left").select("host", "bad"), z)
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = materialize(rows.withColumn("_doc", F.when(number != "", number.cast("long"))), "urls")
+    is_bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    bad = outcomes.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(is_bad.cast("int")).alias("bad"))
+    pairs = rows.where("_doc IS NOT NULL").groupBy("host", "_doc").agg(F.count("*").alias("times"))
+    labelled = join_groups(pairs, bad.join(pairs.groupBy("_doc").agg(F.count("*").alias("_n")), "_doc"), "_doc", "_n")
+    counts = labelled.groupBy("host").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("bad")).alias("k"))
+    hosts = rows.groupBy("host").agg(F.count("*").alias("_n"))
+    zero = F.lit(0).cast("long")
+    hosts = materialize(hosts.join(counts, "host", "left").select("host", "_n", F.coalesce("n", zero).alias("n"), F.coalesce("k", zero).alias("k")), "outcomes")
+    rated = host_reputation(hosts.drop("_n"), z).drop("n").join(hosts.select("host", "_n"), "host")
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(action, F.when(F.col("bad_lower") > limit, F.lit("block")).otherwise("allow"))
-    return rows.join(rated, "host", "left").select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bad_mean", "bad_lower")
+    verdict = F.coalesce(action, F.when(F.col("bad_lower") > lift * F.col("usual"), F.lit("block")).otherwise("allow"))
+    judged = join_groups(rows, rated, "host", "_n")
+    return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bad_mean", "bad_lower")
 
 
 #: The same in DuckDB, for the digest columns.
@@ -99,7 +118,8 @@ q AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
   regexp_extract(substring(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
 o AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM q LEFT JOIN o ON o.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:[^0-9]|$)', 1) AS BIGINT) GROUP BY host),
-hd AS (SELECT host, n, k, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h),
+hl AS (SELECT *, string_split(host, '.') AS l, CASE WHEN regexp_matches(host, '(?:^|\.)(?:ac|co|com|edu|go|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$') THEN 2 ELSE 1 END AS two FROM h),
+hd AS (SELECT host, n, k, array_to_string(list_slice(l, greatest(1, len(l) - two), len(l)), '.') AS domain, array_to_string(list_slice(l, greatest(1, len(l) - two + 1), len(l)), '.') AS suffix FROM hl),
 d AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM hd GROUP BY ALL),
 s AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY ALL),
 g AS (SELECT (sum(sk) + 1.0) / (sum(sn) + 2.0) AS g, sum(sk) * 1.0 / sum(sn) AS m FROM s),
@@ -108,8 +128,8 @@ cd AS (SELECT least(1000.0, greatest(2.0, m * (1 - m) / greatest(sum(dn * pow(dk
 ch AS (SELECT least(1000.0, greatest(2.0, m * (1 - m) / greatest(sum(n * pow(k * 1.0 / n - m, 2)) / sum(n) - m * (1 - m) * count(*) / sum(n), 1e-6) - 1)) AS c FROM h, g WHERE n > 0 GROUP BY m),
 sm AS (SELECT suffix, (sk + cs.c * g) / (sn + cs.c) AS sm FROM s, g, cs),
 dm AS (SELECT domain, (dk + cd.c * sm) / (dn + cd.c) AS dm FROM d JOIN sm USING (suffix), cd),
-ab AS (SELECT host, k + ch.c * dm AS a, n - k + ch.c * (1 - dm) AS b FROM hd JOIN dm USING (domain), ch),
-v AS (SELECT host, a / (a + b) - 2.0 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.5 AS bad FROM ab),
+ab AS (SELECT host, sm, k + ch.c * dm AS a, n - k + ch.c * (1 - dm) AS b FROM hd JOIN dm USING (domain) JOIN sm USING (suffix), ch),
+v AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > sm AS bad FROM ab),
 r AS (SELECT q.*, v.bad, host = 'net' OR host LIKE '%.net' AS is_net, host = 'com' OR host LIKE '%.com' AS is_com,
   host = 'example.com' OR host LIKE '%.example.com' AS is_ex, host = 'www.example.com' OR host LIKE '%.www.example.com' AS is_www FROM q LEFT JOIN v USING (host)),
 t AS (SELECT *, CASE WHEN is_www AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN is_ex AND path LIKE '/en/%' THEN 'example.com/en/'

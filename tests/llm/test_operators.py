@@ -175,19 +175,42 @@ def test_urls(spark):
         path = tail[: min([len(tail), *(tail.find(c) for c in "?#" if c in tail)])]
         fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
-        assert r.verdict == (max(fits)[2] if fits else r.verdict) and r.verdict in ("allow", "block")
+        assert r.verdict == (max(fits)[2] if fits else "allow")  # no host here is surely worse than its like
     assert urls.filter_urls(pages.limit(0), labels.limit(0)).count() == 0
     assert urls.filter_urls(pages, labels.limit(0)).count() == len(given) + 1
 
 
 def test_reputation_shrinks(spark):
-    rows = [("a.bad.org", 1)] * 40 + [("b.bad.org", None), ("c.good.org", None)] + [("d.good.org", 0)] * 40
-    got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    rows = [("a.bad.org", 40, 40), ("b.bad.org", 0, 0), ("c.good.org", 0, 0), ("d.good.org", 40, 0)]
+    got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(rows, "host string, n long, k long")).collect()}
     assert got["a.bad.org"].bad_lower > 0.5 > got["d.good.org"].bad_mean
     assert got["b.bad.org"].bad_mean > got["c.good.org"].bad_mean
     assert got["b.bad.org"].bad_lower < got["a.bad.org"].bad_lower
 
 
+def test_reputation_blocks_bad_hosts_alone(spark):
+    """Hosts whose labelled pages are mostly bad are blocked, for pages without a label too; others are not."""
+    rng = np.random.default_rng(2)
+    hosts = [(f"h{i}.org", 0.6 if i < 4 else 0.1) for i in range(40)] + [("few.org", 1.0)]
+    pages, labels = [], []
+    for h, rate in hosts:
+        for _ in range(1 if h == "few.org" else 60):
+            d = len(pages)
+            pages.append((d, f"http://{h}/p/{d}"))
+            labels.append((d, None, int(rng.random() < rate)))
+        pages.append((len(pages), f"http://{h}/about"))
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r.host for r in got if r.verdict == "block"} == {f"h{i}.org" for i in range(4)}
+    assert len({(r.host, r.verdict) for r in got}) == len(hosts)
+
+
+def test_registered_domains(spark):
+    cases = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.example.com": ("example.com", "com"), "com": ("com", "com"), "co.uk": ("co.uk", "co.uk"), "": ("", ""), "a.gov.br": ("a.gov.br", "gov.br"), "my.com.de.org": ("de.org", "org")}
+    domain, suffix = urls.registered_domain(F.col("h"))
+    got = spark.createDataFrame([(h,) for h in cases], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in got} == cases
+
+
 @pytest.fixture(scope="module")
 def reference():
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
