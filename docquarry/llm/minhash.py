@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import join_groups, materialize, mix64
 from .components import connected_components, forest
-from .words import run_keys, word_keys
+from .words import keyed_texts, run_keys, word_keys
 
 BATCH = 1 << 17  # shingles whose permutations are held at a time
 
@@ -21,22 +21,21 @@ def lower_words(text) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _runs(text, size: int) -> np.ndarray:
-    words = word_keys((text or "").encode().lower())
-    return run_keys(words, min(size, len(words)), size) if len(words) else words
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    return run_keys(words, min(size, words.shape[1]), size) if words.size else words
 
 
-def shingle_keys(text, size: int) -> np.ndarray:
+def shingle_keys(words: np.ndarray, size: int) -> np.ndarray:
     """Distinct 128-bit keys, sorted, of the ``size``-word shingles; of the whole sequence if it is shorter; none without
-    words."""
-    keys = _runs(text, size)
-    keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
-    return keys[np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]] if len(keys) else keys
+    words. ``words``: keys of the words, A-Z lower-cased."""
+    keys = _runs(words, size)
+    keys = keys[:, np.lexsort((keys[1], keys[0]))]
+    return keys[:, np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]] if keys.size else keys
 
 
 def shingle_set(text, size: int) -> np.ndarray:
-    """Sorted distinct first halves of the shingle keys: enough to propose pairs, which the words then confirm."""
-    return np.unique(_runs(text, size)[:, 0])
+    """Sorted distinct first rows of the shingle keys: enough to propose pairs, which the words then confirm."""
+    return np.unique(_runs(word_keys((text or "").encode().lower()), size)[0])
 
 
 def _names(words: np.ndarray, size: int) -> np.ndarray:
@@ -118,15 +117,15 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keys = [shingle_keys(t, size) for t in part.column(1).to_pylist()]
-                signature = superminhash([k[:, 0] for k in keys], bands * rows).view(np.uint32).astype(np.uint64).reshape(len(keys), bands, rows)
+                keys = [shingle_keys(words, size) for _, words in keyed_texts((None, (t or "").encode().lower()) for t in part.column(1).to_pylist())]
+                signature = superminhash([k[0] for k in keys], bands * rows).view(np.uint32).astype(np.uint64).reshape(len(keys), bands, rows)
                 key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(keys), bands)).copy()
                 with np.errstate(over="ignore"):
                     for r in range(rows):
                         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, :, r] + np.uint64(1))
-                whole = [hashlib.blake2b(k.tobytes(), digest_size=16).digest() if len(k) else None for k in keys]
+                whole = [hashlib.blake2b(k.tobytes(), digest_size=16).digest() if k.size else None for k in keys]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * bands + 1, bands, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
-                columns = [part.column(0), part.column(2), pa.array([len(k) for k in keys], pa.int64()), pa.array(whole, pa.binary()), flat]
+                columns = [part.column(0), part.column(2), pa.array([k.shape[1] for k in keys], pa.int64()), pa.array(whole, pa.binary()), flat]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n_shingles", "set_hash", "bands"])
 
     return docs.mapInArrow(run, "id long, text_hash long, n_shingles long, set_hash binary, bands array<long>")

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, join_groups, pieces, written
-from .words import double_keys, run_keys, word_keys
+from .words import double_keys, keyed_texts, run_keys
 
-ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8")])
 WINDOW = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc", "<i8")])
+SEVERAL = np.uint64(1)  # lowest bit of a bare key: several texts of the block have it
 REQUEST = "bucket int, block int, entries binary"
 REPLY = "block int, entries binary"
 STATE = "block int, digest binary, region binary"
@@ -28,90 +28,110 @@ def half(window: int) -> int:
 def anchors(words: np.ndarray, window: int) -> np.ndarray:
     """For every window the least key among its half-length runs. Equal windows have equal anchors, so a window whose
     anchor is in one document alone cannot repeat, and neighbouring windows mostly share theirs."""
-    short = run_keys(words[:, 0], half(window), 1)
-    n = len(words) - window + 1
+    short = run_keys(words, half(window), 1, row=0)
+    n = words.shape[1] - window + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = short[:n].copy()
     for i in range(1, window - half(window) + 1):
         np.minimum(out, short[i : i + n], out=out)
-    return out
+    return out & ~SEVERAL
 
 
-def _same(entries: np.ndarray) -> np.ndarray:
-    """Whether each entry but the first has the key of the one before."""
-    same = entries["key"][1:] == entries["key"][:-1]
-    return same & (entries["more"][1:] == entries["more"][:-1]) if "more" in entries.dtype.names else same
+def _packed(fixed: dict, name: str, groups: np.ndarray, entries: np.ndarray) -> pa.Table:
+    """A row for each run of equal ``groups``, with its entries as bytes."""
+    names, starts = np.unique(groups, return_index=True)
+    parts = [x.tobytes() for x in np.split(entries, starts[1:])] if len(names) else []
+    columns = {name: pa.array(names, pa.int32()), **{k: pa.array(np.full(len(names), v), pa.int32()) for k, v in fixed.items()}}
+    return pa.table({**columns, "entries": pa.array(parts, pa.binary())})
+
+
+def _by_bucket(block: int, key: np.ndarray, entries: np.ndarray, buckets: int) -> pa.Table:
+    bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return _packed({"block": block}, "bucket", bucket[order], entries[order])
+
+
+def _unpacked(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, block of each) of a bucket."""
+    parts = [np.frombuffer(x, kind) for x in table["entries"].to_pylist()]
+    return np.concatenate(parts), np.repeat(table["block"].to_numpy(), [len(p) for p in parts]).astype(np.int64)
+
+
+def ask_keys(block: int, found: list[np.ndarray], buckets: int) -> pa.Table:
+    """The keys of a block's texts (distinct ones for each text), each once, packed by bucket."""
+    keys = np.sort(np.concatenate([np.empty(0, np.uint64), *found]))
+    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
+    several = np.diff(np.r_[np.flatnonzero(first), len(keys)]) > 1
+    keys = keys[first] | several.astype(np.uint64)
+    return _by_bucket(block, keys, keys, buckets)
+
+
+def repeated_keys(requests: DataFrame) -> DataFrame:
+    """(block, entries): the keys that at least two texts have, to each block that has them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, block = _unpacked(table, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys, block = keys[order], block[order]
+        bare = keys & ~SEVERAL
+        starts = np.flatnonzero(np.r_[True, bare[1:] != bare[:-1]])
+        n = np.diff(np.r_[starts, len(keys)])
+        keep = np.repeat((n > 1) | (np.bitwise_or.reduceat(keys, starts) & SEVERAL > 0), n)
+        bare, block = bare[keep], block[keep]
+        order = np.argsort(block, kind="stable")
+        return _packed({}, "block", block[order], bare[order])
+
+    return requests.groupBy("bucket").applyInArrow(run, REPLY)
+
+
+def known_keys(parts: list[bytes]) -> np.ndarray:
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in parts)]))
+
+
+def is_known(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(known) or not len(keys):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
 def _sorted(entries: np.ndarray) -> np.ndarray:
-    order = [entries["doc"], entries["key"]]
-    return entries[np.lexsort([order[0], entries["more"], order[1]] if "more" in entries.dtype.names else order)]
-
-
-def _entries(kind: np.dtype, keys: np.ndarray, doc: int) -> np.ndarray:
-    """Distinct keys of one document as entries."""
-    out = np.empty(len(keys), kind)
-    out["doc"] = doc
-    if keys.ndim == 2:
-        out["key"], out["more"] = keys[:, 0], keys[:, 1]
-    else:
-        out["key"] = keys
-    out = _sorted(out)
-    return out[np.r_[True, ~_same(out)]] if len(out) else out
-
-
-def _lookup(replies: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is among the sorted replies, its smallest document) for each key of one or two columns."""
-    found, first = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    if not len(replies) or not len(keys):
-        return found, first
-    key = keys[:, 0] if keys.ndim == 2 else keys
-    at = np.searchsorted(replies["key"], key)
-    left = np.flatnonzero(replies["key"][np.minimum(at, len(replies) - 1)] == key)
-    while len(left):  # more than one step only where first halves of keys agree
-        hit = np.ones(len(left), bool) if keys.ndim == 1 else replies["more"][at[left]] == keys[left, 1]
-        found[left[hit]], first[left[hit]] = True, replies["doc"][at[left[hit]]]
-        left = left[~hit]
-        at[left] += 1
-        left = left[at[left] < len(replies)]
-        left = left[replies["key"][at[left]] == key[left]]
-    return found, first
+    return entries[np.lexsort([entries["doc"], entries["more"], entries["key"]])]
 
 
-def _requests(block: int, kind: np.dtype, found: list[np.ndarray], buckets: int) -> pa.Table:
-    """The block's smallest and largest document for each key, packed by bucket of the key."""
-    entries = _sorted(np.concatenate([np.empty(0, kind), *found]))
-    same = _same(entries)
-    first, last = (np.r_[True, ~same], np.r_[~same, True]) if len(entries) else (np.empty(0, bool),) * 2
-    entries = entries[first | last]
-    bucket = ((entries["key"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return _packed({"block": block}, "bucket", bucket[order], entries[order])
+def _same(entries: np.ndarray) -> np.ndarray:
+    """Whether each entry but the first has the key of the one before."""
+    return (entries["key"][1:] == entries["key"][:-1]) & (entries["more"][1:] == entries["more"][:-1])
 
 
-def _packed(fixed: dict, name: str, groups: np.ndarray, entries: np.ndarray) -> pa.Table:
-    """A row for each run of equal ``groups``, with its entries as bytes."""
-    names, starts = np.unique(groups, return_index=True)
-    parts = [x.tobytes() for x in np.split(entries, starts[1:])] if len(names) else []
-    columns = {name: pa.array(names, pa.int32()), **{k: pa.array(np.full(len(names), v), pa.int32()) for k, v in fixed.items()}}
-    return pa.table({**columns, "entries": pa.array(parts, pa.binary())})
+def ask_windows(block: int, found: list[tuple[np.ndarray, int]], buckets: int) -> pa.Table:
+    """The block's smallest and largest document for each window (two rows of keys, document), packed by bucket."""
+    entries = np.empty(sum(keys.shape[1] for keys, _ in found), WINDOW)
+    at = 0
+    for keys, doc in found:
+        part = entries[at : at + keys.shape[1]]
+        part["key"], part["more"], part["doc"] = keys[0], keys[1], doc
+        at += keys.shape[1]
+    entries = _sorted(entries)
+    if len(entries):
+        new = np.flatnonzero(~_same(entries)) + 1
+        first, last = np.r_[0, new], np.r_[new, len(entries)] - 1
+        entries = entries[np.r_[first, last[entries["doc"][first] != entries["doc"][last]]]]
+    return _by_bucket(block, entries["key"], entries, buckets)
 
 
-def repeated(requests: DataFrame, kind: np.dtype) -> DataFrame:
-    """(block, entries): for every key of at least two documents its smallest document, to each block that has it."""
+def repeated_windows(requests: DataFrame) -> DataFrame:
+    """(block, entries): for every window of at least two documents its smallest document, to each block that has it."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, kind) for x in table["entries"].to_pylist()]
-        entries = np.concatenate(parts)
-        block = np.repeat(table["block"].to_numpy(), [len(p) for p in parts])
-        order = np.lexsort([entries[n] for n in kind.names if n != "doc"])
+        entries, block = _unpacked(table, WINDOW)
+        order = np.lexsort([entries["more"], entries["key"]])
         entries, block = entries[order], block[order]
         starts = np.flatnonzero(np.r_[True, ~_same(entries)])
         low, high = (f.reduceat(entries["doc"], starts) for f in (np.minimum, np.maximum))
         group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(entries)]))
         keep = (low < high)[group]
-        pair = np.unique(np.stack([block[keep].astype(np.int64), group[keep]]), axis=1)
+        pair = np.unique(np.stack([block[keep], group[keep]]), axis=1)
         reply = entries[starts][pair[1]]
         reply["doc"] = low[pair[1]]
         return _packed({}, "block", pair[0], reply)
@@ -119,21 +139,50 @@ def repeated(requests: DataFrame, kind: np.dtype) -> DataFrame:
     return requests.groupBy("bucket").applyInArrow(run, REPLY)
 
 
-def _side(table: pa.Table, kind: np.dtype) -> tuple[dict, np.ndarray]:
-    """(digests of exact copies by id, replies sorted by key) of one block."""
+def look_up(replies: np.ndarray, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(is among the sorted replies, its smallest document, first row of its key) for each window of the words."""
+    key = run_keys(words, window, 2, row=0)
+    found, first = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    if not len(replies) or not len(key):
+        return found, first, key
+    at = np.searchsorted(replies["key"], key)
+    left = np.flatnonzero(replies["key"][np.minimum(at, len(replies) - 1)] == key)
+    more = run_keys(words, window, 2, row=1) if len(left) else None
+    while len(left):  # more than one step only where first rows of unlike windows agree
+        hit = replies["more"][at[left]] == more[left]
+        found[left[hit]], first[left[hit]] = True, replies["doc"][at[left[hit]]]
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < len(replies)]
+        left = left[replies["key"][at[left]] == key[left]]
+    return found, first, key
+
+
+def _side(table: pa.Table) -> tuple[dict, list[bytes]]:
+    """(digests of exact copies by id, packed replies) of one block."""
     copies, replies = {}, []
     for what, entries in zip(table["kind"].to_pylist(), table["entries"].to_pylist(), strict=True):
         if what == 0:
             copies.setdefault(int.from_bytes(entries[:8], "big", signed=True), set()).add(entries[8:])
         else:
-            replies.append(np.frombuffer(entries, kind))
-    return copies, _sorted(np.concatenate([np.empty(0, kind), *replies]))
+            replies.append(entries)
+    return copies, replies
+
+
+def known_windows(parts: list[bytes]) -> np.ndarray:
+    return _sorted(np.concatenate([np.empty(0, WINDOW), *(np.frombuffer(x, WINDOW) for x in parts)]))
 
 
 def _md5(raw: bytes) -> bytes:
     return hashlib.md5(raw).digest()
 
 
+def _texts(left: pa.Table, copies: dict):
+    """(id, keys of the words) of a block's documents that have both and are no copies."""
+    rows = ((doc, text.encode()) for doc, text in zip(left["id"].to_pylist(), left["text"].to_pylist(), strict=True) if doc is not None and text)
+    return keyed_texts((doc, raw) for doc, raw in rows if doc not in copies or _md5(raw) not in copies[doc])
+
+
 class Repeats:
     """Documents dealt into blocks of about ``per_block``, and the levels over them. Id and text together choose the
     block: different texts of one id, or of null ids, are spread; only rows equal in both stay together.
@@ -163,69 +212,60 @@ class Repeats:
         side = self.copies if replies is None else self.copies.union(replies.select("block", F.lit(1), "entries"))
         return self.rows.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, schema)
 
-    def _ask(self, replies: DataFrame | None, kind: np.dtype, keys) -> DataFrame:
-        """Requests of all documents but copies: what ``keys`` finds in their words, given the sorted replies."""
-        buckets = self.blocks
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            copies, known = _side(right, ANCHOR)
-            found = []
-            for doc, text in zip(left["id"].to_pylist(), left["text"].to_pylist(), strict=True):
-                if doc is not None and text:
-                    raw = text.encode()
-                    if doc not in copies or _md5(raw) not in copies[doc]:
-                        found.append(_entries(kind, keys(word_keys(raw), known), doc))
-            return _requests(left["block"][0].as_py() if left.num_rows else 0, kind, found, buckets)
-
-        return self.meet(replies, run, REQUEST)
-
     def windows(self) -> DataFrame:
         """Replies of the first level: all windows that occur in two documents, with the smallest of them. Only windows
-        whose anchor repeats are asked for; their keys have 128 bits."""
-        window = self.window
-        near = repeated(self._ask(None, ANCHOR, lambda words, _: anchors(words, window)), ANCHOR)
+        whose anchor repeats are asked for."""
+        window, buckets = self.window, self.blocks
+
+        def number(left: pa.Table) -> int:
+            return left["block"][0].as_py() if left.num_rows else 0
+
+        def ask_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
+            return ask_keys(number(left), [np.unique(anchors(words, window)) for _, words in _texts(left, _side(right)[0])], buckets)
 
-        def keys(words: np.ndarray, known: np.ndarray) -> np.ndarray:
-            hit, _ = _lookup(known, anchors(words, window))
-            return run_keys(words, window, 2)[hit] if hit.any() else np.empty((0, 2), np.uint64)
+        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+            copies, replies = _side(right)
+            known, found = known_keys(replies), []
+            for doc, words in _texts(left, copies):
+                hit = is_known(known, anchors(words, window))
+                if hit.any():
+                    found.append((run_keys(words, window, 2)[:, hit], doc))
+            return ask_windows(number(left), found, buckets)
 
-        return repeated(self._ask(near, WINDOW, keys), WINDOW)
+        near = repeated_keys(self.meet(None, ask_anchors, REQUEST))
+        return repeated_windows(self.meet(near, ask, REQUEST))
 
 
-def _regions(hit: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(start, end) of the runs of neighbouring places that are hit, if longer than ``least``."""
+def _regions(hit: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of neighbouring places that are hit."""
     edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > least]
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 def extend(state: DataFrame, length: int, blocks: int) -> DataFrame:
-    """The next level: runs of ``2 * length`` words whose two halves both repeat at ``length``, looked up like windows.
+    """The next level: runs of ``2 * length`` words whose two halves both repeat at ``length``, looked up like anchors.
     ``state``: block, digest of the text, and the keys of one region of neighbouring runs that all repeat. Returns the
-    regions that repeat at the doubled length. One bit of an entry's document says whether its block has more texts
-    with the key, so 64-bit keys and texts, not ids, decide here: nothing is removed by these levels alone."""
+    regions that repeat at the doubled length. These levels remove nothing, so 64-bit keys do."""
 
     def doubled(region: bytes) -> np.ndarray:
-        return double_keys(np.frombuffer(region, np.uint64), length)
+        return double_keys(np.frombuffer(region, np.uint64), length) & ~SEVERAL
 
     def ask(table: pa.Table) -> pa.Table:
-        digests: dict[bytes, int] = {}
-        found = [_entries(ANCHOR, doubled(r), digests.setdefault(d, len(digests))) for d, r in zip(table["digest"].to_pylist(), table["region"].to_pylist(), strict=True)]
-        block = table["block"][0].as_py()
-        for entries in found:  # texts are numbered over all blocks
-            entries["doc"] += block << 32
-        return _requests(block, ANCHOR, found, blocks)
+        texts: dict[bytes, list] = {}
+        for digest, region in zip(table["digest"].to_pylist(), table["region"].to_pylist(), strict=True):
+            texts.setdefault(digest, []).append(doubled(region))
+        return ask_keys(table["block"][0].as_py(), [np.unique(np.concatenate(x)) for x in texts.values()], blocks)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = _sorted(np.concatenate([np.empty(0, ANCHOR), *(np.frombuffer(x, ANCHOR) for x in right["entries"].to_pylist())]))
-        out = []
+        known, out = known_keys(right["entries"].to_pylist()), []
         for block, digest, region in zip(*(left[c].to_pylist() for c in ("block", "digest", "region")), strict=True):
             keys = doubled(region)
-            out += [(block, digest, keys[a:b].tobytes()) for a, b in _regions(_lookup(known, keys)[0], 0)]
+            out += [(block, digest, keys[a:b].tobytes()) for a, b in _regions(is_known(known, keys))]
         columns = zip(*out, strict=True) if out else ([],) * 3
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "digest", "region"), columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
     usable = state.where(F.length("region") > 8 * length)
-    replies = repeated(usable.groupBy("block").applyInArrow(ask, REQUEST), ANCHOR)
+    replies = repeated_keys(usable.groupBy("block").applyInArrow(ask, REQUEST))
     return usable.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, STATE)
 
 
@@ -242,7 +282,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_
     length (window, 2 * window, ...) of the last level that a run of the document survived, in texts that are not
     equal; 0 where there is none. Equal texts have equal ``longest_run``.
 
-    Words and windows are compared by keys of 128 bits. Null and empty texts have no words; a null id neither removes
+    Words and windows are compared by keys of 128 bits, so that no window is taken for another. Null and empty texts have no words; a null id neither removes
     nor is removed; rows that repeat an id are judged one by one and never against each other; of equal texts the
     smallest id keeps its words. Whole texts of any length are read; extra columns are ignored; an empty table gives
     no rows.
@@ -252,27 +292,25 @@ def remove_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_
     names = [("block", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), last, ("digest", pa.binary()), ("regions", pa.list_(pa.binary()))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        copies, known = _side(right, WINDOW)
-        out = []
-        for block, doc, text in zip(*(left[c].to_pylist() for c in ("block", "id", "text")), strict=True):
-            raw = (text or "").encode()
+        copies, replies = _side(right)
+        known, out = known_windows(replies), []
+        raws = [(text or "").encode() for text in left["text"].to_pylist()]
+        ids, digests = left["id"].to_pylist(), [_md5(raw) for raw in raws]
+        copy = [doc is not None and digest in copies.get(doc, ()) for doc, digest in zip(ids, digests, strict=True)]
+        spans: dict[int, tuple[list, list]] = {}
+        for i, words in keyed_texts((i, raw) for i, raw in enumerate(raws) if ids[i] is not None and not copy[i]):
+            hit, first, keys = look_up(known, words, window)
+            if hit.any():
+                spans[i] = _regions(hit & (first < ids[i])), [keys[a:b].tobytes() for a, b in _regions(hit)]
+        for i, raw in enumerate(raws):
             words = raw.split()
-            n, digest, regions = len(words), _md5(raw), []
-            gone = np.zeros(n, bool)
-            copy = doc is not None and digest in copies.get(doc, ())
-            if copy:
-                gone[:] = n >= window
-            elif doc is not None and n >= window and len(known):
-                keys = run_keys(word_keys(raw), window, 2)
-                hit, first = _lookup(known, keys)
-                cover = np.zeros(n + 1, np.int64)
-                start = np.flatnonzero(hit & (first < doc))
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + window, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                regions = [keys[a:b, 0].tobytes() for a, b in _regions(hit, 0)]
-            kept = b" ".join(compress(words, (~gone).tolist()))
-            out.append((block, doc, n, int(gone.sum()), kept.decode() if texts else hashlib.sha256(kept).hexdigest(), digest, regions))
+            n = len(words)
+            later, regions = spans.get(i, ((), []))
+            gone = np.full(n, copy[i] and n >= window)
+            for a, b in later:
+                gone[a : b + window - 1] = True
+            kept = b" ".join(compress(words, (~gone).tolist()) if gone.any() else words)
+            out.append((left["block"][i].as_py(), ids[i], n, int(gone.sum()), kept.decode() if texts else hashlib.sha256(kept).hexdigest(), digests[i], regions))
         columns = zip(*out, strict=True) if out else ([],) * len(names)
         return pa.table({k: pa.array(list(v), t) for (k, t), v in zip(names, columns, strict=True)})
 

@@ -100,7 +100,7 @@ def test_words_are_never_taken_for_others(spark):
     one = thue_morse(1024)
     other = one.translate(str.maketrans("ab", "ba"))
     keys = words.word_keys(f"{one} {other} {one[:64]} {other[:64]} a\0 a".encode())
-    assert len({bytes(k) for k in keys}) == 6
+    assert len({bytes(k) for k in keys.T}) == 6
     rows = [(i, " ".join([w] * 14)) for i, w in enumerate((one, other))]
     given = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.n_removed for r in substring.remove_repeats(given).collect()] == [0, 0]
@@ -114,9 +114,12 @@ def test_word_keys_follow_split():
         text = b"".join(p + bytes([rng.choice(list(b" \t\n\r\x0b\x0c"))]) * rng.integers(1, 3) for p in parts)
         for text in (text, text.strip(), b" " + text):
             keys = words.word_keys(text)
-            assert len(keys) == len(text.split())
-            assert all(seen.setdefault(w, bytes(k)) == bytes(k) for w, k in zip(text.split(), keys, strict=True))
+            assert keys.shape == (2, len(text.split()))
+            assert all(seen.setdefault(w, bytes(k)) == bytes(k) for w, k in zip(text.split(), keys.T, strict=True))
     assert len(set(seen.values())) == len(seen)
+    texts = [b"a b  c", b"", b" ", b"x" * 70000, b" d e ", b"f"]
+    for (mark, keys), (i, text) in zip(words.keyed_texts(enumerate(texts)), enumerate(texts), strict=True):
+        assert mark == i and (keys == words.word_keys(text)).all() and keys.shape == (2, len(text.split()))
 
 
 def test_language(spark, docs, empty):
