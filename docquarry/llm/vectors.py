@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces
+from .common import join_groups, materialize, pieces
 from .components import connected_components, forest
 
 SLACK = 1e-9
+LINKS = "kind int, a long, b long"
 
 
 def _rows(column, dims: int) -> np.ndarray:
@@ -49,42 +50,81 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 4096,
     cells. For y in the cell of q and d(x, y) <= r the triangle inequality gives
     d(x, q) <= d(x, y) + d(y, q) <= r + radius(q), and through d(y, q) <= d(y, p) also d(x, q) <= d(x, p) + 2 r; as
     the metric is Euclidean, x is even within r of the half-space nearer to q than to p, that is
-    d(x, q)^2 - d(x, p)^2 <= 2 r d(p, q). x is replicated to the cells that all bounds allow. Each cell is joined on its own: its home rows, in blocks of at
-    most about ``per_cell``, meet blocks of all its rows, so a cell of any size is spread over many tasks and
-    every home row sees all its partners once. Blocks return link counts and a union-find forest, never pairs.
-    Identical vectors become one weighted row first.
+    d(x, q)^2 - d(x, p)^2 <= 2 r d(p, q). x is replicated to the cells of larger number that all bounds allow, so that
+    a pair of two cells meets in one of them alone. Each cell is joined on its own: its home rows, in blocks of at
+    most about ``per_cell``, meet blocks of all its rows, so a cell of any size is spread over many tasks. Blocks
+    return link counts of both ends and a union-find forest, never pairs. Identical vectors become one weighted row
+    first.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; so do vectors of
-    different lengths with each other. Null ids are rows without links. Extra columns are ignored; an empty table
+    different lengths with each other. Lengths of at most ``per_cell`` vectors are one cell each, all compared in one job;
+    every other length has a join of its own. Null ids are rows without links. Rows that repeat an id with unlike
+    vectors are judged one by one, and a row's links count rows. Extra columns are ignored; an empty table
     gives no rows. Where vectors fill many dimensions evenly, distances concentrate and the bounds exclude little:
     the join stays exact and comes close to all blocks against all blocks.
     """
-    spark = vectors.sparkSession
     rows = materialize(unit_vectors(vectors, id_col, vector_col), "unit")
-    whole = rows.where("id IS NOT NULL AND v IS NOT NULL").withColumn("dims", F.size("v"))
-    classes = materialize(whole.groupBy("v", "dims").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
-    done = None
-    for (dims,) in classes.select("dims").distinct().collect():  # one join for each length of vector
-        part = _join(classes.where(F.col("dims") == dims), dims, cosine, per_cell, max_pivots)
-        done = part if done is None else done.union(part)
-    if done is None:
-        done = spark.createDataFrame([], "kind int, a long, b long")
+    whole = rows.where("id IS NOT NULL AND v IS NOT NULL")
+    grouped = whole.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    classes = materialize(grouped.select("v", F.size("v").alias("dims"), "least", "weight", F.monotonically_increasing_id().alias("rep")), "classes")
+    lengths = classes.groupBy("dims").count()
+    few = lengths.where((F.col("count") > 1) & (F.col("count") <= per_cell)).select("dims")
+    once = F.struct(F.lit(True).alias("row"), F.lit(True).alias("own")), F.struct(F.lit(False).alias("row"), F.lit(True).alias("own"))
+    whole_cells = classes.join(F.broadcast(few), "dims").select("v", "rep", "weight", F.col("dims").alias("cell"), F.lit(0).alias("i"), F.lit(0).alias("k"), F.explode(F.array(*once)).alias("s"))
+    done = whole_cells.select("v", "rep", "weight", "cell", "i", "k", "s.row", "s.own").groupBy("cell", "i", "k").applyInArrow(comparison(cosine), LINKS)
+    for (dims,) in lengths.where(F.col("count") > per_cell).select("dims").collect():  # each has more than per_cell vectors
+        done = done.union(_join(classes.where(F.col("dims") == dims), dims, cosine, per_cell, max_pivots))
     done = materialize(done, "links")
     counts = done.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
-    grouped = connected_components(done.where("kind = 1").select("a", "b"))
-    of_class = classes.join(counts, F.col("rep") == F.col("a"), "left").join(grouped.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id"), "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    ids = whole.select("id", "v").join(of_class, "v").select("id", "n_links", "component")
+    found = connected_components(done.where("kind = 1").select("a", "b"))  # numbers of classes
+    least = found.join(classes.select(F.col("rep").alias("id"), "least"), "id")
+    named = least.join(least.groupBy("component").agg(F.min("least").alias("smallest")), "component").select(F.col("id").alias("_id"), "smallest")
+    linked = classes.join(counts, F.col("rep") == F.col("a"), "left").join(named, F.col("rep") == F.col("_id"), "left")
+    of_class = linked.select("v", F.col("weight").alias("_n"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component"))
+    ids = join_groups(whole.select("id", "v"), of_class, "v", "_n").select("id", "n_links", "component")
     out = ids.unionByName(rows.where("id IS NULL OR v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept"))
 
 
+def comparison(cosine: float):
+    """Function of one block: ``row`` rows are home rows of the cell, the others columns, ``own`` where they are at home in
+    the same cell. A pair of home rows is seen from both ends, one with a column from elsewhere counts for both."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        x = _rows(table["v"], len(table["v"][0]))
+        rep, weight, row, own = (table[c].to_numpy() for c in ("rep", "weight", "row", "own"))
+        left, right, at_home = x[row], x[~row], own[~row]
+        ids, other, light, heavy = rep[row], rep[~row], weight[row], weight[~row]
+        partners, back, a, b = np.zeros(len(ids), np.int64), np.zeros(len(other), np.int64), [], []
+        for at in range(0, len(left), 1024):
+            close = left[at : at + 1024] @ right.T >= cosine - SLACK
+            i, j = np.nonzero(close)
+            sure = np.einsum("ij,ij->i", left[at + i], right[j]) >= cosine if len(i) else np.empty(0, bool)
+            i, j = i[sure] + at, j[sure]
+            apart = ids[i] != other[j]
+            i, j = i[apart], j[apart]
+            np.add.at(partners, i, heavy[j])
+            away = ~at_home[j]
+            np.add.at(back, j[away], light[i[away]])
+            tree = forest(ids[i], other[j])
+            a.append(tree[0])
+            b.append(tree[1])
+        a, b = (np.concatenate([np.empty(0, np.int64), *y]) for y in (a, b))
+        one, two = partners > 0, back > 0
+        counted = int(one.sum() + two.sum())
+        kind = np.r_[np.zeros(counted, np.int32), np.ones(len(a), np.int32)]
+        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([ids[one], other[two], a])), "b": pa.array(np.concatenate([partners[one], back[two], b]))})
+
+    return compare
+
+
 def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivots: int) -> DataFrame:
-    """kind 0: (rep, weight of its partners); kind 1: a link of the forest. ``classes``: v, rep, weight."""
+    """kind 0: (rep, weight of partners); kind 1: a link of the forest. ``classes``: v, rep, weight."""
     spark = classes.sparkSession
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     n = classes.count()
     k = min(max_pivots, pieces(n, per_cell))
-    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(k).select("v").collect()  # at most max_pivots vectors
+    drawn = classes.orderBy(F.xxhash64("least", "weight"), "least", "weight", "rep").limit(k).select("v").collect()  # at most max_pivots vectors
     centres = np.array([r[0] for r in drawn])
     pivots, apart = spark.sparkContext.broadcast(centres), spark.sparkContext.broadcast(np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T))).astype(np.float32))
 
@@ -110,7 +150,7 @@ def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivot
         d = distances(_rows(pa.chunked_array([batch.column(0)]), dims))
         near = (d <= far[:, None] + 2 * radius + SLACK) & (d <= bounds.value + radius + SLACK)
         near &= d * d - far[:, None] ** 2 <= 2 * radius * apart.value[cell] + 1e-5
-        near[np.arange(len(cell)), cell] = True
+        near &= np.arange(k) > cell[:, None]
         return near
 
     def tally(batches):  # how many rows each cell will get, before any is copied
@@ -130,31 +170,12 @@ def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivot
                 take = pa.array(line[at : at + (1 << 14)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(to[at : at + (1 << 14)].astype(np.int32))], names=["v", "rep", "weight", "cell"])
 
-    widths = placed.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect()  # a row for each pivot
-    plan = spark.createDataFrame([(int(c), pieces(int(sizes[c]), per_cell), pieces(int(total), per_cell)) for c, total in widths], "cell int, _rows int, _cols int")
+    widths = dict(placed.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())  # a row for each pivot
+    sizing = [(int(c), pieces(int(sizes[c]), per_cell), pieces(int(sizes[c]) + widths.get(int(c), 0), per_cell)) for c in np.flatnonzero(sizes)]
+    plan = F.broadcast(spark.createDataFrame(sizing, "cell int, _rows int, _cols int"))
     row_of, col_of = (F.pmod(F.xxhash64("rep", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "_rows"), (2, "_cols")))
-    lines = placed.join(F.broadcast(plan), "cell").select("v", "rep", "weight", "cell", row_of.alias("i"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("k"), F.lit(True).alias("row"))
-    spread = placed.mapInArrow(copies, "v array<double>, rep long, weight long, cell int").join(F.broadcast(plan), "cell")
-    columns = spread.select("v", "rep", "weight", "cell", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("i"), col_of.alias("k"), F.lit(False).alias("row"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        x, rep, weight = _rows(table["v"], dims), table["rep"].to_numpy(), table["weight"].to_numpy()
-        row = table["row"].to_numpy()
-        ids, partners, a, b = rep[row], np.zeros(int(row.sum()), np.int64), [], []
-        left, right, other, heavy = x[row], x[~row], rep[~row], weight[~row]
-        for at in range(0, len(left), 1024):
-            close = left[at : at + 1024] @ right.T >= cosine - SLACK
-            i, j = np.nonzero(close)
-            sure = np.einsum("ij,ij->i", left[at + i], right[j]) >= cosine if len(i) else np.empty(0, bool)
-            i, j = i[sure] + at, j[sure]
-            apart = ids[i] != other[j]
-            i, j = i[apart], j[apart]
-            np.add.at(partners, i, heavy[j])
-            tree = forest(ids[i], other[j])
-            a.append(tree[0])
-            b.append(tree[1])
-        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
-        linked = partners > 0
-        return pa.table({"kind": pa.array(np.r_[np.zeros(int(linked.sum()), np.int32), np.ones(len(a), np.int32)]), "a": pa.array(np.concatenate([ids[linked], a])), "b": pa.array(np.concatenate([partners[linked], b]))})
-
-    return lines.union(columns).groupBy("cell", "i", "k").applyInArrow(compare, "kind int, a long, b long")
+    home_rows = placed.select("v", "rep", "weight", "cell").join(plan, "cell")
+    lines = home_rows.select("v", "rep", "weight", "cell", row_of.alias("i"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("k"), F.lit(True).alias("row"), F.lit(True).alias("own"))
+    spread = placed.mapInArrow(copies, "v array<double>, rep long, weight long, cell int").join(plan, "cell").withColumn("own", F.lit(False))
+    columns = home_rows.withColumn("own", F.lit(True)).unionByName(spread).select("v", "rep", "weight", "cell", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("i"), col_of.alias("k"), F.lit(False).alias("row"), "own")
+    return lines.union(columns).groupBy("cell", "i", "k").applyInArrow(comparison(cosine), LINKS)

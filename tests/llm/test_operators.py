@@ -165,6 +165,13 @@ def test_vectors(spark):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_repeated_ids_and_short_lengths(spark):
+    one, two, far = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 0.0, 1.0]
+    rows = [(7, one), (7, far), (3, two), (9, far), (4, [1.0, 2.0]), (5, [2.0, 4.0]), (6, [3.0]), (None, one)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, None), (3, 1, 3), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 1, 3), (7, 1, 7), (9, 1, 7)]
+
+
 def test_urls(spark):
     given = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?q#f", "https://a.example.com/en/", "http://example.com/fr/1", "http://x.NET/es/9", "http://net/fr/", "http://x.net/de/7#z", "a://b://c/d", "http://bad.org/3/x", "http://bad.org?x=/en/", "http://É.com/é"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*given, "http://bad.org/3/x"])], "page_id long, url string, host string")
