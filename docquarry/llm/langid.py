@@ -6,18 +6,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-DIM = 2048
+BITS = 12
+DIM = 1 << BITS
 CHUNK = 1 << 21
-#: Families of closely related languages by code; a language not listed is a family of its own.
-FAMILIES = {
-    "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
-    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
-    "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
-}
 
 # Byte classes: A-Z lower-cased, letters and bytes of longer characters kept, everything else a blank.
 _FOLD = np.zeros(256, np.uint8)
@@ -33,7 +28,8 @@ def _grams(raw: np.ndarray) -> np.ndarray:
     three = two[:-1] * np.uint32(263) + b[2:]
     two = two[(b[:-1] | b[1:]) > 0]
     three = three[(b[:-2] | b[2:]) > 0]
-    return np.concatenate([two * np.uint32(2654435761) >> np.uint32(21), (three + np.uint32(77)) * np.uint32(2246822519) >> np.uint32(21)])
+    shift = np.uint32(32 - BITS)
+    return np.concatenate([two * np.uint32(2654435761) >> shift, (three + np.uint32(77)) * np.uint32(2246822519) >> shift])
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -55,35 +51,40 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 12) -> np.ndarray:
     """Linear SVM (squared hinge) by dual coordinate descent; y is +1 or -1; classes weigh alike; the last weight
     is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    q = (x * x).sum(axis=1) + 1 / (2 * c * weight)
-    w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(0)
+    q = np.einsum("ij,ij->i", x, x).astype(np.float64) + 1 + 1 / (2 * c * weight)
+    w, bias, alpha, rng = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            step = max(alpha[i] - (y[i] * (w @ x[i]) - 1 + alpha[i] / (2 * c * weight[i])) / q[i], 0.0) - alpha[i]
+            row = x[i]
+            step = max(alpha[i] - (y[i] * (w @ row + bias) - 1 + alpha[i] / (2 * c * weight[i])) / q[i], 0.0) - alpha[i]
             if step:
                 alpha[i] += step
-                w += step * y[i] * x[i]
-    return w
+                w += step * y[i] * row
+                bias += step * y[i]
+    return np.r_[w, bias]
 
 
 def _sure(margin):
     return 1 / (1 + np.exp(-4 * np.clip(margin, -10, 10)))
 
 
-def families_of(langs: list[str]) -> list[list[str]]:
-    named = {code: name for name, codes in FAMILIES.items() for code in codes}
-    groups: dict[str, list[str]] = {}
-    for lang in sorted(set(langs)):
-        groups.setdefault(named.get(lang, lang), []).append(lang)
-    return [groups[g] for g in sorted(groups)]
-
-
-def machines(langs: list[str]) -> int:
-    """How many weight vectors a model of these languages holds."""
-    families = families_of(langs)
-    return len(families) + sum(len(f) * (len(f) - 1) // 2 for f in families)
+def learn_families(langs: list[str], centres: np.ndarray) -> list[list[str]]:
+    """Group ``langs`` by their mean feature vectors: the two families of largest mean cosine between their members are
+    joined until about the square root of the number of languages is left. A single language is a family."""
+    unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    near, groups = unit @ unit.T, [[i] for i in range(len(langs))]
+    link = near.copy()  # sums of cosines between groups
+    np.fill_diagonal(link, -np.inf)
+    while len(groups) > max(1, round(len(langs) ** 0.5)):
+        sizes = np.array([len(g) for g in groups])
+        i, j = sorted(divmod(int((link / np.outer(sizes, sizes)).argmax()), len(groups)))
+        groups[i] += groups.pop(j)
+        link[i] += link[j]
+        link[:, i] += link[:, j]
+        link = np.delete(np.delete(link, j, 0), j, 1)
+        link[i, i] = -np.inf
+    return sorted(sorted(langs[i] for i in g) for g in groups)
 
 
 @dataclass
@@ -95,8 +96,12 @@ class LanguageModel:
     pairs: dict = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: np.ndarray) -> LanguageModel:
-        model = cls(families_of(langs.tolist()))
+    def fit(cls, x: np.ndarray, langs: np.ndarray, most: int | None = None) -> LanguageModel:
+        names = sorted(set(langs.tolist()))
+        model = cls(learn_families(names, np.array([x[langs == name].mean(axis=0) for name in names])))
+        machines = len(model.families) + sum(len(f) * (len(f) - 1) // 2 for f in model.families)
+        if most is not None and machines > most:
+            raise ValueError(f"the weights of {machines} machines pass the bound of {most}")
         if len(model.families) > 1:
             model.roots = np.array([fit_svm(x, np.where(np.isin(langs, f), 1.0, -1.0)) for f in model.families])
         for f in model.families:
@@ -139,19 +144,27 @@ class LanguageModel:
         return out.tolist(), np.clip(score, 0, 1).tolist()
 
 
-def train(docs: DataFrame, learnable: Column, per_language: int = 1000, max_model_mb: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on a bounded sample: about ``per_language`` rows of each label, drawn by a hash of the id from all rows
-    that ``learnable`` marks and whose text and label are not null. Every label is learned; ValueError if the weights
-    of all machines would take more than ``max_model_mb``. Features are computed on the executors; the driver gets ids and counts of non-zero buckets."""
+def train(docs: DataFrame, learnable: Column, per_language: int = 1000, max_rows: int = 20_000, max_model_mb: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fit on a bounded sample of the rows that ``learnable`` marks and whose text and label are not null: of each label
+    the ``per_language`` rows of smallest hash, fewer where all labels together would pass ``max_rows``. The bound is on
+    rows, so repeated rows and ids and null ids cannot exceed it. Every label is learned, at least one row of it;
+    ValueError if the weights of all machines would take more than ``max_model_mb``. Features are computed on the
+    executors; the driver gets the non-zero buckets of the sample, at most ``max_rows`` * DIM floats.
+    Ties in the hash are broken by id; equal rows are alike."""
     rows = docs.where(learnable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    most = (max_model_mb << 20) // ((DIM + 1) * 8)  # machines
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(most + 1).collect()
-    if machines([r[0] for r in counts]) > most:
+    most = (max_model_mb << 20) // ((DIM + 1) * 8)  # machines, at least as many as languages
+    rows = rows.withColumn("_mark", F.pmod(F.xxhash64("_id", "_text", F.lit(11)), F.lit(1 << 30)))
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_mark").alias("least")).limit(most + 1).collect()
+    if len(counts) > most:
         raise ValueError(f"the weights of all languages take more than {max_model_mb} MB")
     if not counts:
         return LanguageModel()
-    share = docs.sparkSession.createDataFrame([(r[0], min(1.0, per_language / r[1])) for r in counts], "_lang string, _share double")
-    drawn = rows.join(F.broadcast(share), "_lang").where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    each = max(1, min(per_language, max_rows // len(counts)))
+    edges = [(lang, max(least, int(min(1.0, 2 * each / n) * (1 << 30)))) for lang, n, least in counts]  # about twice the rows wanted
+    edge = docs.sparkSession.createDataFrame(edges, "_lang string, _edge long")
+    near = rows.join(F.broadcast(edge), "_lang").where("_mark <= _edge")
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy("_mark", "_id"))
+    drawn = near.withColumn("_n", first).where(F.col("_n") <= each)
 
     @arrow_udf("struct<at:array<short>,value:array<float>>")
     def sparse(texts: pa.Array) -> pa.Array:
@@ -159,20 +172,22 @@ def train(docs: DataFrame, learnable: Column, per_language: int = 1000, max_mode
         at = [np.flatnonzero(r).astype(np.int16) for r in x]
         return pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int16())), pa.array([r[i].astype(np.float32) for r, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], names=["at", "value"])
 
-    got = drawn.select("_id", "_lang", sparse("_text").alias("f")).orderBy("_lang", "_id").toArrow()
+    got = drawn.select("_n", "_lang", sparse("_text").alias("f")).orderBy("_lang", "_n").toArrow()
     x = np.zeros((got.num_rows, DIM), np.float32)
     for i, f in enumerate(got["f"].to_pylist()):
         x[i, f["at"]] = f["value"]
     used = x.any(axis=1)
-    return LanguageModel.fit(x[used], np.array(got["_lang"].to_pylist(), dtype=object)[used]) if used.any() else LanguageModel()
+    langs = np.array(got["_lang"].to_pylist(), dtype=object)
+    return LanguageModel.fit(x[used], langs[used], most) if used.any() else LanguageModel()
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct ``out`` (lang_pred, score) from the whole text alone.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing was learned (empty table, no
-    labels). All columns of ``docs`` stay, save one already named ``out``. The model (a few weights per language)
-    is broadcast.
+    labels). Equal texts get equal answers, so do repeated rows; of languages with equal votes the first by name is
+    taken. All columns of ``docs`` stay, save one already named ``out``; an empty table gives no rows. The model (at
+    most the bytes that ``train`` allows) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

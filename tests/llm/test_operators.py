@@ -138,10 +138,30 @@ def test_language(spark, docs, empty):
 
 def test_language_model_is_hierarchical():
     rng = np.random.default_rng(0)
-    x = np.eye(5, langid.DIM, dtype=np.float32)[np.repeat(np.arange(5), 20)] + rng.normal(0, 0.01, (100, langid.DIM)).astype(np.float32)
-    model = langid.LanguageModel.fit(x, np.repeat(np.array(["en", "de", "fr", "es", "ja"], dtype=object), 20))
-    assert sorted(map(sorted, model.families)) == [["de", "en"], ["es", "fr"], ["ja"]]
-    assert set(map(frozenset, model.pairs)) == {frozenset(("de", "en")), frozenset(("es", "fr"))}
+    kin = {"en": 0, "de": 0, "fr": 1, "es": 1, "ja": 2, "ko": 2, "zh": 2, "xx": 0, "yy": 1}
+    names = list(kin)
+    x = np.zeros((len(names) * 20, langid.DIM), np.float32)
+    for i, name in enumerate(np.repeat(names, 20)):
+        x[i, 100 + kin[name]] = 1
+        x[i, 200 + names.index(name)] = 0.5
+    x += rng.normal(0, 0.005, x.shape).astype(np.float32)
+    model = langid.LanguageModel.fit(x, np.repeat(np.array(names, dtype=object), 20))
+    assert sorted(map(sorted, model.families)) == [["de", "en", "xx"], ["es", "fr", "yy"], ["ja", "ko", "zh"]]
+    assert set(map(frozenset, model.pairs)) == {frozenset(p) for f in model.families for p in zip(f, [*f[1:], f[0]])}
+
+
+def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
+    """Repeated ids, null ids and repeated rows count like any others; the whole of long texts is read."""
+    rows = [(None, f"one two {i % 7}", "a") for i in range(500)] + [(3, "same text", "b")] * 300 + [(i, f"some {i}", "c") for i in range(20)]
+    seen = []
+    monkeypatch.setattr(langid.LanguageModel, "fit", classmethod(lambda cls, x, langs, most: seen.append(Counter(langs.tolist()))))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    langid.train(table, F.lit(True), per_language=50)
+    langid.train(table, F.lit(True), per_language=50, max_rows=30)
+    assert seen[0]["c"] == 20 and seen[0]["a"] <= 50 and seen[0]["b"] <= 50
+    assert max(seen[1].values()) <= 10 and set(seen[1]) == {"a", "b", "c"}
+    short, long = langid.features(["abc xyz", "abc " * 10 + "xyz " * 10])[0], langid.features(["q " * 2_000_000 + "zebra"])[0]
+    assert short.shape == (2, langid.DIM) and (langid.features(["q " * 2_000_000])[0] != long).any()
 
 
 def test_vectors(spark):
@@ -353,7 +373,7 @@ def test_language_id_learns_every_label(spark, monkeypatch):
     rows = [(i, f"word number {i}", f"x{i % 401:03}") for i in range(802)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learned = []
-    monkeypatch.setattr(langid.LanguageModel, "fit", classmethod(lambda cls, x, langs: learned.extend(langs.tolist())))
+    monkeypatch.setattr(langid.LanguageModel, "fit", classmethod(lambda cls, x, langs, most: learned.extend(langs.tolist())))
     langid.train(df, F.lit(True))
     assert len(set(learned)) == 401
     with pytest.raises(ValueError):
