@@ -265,7 +265,8 @@ class Tokenizer:
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (of the whole text) and ``decoded`` (their bytes); columns of these names are replaced.
-    Batches are worked on in slices of ``ROWS`` rows, so that a worker holds the ids of one slice only."""
+    Batches are worked on in slices of ``ROWS`` rows, so that a worker holds the ids of one slice only. Null texts have no
+    ids and decode to no bytes; repeated rows are encoded each; an empty table gives no rows; other columns stay."""
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")))
     names, shared, pattern = kept.columns, tokenizer.shared, tokenizer.pattern
     at = names.index(text_col)
