@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import time
 
 from pyspark.sql import SparkSession
 
@@ -25,7 +24,7 @@ def main(args: list[str] | None = None) -> None:
     given = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     override = {"project_id": given.project_id, "term": given.term, "year": given.year}
-    report = ingest_directory(ChunkStore(spark, given.store), given.dir or given.file, int(time.time()), override=override)
+    report = ingest_directory(ChunkStore(spark, given.store), given.dir or given.file, override=override)
     if given.report:
         report.write.mode("overwrite").json(given.report)
     else:

@@ -21,9 +21,15 @@ STORE = T.StructType([T.StructField(n, t) for n, t in (
 )])
 
 
-def document_key(path: Column, content: Column) -> Column:
-    """Deterministic document id from path and content."""
-    return F.substring(F.sha2(F.concat_ws("\0", path, content), 256), 1, 32)
+GONE = "source_file string, until long"
+REPORT = """source_file string, document_id string, status string, error string, pages int, chunks_total long, chunks_summary_scoped long, chunks_inserted long,
+needs_review_count long, has_term_pct double, has_phase_pct double, has_doc_type_pct double, needs_review_items array<struct<chunk_id:string,reason:string>>,
+elapsed_seconds double, version long"""
+
+
+def document_key(path: Column) -> Column:
+    """Deterministic document id: a path names one document, whatever it holds now."""
+    return F.substring(F.sha2(path, 256), 1, 32)
 
 
 def chunk_key(document_id: Column, index: Column) -> Column:
@@ -43,18 +49,20 @@ def delete_by_source(stored: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def ingest_report(chunks: DataFrame, by: str = "document_id", shown: int = 20) -> DataFrame:
-    """One row per document: chunk counts, review items and the share of filled fields. Only the first ``shown``
-    review items of a document are gathered."""
+    """One row per document: chunk counts, the first ``shown`` review items and the share of filled fields, in one
+    aggregation. The chunk ids of one document, which was one row itself, are gathered."""
 
     def filled(name):
         return F.bround(100 * F.count_if(F.coalesce(F.col(name), F.lit("")) != "") / F.count("*"), 1)
 
     summary = F.col("section_path").contains("小结") | F.col("section_path").contains("总结") | F.col("section_path").contains("结论")
-    totals = chunks.groupBy(by).agg(F.count("*").alias("chunks_total"), F.count_if(summary).alias("chunks_summary_scoped"), F.count("*").alias("chunks_inserted"), F.count_if("_needs_review").alias("needs_review_count"), filled("term").alias("has_term_pct"), filled("phase").alias("has_phase_pct"), filled("doc_type").alias("has_doc_type_pct"))
-    first = chunks.where("_needs_review").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("chunk_index"))).where(F.col("_n") <= shown)
-    items = first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))), lambda x: F.struct(x.chunk_id.alias("chunk_id"), F.lit("low_confidence").alias("reason"))).alias("needs_review_items"))
-    empty = F.array().cast("array<struct<chunk_id:string,reason:string>>")
-    return totals.join(items, by, "left").withColumn("needs_review_items", F.coalesce("needs_review_items", empty))
+    item = F.when(F.col("_needs_review"), F.struct("chunk_index", "chunk_id"))
+    totals = chunks.groupBy(by).agg(
+        F.count("*").alias("chunks_total"), F.count_if(summary).alias("chunks_summary_scoped"), F.count("*").alias("chunks_inserted"), F.count_if("_needs_review").alias("needs_review_count"),
+        filled("term").alias("has_term_pct"), filled("phase").alias("has_phase_pct"), filled("doc_type").alias("has_doc_type_pct"), F.collect_list(item).alias("_items"),
+    )
+    named = F.transform(F.slice(F.array_sort("_items"), 1, shown), lambda x: F.struct(x.chunk_id.alias("chunk_id"), F.lit("low_confidence").alias("reason")))
+    return totals.withColumn("needs_review_items", named).drop("_items")
 
 
 def batch_totals(reports: DataFrame) -> DataFrame:
@@ -81,6 +89,11 @@ class ChunkStore:
     def exists(self) -> bool:
         return not self._read("chunks", STORE).isEmpty()
 
+    def next_version(self) -> int:
+        """One more than any version that the store holds: the only clock. Writers are expected one at a time."""
+        tops = [self._read("chunks", STORE).agg(F.max("version")), self._read("tombstones", GONE).agg(F.max("until")), self._read("reports", REPORT).agg(F.max("version"))]
+        return 1 + max(t.first()[0] or 0 for t in tops)
+
     def append(self, chunks: DataFrame, version: int) -> None:
         """Add a batch. Vectors of another length raise; missing columns are null."""
         if self.dims:
@@ -90,19 +103,34 @@ class ChunkStore:
         rows = rows.select(*((F.col(f.name) if f.name in have or f.name == "version" else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORE))
         rows.write.mode("append").parquet(f"{self.path}/chunks")
 
+    def batch(self, version: int) -> DataFrame:
+        """The chunks written as ``version``; files of other versions are skipped by their statistics."""
+        return self._read("chunks", STORE).where(F.col("version") == version)
+
     def read(self) -> DataFrame:
         rows = self._read("chunks", STORE)
         latest = rows.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_uuid").orderBy(F.desc("version")))).where("_n = 1").drop("_n")
-        dead = self._read("tombstones", "source_file string, until long").groupBy("source_file").agg(F.max("until").alias("until"))
+        dead = self._read("tombstones", GONE).groupBy("source_file").agg(F.max("until").alias("until"))
         return latest.join(dead, (latest.source_file == dead.source_file) & (latest.version <= dead.until), "left_anti")
 
-    def delete(self, source_file: str, version: int) -> int:
-        """Hide all chunks of a file up to ``version``; returns how many there were."""
+    def hide(self, source_files: DataFrame, until: int) -> None:
+        """Hide the chunks of all ``source_files`` (source_file) up to the version ``until``."""
+        source_files.select("source_file", F.lit(until).cast("long").alias("until")).write.mode("append").parquet(f"{self.path}/tombstones")
+
+    def delete(self, source_file: str) -> int:
+        """Hide all chunks of a file; returns how many there were."""
         n = self.read().where(F.col("source_file") == source_file).count()
         if n:
-            self.spark.createDataFrame([(source_file, version)], "source_file string, until long").write.mode("append").parquet(f"{self.path}/tombstones")
+            self.hide(self.spark.createDataFrame([(source_file,)], "source_file string"), self.next_version())
         return n
 
+    def report(self, rows: DataFrame, version: int) -> DataFrame:
+        """Add the report rows of a batch and read them back."""
+        schema = T.StructType.fromDDL(REPORT)
+        typed = rows.withColumn("version", F.lit(version).cast("long"))
+        typed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(f"{self.path}/reports")
+        return self._read("reports", REPORT).where(F.col("version") == version).drop("version")
+
     def compact(self, target: str) -> ChunkStore:
         self.read().write.parquet(f"{target}/chunks")
         return ChunkStore(self.spark, target, self.dims)

@@ -21,9 +21,9 @@ def new_files(spark: SparkSession, folder: str, per_trigger: int = 1000, late: s
 
 
 def start_ingest(store: ChunkStore, folder: str, checkpoint: str, provider=None, override: dict | None = None, **trigger) -> StreamingQuery:
-    """Ingest each micro-batch; its number is the version, so a batch that is run again writes the same chunks."""
+    """Ingest each micro-batch. Chunk ids follow from path and place, so a batch that is run again replaces its chunks."""
 
     def batch(files: DataFrame, number: int) -> None:
-        ingest(store, parse_files(files), number + 1, provider, override)
+        ingest(store, parse_files(files), provider, override)
 
     return new_files(store.spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
