@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import lines, py, strip
+from ..functions.text import let, lines, py, strip
 
 
 def remove_noise(text: Column) -> Column:
@@ -96,7 +96,12 @@ def normalize_title(title: Column) -> Column:
 
 
 def summary_boundary(line: Column) -> Column:
-    """Title of a line that opens a summary, else null."""
-    title = normalize_title(F.coalesce(heading_title(line), strip(line)))
-    short = (F.length(title) <= 32) & (title.contains("小结") | title.endswith("总结") | title.endswith("结论")) & title.rlike(py(rf"\A{rules.SUMMARY_CHARACTERS}\z"))
-    return F.when((title != "") & (title.rlike(py(rules.SUMMARY_TITLE)) | short), title)
+    """Title of a line that opens a summary, else null. Every such title holds one of four words; lines without them are
+    settled by that."""
+
+    def boundary(title):
+        short = (F.length(title) <= 32) & (title.contains("小结") | title.endswith("总结") | title.endswith("结论")) & title.rlike(py(rf"\A{rules.SUMMARY_CHARACTERS}\z"))
+        return F.when((title != "") & (title.rlike(py(rules.SUMMARY_TITLE)) | short), title)
+
+    likely = line.contains("小结") | line.contains("总结") | line.contains("结论") | line.contains("回顾")
+    return F.when(likely, let(normalize_title(F.coalesce(heading_title(line), strip(line))), boundary))

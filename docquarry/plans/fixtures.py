@@ -24,8 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before expressions that keep a core busy: a scan of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "source", f"{FILE_PATH} AS file_path", f"{BODY} AS body")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).selectExpr("doc_id", "lang", "source", f"{FILE_PATH} AS file_path", f"{BODY} AS body")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +39,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names (a temporary one where it is unset)."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="docquarry-")
+    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names (a temporary one where it is unset in a local
+    session; a cluster needs one that its machines share)."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="docquarry-")
     path = f"{folder.rstrip('/')}/docquarry/store-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

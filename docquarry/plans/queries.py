@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import file_name, lines
 from ..operators import catalog, chunking, embedding, filters, metadata, retrieval, store
 from ..operators import lines as line_ops
-from .fixtures import chunks, fx, stored, table
+from .fixtures import chunks, fx, spread, stored, table
 from .fixtures import metadata as meta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,7 +111,7 @@ def special_blocks(spark, sf_dir):
 
 @query
 def semantic_chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.semantic_windows(F.col("text"))).alias("pos", "chunk"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunking.semantic_windows(F.col("text"))).alias("pos", "chunk"))
 
 
 @query
@@ -248,18 +248,20 @@ def dense_topk_many(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _sparse(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", embedding.term_weights(F.col("text")).alias("sparse"))
+
+
 @query
 def sparse_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", embedding.term_weights(F.col("text")).alias("sparse"))
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 8 = 0").select(F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse"))
-    return retrieval.sparse_top_k_many(rows, asked, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse"))
+    return retrieval.sparse_top_k_many(_sparse(spark, sf_dir), asked, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
 @query
 def sparse_topk_all(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", embedding.term_weights(F.col("text")).alias("sparse"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse"))
-    return retrieval.sparse_top_k_many(rows, asked, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
+    return retrieval.sparse_top_k_many(_sparse(spark, sf_dir), asked, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
 @query
@@ -360,9 +362,12 @@ def content_dedup(spark, sf_dir):
 
 @query
 def rerank(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
-    rows = table(spark, sf_dir, "documents").where("doc_id < 60").select("doc_id", "text", (F.col("doc_id") + 1).cast("int").alias("seq"), F.lit(0.0).alias("docname_score"))
-    return retrieval.rerank(rows, asked).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), "seq")
+    """The 80 documents that share most terms with a passage, out of all, reranked."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").select("text", embedding.term_weights(F.col("text")).alias("sparse")).first()
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = retrieval.ranked(docs.select("doc_id", retrieval.sparse_score(embedding.term_weights(F.col("text")), asked["sparse"]).alias("_s")), F.col("_s"), retrieval.RECALL, "doc_id")
+    rows = docs.join(F.broadcast(found.select("doc_id", F.col("rank").alias("seq"))), "doc_id").withColumn("docname_score", F.lit(0.0))  # 80 rows
+    return retrieval.rerank(rows, asked["text"]).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), "seq")
 
 
 @query
@@ -374,7 +379,11 @@ def rerank_all(spark, sf_dir):
 
 @query
 def search_hits(spark, sf_dir):
-    provider = embedding.HashedTerms()
-    rows = stored(provider.embed(meta(spark, sf_dir)))
-    hits = retrieval.search(rows, "《概要设计》 latency FR-1", *embedding.embed_query(spark, provider, "latency FR-1 12ms"), phase="design", quality_level=["high"])
+    """Search over all chunks: dense vectors from the table of embeddings, sparse ones from the terms."""
+    vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("_vec"), "dense")
+    n = vectors.count()
+    rows = meta(spark, sf_dir).withColumns({"_vec": F.col("doc_id") % n, "sparse": embedding.term_weights(F.col("text"))})
+    rows = stored(rows.join(vectors, "_vec").drop("_vec"))
+    sparse = spark.createDataFrame([("latency FR-1 12ms",)], "t string").select(embedding.term_weights(F.col("t"))).first()[0]
+    hits = retrieval.search(rows, "《概要设计》 latency FR-1", _vector(spark, sf_dir, 0), sparse, phase="design", quality_level=["high"])
     return hits.select("chunk_uuid", "composite_score", "why_hit.why_metadata_match", "why_hit.why_continuity", "why_hit.why_docname_match")
