@@ -31,15 +31,15 @@ TEMPLATE_SECTIONS = {
     "项目总结": ["1 项目背景与目标", "2 交付成果总览", "3 技术方案与实施过程回顾", "4 质量与测试结果", "5 团队协作与过程管理复盘", "6 风险问题与改进措施", "7 课程收获与后续计划"],
 }
 TEMPLATE_FILES = {
-    "软件需求规格说明书": "春季/软件需求规格说明书.md",
-    "软件概要设计说明书": "春季/软件概要设计说明书.md",
-    "软件详细设计说明书": "春季/软件详细设计说明书.md",
-    "软件开发计划书": "春季/软件开发计划书.md",
-    "测试报告": "春季/测试报告.md",
+    "软件需求规格说明书": "模版库-供claudeCode调用/提交文件模版/春季/软件需求规格说明书.md",
+    "软件概要设计说明书": "模版库-供claudeCode调用/提交文件模版/春季/软件概要设计说明书.md",
+    "软件详细设计说明书": "模版库-供claudeCode调用/提交文件模版/春季/软件详细设计说明书.md",
+    "软件开发计划书": "模版库-供claudeCode调用/提交文件模版/春季/软件开发计划书.md",
+    "测试报告": "模版库-供claudeCode调用/提交文件模版/春季/测试报告.md",
     "迭代需求文档": None,
-    "项目管理文档": "夏季/项目管理文档.md",
-    "项目总结": "夏季/项目总结.md",
-    "用户手册": "春季/用户手册模版.md",
+    "项目管理文档": "模版库-供claudeCode调用/提交文件模版/夏季/项目管理文档.md",
+    "项目总结": "模版库-供claudeCode调用/提交文件模版/夏季/项目总结.md",
+    "用户手册": "模版库-供claudeCode调用/提交文件模版/春季/用户手册模版.md",
 }
 TEMPLATE_NOTE = "请按 sections 列表逐章生成内容，对每个章节可调用 search_by_section 检索往年同章节的高质量写法"
 SKILLS = {
@@ -97,7 +97,7 @@ PHASE_QUERY = {
 CHAIN_LIMIT = 8
 
 
-def template_sections(spark: SparkSession, doc_types: list[str], root: str = "模版库-供claudeCode调用/提交文件模版/") -> DataFrame:
+def template_sections(spark: SparkSession, doc_types: list[str]) -> DataFrame:
     """One row per asked type: doc_type, sections, template_path_hint, usage_note; for a type without sections
     error and available_doc_types instead."""
     rows = []
@@ -105,7 +105,7 @@ def template_sections(spark: SparkSession, doc_types: list[str], root: str = "
         held = (asked or "").strip()
         name = TEMPLATE_ALIASES.get(held, held)
         sections, place = TEMPLATE_SECTIONS.get(name), TEMPLATE_FILES.get(name)
-        found = (name, sections, root + place if place else None, TEMPLATE_NOTE, None, None)
+        found = (name, sections, place, TEMPLATE_NOTE, None, None)
         rows.append((asked, *(found if sections else (None, None, None, None, f"未找到文档类型 '{asked}' 的模版", list(TEMPLATE_SECTIONS)))))
     return spark.createDataFrame(rows, "asked string, doc_type string, sections array<string>, template_path_hint string, usage_note string, error string, available_doc_types array<string>")
 
