@@ -481,12 +481,57 @@ def test_warc_odd_ids(spark):
     assert got == [(0, "response", None, 200), (3, "response", None, 200), (3, "response", None, 200), (5, "revisit", 3, 200)]
 
 
+@pytest.fixture(scope="module")
+def planted(spark, rows, tmp_path_factory):
+    """A folder of tables with copies, links, equal payloads and a host of bad pages."""
+    folder = tmp_path_factory.mktemp("planted")
+    rng = np.random.default_rng(8)
+    spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    vector = rng.normal(size=(60, 8)).astype(np.float32)
+    vector[40:] = vector[:20] + rng.normal(0, 0.02, (20, 8))
+    odd = [(100, None, 1), (101, [0.0] * 8, 1), (102, [1.0] * 3, 2), (103, [float("nan")] * 8, 3), (104, vector[3].tolist(), 4)]
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vector)] + odd, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    hosts = [("good.org", 0.1), ("fine.co.uk", 0.1), ("x.fine.co.uk", 0.1), ("bad.org", 0.9), ("other.net", 0.2)] + [(f"h{i}.org", 0.1) for i in range(12)]
+    linked = [(1000 + i, f"http://{h}/p/{1000 + i}", f"<p>{i}</p>", rng.random() < rate) for i, (h, rate) in enumerate(h for h in hosts for _ in range(40))]
+    missing = [(3000 + i, f"http://good.org/gone{i}", "<p>not found, " * 10) for i in range(30)]
+    spark.createDataFrame([*PAGES, *missing, *(r[:3] for r in linked)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(r[0], None, int(r[3])) for r in linked], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
-def test_queries_match_sql(spark, name):
-    folder = "/root/testdata/sf0.001"
+def test_queries_match_sql(spark, name, planted):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
-    df = queries.QUERIES[name](spark, folder)
+    for t in ("documents", "pages", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{planted}/{t}.parquet/*.parquet')")
+    df = queries.QUERIES[name](spark, planted)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
-    assert Counter(map(tuple, df.collect())) == Counter(want)
+    got = df.collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    seen = {
+        "op2_substring_dedup": lambda: any(0 < r.n_removed < r.n_words for r in got) and len({r.longest_run for r in got}) > 2,
+        "op4_embedding_near_dedup": lambda: sum(r.n_links > 0 for r in got) >= 40,
+        "op5_url_filters": lambda: {r.host for r in got if r.verdict == "block" and r.rule is None} == {"bad.org"},
+        "op7_minhash_near_dedup": lambda: sum(not r.kept for r in got) > 40,
+        "op10_warc": lambda: sum(r.record_type == "revisit" for r in got) > 20,
+    }
+    assert seen.get(name, lambda: True)()
+
+
+def test_registered_language_id(spark, planted):
+    got = queries.op3_language_id(spark, planted).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{planted}/documents.parquet").collect()}
+    assert len(got) == len(docs)
+    for r in got:
+        text = docs[r.doc_id].text
+        worded = any(c.isalpha() for c in text or "")
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert r.lang_pred in ({"en", "fr"} if worded else {"und"})
+
+
+def test_registered_bpe(spark, planted, reference):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{planted}/documents.parquet").collect()}
+    for r in queries.op6_byte_bpe(spark, planted).collect():
+        ids = reference.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
