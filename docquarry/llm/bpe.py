@@ -58,11 +58,16 @@ class Codec:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.start, self.size, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), 0
+        self.start, self.size, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(
+            0, np.int32
+        ), 0
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged token of each pair; NONE where the pair does not merge or a side is padding (-1)."""
-        key = (left.astype(np.int64).astype(np.uint64) << np.uint64(32)) | (right.astype(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        key = (
+            (left.astype(np.int64).astype(np.uint64) << np.uint64(32))
+            | (right.astype(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        )
         at = mix64(key) & self.mask
         out = np.where(self.keys[at] == key, self.merged[at], NONE)
         open_ = np.flatnonzero((out == NONE) & (self.merged[at] != NONE))
@@ -81,7 +86,11 @@ class Codec:
         without a pair are taken out."""
         done: list[np.ndarray] = [rows[:0]] * len(rows)
         where, width = np.arange(len(rows)), rows.shape[1]
-        ranks = self.rank(rows[:, :-1].ravel(), rows[:, 1:].ravel()).reshape(len(rows), width - 1) if width > 1 else np.full((len(rows), 0), NONE)
+        ranks = (
+            self.rank(rows[:, :-1].ravel(), rows[:, 1:].ravel()).reshape(len(rows), width - 1)
+            if width > 1
+            else np.full((len(rows), 0), NONE)
+        )
         while len(where):
             if ranks.shape[1]:
                 j = ranks.argmin(axis=1)
@@ -107,7 +116,9 @@ class Codec:
             ranks = ranks[stay].reshape(n, width - 2)
             before, after = j > 0, j < width - 2
             a, b = line[before], line[after]
-            new = self.rank(np.concatenate([rows[a, j[a] - 1], rows[b, j[b]]]), np.concatenate([rows[a, j[a]], rows[b, j[b] + 1]]))
+            new = self.rank(
+                np.concatenate([rows[a, j[a] - 1], rows[b, j[b]]]), np.concatenate([rows[a, j[a]], rows[b, j[b] + 1]])
+            )
             ranks[a, j[a] - 1], ranks[b, j[b]] = new[: len(a)], new[len(a) :]
         return done
 
@@ -158,7 +169,9 @@ class Codec:
                 part = members[at : at + step]
                 rows = np.full((len(part), width), -1, np.int32)
                 lens = np.array([len(raw[i]) for i in part])
-                rows[np.arange(width) < lens[:, None]] = self.byte[np.frombuffer(b"".join(raw[i] for i in part), np.uint8)]
+                rows[np.arange(width) < lens[:, None]] = self.byte[
+                    np.frombuffer(b"".join(raw[i] for i in part), np.uint8)
+                ]
                 for i, ids in zip(part, self.merge_rows(rows), strict=True):
                     found[i] = ids
         size = np.array([len(x) for x in found], np.int64)
@@ -178,7 +191,9 @@ class Codec:
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         size = self.size[at]
         ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+        return self.flat[
+            np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        ], size
 
     def encode_all(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of many texts; None counts as empty."""
@@ -257,8 +272,12 @@ class Tokenizer:
         @arrow_udf("binary")
         def decoded(lists: pa.Array) -> pa.Array:
             tokens = codec(shared, pattern)
-            flat, ends = lists.flatten().to_numpy(), np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())])
-            return pa.array([tokens.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(
+                [0, *(n or 0 for n in lists.value_lengths().to_pylist())]
+            )
+            return pa.array(
+                [tokens.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()
+            )
 
         return decoded(ids)
 
@@ -270,7 +289,13 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "tex
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")))
     names, shared, pattern = kept.columns, tokenizer.shared, tokenizer.pattern
     at = names.index(text_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    schema = T.StructType(
+        [
+            *kept.schema.fields,
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("decoded", T.BinaryType()),
+        ]
+    )
 
     def run(batches):
         tokens = codec(shared, pattern)
@@ -279,11 +304,23 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "tex
                 part = batch.slice(start, ROWS)
                 offsets, ids = tokens.encode_all(part.column(at).to_pylist())
                 decoded = [tokens.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.binary())], names=[*names, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns,
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
+                        pa.array(decoded, pa.binary()),
+                    ],
+                    names=[*names, "ids", "decoded"],
+                )
 
     return kept.mapInArrow(run, schema)
 
 
 def digest(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of decoded bytes."""
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

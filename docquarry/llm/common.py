@@ -72,6 +72,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, hot: i
     return rows.join(large, key).unionByName(rest.join(small, key))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table over all cores, before work that keeps a core busy: a scan of one row group is one task. Scans of
+    at least as many partitions stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def pieces(rows: int, each: int) -> int:
     """How many pieces of about ``each`` rows; at least one."""
     return max(1, math.ceil(rows / each))

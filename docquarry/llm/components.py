@@ -39,7 +39,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     def shrink(batches):
         a, b = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            a, b = forest(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
+            a, b = forest(
+                np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
+            )
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
     tree = materialize(links.select("a", "b").mapInArrow(shrink, "u long, v long").distinct(), "forest")  # u > v
@@ -50,9 +52,21 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = tree.union(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = (
+            both.join(least, "u")
+            .where("v > u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .where("u <> v")
+            .distinct()
+        )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = (
+            large.join(low, "u")
+            .where("v <> m")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .union(low.select("u", F.col("m").alias("v")))
+            .distinct()
+        )
         tree = materialize(small, "stars")
     else:
         raise RuntimeError("components did not settle")

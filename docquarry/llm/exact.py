@@ -69,12 +69,18 @@ def text_sha256(text: Column) -> Column:
 
 def digest_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the 32 bytes of SHA-256 of the text, A-Z lower-cased (null counts as empty)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(text_sha256(F.col(text_col))).alias("digest"))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.unhex(text_sha256(F.col(text_col))).alias("digest")
+    )
 
 
 def _groups(rows: DataFrame, shards: int) -> DataFrame:
     shard = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long"), F.lit(shards)).cast("int")
-    return rows.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(-(2**63))).alias("winner"), F.count("*").alias("n")).withColumn("shard", shard)
+    return (
+        rows.groupBy("digest")
+        .agg(F.coalesce(F.max("doc_id"), F.lit(-(2**63))).alias("winner"), F.count("*").alias("n"))
+        .withColumn("shard", shard)
+    )
 
 
 def build_index(rows: DataFrame, shards: int) -> DataFrame:
@@ -85,8 +91,27 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
         digests = _matrix(table["digest"])
         levels, slot = build_mph(digests)
         order = np.argsort(slot)
-        cells = [[int(table["shard"][0].as_py())], [len(digests)], [levels], [digests[order].tobytes()], [_ids(table["winner"])[order].tobytes()], [_ids(table["n"])[order].tobytes()]]
-        return pa.table(dict(zip(["shard", "n", "levels", "digests", "winners", "counts"], [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64()), *(pa.array(x, pa.binary()) for x in cells[2:])], strict=True)))
+        cells = [
+            [int(table["shard"][0].as_py())],
+            [len(digests)],
+            [levels],
+            [digests[order].tobytes()],
+            [_ids(table["winner"])[order].tobytes()],
+            [_ids(table["n"])[order].tobytes()],
+        ]
+        return pa.table(
+            dict(
+                zip(
+                    ["shard", "n", "levels", "digests", "winners", "counts"],
+                    [
+                        pa.array(cells[0], pa.int32()),
+                        pa.array(cells[1], pa.int64()),
+                        *(pa.array(x, pa.binary()) for x in cells[2:]),
+                    ],
+                    strict=True,
+                )
+            )
+        )
 
     return materialize(_groups(rows, shards).groupBy("shard").applyInArrow(build, INDEX), "mph")
 
@@ -107,13 +132,27 @@ def resolve(index: DataFrame, rows: DataFrame, shards: int) -> DataFrame:
             member[member] = (known[slot[member]] == digests[member]).all(axis=1)
             np.maximum.at(old, slot[member], winners[member])
             np.add.at(seen, slot[member], counts[member])
-            digests, winners, counts = (np.concatenate([x, y[~member]]) for x, y in ((known, digests), (old, winners), (seen, counts)))
-        return pa.table({"digest": pa.array([x.tobytes() for x in digests], pa.binary()), "winner": pa.array(winners), "n": pa.array(counts)})
-
-    return index.groupBy("shard").cogroup(_groups(rows, shards).groupBy("shard")).applyInArrow(look_up, "digest binary, winner long, n long")
-
-
-def exact_dedup(docs: DataFrame, history=None, per_shard: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            digests, winners, counts = (
+                np.concatenate([x, y[~member]]) for x, y in ((known, digests), (old, winners), (seen, counts))
+            )
+        return pa.table(
+            {
+                "digest": pa.array([x.tobytes() for x in digests], pa.binary()),
+                "winner": pa.array(winners),
+                "n": pa.array(counts),
+            }
+        )
+
+    return (
+        index.groupBy("shard")
+        .cogroup(_groups(rows, shards).groupBy("shard"))
+        .applyInArrow(look_up, "digest binary, winner long, n long")
+    )
+
+
+def exact_dedup(
+    docs: DataFrame, history=None, per_shard: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty; of equal texts the largest doc_id
@@ -133,4 +172,10 @@ def exact_dedup(docs: DataFrame, history=None, per_shard: int = 50_000, id_col:
     index = build_index(rows.where(history), shards)
     decided = materialize(resolve(index, rows.where(~history), shards), "decided")
     keep = F.when(F.col("winner") > -(2**63), F.col("winner"))
-    return join_groups(rows, decided.withColumn("_n", F.col("n")), "digest", "_n").select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return join_groups(rows, decided.withColumn("_n", F.col("n")), "digest", "_n").select(
+        "doc_id",
+        keep.alias("keep_id"),
+        F.col("n").alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )

@@ -29,7 +29,9 @@ def _grams(raw: np.ndarray) -> np.ndarray:
     two = two[(b[:-1] | b[1:]) > 0]
     three = three[(b[:-2] | b[2:]) > 0]
     shift = np.uint32(32 - BITS)
-    return np.concatenate([two * np.uint32(2654435761) >> shift, (three + np.uint32(77)) * np.uint32(2246822519) >> shift])
+    return np.concatenate(
+        [two * np.uint32(2654435761) >> shift, (three + np.uint32(77)) * np.uint32(2246822519) >> shift]
+    )
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -144,14 +146,25 @@ class LanguageModel:
         return out.tolist(), np.clip(score, 0, 1).tolist()
 
 
-def train(docs: DataFrame, learnable: Column, per_language: int = 1000, max_rows: int = 20_000, max_model_mb: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(
+    docs: DataFrame,
+    learnable: Column,
+    per_language: int = 1000,
+    max_rows: int = 20_000,
+    max_model_mb: int = 256,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> LanguageModel:
     """Fit on a bounded sample of the rows that ``learnable`` marks and whose text and label are not null: of each label
     the ``per_language`` rows of smallest hash, fewer where all labels together would pass ``max_rows``. The bound is on
     rows, so repeated rows and ids and null ids cannot exceed it. Every label is learned, at least one row of it;
     ValueError if the weights of all machines would take more than ``max_model_mb``. Features are computed on the
     executors; the driver gets the non-zero buckets of the sample, at most ``max_rows`` * DIM floats.
     Ties in the hash are broken by id; equal rows are alike."""
-    rows = docs.where(learnable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    rows = docs.where(learnable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")
+    )
     most = (max_model_mb << 20) // ((DIM + 1) * 8)  # machines, at least as many as languages
     rows = rows.withColumn("_mark", F.pmod(F.xxhash64("_id", "_text", F.lit(11)), F.lit(1 << 30)))
     counts = rows.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_mark").alias("least")).limit(most + 1).collect()
@@ -160,7 +173,8 @@ def train(docs: DataFrame, learnable: Column, per_language: int = 1000, max_rows
     if not counts:
         return LanguageModel()
     each = max(1, min(per_language, max_rows // len(counts)))
-    edges = [(lang, max(least, int(min(1.0, 2 * each / n) * (1 << 30)))) for lang, n, least in counts]  # about twice the rows wanted
+    # about twice the rows wanted
+    edges = [(lang, max(least, int(min(1.0, 2 * each / n) * (1 << 30)))) for lang, n, least in counts]
     edge = docs.sparkSession.createDataFrame(edges, "_lang string, _edge long")
     near = rows.join(F.broadcast(edge), "_lang").where("_mark <= _edge")
     first = F.row_number().over(Window.partitionBy("_lang").orderBy("_mark", "_id"))
@@ -170,7 +184,13 @@ def train(docs: DataFrame, learnable: Column, per_language: int = 1000, max_rows
     def sparse(texts: pa.Array) -> pa.Array:
         x, _ = features(texts.to_pylist())
         at = [np.flatnonzero(r).astype(np.int16) for r in x]
-        return pa.StructArray.from_arrays([pa.array(at, pa.list_(pa.int16())), pa.array([r[i].astype(np.float32) for r, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], names=["at", "value"])
+        return pa.StructArray.from_arrays(
+            [
+                pa.array(at, pa.list_(pa.int16())),
+                pa.array([r[i].astype(np.float32) for r, i in zip(x, at, strict=True)], pa.list_(pa.float32())),
+            ],
+            names=["at", "value"],
+        )
 
     got = drawn.select("_n", "_lang", sparse("_text").alias("f")).orderBy("_lang", "_n").toArrow()
     x = np.zeros((got.num_rows, DIM), np.float32)
@@ -198,7 +218,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
             lang, score = shared.value.predict(texts[at : at + 512].to_pylist())
             langs += lang
             scores += score
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        return pa.StructArray.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
+        )
 
     return docs.withColumn(out, predict(F.col(text_col)))
 

@@ -118,14 +118,28 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 keys = [shingle_keys(words, size) for _, words in keyed_texts((None, (t or "").encode().lower()) for t in part.column(1).to_pylist())]
-                signature = superminhash([k[0] for k in keys], bands * rows).view(np.uint32).astype(np.uint64).reshape(len(keys), bands, rows)
+                signature = (
+                    superminhash([k[0] for k in keys], bands * rows)
+                    .view(np.uint32)
+                    .astype(np.uint64)
+                    .reshape(len(keys), bands, rows)
+                )
                 key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(keys), bands)).copy()
                 with np.errstate(over="ignore"):
                     for r in range(rows):
                         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, :, r] + np.uint64(1))
                 whole = [hashlib.blake2b(k.tobytes(), digest_size=16).digest() if k.size else None for k in keys]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * bands + 1, bands, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
-                columns = [part.column(0), part.column(2), pa.array([k.shape[1] for k in keys], pa.int64()), pa.array(whole, pa.binary()), flat]
+                flat = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, len(keys) * bands + 1, bands, dtype=np.int32)),
+                    pa.array(key.ravel().view(np.int64)),
+                )
+                columns = [
+                    part.column(0),
+                    part.column(2),
+                    pa.array([k.shape[1] for k in keys], pa.int64()),
+                    pa.array(whole, pa.binary()),
+                    flat,
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n_shingles", "set_hash", "bands"])
 
     return docs.mapInArrow(run, "id long, text_hash long, n_shingles long, set_hash binary, bands array<long>")
@@ -147,10 +161,18 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
-
-
-def links_in_group(ids: np.ndarray, side: np.ndarray, parts: np.ndarray, texts: list, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    return (
+        pairs.join(left, "a")
+        .join(right, "b")
+        .select("a", "b", "text_a", "text_b")
+        .sortWithinPartitions("b")
+        .mapInArrow(run, "a long, b long")
+    )
+
+
+def links_in_group(ids: np.ndarray, side: np.ndarray, parts: np.ndarray, texts: list, size: int, percent: int) -> tuple[
+    np.ndarray, np.ndarray
+]:
     """A forest of the similar pairs in a block of bucket members that are not yet in one component.
 
     Intersections are counted through an inverted list of the block's shingle keys, and the pairs that join two
@@ -188,7 +210,16 @@ def links_in_group(ids: np.ndarray, side: np.ndarray, parts: np.ndarray, texts:
     return np.array(found_a, np.int64), np.array(found_b, np.int64)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    size: int = 5,
+    percent: int = 80,
+    bands: int = 32,
+    rows: int = 5,
+    block: int = 256,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
     Sets of distinct ``size``-word shingles (A-Z lower-cased; a shorter text is one shingle) are linked when
@@ -208,43 +239,89 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     its texts, and all its rows are in one component. Texts that are null or without words have an empty set, link
     with nothing and stay. Extra columns are ignored; an empty table gives no rows. Reruns agree.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(
+        "text_hash", F.xxhash64("text")
+    )
     sketched = materialize(sketch(source, size, bands, rows), "sketch")
     whole = sketched.where("id IS NOT NULL AND set_hash IS NOT NULL")
-    classes = materialize(whole.groupBy("set_hash").agg(F.min(F.struct("id", "text_hash")).alias("r"), F.count("*").alias("_n")).select("set_hash", F.col("r.id").alias("rep"), "r.text_hash", "_n"), "classes")
+    classes = materialize(
+        whole.groupBy("set_hash")
+        .agg(F.min(F.struct("id", "text_hash")).alias("r"), F.count("*").alias("_n"))
+        .select("set_hash", F.col("r.id").alias("rep"), "r.text_hash", "_n"),
+        "classes",
+    )
     chosen = classes.select(F.col("rep").alias("id"), "text_hash")  # one row of each class
-    reps = whole.join(chosen, ["id", "text_hash"]).groupBy("id", "text_hash", "n_shingles").agg(F.first("bands").alias("bands"))
+    reps = (
+        whole.join(chosen, ["id", "text_hash"])
+        .groupBy("id", "text_hash", "n_shingles")
+        .agg(F.first("bands").alias("bands"))
+    )
     keys = materialize(reps.select("id", "text_hash", "n_shingles", F.explode("bands").alias("key")), "bands")
     buckets = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = materialize(join_groups(keys, buckets.withColumn("_n", F.col("members")), "key", "_n"), "members")
-    texts = source.where("id IS NOT NULL").join(members.select("id", "text_hash").distinct(), ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.min("text").alias("text"))
+    texts = (
+        source.where("id IS NOT NULL")
+        .join(members.select("id", "text_hash").distinct(), ["id", "text_hash"], "left_semi")
+        .groupBy("id", "text_hash")
+        .agg(F.min("text").alias("text"))
+    )
     texts = materialize(texts, "candidates")
 
-    first = members.where("id > centre").groupBy("id").agg(F.min("centre").alias("b")).select(F.col("id").alias("a"), "b")
+    first = (
+        members.where("id > centre").groupBy("id").agg(F.min("centre").alias("b")).select(F.col("id").alias("a"), "b")
+    )
     star = verify_pairs(first, texts, size, percent)
     named = join_groups(whole.select("id", "set_hash"), classes.select("set_hash", "rep", "_n"), "set_hash", "_n")
     several = named.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    same_id = named.join(several.select("id"), "id", "left_semi").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    same_id = (
+        named.join(several.select("id"), "id", "left_semi")
+        .where("id <> rep")
+        .select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    )
     star = materialize(star.union(same_id).distinct(), "star")
     grouped = connected_components(star)
-    placed = members.join(grouped, "id", "left").select("key", "id", "text_hash", "members", F.coalesce("component", "id").alias("component"))
+    placed = members.join(grouped, "id", "left").select(
+        "key", "id", "text_hash", "members", F.coalesce("component", "id").alias("component")
+    )
     placed = materialize(placed, "placed")
     mark = F.xxhash64("id", "text_hash")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(mark).alias("m1"), F.bit_xor(F.xxhash64(mark)).alias("m2"), F.count("*").alias("n")).where("lo < hi")
+    mixed = (
+        placed.groupBy("key")
+        .agg(
+            F.min("component").alias("lo"),
+            F.max("component").alias("hi"),
+            F.bit_xor(mark).alias("m1"),
+            F.bit_xor(F.xxhash64(mark)).alias("m2"),
+            F.count("*").alias("n"),
+        )
+        .where("lo < hi")
+    )
     mixed = mixed.groupBy("m1", "m2", "n").agg(F.min("key").alias("key")).select("key", F.col("n").alias("_n"))
     late = materialize(block_links(join_groups(placed, mixed, "key", "_n"), texts, size, percent, block), "late")
     final = connected_components(star.union(late))
-    of_class = classes.join(final, F.col("rep") == F.col("id"), "left").select("set_hash", "_n", F.coalesce("component", "rep").alias("component"))
-    linked = join_groups(whole.select("id", "n_shingles", "set_hash"), of_class, "set_hash", "_n").select("id", "n_shingles", "component")
-    alone = sketched.where("id IS NULL OR set_hash IS NULL").select("id", "n_shingles", F.col("id").alias("component"))  # null for a null id
+    of_class = classes.join(final, F.col("rep") == F.col("id"), "left").select(
+        "set_hash", "_n", F.coalesce("component", "rep").alias("component")
+    )
+    linked = join_groups(whole.select("id", "n_shingles", "set_hash"), of_class, "set_hash", "_n").select(
+        "id", "n_shingles", "component"
+    )
+    # null for a null id
+    alone = sketched.where("id IS NULL OR set_hash IS NULL").select("id", "n_shingles", F.col("id").alias("component"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.col("component").eqNullSafe(F.col("id")).alias("kept"),
+    )
 
 
 def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     """Links (a, b) between the components of each bucket. ``members``: key, id, text_hash, members, component."""
     blocks = F.ceil(F.col("members") / block).cast("int")
-    placed = members.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    placed = members.withColumn("_blocks", blocks).withColumn(
+        "_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
+    )
     own = ("key", "id", "text_hash", "component")
     spread = placed.select(*own, "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")).select(
         *own, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("k"),
@@ -255,7 +332,9 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, b
         parts = table["component"].to_numpy()
         a = b = np.empty(0, np.int64)
         if (parts != parts[0]).any():
-            a, b = links_in_group(table["id"].to_numpy(), table["side"].to_numpy(), parts, table["text"].to_pylist(), size, percent)
+            a, b = links_in_group(
+                table["id"].to_numpy(), table["side"].to_numpy(), parts, table["text"].to_pylist(), size, percent
+            )
         return pa.table({"a": a, "b": b})
 
     joined = spread.join(texts, ["id", "text_hash"]).select("key", "i", "k", "id", "component", "side", "text")

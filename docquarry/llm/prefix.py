@@ -22,14 +22,20 @@ def prefix_sums(df: DataFrame, order: list[str], *values: str) -> DataFrame:
     """
     names = df.columns
     sums = [f"_sum_{v}" for v in values]
-    added = [T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType()), *(T.StructField(s, T.LongType()) for s in sums)]
+    added = [
+        T.StructField("_part", T.IntegerType()),
+        T.StructField("_row", T.LongType()),
+        *(T.StructField(s, T.LongType()) for s in sums),
+    ]
     schema = T.StructType([*df.schema.fields, *added])
 
     def local(batches):
         part, rows, totals = TaskContext.get().partitionId(), 0, [0] * len(values)
         for batch in batches:
             n = batch.num_rows
-            columns = [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(rows + np.arange(n, dtype=np.int64))]
+            columns = [
+                *batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(rows + np.arange(n, dtype=np.int64))
+            ]
             for i, value in enumerate(values):
                 own = batch.column(names.index(value)).to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = totals[i] + np.cumsum(own)
@@ -44,6 +50,10 @@ def prefix_sums(df: DataFrame, order: list[str], *values: str) -> DataFrame:
     for part, *totals in done.groupBy("_part").agg(F.count("*"), *map(F.sum, values)).orderBy("_part").collect():
         starts.append((part, *before))
         before = [a + b for a, b in zip(before, totals, strict=True)]
-    offsets = df.sparkSession.createDataFrame(starts, ", ".join(["_part int", "_row0 long", *(f"{s}0 long" for s in sums)]))
+    offsets = df.sparkSession.createDataFrame(
+        starts, ", ".join(["_part int", "_row0 long", *(f"{s}0 long" for s in sums)])
+    )
     shifted = [(F.col(f"{s}0") + F.col(s)).alias(f"before_{v}") for s, v in zip(sums, values, strict=True)]
-    return done.join(F.broadcast(offsets), "_part").select(*names, *shifted, (F.col("_row0") + F.col("_row")).alias("position"))
+    return done.join(F.broadcast(offsets), "_part").select(
+        *names, *shifted, (F.col("_row0") + F.col("_row")).alias("position")
+    )

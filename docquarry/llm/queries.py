@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, exact, langid, minhash, mixing, oracle, sharding, substring, urls, vectors, warc
+from .common import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0-7 by the law ``bytes``."""
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +36,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and score of every document, learned from the rows that are not held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs, ~langid.held_out()))
     return found.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score")
 
@@ -39,23 +48,29 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
-    return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+    return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document's whole text, and the bytes they decode to."""
     codec = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), codec))
+    return bpe.digest(bpe.encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), codec))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents over 4-word shingles at 80 %."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return minhash.near_duplicates(
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text")), size=4, percent=80
+    )
 
 
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by the mix of all sources."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).docs.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).docs.select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")), "sizes")
+    rows = materialize(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        ),
+        "sizes",
+    )
     total = rows.agg(F.sum("size")).first()[0] or 1
-    placed = prefix_sums(rows, ["doc_id", "text_crc32"], "size").withColumn("shard", F.expr(f"CAST(least({shards - 1}, ((2 * before_size + size) * {shards}) DIV (2 * {total})) AS INT)"))
+    placed = prefix_sums(rows, ["doc_id", "text_crc32"], "size").withColumn(
+        "shard", F.expr(f"CAST(least({shards - 1}, ((2 * before_size + size) * {shards}) DIV (2 * {total})) AS INT)")
+    )
     first = placed.groupBy("shard").agg(F.min("position").alias("_first"))  # one row per shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("position") - F.col("_first")).alias("slot"), "position")
+    return placed.join(F.broadcast(first), "shard").select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("position") - F.col("_first")).alias("slot"), "position"
+    )

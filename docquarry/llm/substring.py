@@ -42,7 +42,9 @@ def _packed(fixed: dict, name: str, groups: np.ndarray, entries: np.ndarray) ->
     """A row for each run of equal ``groups``, with its entries as bytes."""
     names, starts = np.unique(groups, return_index=True)
     parts = [x.tobytes() for x in np.split(entries, starts[1:])] if len(names) else []
-    columns = {name: pa.array(names, pa.int32()), **{k: pa.array(np.full(len(names), v), pa.int32()) for k, v in fixed.items()}}
+    columns = {
+        name: pa.array(names, pa.int32()), **{k: pa.array(np.full(len(names), v), pa.int32()) for k, v in fixed.items()}
+    }
     return pa.table({**columns, "entries": pa.array(parts, pa.binary())})
 
 
@@ -201,12 +203,18 @@ class Repeats:
         n = docs.count()
         self.window, self.blocks = window, max(pieces(n, per_block), min(least, pieces(n, 64)))
         self.rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(self.blocks)).cast("int"))
-        digests = self.rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", "block", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
+        digests = self.rows.where("id IS NOT NULL AND text IS NOT NULL").select(
+            "id", "block", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest")
+        )
         digests, self.digests_at = written(digests, "digests")
         first = digests.groupBy("digest").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-        copies = join_groups(digests, first, "digest", "_n").where("id > _first").select("id", "block", "digest").distinct()
+        copies = (
+            join_groups(digests, first, "digest", "_n").where("id > _first").select("id", "block", "digest").distinct()
+        )
         packed = F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "digest")  # id, big-endian, and digest
-        self.copies, self.copies_at = written(copies.select("block", F.lit(0).alias("kind"), packed.alias("entries")), "copies")
+        self.copies, self.copies_at = written(
+            copies.select("block", F.lit(0).alias("kind"), packed.alias("entries")), "copies"
+        )
 
     def meet(self, replies: DataFrame | None, run, schema: str) -> DataFrame:
         side = self.copies if replies is None else self.copies.union(replies.select("block", F.lit(1), "entries"))
@@ -221,7 +229,9 @@ class Repeats:
             return left["block"][0].as_py() if left.num_rows else 0
 
         def ask_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
-            return ask_keys(number(left), [np.unique(anchors(words, window)) for _, words in _texts(left, _side(right)[0])], buckets)
+            return ask_keys(
+                number(left), [np.unique(anchors(words, window)) for _, words in _texts(left, _side(right)[0])], buckets
+            )
 
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
             copies, replies = _side(right)
@@ -269,7 +279,14 @@ def extend(state: DataFrame, length: int, blocks: int) -> DataFrame:
     return usable.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(answer, STATE)
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    window: int = 13,
+    per_block: int = 1024,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    texts: bool = True,
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, longest_run) for every document; without ``texts`` kept_sha256, the
     digest of the text that is left, in place of kept_text.
 
@@ -289,7 +306,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_
     """
     levels = Repeats(docs, window, per_block, id_col, text_col)
     last = ("kept_text", pa.string()) if texts else ("kept_sha256", pa.string())
-    names = [("block", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), last, ("digest", pa.binary()), ("regions", pa.list_(pa.binary()))]
+    names = [
+        ("block", pa.int32()),
+        ("doc_id", pa.int64()),
+        ("n_words", pa.int64()),
+        ("n_removed", pa.int64()),
+        last,
+        ("digest", pa.binary()),
+        ("regions", pa.list_(pa.binary())),
+    ]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         copies, replies = _side(right)
@@ -310,7 +335,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, per_block: int = 1024, id_
             for a, b in later:
                 gone[a : b + window - 1] = True
             kept = b" ".join(compress(words, (~gone).tolist()) if gone.any() else words)
-            out.append((left["block"][i].as_py(), ids[i], n, int(gone.sum()), kept.decode() if texts else hashlib.sha256(kept).hexdigest(), digests[i], regions))
+            out.append(
+                (
+                    left["block"][i].as_py(),
+                    ids[i],
+                    n,
+                    int(gone.sum()),
+                    kept.decode() if texts else hashlib.sha256(kept).hexdigest(),
+                    digests[i],
+                    regions,
+                )
+            )
         columns = zip(*out, strict=True) if out else ([],) * len(names)
         return pa.table({k: pa.array(list(v), t) for (k, t), v in zip(names, columns, strict=True)})
 
@@ -335,13 +370,22 @@ def _with_longest(judged: DataFrame, window: int, blocks: int) -> DataFrame:
         if state.isEmpty():
             discard(old)
             break
-        found.append(written(state.select("digest").distinct().select("digest", F.lit(2 * length).alias("longest")), "reached")[0])
+        found.append(
+            written(state.select("digest").distinct().select("digest", F.lit(2 * length).alias("longest")), "reached")[
+                0
+            ]
+        )
     every = found[0]
     for part in found[1:]:
         every = every.union(part)
     most = every.groupBy("digest").agg(F.max("longest").alias("longest_run"))
     rows = judged.drop("block", "regions")
-    texts = rows.groupBy("digest").agg(F.count("*").alias("_n")).join(most, "digest", "left").withColumn("longest_run", F.coalesce("longest_run", F.lit(0)))
+    texts = (
+        rows.groupBy("digest")
+        .agg(F.count("*").alias("_n"))
+        .join(most, "digest", "left")
+        .withColumn("longest_run", F.coalesce("longest_run", F.lit(0)))
+    )
     return join_groups(rows, texts, "digest", "_n").drop("digest")
 
 

@@ -49,7 +49,9 @@ def registered_domain(host: Column) -> tuple[Column, Column]:
 def _concentration(rows: DataFrame, n: str, k: str, mean: float) -> float:
     """Beta concentration by the method of moments, from one row of sums; ``mean`` is the bad rate over all rows."""
     off = F.col(n) * F.pow(F.col(k) / F.col(n) - mean, 2)
-    spread = rows.where(F.col(n) > 0).agg((F.sum(off) / F.sum(n)).alias("s"), (F.count("*") / F.sum(n)).alias("g")).first()
+    spread = (
+        rows.where(F.col(n) > 0).agg((F.sum(off) / F.sum(n)).alias("s"), (F.count("*") / F.sum(n)).alias("g")).first()
+    )
     if spread.s is None:
         return 2.0
     var = mean * (1 - mean)
@@ -74,14 +76,28 @@ def host_reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     suffix_mean = (F.col("sk") + cs * (bad + 1) / (known + 2)) / (F.col("sn") + cs)
     domain_mean = (F.col("dk") + cd * F.col("usual")) / (F.col("dn") + cd)
     a, b = F.col("k") + ch * F.col("dm"), F.col("n") - F.col("k") + ch * (1 - F.col("dm"))
-    rated = suffixes.select("suffix", suffix_mean.alias("usual")).join(domains, "suffix").select("domain", "usual", domain_mean.alias("dm"))
+    rated = (
+        suffixes.select("suffix", suffix_mean.alias("usual"))
+        .join(domains, "suffix")
+        .select("domain", "usual", domain_mean.alias("dm"))
+    )
     rated = rated.join(hosts, "domain").select("host", "n", "usual", a.alias("a"), b.alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
     sd = F.sqrt(F.col("a") * F.col("b") / (F.pow(F.col("a") + F.col("b"), 2) * (F.col("a") + F.col("b") + 1)))
-    return rated.select("host", "n", mean.alias("bad_mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("bad_lower"), "usual")
-
-
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, lift: float = 1.0, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    return rated.select(
+        "host", "n", mean.alias("bad_mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("bad_lower"), "usual"
+    )
+
+
+def filter_urls(
+    pages: DataFrame,
+    outcomes: DataFrame,
+    rules=RULES,
+    lift: float = 1.0,
+    z: float = 1.645,
+    id_col: str = "page_id",
+    url_col: str = "url",
+) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_mean, bad_lower for every page.
 
     The longest fitting rule decides; elsewhere a page is blocked when the lower posterior bound of its host's bad
@@ -97,18 +113,29 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, lift: float
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = materialize(rows.withColumn("_doc", F.when(number != "", number.cast("long"))), "urls")
     is_bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
-    bad = outcomes.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(is_bad.cast("int")).alias("bad"))
+    bad = (
+        outcomes.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
+        .groupBy(F.col("doc_id").alias("_doc"))
+        .agg(F.max(is_bad.cast("int")).alias("bad"))
+    )
     pairs = rows.where("_doc IS NOT NULL").groupBy("host", "_doc").agg(F.count("*").alias("times"))
     labelled = join_groups(pairs, bad.join(pairs.groupBy("_doc").agg(F.count("*").alias("_n")), "_doc"), "_doc", "_n")
     counts = labelled.groupBy("host").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("bad")).alias("k"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("_n"))
     zero = F.lit(0).cast("long")
-    hosts = materialize(hosts.join(counts, "host", "left").select("host", "_n", F.coalesce("n", zero).alias("n"), F.coalesce("k", zero).alias("k")), "outcomes")
+    hosts = materialize(
+        hosts.join(counts, "host", "left").select(
+            "host", "_n", F.coalesce("n", zero).alias("n"), F.coalesce("k", zero).alias("k")
+        ),
+        "outcomes",
+    )
     rated = host_reputation(hosts.drop("_n"), z).drop("n").join(hosts.select("host", "_n"), "host")
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("bad_lower") > lift * F.col("usual"), F.lit("block")).otherwise("allow"))
     judged = join_groups(rows, rated, "host", "_n")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bad_mean", "bad_lower")
+    return judged.select(
+        "page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bad_mean", "bad_lower"
+    )
 
 
 #: The same in DuckDB, for the digest columns.

@@ -15,7 +15,11 @@ LINKS = "kind int, a long, b long"
 
 
 def _rows(column, dims: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dims) if len(column) else np.empty((0, dims))
+    return (
+        column.combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dims)
+        if len(column)
+        else np.empty((0, dims))
+    )
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -26,7 +30,11 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             flat, lengths = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            x = np.where(flat.is_null().to_numpy(zero_copy_only=False), np.nan, flat.fill_null(0.0).to_numpy(zero_copy_only=False))
+            x = np.where(
+                flat.is_null().to_numpy(zero_copy_only=False),
+                np.nan,
+                flat.fill_null(0.0).to_numpy(zero_copy_only=False),
+            )
             owner = np.repeat(np.arange(len(lists)), lengths)
             top = np.zeros(len(lists))
             np.maximum.at(top, owner, np.abs(x))  # scaled first, so that squares neither overflow nor vanish
@@ -36,13 +44,25 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             x = x / top[owner]
             x = x / np.sqrt(np.bincount(owner, x * x, len(lists)))[owner]
             ends = np.concatenate([[0], np.cumsum(np.where(fine, lengths, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(x), mask=pa.array(~fine))], names=["id", "v"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(x), mask=pa.array(~fine))],
+                names=["id", "v"],
+            )
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
+    )
     return rows.mapInArrow(run, "id long, v array<double>")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 4096, max_pivots: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(
+    vectors: DataFrame,
+    cosine: float = 0.95,
+    per_cell: int = 4096,
+    max_pivots: int = 4096,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every vector; all pairs of cosine >= ``cosine`` are links.
 
     On the unit sphere that is a Euclidean range join of radius r = sqrt(2 - 2 * cosine). Pivots (about one per
@@ -66,24 +86,58 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 4096,
     rows = materialize(unit_vectors(vectors, id_col, vector_col), "unit")
     whole = rows.where("id IS NOT NULL AND v IS NOT NULL")
     grouped = whole.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
-    classes = materialize(grouped.select("v", F.size("v").alias("dims"), "least", "weight", F.monotonically_increasing_id().alias("rep")), "classes")
+    classes = materialize(
+        grouped.select("v", F.size("v").alias("dims"), "least", "weight", F.monotonically_increasing_id().alias("rep")),
+        "classes",
+    )
     lengths = classes.groupBy("dims").count()
     few = lengths.where((F.col("count") > 1) & (F.col("count") <= per_cell)).select("dims")
-    once = F.struct(F.lit(True).alias("row"), F.lit(True).alias("own")), F.struct(F.lit(False).alias("row"), F.lit(True).alias("own"))
-    whole_cells = classes.join(F.broadcast(few), "dims").select("v", "rep", "weight", F.col("dims").alias("cell"), F.lit(0).alias("i"), F.lit(0).alias("k"), F.explode(F.array(*once)).alias("s"))
-    done = whole_cells.select("v", "rep", "weight", "cell", "i", "k", "s.row", "s.own").groupBy("cell", "i", "k").applyInArrow(comparison(cosine), LINKS)
-    for (dims,) in lengths.where(F.col("count") > per_cell).select("dims").collect():  # each has more than per_cell vectors
+    once = F.struct(F.lit(True).alias("row"), F.lit(True).alias("own")), F.struct(
+        F.lit(False).alias("row"), F.lit(True).alias("own")
+    )
+    whole_cells = classes.join(F.broadcast(few), "dims").select(
+        "v",
+        "rep",
+        "weight",
+        F.col("dims").alias("cell"),
+        F.lit(0).alias("i"),
+        F.lit(0).alias("k"),
+        F.explode(F.array(*once)).alias("s"),
+    )
+    done = (
+        whole_cells.select("v", "rep", "weight", "cell", "i", "k", "s.row", "s.own")
+        .groupBy("cell", "i", "k")
+        .applyInArrow(comparison(cosine), LINKS)
+    )
+    # each has more than per_cell vectors
+    for (dims,) in lengths.where(F.col("count") > per_cell).select("dims").collect():
         done = done.union(_join(classes.where(F.col("dims") == dims), dims, cosine, per_cell, max_pivots))
     done = materialize(done, "links")
     counts = done.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
     found = connected_components(done.where("kind = 1").select("a", "b"))  # numbers of classes
     least = found.join(classes.select(F.col("rep").alias("id"), "least"), "id")
-    named = least.join(least.groupBy("component").agg(F.min("least").alias("smallest")), "component").select(F.col("id").alias("_id"), "smallest")
+    named = least.join(least.groupBy("component").agg(F.min("least").alias("smallest")), "component").select(
+        F.col("id").alias("_id"), "smallest"
+    )
     linked = classes.join(counts, F.col("rep") == F.col("a"), "left").join(named, F.col("rep") == F.col("_id"), "left")
-    of_class = linked.select("v", F.col("weight").alias("_n"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component"))
+    of_class = linked.select(
+        "v",
+        F.col("weight").alias("_n"),
+        (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.coalesce("smallest", "least").alias("component"),
+    )
     ids = join_groups(whole.select("id", "v"), of_class, "v", "_n").select("id", "n_links", "component")
-    out = ids.unionByName(rows.where("id IS NULL OR v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
-    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept"))
+    out = ids.unionByName(
+        rows.where("id IS NULL OR v IS NULL").select(
+            "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")
+        )
+    )
+    return out.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("component").eqNullSafe(F.col("id")).alias("kept"),
+    )
 
 
 def comparison(cosine: float):
@@ -113,7 +167,13 @@ def comparison(cosine: float):
         one, two = partners > 0, back > 0
         counted = int(one.sum() + two.sum())
         kind = np.r_[np.zeros(counted, np.int32), np.ones(len(a), np.int32)]
-        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([ids[one], other[two], a])), "b": pa.array(np.concatenate([partners[one], back[two], b]))})
+        return pa.table(
+            {
+                "kind": pa.array(kind),
+                "a": pa.array(np.concatenate([ids[one], other[two], a])),
+                "b": pa.array(np.concatenate([partners[one], back[two], b])),
+            }
+        )
 
     return compare
 
@@ -124,9 +184,12 @@ def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivot
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     n = classes.count()
     k = min(max_pivots, pieces(n, per_cell))
-    drawn = classes.orderBy(F.xxhash64("least", "weight"), "least", "weight", "rep").limit(k).select("v").collect()  # at most max_pivots vectors
+    # at most max_pivots vectors
+    drawn = classes.orderBy(F.xxhash64("least", "weight"), "least", "weight", "rep").limit(k).select("v").collect()
     centres = np.array([r[0] for r in drawn])
-    pivots, apart = spark.sparkContext.broadcast(centres), spark.sparkContext.broadcast(np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T))).astype(np.float32))
+    pivots, apart = spark.sparkContext.broadcast(centres), spark.sparkContext.broadcast(
+        np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T))).astype(np.float32)
+    )
 
     def distances(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.value.T)))
@@ -136,9 +199,17 @@ def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivot
             x = _rows(pa.chunked_array([batch.column(0)]), dims)
             d = distances(x) if len(x) else np.empty((0, 1))
             cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell])], names=["v", "rep", "weight", "cell", "far"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell])],
+                names=["v", "rep", "weight", "cell", "far"],
+            )
 
-    placed = materialize(classes.select("v", "rep", "weight").mapInArrow(home, "v array<double>, rep long, weight long, cell int, far double"), "cells")
+    placed = materialize(
+        classes.select("v", "rep", "weight").mapInArrow(
+            home, "v array<double>, rep long, weight long, cell int, far double"
+        ),
+        "cells",
+    )
     cells = placed.groupBy("cell").agg(F.count("*"), F.max("far")).collect()  # a row for each pivot
     sizes, radii = np.zeros(k, np.int64), np.full(k, -np.inf)
     for cell, count, far in cells:
@@ -168,14 +239,52 @@ def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivot
             line, to = np.nonzero(allowed(batch))
             for at in range(0, len(line), 1 << 14):
                 take = pa.array(line[at : at + (1 << 14)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(to[at : at + (1 << 14)].astype(np.int32))], names=["v", "rep", "weight", "cell"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(i).take(take) for i in range(3)),
+                        pa.array(to[at : at + (1 << 14)].astype(np.int32)),
+                    ],
+                    names=["v", "rep", "weight", "cell"],
+                )
 
-    widths = dict(placed.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())  # a row for each pivot
-    sizing = [(int(c), pieces(int(sizes[c]), per_cell), pieces(int(sizes[c]) + widths.get(int(c), 0), per_cell)) for c in np.flatnonzero(sizes)]
+    # a row for each pivot
+    widths = dict(placed.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())
+    sizing = [
+        (int(c), pieces(int(sizes[c]), per_cell), pieces(int(sizes[c]) + widths.get(int(c), 0), per_cell))
+        for c in np.flatnonzero(sizes)
+    ]
     plan = F.broadcast(spark.createDataFrame(sizing, "cell int, _rows int, _cols int"))
-    row_of, col_of = (F.pmod(F.xxhash64("rep", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "_rows"), (2, "_cols")))
+    row_of, col_of = (
+        F.pmod(F.xxhash64("rep", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "_rows"), (2, "_cols"))
+    )
     home_rows = placed.select("v", "rep", "weight", "cell").join(plan, "cell")
-    lines = home_rows.select("v", "rep", "weight", "cell", row_of.alias("i"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("k"), F.lit(True).alias("row"), F.lit(True).alias("own"))
-    spread = placed.mapInArrow(copies, "v array<double>, rep long, weight long, cell int").join(plan, "cell").withColumn("own", F.lit(False))
-    columns = home_rows.withColumn("own", F.lit(True)).unionByName(spread).select("v", "rep", "weight", "cell", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("i"), col_of.alias("k"), F.lit(False).alias("row"), "own")
+    lines = home_rows.select(
+        "v",
+        "rep",
+        "weight",
+        "cell",
+        row_of.alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("k"),
+        F.lit(True).alias("row"),
+        F.lit(True).alias("own"),
+    )
+    spread = (
+        placed.mapInArrow(copies, "v array<double>, rep long, weight long, cell int")
+        .join(plan, "cell")
+        .withColumn("own", F.lit(False))
+    )
+    columns = (
+        home_rows.withColumn("own", F.lit(True))
+        .unionByName(spread)
+        .select(
+            "v",
+            "rep",
+            "weight",
+            "cell",
+            F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("i"),
+            col_of.alias("k"),
+            F.lit(False).alias("row"),
+            "own",
+        )
+    )
     return lines.union(columns).groupBy("cell", "i", "k").applyInArrow(comparison(cosine), LINKS)

@@ -39,12 +39,26 @@ def build_record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     but no payload."""
     head = HTTP % len(payload)
     body = head if refers_to is not None else head + payload
-    lines = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"), b"WARC-Record-ID: " + record_id(page_id).encode(), b"WARC-Date: 2000-01-01T00:00:00Z"]
+    lines = [
+        b"WARC/1.1",
+        b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"),
+        b"WARC-Record-ID: " + record_id(page_id).encode(),
+        b"WARC-Date: 2000-01-01T00:00:00Z",
+    ]
     if url is not None:
-        lines.append(b"WARC-Target-URI: " + "".join(c if c.isprintable() else "%{:02X}".format(ord(c)) for c in url).encode())
-    lines += [b"WARC-Payload-Digest: sha256:" + digest.encode(), b"X-Page-ID: " + (b"" if page_id is None else str(page_id).encode())]
+        lines.append(
+            b"WARC-Target-URI: " + "".join(c if c.isprintable() else "%{:02X}".format(ord(c)) for c in url).encode()
+        )
+    lines += [
+        b"WARC-Payload-Digest: sha256:" + digest.encode(),
+        b"X-Page-ID: " + (b"" if page_id is None else str(page_id).encode()),
+    ]
     if refers_to is not None:
-        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + record_id(refers_to).encode(), b"X-Refers-To-Page-ID: " + str(refers_to).encode()]
+        lines += [
+            b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            b"WARC-Refers-To: " + record_id(refers_to).encode(),
+            b"X-Refers-To-Page-ID: " + str(refers_to).encode(),
+        ]
     lines += [b"Content-Type: application/http; msgtype=response", b"Content-Length: " + str(len(body)).encode()]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress(b"\r\n".join(lines) + b"\r\n\r\n" + body + b"\r\n\r\n") + pack.flush()
@@ -67,15 +81,39 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     more than a thousandth of all pages (fewer than a thousand of them) are joined by broadcast, and short ones are not
     joined at all, so that no body that many pages share is gathered in one task."""
     html = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"),
+        F.col(url_col).alias("url"),
+        html.alias("html"),
+        F.sha2(html, 256).alias("digest"),
+    )
     digests = materialize(rows.select("page_id", "digest", F.length("html").alias("n")), "payloads")
-    first = digests.where(F.col("n") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    first = (
+        digests.where(F.col("n") >= REVISIT_FROM)
+        .groupBy("digest")
+        .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
+        .where("_n > 1")
+    )
     first = materialize(first, "repeated")
     limit = max(digests.count() // 1000, 100)
     marked = rows.join(F.broadcast(first.where(F.col("_n") > limit).select("digest", "_first")), "digest", "left")
     done = F.col("_first").isNotNull() | (F.length("html") < REVISIT_FROM)
-    rest = marked.where(~done).drop("_first").join(first.where(F.col("_n") <= limit).select("digest", "_first"), "digest", "left")
-    return marked.where(done).unionByName(rest).select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    rest = (
+        marked.where(~done)
+        .drop("_first")
+        .join(first.where(F.col("_n") <= limit).select("digest", "_first"), "digest", "left")
+    )
+    return (
+        marked.where(done)
+        .unionByName(rest)
+        .select(
+            "page_id",
+            "url",
+            "html",
+            "digest",
+            F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"),
+        )
+    )
 
 
 def write_archives(records: DataFrame, folder: str, per_file: int = 1 << 28) -> DataFrame:
@@ -94,7 +132,11 @@ def write_archives(records: DataFrame, folder: str, per_file: int = 1 << 28) ->
                 if out is None or at >= per_file:
                     if out is not None:
                         out.close()
-                    name, at, number = f"part-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.gz", 0, number + 1
+                    name, at, number = (
+                        f"part-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.gz",
+                        0,
+                        number + 1,
+                    )
                     out = files.open_output_stream(f"{base}/{name}", compression=None)
                 data = build_record(r["page_id"], r["url"], r["html"], r["digest"], r["refers_to"])
                 out.write(data)
@@ -112,7 +154,16 @@ def write_archives(records: DataFrame, folder: str, per_file: int = 1 << 28) ->
 
 def _captures(rows: list) -> pa.RecordBatch:
     a, b, c, d, e = zip(*rows, strict=True) if rows else ([],) * 5
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, pa.int64()), pa.array(e, pa.int64())], names=["page_id", "key", "file", "at", "size"])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(a, pa.int64()),
+            pa.array(b, pa.string()),
+            pa.array(c, pa.string()),
+            pa.array(d, pa.int64()),
+            pa.array(e, pa.int64()),
+        ],
+        names=["page_id", "key", "file", "at", "size"],
+    )
 
 
 def write_index(captures: DataFrame, folder: str, per_block: int = 3000) -> DataFrame:
@@ -143,7 +194,9 @@ def write_index(captures: DataFrame, folder: str, per_block: int = 3000) -> Data
                 if not lines:
                     first = pair
                 last = pair
-                lines.append(f"{r['key']}\t{'' if r['page_id'] is None else r['page_id']}\t{r['file']}\t{r['at']}\t{r['size']}\n")
+                lines.append(
+                    f"{r['key']}\t{'' if r['page_id'] is None else r['page_id']}\t{r['file']}\t{r['at']}\t{r['size']}\n"
+                )
         if lines:
             flush()
         if out is not None:
@@ -152,8 +205,13 @@ def write_index(captures: DataFrame, folder: str, per_block: int = 3000) -> Data
         columns = zip(*blocks, strict=True) if blocks else ([],) * 6
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
 
-    ordered = captures.repartitionByRange(F.col("key").asc(), F.col("page_id").asc_nulls_first()).sortWithinPartitions("key", F.col("page_id").asc_nulls_first())
-    return materialize(ordered.mapInArrow(run, "first_key string, first_id long, file string, at long, size long, lines long"), "directory")
+    ordered = captures.repartitionByRange(F.col("key").asc(), F.col("page_id").asc_nulls_first()).sortWithinPartitions(
+        "key", F.col("page_id").asc_nulls_first()
+    )
+    return materialize(
+        ordered.mapInArrow(run, "first_key string, first_id long, file string, at long, size long, lines long"),
+        "directory",
+    )
 
 
 def _block_lines(stream, at: int, size: int) -> list[list[str]]:
@@ -171,9 +229,17 @@ def lookup(directory: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
     """
     spark = directory.sparkSession
     lowest = -(2**63)  # stands for a null page_id
-    entries = directory.select(F.col("file").alias("index"), "first_key", F.coalesce("first_id", F.lit(lowest)).alias("first_id"), "at", "size")
+    entries = directory.select(
+        F.col("file").alias("index"), "first_key", F.coalesce("first_id", F.lit(lowest)).alias("first_id"), "at", "size"
+    )
     wanted = wanted.select("key", F.coalesce("page_id", F.lit(lowest)).alias("page_id"))
-    heads = entries.groupBy("index").agg(F.min(F.struct("first_key", "first_id")).alias("h")).select("h.first_key", "h.first_id", "index").collect()  # a row for each index file
+    # a row for each index file
+    heads = (
+        entries.groupBy("index")
+        .agg(F.min(F.struct("first_key", "first_id")).alias("h"))
+        .select("h.first_key", "h.first_id", "index")
+        .collect()
+    )
     if not heads:
         return spark.createDataFrame([], CAPTURE)
     files = spark.sparkContext.broadcast(sorted((k.encode(), i, name) for k, i, name in heads))
@@ -182,7 +248,10 @@ def lookup(directory: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
         firsts = [x[:2] for x in files.value]
         for batch in batches:
             at = [max(0, bisect.bisect_right(firsts, (k.encode(), i)) - 1) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([files.value[i][2] for i in at], pa.string()), *batch.columns], names=["index", "key", "page_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([files.value[i][2] for i in at], pa.string()), *batch.columns],
+                names=["index", "key", "page_id"],
+            )
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         blocks = sorted((k.encode(), i, at, n) for k, i, at, n in zip(*(right[c].to_pylist() for c in ("first_key", "first_id", "at", "size")), strict=True))
@@ -190,7 +259,9 @@ def lookup(directory: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
         if left.num_rows:
             store, base = open_folder(folder)
             with store.open_input_file(f"{base}/{left['index'][0].as_py()}") as stream:
-                for key, page_id in sorted((k.encode(), i) for k, i in zip(left["key"].to_pylist(), left["page_id"].to_pylist(), strict=True)):
+                for key, page_id in sorted(
+                    (k.encode(), i) for k, i in zip(left["key"].to_pylist(), left["page_id"].to_pylist(), strict=True)
+                ):
                     block = max(0, bisect.bisect_right(firsts, (key, page_id)) - 1)
                     if block != last:
                         last, lines = block, _block_lines(stream, *blocks[block][2:])
@@ -222,19 +293,41 @@ def fetch(captures: DataFrame, folder: str) -> DataFrame:
                     stream.seek(r["at"])
                     rec = parse_record(stream.read(r["size"]))
                     response = rec["warc-type"] == "response"
-                    out.append((int(rec["x-page-id"]) if rec["x-page-id"] else None, rec.get("warc-target-uri"), rec["warc-type"], int(rec["x-refers-to-page-id"]) if not response else None, len(rec["payload"]) if response else int(rec["http-length"]), hashlib.sha256(rec["payload"]).hexdigest() if response else rec["warc-payload-digest"].removeprefix("sha256:"), rec["payload"] if response else None))
+                    out.append(
+                        (
+                            int(rec["x-page-id"]) if rec["x-page-id"] else None,
+                            rec.get("warc-target-uri"),
+                            rec["warc-type"],
+                            int(rec["x-refers-to-page-id"]) if not response else None,
+                            len(rec["payload"]) if response else int(rec["http-length"]),
+                            hashlib.sha256(rec["payload"]).hexdigest()
+                            if response
+                            else rec["warc-payload-digest"].removeprefix("sha256:"),
+                            rec["payload"] if response else None,
+                        )
+                    )
                 types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 7, types, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 7, types, strict=True)],
+                    names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"],
+                )
 
     slices = captures.withColumn("_slice", F.expr(f"at DIV {1 << 24}"))
     dealt = slices.repartition("file", "_slice").sortWithinPartitions("file", "at").select("file", "at", "size")
-    return dealt.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return dealt.mapInArrow(
+        read,
+        "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary",
+    )
 
 
 def resolve(records: DataFrame) -> DataFrame:
     """Replace what a revisit's header says of its payload by the length and digest of the response it names."""
     rows = materialize(records.drop("payload"), "records")
-    response = rows.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_digest", "payload_bytes")).alias("_r"))
+    response = (
+        rows.where("record_type = 'response' AND page_id IS NOT NULL")
+        .groupBy(F.col("page_id").alias("refers_to"))
+        .agg(F.max(F.struct("payload_digest", "payload_bytes")).alias("_r"))
+    )
     revisits = rows.where("refers_to IS NOT NULL").drop("payload_digest", "payload_bytes")
     named = response.join(revisits.groupBy("refers_to").agg(F.count("*").alias("_n")), "refers_to")
     found = join_groups(revisits, named, "refers_to", "_n").select("*", "_r.payload_digest", "_r.payload_bytes")

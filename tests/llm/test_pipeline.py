@@ -23,7 +23,9 @@ def test_stages(spark):
         outputs.append((name, given, got))
         if name != cp.STAGES[-1][0]:
             assert docs.columns == columns
-    assert [n for n, _, _ in outputs] == ["language_id", "exact_dedup", "minhash_near_dedup", "mix_sources", "bpe_encode"]
+    assert [n for n, _, _ in outputs] == [
+        "language_id", "exact_dedup", "minhash_near_dedup", "mix_sources", "bpe_encode"
+    ]
 
     _, given, got = outputs[0]
     worded = [r for r in given if r.text and any(c.isalpha() for c in r.text)]
@@ -53,7 +55,9 @@ def test_stages(spark):
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((r.doc_id, tuple(reference.encode_ordinary(r.text or ""))) for r in given)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter(
+        (r.doc_id, tuple(reference.encode_ordinary(r.text or ""))) for r in given
+    )
     assert all(r.round_trip for r in got)
 
 
