@@ -40,7 +40,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document is its id and text: rows equal in both are one document and stay together, other texts of the same id
     are judged by themselves. A null id loses to any other; where all ids of a text are null its rows all stay.
     """
-    kept = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    kept = (
+        exact.exact_dedup(docs)
+        .where("kept")
+        .select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_sha"))
+        .distinct()
+    )
     named = docs.withColumn("_sha", exact.text_sha256(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_kept_sha"))
     return named.join(kept, same, "left_semi").select(*_columns(docs))
@@ -51,7 +56,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are in no group and stay, so do rows with a null id; rows of one id stay or go together.
     """
-    gone = minhash.near_duplicates(docs, size=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = (
+        minhash.near_duplicates(docs, size=5, percent=80)
+        .where("NOT kept")
+        .select(F.col("doc_id").alias("_gone"))
+        .distinct()
+    )
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*_columns(docs))
 
 
@@ -61,7 +71,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are in no block and go. A null source is a source; rows that share an id, null ones too,
     are each taken as often as the one of them that is taken most; ties in the shuffled order break by id and size.
     """
-    taken = mixing.mix_sources(docs).docs.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    taken = (
+        mixing.mix_sources(docs).docs.where("copies > 0")
+        .groupBy("doc_id")
+        .agg(F.max("copies").cast("int").alias("_copies"))
+    )
     named = taken.select(F.col("doc_id").alias("_id"), "_copies")
     every = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")))
     return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*_columns(docs))
@@ -73,7 +87,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     codec = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     out = bpe.encode_documents(docs.select(*_columns(docs)), codec)
     whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
+    return out.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip")
+    )
 
 
 STAGES = [

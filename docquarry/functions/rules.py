@@ -57,11 +57,25 @@ METRIC_PATTERN = r"\d+ms|\d+%|TPS|QPS|并发"
 TABLE_PATTERN = r"\|.+\|"
 YEAR_PATTERN = r"(20\d{2})"
 NOT_A_PROJECT = r"20\d{2}|春季|夏季|summer|spring"
-NOISE_PATTERNS = (r"^[\*_~>]{0,3}\s*本条应.{0,60}$", r"^[\*_~>]{0,3}\s*说明：.*$", r"^[\*_~>]{0,3}\s*最终文档请删除.*$", r"(?i)^[\*_~>]{0,3}\s*\[?TOC\]?$")
+NOISE_PATTERNS = (
+    r"^[\*_~>]{0,3}\s*本条应.{0,60}$",
+    r"^[\*_~>]{0,3}\s*说明：.*$",
+    r"^[\*_~>]{0,3}\s*最终文档请删除.*$",
+    r"(?i)^[\*_~>]{0,3}\s*\[?TOC\]?$",
+)
 SUMMARY_TITLE = r"^(?:第?[一二三四五六七八九十百千\d]+[章节部分篇]?\s*)?(?:本章|本节|模块|阶段|单元)?(?:小结|总结|结论|回顾|总结与展望)(?:[：:]?.*)?$"
 SUMMARY_CHARACTERS = r"[\w一-龥\s、，,。.；;:：()（）《》【】\-]+"
 SPECIAL_PATTERNS = (r"(\|.+\|.+\n){2,}", r"(FR|NFR|IF|TC|SD)-\d+", r"```[\s\S]+?```")
-CONFIDENCE_WEIGHTS = (("year", 0.10), ("term", 0.15), ("doc_type", 0.25), ("phase", 0.20), ("artifact_type", 0.15), ("quality_level", 0.05), ("evidence_type", 0.05), ("status", 0.05))
+CONFIDENCE_WEIGHTS = (
+    ("year", 0.10),
+    ("term", 0.15),
+    ("doc_type", 0.25),
+    ("phase", 0.20),
+    ("artifact_type", 0.15),
+    ("quality_level", 0.05),
+    ("evidence_type", 0.05),
+    ("status", 0.05),
+)
 COURSE = "软件工程实践"
 CHUNK_MIN, CHUNK_MAX, CHUNK_OVERLAP = 200, 700, 100
 REVIEW_BELOW = 0.75

@@ -20,13 +20,22 @@ COUNTS = ["chunks_total", "chunks_inserted", "chunks_summary_scoped", "needs_rev
 def chunk_files(files: DataFrame, override: dict | None = None, recompute: bool = False) -> DataFrame:
     """Chunks with metadata of parsed files (file_path, file_name, pages, error). The document id follows from the path
     and a chunk's id from document and place, so ingesting a file again replaces its chunks."""
-    docs = files.where("error IS NULL AND size(pages) > 0").select("file_path", F.col("file_path").alias("source_file"), full_text(F.col("pages")).alias("body"), F.size("pages").alias("pages"))
-    docs = docs.withColumns({"document_id": document_key(F.col("file_path")), "first_heading": first_heading(F.col("body"))})
+    docs = files.where("error IS NULL AND size(pages) > 0").select(
+        "file_path",
+        F.col("file_path").alias("source_file"),
+        full_text(F.col("pages")).alias("body"),
+        F.size("pages").alias("pages"),
+    )
+    docs = docs.withColumns(
+        {"document_id": document_key(F.col("file_path")), "first_heading": first_heading(F.col("body"))}
+    )
     chunks = with_metadata(chunk_documents(docs), override=override, recompute=recompute)
     return chunks.withColumn("chunk_uuid", chunk_key(F.col("document_id"), F.col("chunk_index")))
 
 
-def ingest(store: ChunkStore, files: DataFrame, provider=None, override: dict | None = None, recompute: bool = False) -> DataFrame:
+def ingest(
+    store: ChunkStore, files: DataFrame, provider=None, override: dict | None = None, recompute: bool = False
+) -> DataFrame:
     """Write all files to the store; returns one report row per file: status ok, empty or error.
 
     Files are parsed once. The chunks of a batch get the store's next version; older chunks of the files that parsed
@@ -36,10 +45,19 @@ def ingest(store: ChunkStore, files: DataFrame, provider=None, override: dict |
     files = files.persist()
     try:
         store.append((provider or HashedTerms()).embed(chunk_files(files, override, recompute)), version)
-        store.hide(files.where("error IS NULL AND size(pages) > 0").select(F.col("file_path").alias("source_file")), version - 1)
+        store.hide(
+            files.where("error IS NULL AND size(pages) > 0").select(F.col("file_path").alias("source_file")),
+            version - 1,
+        )
         counted = ingest_report(store.batch(version), by="source_file")
         status = F.when(F.col("error").isNotNull(), "error").when(F.size("pages") == 0, "empty").otherwise("ok")
-        rows = files.select(F.col("file_path").alias("source_file"), document_key(F.col("file_path")).alias("document_id"), status.alias("status"), "error", F.size("pages").alias("pages"))
+        rows = files.select(
+            F.col("file_path").alias("source_file"),
+            document_key(F.col("file_path")).alias("document_id"),
+            status.alias("status"),
+            "error",
+            F.size("pages").alias("pages"),
+        )
         report = rows.join(counted, "source_file", "left").fillna(0, COUNTS)
         return store.report(report.withColumn("elapsed_seconds", F.lit(round(time.monotonic() - began, 3))), version)
     finally:

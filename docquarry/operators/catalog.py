@@ -106,8 +106,16 @@ def template_sections(spark: SparkSession, doc_types: list[str]) -> DataFrame:
         name = TEMPLATE_ALIASES.get(held, held)
         sections, place = TEMPLATE_SECTIONS.get(name), TEMPLATE_FILES.get(name)
         found = (name, sections, place, TEMPLATE_NOTE, None, None)
-        rows.append((asked, *(found if sections else (None, None, None, None, f"未找到文档类型 '{asked}' 的模版", list(TEMPLATE_SECTIONS)))))
-    return spark.createDataFrame(rows, "asked string, doc_type string, sections array<string>, template_path_hint string, usage_note string, error string, available_doc_types array<string>")
+        rows.append(
+            (
+                asked,
+                *(found if sections else (None, None, None, None, f"未找到文档类型 '{asked}' 的模版", list(TEMPLATE_SECTIONS))),
+            )
+        )
+    return spark.createDataFrame(
+        rows,
+        "asked string, doc_type string, sections array<string>, template_path_hint string, usage_note string, error string, available_doc_types array<string>",
+    )
 
 
 def suggest_skills(spark: SparkSession, phase: str | None = None, doc_type: str | None = None) -> DataFrame:
@@ -116,7 +124,9 @@ def suggest_skills(spark: SparkSession, phase: str | None = None, doc_type: str
     held = (doc_type or "").strip()
     resolved = DOC_TYPE_PHASE.get(TEMPLATE_ALIASES.get(held, held)) or DOC_TYPE_PHASE.get(doc_type or "") or phase
     rows = [*(SKILLS.get(resolved, []) if resolved else []), *SKILLS["all"]]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "position int, skill string, trigger string, description string")
+    return spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)], "position int, skill string, trigger string, description string"
+    )
 
 
 def project_chain(store: DataFrame, project_id: str | None = None, limit: int = CHAIN_LIMIT) -> DataFrame:
@@ -124,8 +134,15 @@ def project_chain(store: DataFrame, project_id: str | None = None, limit: int =
     place, chunk_uuid, text, section_path, doc_type, quality_level."""
     rows = store.where(F.col("phase").isin(*PHASES))
     rows = rows if project_id is None else rows.where(F.col("project_id") == project_id)
-    head = rows.withColumn("_n", F.row_number().over(Window.partitionBy("project_id", "phase").orderBy("chunk_uuid"))).where(F.col("_n") <= limit)
-    quality = F.when(F.col("quality_level") == "high", 0).when(F.col("quality_level") == "medium", 1).when(F.col("quality_level") == "low", 2).otherwise(3)
+    head = rows.withColumn(
+        "_n", F.row_number().over(Window.partitionBy("project_id", "phase").orderBy("chunk_uuid"))
+    ).where(F.col("_n") <= limit)
+    quality = (
+        F.when(F.col("quality_level") == "high", 0)
+        .when(F.col("quality_level") == "medium", 1)
+        .when(F.col("quality_level") == "low", 2)
+        .otherwise(3)
+    )
     place = F.row_number().over(Window.partitionBy("project_id", "phase").orderBy(quality, "_n")).alias("place")
     return head.select("project_id", "phase", place, "chunk_uuid", "text", "section_path", "doc_type", "quality_level")
 
@@ -136,13 +153,40 @@ def _canonical(doc_type):
 
 
 def _source(hits: DataFrame, *names: str) -> DataFrame:
-    return hits.select("text", F.struct(*(F.col(f"metadata.{n}").alias(n) for n in names)).alias("source"), F.col("composite_score").alias("score"), "why_hit")
-
-
-def search_course_docs(store: DataFrame, embed, query: str, phase=None, term=None, doc_type=None, quality_level=None, artifact_type=None, use_reranker: bool = True) -> DataFrame:
+    return hits.select(
+        "text",
+        F.struct(*(F.col(f"metadata.{n}").alias(n) for n in names)).alias("source"),
+        F.col("composite_score").alias("score"),
+        "why_hit",
+    )
+
+
+def search_course_docs(
+    store: DataFrame,
+    embed,
+    query: str,
+    phase=None,
+    term=None,
+    doc_type=None,
+    quality_level=None,
+    artifact_type=None,
+    use_reranker: bool = True,
+) -> DataFrame:
     """Search without a project filter. ``embed`` maps a text to (dense, sparse)."""
-    hits = search(store, query, *embed(query), phase=phase, term=term, doc_type=_canonical(doc_type), quality_level=quality_level, artifact_type=artifact_type, use_reranker=use_reranker)
-    return _source(hits, "project_id", "doc_type", "phase", "section_path", "quality_level", "year", "term").withColumnRenamed("why_hit", "why")
+    hits = search(
+        store,
+        query,
+        *embed(query),
+        phase=phase,
+        term=term,
+        doc_type=_canonical(doc_type),
+        quality_level=quality_level,
+        artifact_type=artifact_type,
+        use_reranker=use_reranker,
+    )
+    return _source(
+        hits, "project_id", "doc_type", "phase", "section_path", "quality_level", "year", "term"
+    ).withColumnRenamed("why_hit", "why")
 
 
 def phase_examples(store: DataFrame, embed, phase: str, doc_type=None, topic_hint=None, n: int = 5) -> DataFrame:
@@ -153,12 +197,23 @@ def phase_examples(store: DataFrame, embed, phase: str, doc_type=None, topic_hin
     return _source(hits, "project_id", "doc_type", "section_path", "year", "term").drop("why_hit").limit(n)
 
 
-def search_by_section(store: DataFrame, embed, section_path: str, doc_type=None, phase=None, quality_level=None, n: int = 3) -> DataFrame:
+def search_by_section(
+    store: DataFrame, embed, section_path: str, doc_type=None, phase=None, quality_level=None, n: int = 3
+) -> DataFrame:
     """Examples of one template section; its path is the query text."""
-    hits = search(store, section_path, *embed(section_path), phase=phase, doc_type=_canonical(doc_type), quality_level=["high"] if quality_level is None else quality_level)
+    hits = search(
+        store,
+        section_path,
+        *embed(section_path),
+        phase=phase,
+        doc_type=_canonical(doc_type),
+        quality_level=["high"] if quality_level is None else quality_level,
+    )
     return _source(hits, "project_id", "doc_type", "section_path", "year", "term").drop("why_hit").limit(n)
 
 
 def search_documents(store: DataFrame, embed, query: str, use_reranker: bool = True, **params) -> DataFrame:
     """Search with normalized request parameters."""
-    return search(store, query, *embed(query), use_reranker=use_reranker, **{k: normalize_value(v) for k, v in params.items()})
+    return search(
+        store, query, *embed(query), use_reranker=use_reranker, **{k: normalize_value(v) for k, v in params.items()}
+    )

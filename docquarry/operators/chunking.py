@@ -20,18 +20,30 @@ def structural_sections(text: Column) -> Column:
     """Array of (path, text). H1 and H2 always open a section; H3 only when the buffered text, stripped, has at
     least twice the largest chunk. The path is the stack of titles above and including the section's heading."""
     units = F.split(unify_breaks(text), py(rf"(?<=\n)(?={_IN_LINE}*#{{1,3}}{_IN_LINE}+[^\s\x1c-\x1f])"), -1)
-    start = F.struct(F.array().cast("array<struct<level:int,title:string>>").alias("stack"), F.lit("").alias("buf"), F.array().cast(f"array<{_PART}>").alias("out"))
+    start = F.struct(
+        F.array().cast("array<struct<level:int,title:string>>").alias("stack"),
+        F.lit("").alias("buf"),
+        F.array().cast(f"array<{_PART}>").alias("out"),
+    )
 
     def push(a):
-        part = F.struct(F.array_join(F.transform(a.stack, lambda s: s.title), " > ").alias("path"), F.regexp_replace(a.buf, r"\n\z", "").alias("text"))
+        part = F.struct(
+            F.array_join(F.transform(a.stack, lambda s: s.title), " > ").alias("path"),
+            F.regexp_replace(a.buf, r"\n\z", "").alias("text"),
+        )
         return F.when(is_blank(a.buf), a.out).otherwise(F.concat(a.out, F.array(part)))
 
     def step(a, unit):
         line = F.substring_index(unit, "\n", 1)
         level = F.coalesce(heading_level(line), F.lit(0)).cast("int")
         opens = level.isin(1, 2) | ((level == 3) & (F.length(strip(a.buf)) >= 2 * rules.CHUNK_MAX))
-        above = F.concat(F.filter(a.stack, lambda s: s.level < level), F.array(F.struct(level.alias("level"), F.coalesce(heading_title(line), F.lit("")).alias("title"))))
-        return F.when(opens, F.struct(above.alias("stack"), unit.alias("buf"), push(a).alias("out"))).otherwise(F.struct(a.stack.alias("stack"), F.concat(a.buf, unit).alias("buf"), a.out.alias("out")))
+        above = F.concat(
+            F.filter(a.stack, lambda s: s.level < level),
+            F.array(F.struct(level.alias("level"), F.coalesce(heading_title(line), F.lit("")).alias("title"))),
+        )
+        return F.when(opens, F.struct(above.alias("stack"), unit.alias("buf"), push(a).alias("out"))).otherwise(
+            F.struct(a.stack.alias("stack"), F.concat(a.buf, unit).alias("buf"), a.out.alias("out"))
+        )
 
     return F.aggregate(units, start, step, push)
 
@@ -43,14 +55,27 @@ def summary_sections(text: Column) -> Column:
     def cut(all_lines, starts):
         def part(m, k):
             end = F.coalesce(F.get(starts, k + 1).i, F.size(all_lines))
-            return F.struct(F.coalesce(m.title, F.lit("")).alias("path"), strip(F.array_join(F.slice(all_lines, m.i + 1, end - m.i), "\n")).alias("text"))
+            return F.struct(
+                F.coalesce(m.title, F.lit("")).alias("path"),
+                strip(F.array_join(F.slice(all_lines, m.i + 1, end - m.i), "\n")).alias("text"),
+            )
 
         return F.filter(F.transform(starts, part), lambda p: p.text != "")
 
     def marked(all_lines):
-        titled = F.filter(F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), summary_boundary(x).alias("title"))), lambda m: (m.i == 0) | m.title.isNotNull())
-        filled = F.array_min(F.filter(F.transform(all_lines, lambda x, i: F.when(~is_blank(x), i)), lambda i: i.isNotNull()))
-        return let(filled, lambda first: let(F.filter(titled, lambda m: (m.i == 0) | (m.i > first)), lambda starts: cut(all_lines, starts)))
+        titled = F.filter(
+            F.transform(all_lines, lambda x, i: F.struct(i.alias("i"), summary_boundary(x).alias("title"))),
+            lambda m: (m.i == 0) | m.title.isNotNull(),
+        )
+        filled = F.array_min(
+            F.filter(F.transform(all_lines, lambda x, i: F.when(~is_blank(x), i)), lambda i: i.isNotNull())
+        )
+        return let(
+            filled,
+            lambda first: let(
+                F.filter(titled, lambda m: (m.i == 0) | (m.i > first)), lambda starts: cut(all_lines, starts)
+            ),
+        )
 
     return let(lines(text), marked)
 
@@ -71,13 +96,29 @@ def semantic_windows(text: Column) -> Column:
 
     def step(a, s):
         fits = (F.length(a.buf) + F.length(s) <= rules.CHUNK_MAX) | (F.length(a.buf) < rules.CHUNK_MIN)
-        return F.when(fits, F.struct(F.concat(a.buf, s).alias("buf"), a.out.alias("out"))).otherwise(F.struct(F.concat(F.right(a.buf, F.lit(rules.CHUNK_OVERLAP)), s).alias("buf"), F.concat(a.out, F.array(strip(a.buf))).alias("out")))
-
-    return F.aggregate(sentences, start, step, lambda a: F.when(F.length(strip(a.buf)) >= rules.CHUNK_MIN // 2, F.concat(a.out, F.array(strip(a.buf)))).otherwise(a.out))
+        return F.when(fits, F.struct(F.concat(a.buf, s).alias("buf"), a.out.alias("out"))).otherwise(
+            F.struct(
+                F.concat(F.right(a.buf, F.lit(rules.CHUNK_OVERLAP)), s).alias("buf"),
+                F.concat(a.out, F.array(strip(a.buf))).alias("out"),
+            )
+        )
+
+    return F.aggregate(
+        sentences,
+        start,
+        step,
+        lambda a: F.when(
+            F.length(strip(a.buf)) >= rules.CHUNK_MIN // 2, F.concat(a.out, F.array(strip(a.buf)))
+        ).otherwise(a.out),
+    )
 
 
 def scoped_path(section: Column, boundary: Column) -> Column:
-    return F.when(boundary == "", section).when(section == "", boundary).otherwise(F.concat(section, F.lit(" > "), boundary))
+    return (
+        F.when(boundary == "", section)
+        .when(section == "", boundary)
+        .otherwise(F.concat(section, F.lit(" > "), boundary))
+    )
 
 
 def chunks_of(text: Column) -> Column:
@@ -87,7 +128,10 @@ def chunks_of(text: Column) -> Column:
         def cut(part):
             path = scoped_path(section.path, part.path)
             whole = is_special(part.text) | (F.length(part.text) <= rules.CHUNK_MAX)
-            return F.transform(F.when(whole, F.array(strip(part.text))).otherwise(semantic_windows(part.text)), lambda t: F.struct(path.alias("path"), t.alias("text")))
+            return F.transform(
+                F.when(whole, F.array(strip(part.text))).otherwise(semantic_windows(part.text)),
+                lambda t: F.struct(path.alias("path"), t.alias("text")),
+            )
 
         return F.flatten(F.transform(summary_sections(section.text), cut))
 
@@ -98,5 +142,12 @@ def chunk_documents(docs: DataFrame, text_col: str = "body") -> DataFrame:
     """One row per chunk: the columns of ``docs`` without the text, chunk_index (from 0), section_path, text. Null
     and blank texts have no chunks."""
     kept = [c for c in docs.columns if c not in (text_col, "chunk_index", "section_path", "text")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.posexplode(chunks_of(F.col(text_col))).alias("chunk_index", "_chunk"))
-    return rows.select(*(F.col(f"`{c}`") for c in kept), "chunk_index", F.col("_chunk.path").alias("section_path"), F.col("_chunk.text").alias("text"))
+    rows = docs.select(
+        *(F.col(f"`{c}`") for c in kept), F.posexplode(chunks_of(F.col(text_col))).alias("chunk_index", "_chunk")
+    )
+    return rows.select(
+        *(F.col(f"`{c}`") for c in kept),
+        "chunk_index",
+        F.col("_chunk.path").alias("section_path"),
+        F.col("_chunk.text").alias("text"),
+    )

@@ -21,10 +21,19 @@ def term_weights(text: Column) -> Column:
     """Sparse vector: hash of each term -> how often it occurs."""
 
     def counted(found, starts):
-        return F.map_from_entries(F.transform(starts, lambda i, k: F.struct(F.get(found, i), (F.coalesce(F.get(starts, k + 1), F.size(found)) - i).cast("float"))))
+        return F.map_from_entries(
+            F.transform(
+                starts,
+                lambda i, k: F.struct(
+                    F.get(found, i), (F.coalesce(F.get(starts, k + 1), F.size(found)) - i).cast("float")
+                ),
+            )
+        )
 
     def runs(found):
-        heads = F.filter(F.transform(found, lambda t, i: F.when((i == 0) | (t != F.get(found, i - 1)), i)), lambda i: i.isNotNull())
+        heads = F.filter(
+            F.transform(found, lambda t, i: F.when((i == 0) | (t != F.get(found, i - 1)), i)), lambda i: i.isNotNull()
+        )
         return let(heads, lambda starts: counted(found, starts))
 
     return let(F.sort_array(F.transform(terms(text), lambda t: F.xxhash64(t))), runs)
@@ -33,7 +42,12 @@ def term_weights(text: Column) -> Column:
 def term_vector(text: Column, dims: int) -> Column:
     """Dense vector: term counts in ``dims`` buckets of the hash."""
     bucket = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)))
-    return let(bucket, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("float")))
+    return let(
+        bucket,
+        lambda own: F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("float")
+        ),
+    )
 
 
 @dataclass
@@ -43,7 +57,9 @@ class HashedTerms:
     dims: int = 64
 
     def embed(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        return df.withColumns({"dense": term_vector(F.col(text_col), self.dims), "sparse": term_weights(F.col(text_col))})
+        return df.withColumns(
+            {"dense": term_vector(F.col(text_col), self.dims), "sparse": term_weights(F.col(text_col))}
+        )
 
 
 @dataclass
@@ -54,7 +70,11 @@ class Precomputed:
     key: str
 
     def embed(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        vectors = self.vectors if "sparse" in self.vectors.columns else self.vectors.withColumn("sparse", F.create_map().cast("map<bigint,float>"))
+        vectors = (
+            self.vectors
+            if "sparse" in self.vectors.columns
+            else self.vectors.withColumn("sparse", F.create_map().cast("map<bigint,float>"))
+        )
         return df.join(vectors.select(self.key, "dense", "sparse"), self.key)
 
 

@@ -82,10 +82,14 @@ def canonical_doc_type(c: Column, aliases=None) -> Column:
     return F.when(held != "", F.coalesce(F.try_element_at(table, held), held))
 
 
-def conjunction(term=None, phase=None, doc_type=None, project_id=None, quality_level=None, artifact_type=None) -> Column | None:
+def conjunction(
+    term=None, phase=None, doc_type=None, project_id=None, quality_level=None, artifact_type=None
+) -> Column | None:
     """Predicate of all given parameters; falsy ones add nothing; None if nothing is given. A missing field never
     matches."""
-    given = {"term": term, "phase": phase, "doc_type": doc_type, "project_id": project_id, "artifact_type": artifact_type}
+    given = {
+        "term": term, "phase": phase, "doc_type": doc_type, "project_id": project_id, "artifact_type": artifact_type
+    }
     parts = [F.col(k) == v for k, v in given.items() if v]
     if quality_level:
         parts.append(F.col("quality_level").isin(*quality_level))
@@ -97,7 +101,9 @@ def contains_any(c: Column, values: list[str]) -> Column:
     return F.arrays_overlap(c, F.array(*map(F.lit, values)))
 
 
-def relaxed(term=None, phase=None, doc_type=None, project_id=None, quality_level=None, artifact_type=None) -> list[Column | None]:
+def relaxed(term=None, phase=None, doc_type=None, project_id=None, quality_level=None, artifact_type=None) -> list[
+    Column | None
+]:
     """Predicates from strict to loose: all; without doc_type, quality and artifact; without phase; without term.
     project_id always stays; levels that add nothing are left out."""
     levels = [

@@ -44,7 +44,14 @@ def heading_title(line: Column) -> Column:
 
 def first_heading(text: Column) -> Column:
     """First line that starts with ``#``, without its marks; empty if there is none."""
-    return F.coalesce(strip(F.regexp_replace(F.try_element_at(F.filter(lines(text), lambda x: x.startswith("#")), F.lit(1)), r"\A#+", "")), F.lit(""))
+    return F.coalesce(
+        strip(
+            F.regexp_replace(
+                F.try_element_at(F.filter(lines(text), lambda x: x.startswith("#")), F.lit(1)), r"\A#+", ""
+            )
+        ),
+        F.lit(""),
+    )
 
 
 def heading_from_size(size: Column, bold: Column) -> Column:
@@ -63,21 +70,32 @@ def heading_from_style(style: Column) -> Column:
 def table_to_markdown(rows: Column) -> Column:
     """Markdown for ``array<array<string>>``: rows without content dropped, cells on one line, rows padded to the
     widest, the first row as header; empty text if nothing is left."""
-    held = F.filter(rows, lambda r: F.exists(F.coalesce(r, F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")) != ""))
-    cells = F.transform(held, lambda r: F.transform(r, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))))
+    held = F.filter(
+        rows,
+        lambda r: F.exists(F.coalesce(r, F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")) != ""),
+    )
+    cells = F.transform(
+        held, lambda r: F.transform(r, lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))))
+    )
     width = F.array_max(F.transform(cells, F.size))
     full = F.transform(cells, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
 
     def line(r):
         return F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
 
-    body = F.when(F.size(full) > 1, F.slice(full, F.lit(2), F.size(full))).otherwise(F.array(F.array_repeat(F.lit(""), width)))
-    text = F.array_join(F.concat(F.array(line(full[0]), line(F.array_repeat(F.lit("---"), width))), F.transform(body, line)), "\n")
+    body = F.when(F.size(full) > 1, F.slice(full, F.lit(2), F.size(full))).otherwise(
+        F.array(F.array_repeat(F.lit(""), width))
+    )
+    text = F.array_join(
+        F.concat(F.array(line(full[0]), line(F.array_repeat(F.lit("---"), width))), F.transform(body, line)), "\n"
+    )
     return F.when(F.size(held) > 0, text).otherwise("")
 
 
 def image_note(count: Column) -> Column:
-    return F.when(count > 0, F.concat(F.lit("> [图例：本页包含 "), count.cast("string"), F.lit(" 张图片/架构图，详情请参考原始文档。]"))).otherwise("")
+    return F.when(
+        count > 0, F.concat(F.lit("> [图例：本页包含 "), count.cast("string"), F.lit(" 张图片/架构图，详情请参考原始文档。]"))
+    ).otherwise("")
 
 
 def rebuild_lines(words: DataFrame) -> DataFrame:
@@ -85,10 +103,25 @@ def rebuild_lines(words: DataFrame) -> DataFrame:
     the word before it while their rounded tops differ by less than 3. Output: doc, page, line, text."""
     order = Window.partitionBy("doc", "page").orderBy("seq")
     y = F.bround(F.coalesce("top", F.lit(0.0)), 1)
-    placed = words.withColumn("_y", y).withColumn("_new", (F.abs(F.col("_y") - F.lag("_y").over(order)) >= 3).cast("int"))
+    placed = words.withColumn("_y", y).withColumn(
+        "_new", (F.abs(F.col("_y") - F.lag("_y").over(order)) >= 3).cast("int")
+    )
     placed = placed.withColumn("line", F.sum(F.coalesce("_new", F.lit(0))).over(order))
-    made = placed.groupBy("doc", "page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda w: w.text), " ").alias("_text"), F.avg(F.coalesce("size", F.lit(10.0))).alias("_size"), F.max(F.coalesce("fontname", F.lit("")).rlike("Bold|bold")).alias("_bold"))
-    return made.select("doc", "page", "line", F.concat(F.coalesce(heading_from_size(F.col("_size"), F.col("_bold")), F.lit("")), clean_line(F.col("_text"))).alias("text"))
+    made = placed.groupBy("doc", "page", "line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda w: w.text), " ").alias(
+            "_text"
+        ),
+        F.avg(F.coalesce("size", F.lit(10.0))).alias("_size"),
+        F.max(F.coalesce("fontname", F.lit("")).rlike("Bold|bold")).alias("_bold"),
+    )
+    return made.select(
+        "doc",
+        "page",
+        "line",
+        F.concat(
+            F.coalesce(heading_from_size(F.col("_size"), F.col("_bold")), F.lit("")), clean_line(F.col("_text"))
+        ).alias("text"),
+    )
 
 
 def normalize_title(title: Column) -> Column:
@@ -100,7 +133,11 @@ def summary_boundary(line: Column) -> Column:
     settled by that."""
 
     def boundary(title):
-        short = (F.length(title) <= 32) & (title.contains("小结") | title.endswith("总结") | title.endswith("结论")) & title.rlike(py(rf"\A{rules.SUMMARY_CHARACTERS}\z"))
+        short = (
+            (F.length(title) <= 32)
+            & (title.contains("小结") | title.endswith("总结") | title.endswith("结论"))
+            & title.rlike(py(rf"\A{rules.SUMMARY_CHARACTERS}\z"))
+        )
         return F.when((title != "") & (title.rlike(py(rules.SUMMARY_TITLE)) | short), title)
 
     likely = line.contains("小结") | line.contains("总结") | line.contains("结论") | line.contains("回顾")

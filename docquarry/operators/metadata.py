@@ -29,7 +29,9 @@ def doc_type_of(name: Column) -> tuple[Column, Column]:
 
 def project_of(path: Column) -> Column:
     """Slug of the parent folder; null for a year or term folder or no folder."""
-    parent = F.when(path.rlike(r"\A/+[^/]+/*\z"), F.lit("/")).otherwise(F.regexp_extract(path, r"([^/]+)/+[^/]+/*\z", 1))
+    parent = F.when(path.rlike(r"\A/+[^/]+/*\z"), F.lit("/")).otherwise(
+        F.regexp_extract(path, r"([^/]+)/+[^/]+/*\z", 1)
+    )
     usable = (parent != "") & ~parent.rlike(rf"(?iUd)\A(?:{rules.NOT_A_PROJECT})\z")
     return F.when(usable, F.substring(F.regexp_replace(parent, py(r"[^\w\-]"), "_"), 1, 32))
 
@@ -55,7 +57,12 @@ def trace_edges(req: Column, test: Column, design: Column) -> Column:
 
 def quality_of(text: Column) -> tuple[Column, Column]:
     """(level, certainty)."""
-    signs = [text.rlike(py(rules.REQ_PATTERN)) | text.rlike(py(rules.TEST_PATTERN)), text.rlike(py(rules.METRIC_PATTERN)), text.contains("```"), text.rlike(py(rules.TABLE_PATTERN))]
+    signs = [
+        text.rlike(py(rules.REQ_PATTERN)) | text.rlike(py(rules.TEST_PATTERN)),
+        text.rlike(py(rules.METRIC_PATTERN)),
+        text.contains("```"),
+        text.rlike(py(rules.TABLE_PATTERN)),
+    ]
     score = sum((s.cast("int") for s in signs[1:]), signs[0].cast("int"))
     high, low = (score >= 2) & (F.length(text) >= 200), F.length(text) < 80
     return F.when(high, "high").when(low, "low").otherwise("medium"), F.when(high, 0.80).when(low, 0.75).otherwise(0.70)
@@ -66,7 +73,15 @@ def chunk_id(year: Column, term: Column, project: Column, doc_type: Column, inde
         c = F.coalesce(F.when(c != "", c), F.lit("unk"))
         return F.substring(c, 1, n) if n else c
 
-    return F.concat_ws("-", known(year.cast("string")), F.replace(known(term), F.lit(" "), F.lit("")), known(project, 12), known(doc_type, 8), index.cast("string"), F.substring(F.md5(F.encode(F.substring(text, 1, 50), "UTF-8")), 1, 6))
+    return F.concat_ws(
+        "-",
+        known(year.cast("string")),
+        F.replace(known(term), F.lit(" "), F.lit("")),
+        known(project, 12),
+        known(doc_type, 8),
+        index.cast("string"),
+        F.substring(F.md5(F.encode(F.substring(text, 1, 50), "UTF-8")), 1, 6),
+    )
 
 
 def confidences(df: DataFrame) -> DataFrame:
@@ -75,14 +90,36 @@ def confidences(df: DataFrame) -> DataFrame:
     def when(name, value):
         return F.when(F.col(name).isNotNull(), F.lit(value)).otherwise(0.0)
 
-    conf = {"year": when("year", 1.0), "term": when("term", 1.0), "doc_type": when("doc_type", 0.98), "phase": when("doc_type", 0.98), "project_id": when("project_id", 0.90), "artifact_type": when("artifact_type", 0.85), "evidence_type": when("evidence_type", 0.85), "status": when("status", 0.80), "quality_level": F.col("_quality")}
+    conf = {
+        "year": when("year", 1.0),
+        "term": when("term", 1.0),
+        "doc_type": when("doc_type", 0.98),
+        "phase": when("doc_type", 0.98),
+        "project_id": when("project_id", 0.90),
+        "artifact_type": when("artifact_type", 0.85),
+        "evidence_type": when("evidence_type", 0.85),
+        "status": when("status", 0.80),
+        "quality_level": F.col("_quality"),
+    }
     total = F.lit(0.0)
     for name, weight in rules.CONFIDENCE_WEIGHTS:
         total = total + conf[name] * weight
-    return df.withColumns({"confidence": F.struct(*(c.alias(n) for n, c in conf.items())), "_overall": total / sum(w for _, w in rules.CONFIDENCE_WEIGHTS)})
-
-
-def with_metadata(chunks: DataFrame, path_col: str = "file_path", heading_col: str = "first_heading", course: str = rules.COURSE, override: dict | None = None, recompute: bool = False) -> DataFrame:
+    return df.withColumns(
+        {
+            "confidence": F.struct(*(c.alias(n) for n, c in conf.items())),
+            "_overall": total / sum(w for _, w in rules.CONFIDENCE_WEIGHTS),
+        }
+    )
+
+
+def with_metadata(
+    chunks: DataFrame,
+    path_col: str = "file_path",
+    heading_col: str = "first_heading",
+    course: str = rules.COURSE,
+    override: dict | None = None,
+    recompute: bool = False,
+) -> DataFrame:
     """All metadata columns of each chunk (chunk_index, section_path, text, a path and the first heading).
 
     ``override`` holds project_id, term, year; truthy values replace what was inferred. chunk_id, confidence and the

@@ -55,18 +55,29 @@ def ingest_report(chunks: DataFrame, by: str = "document_id", shown: int = 20) -
     def filled(name):
         return F.bround(100 * F.count_if(F.coalesce(F.col(name), F.lit("")) != "") / F.count("*"), 1)
 
-    summary = F.col("section_path").contains("小结") | F.col("section_path").contains("总结") | F.col("section_path").contains("结论")
+    summary = (
+        F.col("section_path").contains("小结")
+        | F.col("section_path").contains("总结")
+        | F.col("section_path").contains("结论")
+    )
     item = F.when(F.col("_needs_review"), F.struct("chunk_index", "chunk_id"))
     totals = chunks.groupBy(by).agg(
         F.count("*").alias("chunks_total"), F.count_if(summary).alias("chunks_summary_scoped"), F.count("*").alias("chunks_inserted"), F.count_if("_needs_review").alias("needs_review_count"),
         filled("term").alias("has_term_pct"), filled("phase").alias("has_phase_pct"), filled("doc_type").alias("has_doc_type_pct"), F.collect_list(item).alias("_items"),
     )
-    named = F.transform(F.slice(F.array_sort("_items"), 1, shown), lambda x: F.struct(x.chunk_id.alias("chunk_id"), F.lit("low_confidence").alias("reason")))
+    named = F.transform(
+        F.slice(F.array_sort("_items"), 1, shown),
+        lambda x: F.struct(x.chunk_id.alias("chunk_id"), F.lit("low_confidence").alias("reason")),
+    )
     return totals.withColumn("needs_review_items", named).drop("_items")
 
 
 def batch_totals(reports: DataFrame) -> DataFrame:
-    return reports.agg(F.count("*").alias("files"), F.coalesce(F.sum("chunks_inserted"), F.lit(0)).alias("total_chunks"), F.coalesce(F.sum("needs_review_count"), F.lit(0)).alias("total_review"))
+    return reports.agg(
+        F.count("*").alias("files"),
+        F.coalesce(F.sum("chunks_inserted"), F.lit(0)).alias("total_chunks"),
+        F.coalesce(F.sum("needs_review_count"), F.lit(0)).alias("total_review"),
+    )
 
 
 @dataclass
@@ -91,7 +102,11 @@ class ChunkStore:
 
     def next_version(self) -> int:
         """One more than any version that the store holds: the only clock. Writers are expected one at a time."""
-        tops = [self._read("chunks", STORE).agg(F.max("version")), self._read("tombstones", GONE).agg(F.max("until")), self._read("reports", REPORT).agg(F.max("version"))]
+        tops = [
+            self._read("chunks", STORE).agg(F.max("version")),
+            self._read("tombstones", GONE).agg(F.max("until")),
+            self._read("reports", REPORT).agg(F.max("version")),
+        ]
         return 1 + max(t.first()[0] or 0 for t in tops)
 
     def append(self, chunks: DataFrame, version: int) -> None:
@@ -100,7 +115,12 @@ class ChunkStore:
             check_dimension(chunks, self.dims)
         have = set(chunks.columns)
         rows = chunks.withColumn("version", F.lit(version).cast("long"))
-        rows = rows.select(*((F.col(f.name) if f.name in have or f.name == "version" else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORE))
+        rows = rows.select(
+            *(
+                (F.col(f.name) if f.name in have or f.name == "version" else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in STORE
+            )
+        )
         rows.write.mode("append").parquet(f"{self.path}/chunks")
 
     def batch(self, version: int) -> DataFrame:
@@ -109,13 +129,19 @@ class ChunkStore:
 
     def read(self) -> DataFrame:
         rows = self._read("chunks", STORE)
-        latest = rows.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_uuid").orderBy(F.desc("version")))).where("_n = 1").drop("_n")
+        latest = (
+            rows.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_uuid").orderBy(F.desc("version"))))
+            .where("_n = 1")
+            .drop("_n")
+        )
         dead = self._read("tombstones", GONE).groupBy("source_file").agg(F.max("until").alias("until"))
         return latest.join(dead, (latest.source_file == dead.source_file) & (latest.version <= dead.until), "left_anti")
 
     def hide(self, source_files: DataFrame, until: int) -> None:
         """Hide the chunks of all ``source_files`` (source_file) up to the version ``until``."""
-        source_files.select("source_file", F.lit(until).cast("long").alias("until")).write.mode("append").parquet(f"{self.path}/tombstones")
+        source_files.select("source_file", F.lit(until).cast("long").alias("until")).write.mode("append").parquet(
+            f"{self.path}/tombstones"
+        )
 
     def delete(self, source_file: str) -> int:
         """Hide all chunks of a file; returns how many there were."""
@@ -128,7 +154,9 @@ class ChunkStore:
         """Add the report rows of a batch and read them back."""
         schema = T.StructType.fromDDL(REPORT)
         typed = rows.withColumn("version", F.lit(version).cast("long"))
-        typed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(f"{self.path}/reports")
+        typed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(
+            f"{self.path}/reports"
+        )
         return self._read("reports", REPORT).where(F.col("version") == version).drop("version")
 
     def compact(self, target: str) -> ChunkStore:

@@ -31,7 +31,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).selectExpr("doc_id", "lang", "source", f"{FILE_PATH} AS file_path", f"{BODY} AS body")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).selectExpr(
+        "doc_id", "lang", "source", f"{FILE_PATH} AS file_path", f"{BODY} AS body"
+    )
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +56,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with all metadata and a printable key."""
-    return with_metadata(chunks(spark, sf_dir)).withColumns({"chunk_uuid": F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("-"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")), "source_file": F.col("file_path")})
+    return with_metadata(chunks(spark, sf_dir)).withColumns(
+        {
+            "chunk_uuid": F.concat(
+                F.lpad(F.col("doc_id").cast("string"), 9, "0"),
+                F.lit("-"),
+                F.lpad(F.col("chunk_index").cast("string"), 5, "0"),
+            ),
+            "source_file": F.col("file_path"),
+        }
+    )

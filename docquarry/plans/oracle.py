@@ -21,7 +21,11 @@ def case(text: str, table, value: int = 1) -> str:
 
 
 def words(text: str, table) -> str:
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({text}, {q(w)})" for w in ws) + f" THEN {q(n)}" for n, ws in table) + " END"
+    return (
+        "CASE "
+        + " ".join("WHEN " + " OR ".join(f"contains({text}, {q(w)})" for w in ws) + f" THEN {q(n)}" for n, ws in table)
+        + " END"
+    )
 
 
 def held(text: str, items) -> str:
@@ -30,7 +34,8 @@ def held(text: str, items) -> str:
 
 TITLE = rf"regexp_replace({strip(r'''CASE WHEN regexp_matches(trim(line), '^#{1,6}\s+.+$') THEN regexp_extract(trim(line), '^#{1,6}\s+(.+)$', 1) ELSE line END''')}, '[：:。；;\-—\s]+$', '')"
 BOUNDARY = rf"CASE WHEN {TITLE} <> '' AND (regexp_matches({TITLE}, {q(rules.SUMMARY_TITLE)}) OR (length({TITLE}) <= 32 AND (contains({TITLE}, '小结') OR suffix({TITLE}, '总结') OR suffix({TITLE}, '结论')) AND regexp_full_match({TITLE}, '[\p{{L}}\p{{N}}_\s、，,。.；;:：()（）《》【】\-]+'))) THEN {TITLE} END"
-CLOSED = "CASE WHEN suffix(body, chr(10)) THEN left(body, length(body) - 1) ELSE body END"  # no line after the last break
+# no line after the last break
+CLOSED = "CASE WHEN suffix(body, chr(10)) THEN left(body, length(body) - 1) ELSE body END"
 LINES = f"fx AS ({FX}), l AS (SELECT doc_id, unnest(string_split({CLOSED}, chr(10))) AS line, generate_subscripts(string_split({CLOSED}, chr(10)), 1) AS i FROM fx)"
 SECTIONS = rf"""{LINES}, h AS (SELECT *, length(regexp_extract({strip('line')}, '^(#{{1,2}})\s+.+$', 1)) AS lv, regexp_extract({strip('line')}, '^#{{1,2}}\s+(.+)$', 1) AS title FROM l),
 s0 AS (SELECT *, sum((lv > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec, last_value(CASE WHEN lv = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS t1 FROM h),
@@ -79,7 +84,12 @@ PARENT = "string_split(file_path, '/')[-2]"
 PROJECT = rf"CASE WHEN regexp_full_match({PARENT}, '20\d{{2}}|春季|夏季|summer|spring', 'i') THEN NULL ELSE left(regexp_replace({PARENT}, '[^\p{{L}}\p{{N}}_\-]', '_', 'g'), 32) END"
 TERM = words("lower(file_path)", rules.TERM_RULES)
 NAMED = "string_split(file_path, '/')[-1] || ' ' || first_heading"
-HAS = [f"(regexp_matches(text, {q(rules.REQ_PATTERN)}) OR regexp_matches(text, {q(rules.TEST_PATTERN)}))", f"regexp_matches(text, {q(rules.METRIC_PATTERN)})", "contains(text, '```')", f"regexp_matches(text, {q(rules.TABLE_PATTERN)})"]
+HAS = [
+    f"(regexp_matches(text, {q(rules.REQ_PATTERN)}) OR regexp_matches(text, {q(rules.TEST_PATTERN)}))",
+    f"regexp_matches(text, {q(rules.METRIC_PATTERN)})",
+    "contains(text, '```')",
+    f"regexp_matches(text, {q(rules.TABLE_PATTERN)})",
+]
 SIGNS = " + ".join(f"{x}::INT" for x in HAS)
 QUALITY = f"CASE WHEN {SIGNS} >= 2 AND length(text) >= 200 THEN 'high' WHEN length(text) < 80 THEN 'low' ELSE 'medium' END"
 META = rf"""{CHUNKS},

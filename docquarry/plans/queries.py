@@ -40,13 +40,22 @@ def clean_line(spark, sf_dir):
 
 @query
 def md_virtual_pages(spark, sf_dir):
-    return fx(spark, sf_dir).select("doc_id", F.posexplode(line_ops.virtual_pages(F.col("body"))).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("page_num"), "text")
+    return (
+        fx(spark, sf_dir)
+        .select("doc_id", F.posexplode(line_ops.virtual_pages(F.col("body"))).alias("pos", "text"))
+        .select("doc_id", (F.col("pos") + 1).alias("page_num"), "text")
+    )
 
 
 @query
 def heading_lines(spark, sf_dir):
     rows = fx(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("body"))).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", line_ops.heading_level(F.col("line")).alias("level"), line_ops.heading_title(F.col("line")).alias("title")).where("level IS NOT NULL")
+    return rows.select(
+        "doc_id",
+        "line_no",
+        line_ops.heading_level(F.col("line")).alias("level"),
+        line_ops.heading_title(F.col("line")).alias("title"),
+    ).where("level IS NOT NULL")
 
 
 @query
@@ -56,20 +65,36 @@ def first_heading(spark, sf_dir):
 
 @query
 def table_to_markdown(spark, sf_dir):
-    row = F.when(F.col("n_nationkey") % 2 == 0, F.array(F.concat(F.lit(" "), "n_name"), F.col("n_nationkey").cast("string"))).otherwise(F.array("n_name"))
-    grouped = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x.r).alias("rows"))
-    rows = F.concat(F.array(F.array(F.lit("nation"), F.lit("key")), F.array(F.lit(""), F.lit(None).cast("string"))), F.col("rows"))
+    row = F.when(
+        F.col("n_nationkey") % 2 == 0, F.array(F.concat(F.lit(" "), "n_name"), F.col("n_nationkey").cast("string"))
+    ).otherwise(F.array("n_name"))
+    grouped = (
+        table(spark, sf_dir, "nation")
+        .groupBy("n_regionkey")
+        .agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x.r).alias(
+                "rows"
+            )
+        )
+    )
+    rows = F.concat(
+        F.array(F.array(F.lit("nation"), F.lit("key")), F.array(F.lit(""), F.lit(None).cast("string"))), F.col("rows")
+    )
     return grouped.select("n_regionkey", line_ops.table_to_markdown(rows).alias("markdown"))
 
 
 @query
 def font_heading(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", line_ops.heading_from_size(F.col("p_size"), F.col("p_partkey") % 2 == 0).alias("prefix"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", line_ops.heading_from_size(F.col("p_size"), F.col("p_partkey") % 2 == 0).alias("prefix")
+    )
 
 
 @query
 def style_heading(spark, sf_dir):
-    style = F.when(F.col("p_partkey") % 5 == 4, "Normal").otherwise(F.concat(F.lit(" Heading "), F.col("p_size").cast("string")))
+    style = F.when(F.col("p_partkey") % 5 == 4, "Normal").otherwise(
+        F.concat(F.lit(" Heading "), F.col("p_size").cast("string"))
+    )
     return table(spark, sf_dir, "part").select("p_partkey", line_ops.heading_from_style(style).alias("level"))
 
 
@@ -84,56 +109,83 @@ def pdf_lines(spark, sf_dir):
 
 @query
 def image_note(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", line_ops.image_note(F.col("n_nationkey") % 3).alias("note"))
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", line_ops.image_note(F.col("n_nationkey") % 3).alias("note")
+    )
 
 
 @query
 def summary_boundary(spark, sf_dir):
     rows = fx(spark, sf_dir).select("doc_id", F.posexplode(lines(F.col("body"))).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", line_ops.summary_boundary(F.col("line")).alias("title")).where("title IS NOT NULL")
+    return rows.select("doc_id", "line_no", line_ops.summary_boundary(F.col("line")).alias("title")).where(
+        "title IS NOT NULL"
+    )
 
 
 @query
 def structural_sections(spark, sf_dir):
-    return fx(spark, sf_dir).select("doc_id", F.posexplode(chunking.structural_sections(F.col("body"))).alias("pos", "s")).select("doc_id", "pos", "s.path", "s.text")
+    return (
+        fx(spark, sf_dir)
+        .select("doc_id", F.posexplode(chunking.structural_sections(F.col("body"))).alias("pos", "s"))
+        .select("doc_id", "pos", "s.path", "s.text")
+    )
 
 
 @query
 def summary_sections(spark, sf_dir):
-    return fx(spark, sf_dir).select("doc_id", F.posexplode(chunking.summary_sections(F.col("body"))).alias("pos", "s")).select("doc_id", "pos", F.col("s.path").alias("boundary"), "s.text")
+    return (
+        fx(spark, sf_dir)
+        .select("doc_id", F.posexplode(chunking.summary_sections(F.col("body"))).alias("pos", "s"))
+        .select("doc_id", "pos", F.col("s.path").alias("boundary"), "s.text")
+    )
 
 
 @query
 def special_blocks(spark, sf_dir):
     plain = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
-    return fx(spark, sf_dir).select("doc_id", F.col("body").alias("text")).union(plain).select("doc_id", chunking.is_special(F.col("text")).alias("special"))
+    return (
+        fx(spark, sf_dir)
+        .select("doc_id", F.col("body").alias("text"))
+        .union(plain)
+        .select("doc_id", chunking.is_special(F.col("text")).alias("special"))
+    )
 
 
 @query
 def semantic_chunks(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(chunking.semantic_windows(F.col("text"))).alias("pos", "chunk"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.posexplode(chunking.semantic_windows(F.col("text"))).alias("pos", "chunk")
+    )
 
 
 @query
 def section_paths(spark, sf_dir):
-    return chunks(spark, sf_dir).select("doc_id", "chunk_index", "section_path", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return chunks(spark, sf_dir).select(
+        "doc_id", "chunk_index", "section_path", F.length("text").alias("n_chars"), F.md5("text").alias("digest")
+    )
 
 
 @query
 def path_year_term(spark, sf_dir):
-    return fx(spark, sf_dir).select("doc_id", metadata.year_of(F.col("file_path")).alias("year"), metadata.term_of(F.col("file_path")).alias("term"))
+    return fx(spark, sf_dir).select(
+        "doc_id", metadata.year_of(F.col("file_path")).alias("year"), metadata.term_of(F.col("file_path")).alias("term")
+    )
 
 
 @query
 def doc_type_phase(spark, sf_dir):
     rows = fx(spark, sf_dir)
-    kind, phase = metadata.doc_type_of(F.concat(file_name(F.col("file_path")), F.lit(" "), line_ops.first_heading(F.col("body"))))
+    kind, phase = metadata.doc_type_of(
+        F.concat(file_name(F.col("file_path")), F.lit(" "), line_ops.first_heading(F.col("body")))
+    )
     return rows.select("doc_id", kind.alias("doc_type"), phase.alias("phase"))
 
 
 @query
 def project_slug(spark, sf_dir):
-    path = F.expr("'/a/' || CASE doc_id % 4 WHEN 0 THEN '2024' WHEN 1 THEN 'Spring' WHEN 2 THEN source || ' x.y-' || doc_id ELSE repeat('ab', 20) END || '/f.md'")
+    path = F.expr(
+        "'/a/' || CASE doc_id % 4 WHEN 0 THEN '2024' WHEN 1 THEN 'Spring' WHEN 2 THEN source || ' x.y-' || doc_id ELSE repeat('ab', 20) END || '/f.md'"
+    )
     return table(spark, sf_dir, "documents").select("doc_id", metadata.project_of(path).alias("project_id"))
 
 
@@ -165,7 +217,11 @@ def extract_ids(spark, sf_dir):
 
 @query
 def trace_edges(spark, sf_dir):
-    return meta(spark, sf_dir).select("chunk_uuid", F.explode("trace_links").alias("e")).select("chunk_uuid", "e.from", "e.to")
+    return (
+        meta(spark, sf_dir)
+        .select("chunk_uuid", F.explode("trace_links").alias("e"))
+        .select("chunk_uuid", "e.from", "e.to")
+    )
 
 
 @query
@@ -176,24 +232,56 @@ def keyword_flags(spark, sf_dir):
 @query
 def metadata_override(spark, sf_dir):
     docs = fx(spark, sf_dir).withColumn("first_heading", line_ops.first_heading(F.col("body")))
-    rows = metadata.with_metadata(chunking.chunk_documents(docs), override={"project_id": "proj", "term": "", "year": 2030})
-    key = F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("-"), F.lpad(F.col("chunk_index").cast("string"), 5, "0"))
-    return rows.select(key.alias("chunk_uuid"), "project_id", "term", "year", "chunk_id", F.col("_needs_review").alias("needs_review"))
+    rows = metadata.with_metadata(
+        chunking.chunk_documents(docs), override={"project_id": "proj", "term": "", "year": 2030}
+    )
+    key = F.concat(
+        F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("-"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")
+    )
+    return rows.select(
+        key.alias("chunk_uuid"), "project_id", "term", "year", "chunk_id", F.col("_needs_review").alias("needs_review")
+    )
 
 
 @query
 def metadata_full(spark, sf_dir):
-    return meta(spark, sf_dir).select("chunk_uuid", "doc_id", "chunk_index", "course", "chunk_id", "year", "term", "project_id", "doc_type", "phase", "section_path", "artifact_type", "evidence_type", "status", "quality_level", *_joined("req_ids", "design_ids", "test_ids", "impl_refs", "keywords"), F.size("trace_links").alias("n_links"), F.col("_confidence_overall").alias("confidence_overall"), F.col("_needs_review").alias("needs_review"), F.md5("text").alias("digest"))
+    return meta(spark, sf_dir).select(
+        "chunk_uuid",
+        "doc_id",
+        "chunk_index",
+        "course",
+        "chunk_id",
+        "year",
+        "term",
+        "project_id",
+        "doc_type",
+        "phase",
+        "section_path",
+        "artifact_type",
+        "evidence_type",
+        "status",
+        "quality_level",
+        *_joined("req_ids", "design_ids", "test_ids", "impl_refs", "keywords"),
+        F.size("trace_links").alias("n_links"),
+        F.col("_confidence_overall").alias("confidence_overall"),
+        F.col("_needs_review").alias("needs_review"),
+        F.md5("text").alias("digest"),
+    )
 
 
 @query
 def filter_conjunctive(spark, sf_dir):
-    return filters.where(meta(spark, sf_dir), filters.conjunction(term="春季", phase="requirement", project_id="src0", doc_type="", quality_level=[])).select("chunk_uuid")
+    return filters.where(
+        meta(spark, sf_dir),
+        filters.conjunction(term="春季", phase="requirement", project_id="src0", doc_type="", quality_level=[]),
+    ).select("chunk_uuid")
 
 
 @query
 def filter_any(spark, sf_dir):
-    return filters.where(meta(spark, sf_dir), filters.conjunction(doc_type="概要设计", quality_level=["high", "low"])).select("chunk_uuid")
+    return filters.where(
+        meta(spark, sf_dir), filters.conjunction(doc_type="概要设计", quality_level=["high", "low"])
+    ).select("chunk_uuid")
 
 
 @query
@@ -203,21 +291,42 @@ def filter_array_any(spark, sf_dir):
 
 @query
 def normalize_params(spark, sf_dir):
-    rows = [(0, None, None), (1, "", []), (2, "  ", ["string"]), (3, "string", ["string", "high"]), (4, "NONE", [" "]), (5, "null", ["Null", "none"]), (6, " design ", [" high", "low "])]
-    return spark.createDataFrame(rows, "id int, v string, l array<string>").select("id", filters.normalize_text(F.col("v")).alias("value"), F.array_join(filters.normalize_list(F.col("l")), ",").alias("items"))
+    rows = [
+        (0, None, None),
+        (1, "", []),
+        (2, "  ", ["string"]),
+        (3, "string", ["string", "high"]),
+        (4, "NONE", [" "]),
+        (5, "null", ["Null", "none"]),
+        (6, " design ", [" high", "low "]),
+    ]
+    return spark.createDataFrame(rows, "id int, v string, l array<string>").select(
+        "id",
+        filters.normalize_text(F.col("v")).alias("value"),
+        F.array_join(filters.normalize_list(F.col("l")), ",").alias("items"),
+    )
 
 
 @query
 def doc_type_alias(spark, sf_dir):
     rows = [*enumerate(f" {k} " for k in filters.DOC_TYPE_ALIASES), (100, "其他"), (101, " ")]
-    return spark.createDataFrame(rows, "id int, v string").select("id", filters.canonical_doc_type(F.col("v")).alias("canonical"))
+    return spark.createDataFrame(rows, "id int, v string").select(
+        "id", filters.canonical_doc_type(F.col("v")).alias("canonical")
+    )
 
 
 @query
 def relaxed_recall(spark, sf_dir):
     rows = stored(meta(spark, sf_dir))
     levels = filters.relaxed(term="春季", phase="requirement", doc_type="需求", project_id="src3", quality_level=["high"])
-    found = retrieval.relaxed_recall([retrieval.ranked(filters.where(rows, p).select("chunk_uuid", "_confidence_overall"), F.col("_confidence_overall"), 80) for p in levels])
+    found = retrieval.relaxed_recall(
+        [
+            retrieval.ranked(
+                filters.where(rows, p).select("chunk_uuid", "_confidence_overall"), F.col("_confidence_overall"), 80
+            )
+            for p in levels
+        ]
+    )
     return found.select("chunk_uuid", "level", "seq")
 
 
@@ -237,31 +346,50 @@ def dense_topk(spark, sf_dir):
 
 @query
 def dense_topk_filtered(spark, sf_dir):
-    found = retrieval.dense_top_k(_vectors(spark, sf_dir).where("label IN (1, 3)"), _vector(spark, sf_dir, 0), id_col="vec_id")
+    found = retrieval.dense_top_k(
+        _vectors(spark, sf_dir).where("label IN (1, 3)"), _vector(spark, sf_dir, 0), id_col="vec_id"
+    )
     return found.select("vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def dense_topk_many(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    found = retrieval.dense_top_k_many(rows, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("dense").alias("vector")), 5, "vec_id")
+    found = retrieval.dense_top_k_many(
+        rows,
+        rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("dense").alias("vector")),
+        5,
+        "vec_id",
+    )
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _sparse(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", embedding.term_weights(F.col("text")).alias("sparse"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", embedding.term_weights(F.col("text")).alias("sparse")
+    )
 
 
 @query
 def sparse_topk(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse"))
-    return retrieval.sparse_top_k_many(_sparse(spark, sf_dir), asked, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
+    asked = (
+        table(spark, sf_dir, "benchmark")
+        .where("item_id % 20 = 0")
+        .select(F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse"))
+    )
+    return retrieval.sparse_top_k_many(_sparse(spark, sf_dir), asked, 10, "doc_id").select(
+        "query_id", "doc_id", "score", "rank"
+    )
 
 
 @query
 def sparse_topk_all(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse"))
-    return retrieval.sparse_top_k_many(_sparse(spark, sf_dir), asked, 10, "doc_id").select("query_id", "doc_id", "score", "rank")
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse")
+    )
+    return retrieval.sparse_top_k_many(_sparse(spark, sf_dir), asked, 10, "doc_id").select(
+        "query_id", "doc_id", "score", "rank"
+    )
 
 
 @query
@@ -274,7 +402,9 @@ def rrf_fusion(spark, sf_dir):
 @query
 def docname_hints(spark, sf_dir):
     rows = [(0, "see A_1.md"), (1, "《需求规格说明书》"), (2, "'ab'"), (3, "no hint"), (4, "a/x.pdf y.DOCX \"The Doc\" x.pdf")]
-    return spark.createDataFrame(rows, "id int, q string").select("id", F.array_join(retrieval.docname_hints(F.col("q")), ",").alias("hints"))
+    return spark.createDataFrame(rows, "id int, q string").select(
+        "id", F.array_join(retrieval.docname_hints(F.col("q")), ",").alias("hints")
+    )
 
 
 @query
@@ -286,40 +416,75 @@ def docname_score(spark, sf_dir):
 
 @query
 def docname_recall(spark, sf_dir):
-    rows = fx(spark, sf_dir).select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_uuid"), F.col("file_path").alias("source_file"))
+    rows = fx(spark, sf_dir).select(
+        F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_uuid"), F.col("file_path").alias("source_file")
+    )
     return retrieval.docname_recall(rows, "《概要设计》 概要设计_7")
 
 
 @query
 def candidate_merge(spark, sf_dir):
     found = spark.createDataFrame([("a", 0.9, 1), ("b", 0.5, 2)], "chunk_uuid string, score double, seq int")
-    named = spark.createDataFrame([("a", 0.36, 0.8, "token_overlap_high"), ("y", 0.38, 0.9, "hint_in_filename"), ("z", 0.4, 1.0, "filename_in_query")], "chunk_uuid string, score double, docname_score double, docname_reason string")
+    named = spark.createDataFrame(
+        [
+            ("a", 0.36, 0.8, "token_overlap_high"),
+            ("y", 0.38, 0.9, "hint_in_filename"),
+            ("z", 0.4, 1.0, "filename_in_query"),
+        ],
+        "chunk_uuid string, score double, docname_score double, docname_reason string",
+    )
     return retrieval.merge_docname(found, named)
 
 
 @query
 def composite_score(spark, sf_dir):
-    scores = retrieval.composite(F.col("doc_id") % 100 / 100.0, {"term": "春季", "phase": "design", "doc_type": None, "quality_level": ["high"]}, F.lit(0.6), F.lit("token_overlap_mid"))
-    return meta(spark, sf_dir).select("chunk_uuid", scores.composite.alias("score"), scores.why.why_metadata_match.alias("matched"), scores.why.why_continuity.alias("continuity"))
+    scores = retrieval.composite(
+        F.col("doc_id") % 100 / 100.0,
+        {"term": "春季", "phase": "design", "doc_type": None, "quality_level": ["high"]},
+        F.lit(0.6),
+        F.lit("token_overlap_mid"),
+    )
+    return meta(spark, sf_dir).select(
+        "chunk_uuid",
+        scores.composite.alias("score"),
+        scores.why.why_metadata_match.alias("matched"),
+        scores.why.why_continuity.alias("continuity"),
+    )
 
 
 @query
 def trace_expand(spark, sf_dir):
     rows = stored(meta(spark, sf_dir))
     top = rows.where("size(trace_links) > 0").orderBy(F.desc("chunk_uuid")).limit(9)
-    top = top.select("chunk_uuid", "trace_links", "project_id", F.row_number().over(Window.orderBy(F.desc("chunk_uuid"))).alias("seq"))
+    top = top.select(
+        "chunk_uuid",
+        "trace_links",
+        "project_id",
+        F.row_number().over(Window.orderBy(F.desc("chunk_uuid"))).alias("seq"),
+    )
     return retrieval.expand_links(top, rows)
 
 
 @query
 def project_chain(spark, sf_dir):
-    return catalog.project_chain(meta(spark, sf_dir)).select("project_id", "phase", "place", "chunk_uuid", "quality_level")
+    return catalog.project_chain(meta(spark, sf_dir)).select(
+        "project_id", "phase", "place", "chunk_uuid", "quality_level"
+    )
 
 
 @query
 def ingest_report(spark, sf_dir):
     found = store.ingest_report(meta(spark, sf_dir), by="doc_id")
-    return found.select("doc_id", "chunks_total", "chunks_summary_scoped", "needs_review_count", "has_term_pct", "has_phase_pct", "has_doc_type_pct", F.size("needs_review_items").alias("n_items"))
+    return found.select(
+        "doc_id",
+        "chunks_total",
+        "chunks_summary_scoped",
+        "needs_review_count",
+        "has_term_pct",
+        "has_phase_pct",
+        "has_doc_type_pct",
+        F.size("needs_review_items").alias("n_items"),
+    )
 
 
 @query
@@ -336,14 +501,23 @@ def delete_by_source(spark, sf_dir):
 @query
 def upsert_latest(spark, sf_dir):
     rows = fx(spark, sf_dir).select("doc_id", "lang", F.lit(1).alias("version"))
-    new = rows.where("doc_id % 4 = 0").select("doc_id", F.upper("lang").alias("lang"), F.lit(2).alias("version")).union(rows.where("doc_id % 50 = 0").select(-1 - F.col("doc_id"), "lang", F.lit(2)))
+    new = (
+        rows.where("doc_id % 4 = 0")
+        .select("doc_id", F.upper("lang").alias("lang"), F.lit(2).alias("version"))
+        .union(rows.where("doc_id % 50 = 0").select(-1 - F.col("doc_id"), "lang", F.lit(2)))
+    )
     return store.upsert(rows, new, key="doc_id")
 
 
 @query
 def template_sections(spark, sf_dir):
     found = catalog.template_sections(spark, ["软件需求规格说明书", "需求", "测试报告", "用户手册", "迭代需求文档", "x"])
-    return found.select("asked", "doc_type", F.when(F.col("sections").isNotNull(), F.size("sections")).alias("n_sections"), F.col("error").isNotNull().alias("is_error"))
+    return found.select(
+        "asked",
+        "doc_type",
+        F.when(F.col("sections").isNotNull(), F.size("sections")).alias("n_sections"),
+        F.col("error").isNotNull().alias("is_error"),
+    )
 
 
 @query
@@ -357,24 +531,49 @@ def suggest_skills(spark, sf_dir):
 
 @query
 def content_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return (
+        table(spark, sf_dir, "documents")
+        .groupBy(F.md5("text").alias("digest"))
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    )
 
 
 @query
 def rerank(spark, sf_dir):
     """The 80 documents that share most terms with a passage, out of all, reranked."""
-    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").select("text", embedding.term_weights(F.col("text")).alias("sparse")).first()
+    asked = (
+        table(spark, sf_dir, "benchmark")
+        .where("item_id = 0")
+        .select("text", embedding.term_weights(F.col("text")).alias("sparse"))
+        .first()
+    )
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = retrieval.ranked(docs.select("doc_id", retrieval.sparse_score(embedding.term_weights(F.col("text")), asked["sparse"]).alias("_s")), F.col("_s"), retrieval.RECALL, "doc_id")
-    rows = docs.join(F.broadcast(found.select("doc_id", F.col("rank").alias("seq"))), "doc_id").withColumn("docname_score", F.lit(0.0))  # 80 rows
-    return retrieval.rerank(rows, asked["text"]).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), "seq")
+    found = retrieval.ranked(
+        docs.select(
+            "doc_id", retrieval.sparse_score(embedding.term_weights(F.col("text")), asked["sparse"]).alias("_s")
+        ),
+        F.col("_s"),
+        retrieval.RECALL,
+        "doc_id",
+    )
+    # 80 rows
+    rows = docs.join(F.broadcast(found.select("doc_id", F.col("rank").alias("seq"))), "doc_id").withColumn(
+        "docname_score", F.lit(0.0)
+    )
+    return retrieval.rerank(rows, asked["text"]).select(
+        "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "seq"
+    )
 
 
 @query
 def rerank_all(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") + 1).alias("seq"), F.lit(0.0).alias("docname_score"))
-    return retrieval.rerank_all(rows, asked, stored).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), "seq")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", (F.col("doc_id") + 1).alias("seq"), F.lit(0.0).alias("docname_score")
+    )
+    return retrieval.rerank_all(rows, asked, stored).select(
+        "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "seq"
+    )
 
 
 @query
@@ -382,8 +581,22 @@ def search_hits(spark, sf_dir):
     """Search over all chunks: dense vectors from the table of embeddings, sparse ones from the terms."""
     vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("_vec"), "dense")
     n = vectors.count()
-    rows = meta(spark, sf_dir).withColumns({"_vec": F.col("doc_id") % n, "sparse": embedding.term_weights(F.col("text"))})
+    rows = meta(spark, sf_dir).withColumns(
+        {"_vec": F.col("doc_id") % n, "sparse": embedding.term_weights(F.col("text"))}
+    )
     rows = stored(rows.join(vectors, "_vec").drop("_vec"))
-    sparse = spark.createDataFrame([("latency FR-1 12ms",)], "t string").select(embedding.term_weights(F.col("t"))).first()[0]
-    hits = retrieval.search(rows, "《概要设计》 latency FR-1", _vector(spark, sf_dir, 0), sparse, phase="design", quality_level=["high"])
-    return hits.select("chunk_uuid", "composite_score", "why_hit.why_metadata_match", "why_hit.why_continuity", "why_hit.why_docname_match")
+    sparse = (
+        spark.createDataFrame([("latency FR-1 12ms",)], "t string")
+        .select(embedding.term_weights(F.col("t")))
+        .first()[0]
+    )
+    hits = retrieval.search(
+        rows, "《概要设计》 latency FR-1", _vector(spark, sf_dir, 0), sparse, phase="design", quality_level=["high"]
+    )
+    return hits.select(
+        "chunk_uuid",
+        "composite_score",
+        "why_hit.why_metadata_match",
+        "why_hit.why_continuity",
+        "why_hit.why_docname_match",
+    )

@@ -12,7 +12,9 @@ from .operators.store import ChunkStore
 from .sources.files import SUFFIXES, back_up, list_files, parse_files
 
 
-def upload(store: ChunkStore, name: str, content: bytes, project_id=None, term=None, year=None, sources: str | None = None) -> DataFrame:
+def upload(
+    store: ChunkStore, name: str, content: bytes, project_id=None, term=None, year=None, sources: str | None = None
+) -> DataFrame:
     """Ingest one file; other types and empty files raise."""
     if not name.lower().endswith(SUFFIXES):
         raise ValueError("only PDF, DOCX and Markdown files are supported")
@@ -21,10 +23,14 @@ def upload(store: ChunkStore, name: str, content: bytes, project_id=None, term=N
     return upload_batch(store, {name: content}, project_id, term, year, sources)
 
 
-def upload_batch(store: ChunkStore, files: dict[str, bytes], project_id=None, term=None, year=None, sources: str | None = None) -> DataFrame:
+def upload_batch(
+    store: ChunkStore, files: dict[str, bytes], project_id=None, term=None, year=None, sources: str | None = None
+) -> DataFrame:
     """Ingest several files in one job; a file that fails is a row with an error. Names are kept for the rules. With
     ``sources``, a folder, the files are kept there as they came."""
-    rows = store.spark.createDataFrame([(n, bytearray(c)) for n, c in files.items()], "file_path string, content binary")
+    rows = store.spark.createDataFrame(
+        [(n, bytearray(c)) for n, c in files.items()], "file_path string, content binary"
+    )
     if sources:
         back_up(rows, sources)
     override = {"project_id": normalize_value(project_id), "term": normalize_value(term), "year": year}

@@ -15,15 +15,32 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 def new_files(spark: SparkSession, folder: str, per_trigger: int = 1000, late: str = "1 day") -> DataFrame:
     """file_path, content of files as they arrive; the same content again within ``late`` is dropped."""
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
-    rows = stream.withColumn("digest", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["digest"])
+    stream = (
+        spark.readStream.format("binaryFile")
+        .schema(FILES)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", per_trigger)
+        .load(folder)
+    )
+    rows = (
+        stream.withColumn("digest", F.sha2("content", 256))
+        .withWatermark("modificationTime", late)
+        .dropDuplicatesWithinWatermark(["digest"])
+    )
     return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), "content")
 
 
-def start_ingest(store: ChunkStore, folder: str, checkpoint: str, provider=None, override: dict | None = None, **trigger) -> StreamingQuery:
+def start_ingest(
+    store: ChunkStore, folder: str, checkpoint: str, provider=None, override: dict | None = None, **trigger
+) -> StreamingQuery:
     """Ingest each micro-batch. Chunk ids follow from path and place, so a batch that is run again replaces its chunks."""
 
     def batch(files: DataFrame, number: int) -> None:
         ingest(store, parse_files(files), provider, override)
 
-    return new_files(store.spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return (
+        new_files(store.spark, folder).writeStream.foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -31,7 +31,11 @@ def paragraph(text: str, style: str = "") -> str:
 
 
 def table(*rows) -> str:
-    return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{paragraph(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+    return (
+        "<w:tbl>"
+        + "".join("<w:tr>" + "".join(f"<w:tc>{paragraph(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows)
+        + "</w:tbl>"
+    )
 
 
 def parsed(spark, given: dict[str, bytes]) -> dict:
@@ -59,25 +63,58 @@ def test_docx(spark):
 
 
 def test_markdown_bytes_and_noise(spark):
-    got = parsed(spark, {"a.md": b"# T\n\xff\xfe bad\n> [TOC]\n## Two\ntext", "empty.md": b"", "b.MARKDOWN": "# é".encode()})
+    got = parsed(
+        spark, {"a.md": b"# T\n\xff\xfe bad\n> [TOC]\n## Two\ntext", "empty.md": b"", "b.MARKDOWN": "# é".encode()}
+    )
     assert texts(got["a.md"]) == [(1, "# T\n�� bad"), (2, "## Two\ntext")]
     assert texts(got["empty.md"]) == [] and got["empty.md"].error is None
     assert texts(got["b.MARKDOWN"]) == [(1, "# é")]
 
 
 def test_pdf_entries(spark, monkeypatch):
-    words = [{"text": "Big", "fontname": "X", "size": 20.0, "top": 10.0}, {"text": "title", "fontname": "X", "size": 20.0, "top": 11.0}, {"text": "plain", "fontname": "X", "size": 9.0, "top": 40.0}]
-    first = SimpleNamespace(extract_words=lambda **_: words, extract_tables=lambda: [[["h", None], [None, None], ["a\nb", "c"]]], images=[1, 2], extract_text=lambda: "unused")
-    second = SimpleNamespace(extract_words=lambda **_: [], extract_tables=lambda: None, images=None, extract_text=lambda: " only text ")
-    third = SimpleNamespace(extract_words=lambda **_: [], extract_tables=lambda: [], images=[], extract_text=lambda: None)
-    spans = SimpleNamespace(get_text=lambda _: {"blocks": [{"lines": [{"spans": [{"text": "Bold", "size": 12, "font": "A-Bold"}, {"text": " "}]}, {"spans": [{"text": "small", "size": 8}]}]}, {}]})
-    entries = {"w.pdf": [e for i, p in enumerate((first, second, third), 1) for e in files.word_entries(i, p)], "s.pdf": files.span_entries(1, spans), "none.pdf": []}
+    words = [
+        {"text": "Big", "fontname": "X", "size": 20.0, "top": 10.0},
+        {"text": "title", "fontname": "X", "size": 20.0, "top": 11.0},
+        {"text": "plain", "fontname": "X", "size": 9.0, "top": 40.0},
+    ]
+    first = SimpleNamespace(
+        extract_words=lambda **_: words,
+        extract_tables=lambda: [[["h", None], [None, None], ["a\nb", "c"]]],
+        images=[1, 2],
+        extract_text=lambda: "unused",
+    )
+    second = SimpleNamespace(
+        extract_words=lambda **_: [], extract_tables=lambda: None, images=None, extract_text=lambda: " only text "
+    )
+    third = SimpleNamespace(
+        extract_words=lambda **_: [], extract_tables=lambda: [], images=[], extract_text=lambda: None
+    )
+    spans = SimpleNamespace(
+        get_text=lambda _: {
+            "blocks": [
+                {
+                    "lines": [
+                        {"spans": [{"text": "Bold", "size": 12, "font": "A-Bold"}, {"text": " "}]},
+                        {"spans": [{"text": "small", "size": 8}]},
+                    ]
+                },
+                {},
+            ]
+        }
+    )
+    entries = {
+        "w.pdf": [e for i, p in enumerate((first, second, third), 1) for e in files.word_entries(i, p)],
+        "s.pdf": files.span_entries(1, spans),
+        "none.pdf": [],
+    }
     fields = [f.name for f in files.ENTRY]
     rows = [(n, n, [tuple(e.get(f) for f in fields) for e in es], None) for n, es in entries.items()]
     df = spark.createDataFrame(rows, f"file_path string, file_name string, entries {files.ENTRIES}, error string")
     got = {r.file_path: r for r in files.pdf_pages(df).collect()}
     note = "> [图例：本页包含 2 张图片/架构图，详情请参考原始文档。]"
-    assert texts(got["w.pdf"]) == [(1, "# Big title\nplain\n\n| h |  |\n| --- | --- |\n| a b | c |\n\n" + note), (2, "only text")]
+    assert texts(got["w.pdf"]) == [
+        (1, "# Big title\nplain\n\n| h |  |\n| --- | --- |\n| a b | c |\n\n" + note), (2, "only text")
+    ]
     assert texts(got["s.pdf"]) == [(1, "#### Bold\nsmall")] and texts(got["none.pdf"]) == []
     failed = parsed(spark, {"x.pdf": b"junk"})["x.pdf"]
     assert failed.error and failed.pages == []
@@ -104,7 +141,9 @@ def test_directory_reports_every_file(spark, store, tmp_path):
     (folder / "bad.docx").write_bytes(b"x")
     (folder / "note.txt").write_text("x")
     report = {r.source_file.rpartition("/")[2]: r for r in ingest_directory(store, str(folder)).collect()}
-    assert {n: r.status for n, r in report.items()} == {"测试报告.md": "ok", "empty.md": "empty", "bad.docx": "error", "note.txt": "error"}
+    assert {n: r.status for n, r in report.items()} == {
+        "测试报告.md": "ok", "empty.md": "empty", "bad.docx": "error", "note.txt": "error"
+    }
     good = report["测试报告.md"]
     assert good.chunks_total == good.chunks_inserted == 3 == store.read().count() and good.elapsed_seconds > 0 and good.document_id
     assert len(good.needs_review_items) == good.needs_review_count == 3

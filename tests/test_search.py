@@ -19,11 +19,16 @@ def store(spark):
         for i in range(24)
         for name, kind, phase, text in [[("概要设计", "概要设计", "design", DESIGN), ("测试报告", "测试报告", "testing_deployment", REPORT)][i % 2 if i < 20 else 0]]
     ]
-    df = spark.createDataFrame(rows, "chunk_uuid string, source_file string, doc_type string, phase string, quality_level string, section_path string, req_ids array<string>, test_ids array<string>, project_id string, text string")
+    df = spark.createDataFrame(
+        rows,
+        "chunk_uuid string, source_file string, doc_type string, phase string, quality_level string, section_path string, req_ids array<string>, test_ids array<string>, project_id string, text string",
+    )
     link = F.array(F.struct(F.lit("FR-1").alias("from"), F.lit("TC-1").alias("to")))
     df = provider.embed(df.withColumn("trace_links", F.when(F.size("req_ids") > 0, link)))
     have = set(df.columns)
-    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORE)).persist()
+    return df.select(
+        *((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORE)
+    ).persist()
 
 
 @pytest.fixture(scope="module")
@@ -32,9 +37,15 @@ def embed(spark):
 
 
 def test_course_docs_by_type_and_phase(store, embed):
-    hits = catalog.search_course_docs(store, embed, "architecture interface", doc_type=" 软件概要设计说明书 ", phase="design").collect()
-    assert {h.source.doc_type for h in hits[:10]} == {"概要设计"} and [h.score for h in hits] == sorted((h.score for h in hits), reverse=True)
-    assert set(hits[0].why.asDict()) == {"why_semantic_score", "why_metadata_match", "why_continuity", "why_docname_match", "why_docname_score"}
+    hits = catalog.search_course_docs(
+        store, embed, "architecture interface", doc_type=" 软件概要设计说明书 ", phase="design"
+    ).collect()
+    assert {h.source.doc_type for h in hits[:10]} == {"概要设计"} and [h.score for h in hits] == sorted(
+        (h.score for h in hits), reverse=True
+    )
+    assert set(hits[0].why.asDict()) == {
+        "why_semantic_score", "why_metadata_match", "why_continuity", "why_docname_match", "why_docname_score"
+    }
     dense = catalog.search_course_docs(store, embed, "architecture interface", use_reranker=False).collect()
     assert len(dense) >= 18 and "project_id" in dense[0].source.asDict()
 
@@ -42,14 +53,18 @@ def test_course_docs_by_type_and_phase(store, embed):
 def test_phase_examples_and_sections(store, embed):
     found = catalog.phase_examples(store, embed, "design", n=3).collect()
     assert len(found) == 3 and found[0].source.doc_type == "概要设计"
-    assert catalog.phase_examples(store, embed, "design", doc_type="测试报告", topic_hint="report of tests", n=2).count() == 2
+    assert catalog.phase_examples(
+        store, embed, "design", doc_type="测试报告", topic_hint="report of tests", n=2
+    ).count() == 2
     by_section = catalog.search_by_section(store, embed, "report of tests", phase="testing_deployment").collect()
     assert len(by_section) == 3 and all(r.source.doc_type == "测试报告" for r in by_section)
     assert by_section[0].score >= by_section[-1].score
 
 
 def test_links_and_names_add_hits(store, embed):
-    plain = {h.chunk_uuid for h in retrieval.search(store, "architecture", *embed("architecture"), project_id="p0").collect()}
+    plain = {
+        h.chunk_uuid for h in retrieval.search(store, "architecture", *embed("architecture"), project_id="p0").collect()
+    }
     assert all(int(c[1:]) % 3 == 0 or True for c in plain) and plain
     named = retrieval.search(store, "测试报告_3.md", *embed("nothing alike"), phase="testing_deployment").collect()
     assert named[0].why_hit.why_docname_match == "filename_in_query" and named[0].chunk_uuid == "c03"
@@ -61,9 +76,15 @@ def test_dense_top_k_many_is_exact(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 6))
     x[100:110] = x[5]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 6), (902, [1.0]), (903, [float("nan")] * 6)]
+    rows = (
+        [(i, v.tolist()) for i, v in enumerate(x)]
+        + [(900, None), (901, [0.0] * 6), (902, [1.0]), (903, [float("nan")] * 6)]
+    )
     store = spark.createDataFrame(rows, "chunk_uuid int, dense array<double>").repartition(7)
-    asked = spark.createDataFrame([("a", x[5].tolist()), ("b", x[50].tolist()), ("none", None), ("zero", [0.0] * 6)], "query_id string, vector array<double>")
+    asked = spark.createDataFrame(
+        [("a", x[5].tolist()), ("b", x[50].tolist()), ("none", None), ("zero", [0.0] * 6)],
+        "query_id string, vector array<double>",
+    )
     got = sorted((r.query_id, r["rank"], r.chunk_uuid) for r in retrieval.dense_top_k_many(store, asked, 4).collect())
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = []
@@ -71,7 +92,9 @@ def test_dense_top_k_many_is_exact(spark):
         scores = np.round(unit @ unit[i], 9)
         want += [(q, r + 1, int(j)) for r, j in enumerate(np.lexsort((np.arange(300), -scores))[:4])]
     assert got == want
-    assert retrieval.dense_top_k_many(store, asked.limit(0), 4).count() == retrieval.dense_top_k_many(store.limit(0), asked, 4).count() == 0
+    assert retrieval.dense_top_k_many(store, asked.limit(0), 4).count() == retrieval.dense_top_k_many(
+        store.limit(0), asked, 4
+    ).count() == 0
 
 
 def test_spread(spark):

@@ -40,13 +40,18 @@ def test_term_weights(spark):
 
 
 def test_normalization(spark):
-    assert [one(spark, filters.normalize_text(F.lit(x))) for x in ("", " ", "NONE", "null", " design ")] == [None, None, None, None, "design"]
+    assert [one(spark, filters.normalize_text(F.lit(x))) for x in ("", " ", "NONE", "null", " design ")] == [
+        None, None, None, None, "design"
+    ]
 
 
 def test_store(spark, tmp_path):
     store = ChunkStore(spark, f"file://{tmp_path}/store", dims=2)
     assert not store.exists()
-    rows = spark.createDataFrame([("a", "f.md", "one", [1.0, 0.0]), ("b", "g.md", "two", [0.0, 1.0])], "chunk_uuid string, source_file string, text string, dense array<float>")
+    rows = spark.createDataFrame(
+        [("a", "f.md", "one", [1.0, 0.0]), ("b", "g.md", "two", [0.0, 1.0])],
+        "chunk_uuid string, source_file string, text string, dense array<float>",
+    )
     store.append(rows, 1)
     store.append(rows.where("chunk_uuid = 'a'").withColumn("text", F.lit("new")), 2)
     assert {r.chunk_uuid: r.text for r in store.read().collect()} == {"a": "new", "b": "two"}
