@@ -55,5 +55,5 @@ def test_store(spark, tmp_path):
     store.append(rows, 1)
     store.append(rows.where("chunk_uuid = 'a'").withColumn("text", F.lit("new")), 2)
     assert {r.chunk_uuid: r.text for r in store.read().collect()} == {"a": "new", "b": "two"}
-    assert store.delete("f.md", 2) == 1 and store.delete("f.md", 3) == 0
+    assert store.delete("f.md") == 1 and store.delete("f.md") == 0
     assert [r.chunk_uuid for r in store.compact(f"file://{tmp_path}/next").read().collect()] == ["b"]
