@@ -1,6 +1,7 @@
 """Every stage of the corpus pipeline against brute force on its own input."""
 
 import base64
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -67,6 +68,39 @@ def test_exact_copies_go_by_id_and_text(spark):
     assert Counter(map(tuple, got)) == Counter([(None, "a"), (4, "B"), (5, "x"), (9, "Y"), (3, "")])
 
 
+def test_odd_rows(spark):
+    """Nulls in any column, empty, blank and long texts, ties, repeated rows and columns that clash with inner names."""
+    rng = random.Random(3)
+    long = " ".join(f"word{rng.randrange(5000)}" for _ in range(20000))
+    base = [
+        (None, None),
+        (1, ""),
+        (2, " \t"),
+        (3, "un deux trois"),
+        (3, "un deux trois"),
+        (4, "UN deux trois"),
+        (None, "un deux trois"),
+        (5, long),
+        (6, long + " more"),
+        (None, "other words"),
+    ]
+    extra = "_sha string, _kept int, _gone long, _id long, _copies int, _copy int, _language string, ids int, decoded string"
+    rows = [(d, t, (None, "fr")[bool(t)], (None, "s")[i % 2], None, *(["x", 1, 3, 3, 7, 7, "x", 1, "x"])) for i, (d, t) in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    got = {name: [(r.doc_id, r.text) for r in stage(spark, docs, FOLDER).collect()] for name, stage in cp.STAGES[:-1]}
+    assert Counter(got["language_id"]) == Counter((d, t) for d, t in base if t and t.strip())
+    want = [(1, ""), (2, " \t"), (4, "UN deux trois"), (5, long), (6, long + " more"), (None, "other words")]
+    assert Counter(got["exact_dedup"]) == Counter(want)
+    gone = {4, 6}  # of 3 and 4, and of the long texts, the smaller id stays
+    assert Counter(got["minhash_near_dedup"]) == Counter((d, t) for d, t in base if d not in gone)
+    assert all(0 < n <= 4 for n in Counter(got["mix_sources"]).values())
+    assert {t for _, t in got["mix_sources"]} <= {t for _, t in base if t and t.strip()}
+    encoded = cp.encode(spark, docs, FOLDER).collect()
+    assert len(encoded) == len(base) and all(r.round_trip for r in encoded) and min(r.n_tokens for r in encoded) == 0
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs, FOLDER).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for name, stage in cp.STAGES:
