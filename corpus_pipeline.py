@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, exact, langid, minhash, mixing
-from docquarry.llm.common import materialize
+from docquarry.llm.common import WORD, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least certainty of the language at which a document stays.
 MIN_SCORE = 0.4
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(c) for c in COLUMNS if c in docs.columns]
+def _known(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents`` alone, so that no other column can clash with one made here."""
+    return docs.select(*(c for c in COLUMNS if c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +30,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Whole texts of any length decide, and they alone: rows of equal texts stay or go together, whatever their ids,
     null or repeated. A null lang is not learned from; without any labels every document goes.
     """
-    found = langid.identify(docs.select(*_columns(docs)), langid.train(docs, ~langid.held_out()), out="_language")
+    docs = _known(docs)
+    found = langid.identify(docs, langid.train(docs, ~langid.held_out()), out="_language")
     sure = (F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= MIN_SCORE)
-    return found.where(sure).select(*_columns(docs))
+    return _known(found.where(sure))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +48,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         .select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_kept_sha"))
         .distinct()
     )
-    named = docs.withColumn("_sha", exact.text_sha256(F.col("text")))
+    named = _known(docs).withColumn("_sha", exact.text_sha256(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_sha") == F.col("_kept_sha"))
-    return named.join(kept, same, "left_semi").select(*_columns(docs))
+    return _known(named.join(kept, same, "left_semi"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         .select(F.col("doc_id").alias("_gone"))
         .distinct()
     )
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*_columns(docs))
+    return _known(docs).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,15 +79,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .agg(F.max("copies").cast("int").alias("_copies"))
     )
     named = taken.select(F.col("doc_id").alias("_id"), "_copies")
-    every = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*_columns(docs))
+    worded = _known(docs).where(F.col("text").rlike(WORD))
+    every = worded.join(named, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return _known(every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token ids of every whole text, and whether they decode to it. A null text has no
     ids; every row is encoded, repeated ones too."""
     codec = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = bpe.encode_documents(docs.select(*_columns(docs)), codec)
+    out = bpe.encode_documents(_known(docs), codec)
     whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return out.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip")
