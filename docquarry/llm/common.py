@@ -57,13 +57,17 @@ def discard(path: str) -> None:
     files.delete_dir(base)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, hot: int = 1000) -> DataFrame:
+def join_groups(
+    rows: DataFrame, groups: DataFrame, key: str, count: str, stored: bool = False, hot: int = 1000
+) -> DataFrame:
     """``rows`` with the columns of ``groups``: an inner join on ``key`` that no key makes uneven.
 
     ``groups`` holds each key once and in ``count`` how many of ``rows`` have it. Keys of more than one ``hot``-th of all
     rows (fewer than ``hot`` of them, so their table is small at any size) are broadcast; all others, none of them large,
-    are joined by shuffle. ``rows`` is read twice and should be a written table. Null keys find nothing.
+    are joined by shuffle. ``rows`` is read twice and should be a written table; ``groups`` is written here unless it is
+    ``stored`` already. Null keys find nothing.
     """
+    groups = groups if stored else materialize(groups, "groups")
     total = groups.agg(F.sum(count)).first()[0] or 0
     limit = max(total // hot, 100)
     large = F.broadcast(groups.where(F.col(count) > limit).drop(count))

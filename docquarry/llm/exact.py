@@ -172,7 +172,7 @@ def exact_dedup(
     index = build_index(rows.where(history), shards)
     decided = materialize(resolve(index, rows.where(~history), shards), "decided")
     keep = F.when(F.col("winner") > -(2**63), F.col("winner"))
-    return join_groups(rows, decided.withColumn("_n", F.col("n")), "digest", "_n").select(
+    return join_groups(rows, decided.withColumn("_n", F.col("n")), "digest", "_n", stored=True).select(
         "doc_id",
         keep.alias("keep_id"),
         F.col("n").alias("group_size"),

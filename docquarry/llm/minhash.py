@@ -271,7 +271,9 @@ def near_duplicates(
         members.where("id > centre").groupBy("id").agg(F.min("centre").alias("b")).select(F.col("id").alias("a"), "b")
     )
     star = verify_pairs(first, texts, size, percent)
-    named = join_groups(whole.select("id", "set_hash"), classes.select("set_hash", "rep", "_n"), "set_hash", "_n")
+    named = join_groups(
+        whole.select("id", "set_hash"), classes.select("set_hash", "rep", "_n"), "set_hash", "_n", stored=True
+    )
     several = named.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     same_id = (
         named.join(several.select("id"), "id", "left_semi")

@@ -119,7 +119,8 @@ def filter_urls(
         .agg(F.max(is_bad.cast("int")).alias("bad"))
     )
     pairs = rows.where("_doc IS NOT NULL").groupBy("host", "_doc").agg(F.count("*").alias("times"))
-    labelled = join_groups(pairs, bad.join(pairs.groupBy("_doc").agg(F.count("*").alias("_n")), "_doc"), "_doc", "_n")
+    known = bad.join(pairs.groupBy("_doc").agg(F.count("*").alias("_n")), "_doc")
+    labelled = join_groups(pairs, known, "_doc", "_n")
     counts = labelled.groupBy("host").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("bad")).alias("k"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("_n"))
     zero = F.lit(0).cast("long")
