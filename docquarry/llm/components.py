@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, join_groups, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,11 +28,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) for every id that occurs in ``links`` (columns a, b; no nulls): the smallest id reachable.
 
     Each task first shrinks its own links to a forest. Then large-star and small-star rounds (every node hands its
-    neighbours the smallest node it knows) run until all trees are stars. A node's links are never gathered: the
+    neighbours the smallest node it knows) run until all trees are stars, some log(n) rounds. A node's links are never gathered: the
     rounds use a minimum per node and a join.
     """
 
@@ -44,31 +44,21 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
-    tree = materialize(links.select("a", "b").mapInArrow(shrink, "u long, v long").distinct(), "forest")  # u > v
-    for _ in range(max_rounds):
+    forests = links.select("a", "b").mapInArrow(shrink, "u long, v long").distinct()  # u > v
+    tree, path = written(forests, "forest")
+    while True:
         parents = tree.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
         roots = tree.select(F.col("v").alias("u")).distinct()
         if parents.where("lo < hi").select("u").union(parents.join(roots, "u", "left_semi").select("u")).isEmpty():
             break
         both = tree.union(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .distinct()
-        )
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        known = join_groups(both, least.withColumn("m", F.least("u", "m")), "u", "_n")  # a root may have most links
+        large = known.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        tree = materialize(small, "stars")
-    else:
-        raise RuntimeError("components did not settle")
+        others = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars, new = written(others.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(path)
+        tree, path = stars, new
     heads = tree.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return tree.select(F.col("u").alias("id"), F.col("v").alias("component")).union(heads)
