@@ -214,8 +214,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
     @arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for at in range(0, len(texts), 512):
-            lang, score = shared.value.predict(texts[at : at + 512].to_pylist())
+        for at in range(0, len(texts), 128):
+            lang, score = shared.value.predict(texts[at : at + 128].to_pylist())
             langs += lang
             scores += score
         return pa.StructArray.from_arrays(

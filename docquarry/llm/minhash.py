@@ -13,7 +13,7 @@ from .common import join_groups, materialize, mix64
 from .components import connected_components, forest
 from .words import keyed_texts, run_keys, word_keys
 
-BATCH = 1 << 17  # shingles whose permutations are held at a time
+BATCH = 1 << 14  # shingles whose permutations are held at a time
 
 
 def lower_words(text) -> list[bytes]:
