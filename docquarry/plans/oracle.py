@@ -115,13 +115,13 @@ FLAT_NOISE = " OR ".join(f"regexp_matches({strip('x')}, {q(p)})" for p in rules.
 VEC = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
 COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 QUERIES_SQL = "(SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)"
-TERM = "[a-z0-9]+|[一-鿿]{2,}"
+WORDS_PATTERN = "[a-z0-9]+|[一-鿿]{2,}"
 #: Products of term counts; the ten documents of largest sum for each query.
 SPARSE = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{{2,}}')) AS w FROM documents), d AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL),
 b AS (SELECT query_id, w, count(*) AS m FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]{{2,}}')) AS w FROM {queries}) GROUP BY ALL), s AS (SELECT query_id, doc_id, sum(n * m)::DOUBLE AS score FROM d JOIN b USING (w) GROUP BY ALL)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s QUALIFY rank <= 10"""
 #: Share of a passage's terms in every document.
-RERANK = f"""WITH qs AS (SELECT regexp_extract_all(lower(text), '{TERM}') AS qa, list_distinct(qa) AS w FROM benchmark WHERE item_id = 0), a AS (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS all_ FROM documents),
+RERANK = f"""WITH qs AS (SELECT regexp_extract_all(lower(text), '{WORDS_PATTERN}') AS qa, list_distinct(qa) AS w FROM benchmark WHERE item_id = 0), a AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS_PATTERN}') AS all_ FROM documents),
 d AS (SELECT doc_id, all_, len(list_intersect(w, list_distinct(all_)))::DOUBLE / len(w) AS s FROM a, qs)"""
 
 ORACLE: dict[str, str] = {
@@ -201,13 +201,13 @@ ORACLE: dict[str, str] = {
     "rerank": f"""{RERANK}, o AS (SELECT doc_id, unnest(all_) AS x FROM d), h AS (SELECT doc_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, doc_id) AS r FROM o JOIN (SELECT unnest(qa) AS x FROM qs) USING (x) GROUP BY doc_id QUALIFY r <= 80)
       SELECT doc_id, round(s, 6) AS rerank_score, row_number() OVER (ORDER BY s DESC, r)::INT AS seq FROM d JOIN h USING (doc_id)""",
     "docname_recall": rf"""WITH fx AS ({FX}), n AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS chunk_uuid, lower(string_split(file_path, '/')[-1]) AS name FROM fx), s AS (SELECT *, regexp_replace(name, '\.[^.]+$', '') AS stem FROM n),
-      o AS (SELECT *, list_distinct(regexp_extract_all(stem, '{TERM}')) AS own FROM s), c AS (SELECT *, len(list_intersect(own, ['概要设计', '7'])) / greatest(1, len(own)) AS share FROM o),
+      o AS (SELECT *, list_distinct(regexp_extract_all(stem, '{WORDS_PATTERN}')) AS own FROM s), c AS (SELECT *, len(list_intersect(own, ['概要设计', '7'])) / greatest(1, len(own)) AS share FROM o),
       d AS (SELECT chunk_uuid, CASE WHEN contains('《概要设计》 概要设计_7', name) THEN 1 WHEN contains('《概要设计》 概要设计_7', stem) THEN 2 WHEN contains(name, '概要设计') THEN 3 WHEN share >= 0.7 THEN 5 WHEN share >= 0.4 THEN 6 END AS k FROM c),
       r AS (SELECT chunk_uuid, [1.0, 0.95, 0.9, 0.85, 0.8, 0.6][k]::DOUBLE AS docname_score, ['filename_in_query', 'filestem_in_query', 'hint_in_filename', 'hint_in_filestem', 'token_overlap_high', 'token_overlap_mid'][k] AS docname_reason FROM d WHERE k IS NOT NULL)
       SELECT chunk_uuid, 0.2::DOUBLE + 0.2::DOUBLE * docname_score AS score, docname_score, docname_reason FROM r ORDER BY docname_score DESC, chunk_uuid LIMIT 9""",
     "search_hits": rf"""{WITH}{META}, v AS ({VEC}), nv AS (SELECT count(*) AS n FROM embeddings), qv AS (SELECT v AS q FROM v WHERE vec_id = 0),
       dn AS (SELECT m.chunk_uuid, list_dot_product(v.v, q) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(q, q))) AS d FROM meta m CROSS JOIN nv CROSS JOIN qv JOIN v ON v.vec_id = m.doc_id % nv.n),
-      tok AS (SELECT chunk_uuid, unnest(regexp_extract_all(lower(text), '{TERM}')) AS w FROM meta), sp AS (SELECT chunk_uuid, count(*)::DOUBLE AS s FROM tok WHERE w IN ('latency', 'fr', '1', '12ms') GROUP BY chunk_uuid),
+      tok AS (SELECT chunk_uuid, unnest(regexp_extract_all(lower(text), '{WORDS_PATTERN}')) AS w FROM meta), sp AS (SELECT chunk_uuid, count(*)::DOUBLE AS s FROM tok WHERE w IN ('latency', 'fr', '1', '12ms') GROUP BY chunk_uuid),
       sc AS (SELECT m.chunk_uuid, phase, quality_level, d, s FROM meta m JOIN dn USING (chunk_uuid) LEFT JOIN sp USING (chunk_uuid)),
       lv AS (SELECT 0 AS level, * FROM sc WHERE phase = 'design' AND quality_level = 'high' UNION ALL SELECT 1, * FROM sc WHERE phase = 'design' UNION ALL SELECT 2, * FROM sc),
       rk AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY d DESC, chunk_uuid) AS rd, CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY level ORDER BY s DESC NULLS LAST, chunk_uuid) END AS rs FROM lv),
@@ -216,7 +216,7 @@ ORACLE: dict[str, str] = {
       bf AS (SELECT level, (SELECT count(*) FROM f1 WHERE f1.level < x.level) AS before FROM (SELECT DISTINCT level FROM rf) x), rec AS (SELECT chunk_uuid, f AS score, row_number() OVER (ORDER BY level, rank) AS seq FROM f1 JOIN bf USING (level) WHERE before < 18),
       dc AS (SELECT chunk_uuid, 0.9::DOUBLE AS ds, row_number() OVER (ORDER BY chunk_uuid) AS place FROM meta WHERE phase = 'design' AND quality_level = 'high' AND contains(string_split(file_path, '/')[-1], '概要设计') QUALIFY place <= 9),
       mg AS (SELECT coalesce(rec.chunk_uuid, dc.chunk_uuid) AS chunk_uuid, coalesce(score, 0.2::DOUBLE + 0.2::DOUBLE * 0.9::DOUBLE) AS score, coalesce(ds, 0::DOUBLE) AS ds, row_number() OVER (ORDER BY seq NULLS LAST, place) AS seq0 FROM rec FULL JOIN dc ON rec.chunk_uuid = dc.chunk_uuid),
-      rr AS (SELECT mg.*, CASE WHEN count(*) OVER () > 18 THEN len(list_intersect(['概要设计', 'latency', 'fr', '1'], regexp_extract_all(lower(text), '{TERM}'))) / 4::DOUBLE END AS rs FROM mg JOIN meta USING (chunk_uuid)),
+      rr AS (SELECT mg.*, CASE WHEN count(*) OVER () > 18 THEN len(list_intersect(['概要设计', 'latency', 'fr', '1'], regexp_extract_all(lower(text), '{WORDS_PATTERN}'))) / 4::DOUBLE END AS rs FROM mg JOIN meta USING (chunk_uuid)),
       top AS (SELECT *, row_number() OVER (ORDER BY rs + 0.2::DOUBLE * ds DESC NULLS LAST, seq0) AS seq FROM rr QUALIFY seq <= 18),
       hd AS (SELECT seq, list_slice(list_concat(test_ids, design_ids), 1, 4) AS ends FROM top JOIN meta USING (chunk_uuid) WHERE seq <= 9 AND len(req_ids) > 0), lk AS (SELECT seq, unnest(ends) AS t, generate_subscripts(ends, 1) AS pos FROM hd),
       own AS (SELECT chunk_uuid, unnest(test_ids) AS t FROM meta UNION ALL SELECT chunk_uuid, unnest(design_ids) FROM meta), hit AS (SELECT seq, pos, chunk_uuid, row_number() OVER (PARTITION BY seq, pos ORDER BY chunk_uuid) AS n FROM lk JOIN own USING (t) QUALIFY n <= 2),
