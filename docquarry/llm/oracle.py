@@ -67,3 +67,60 @@ g AS (SELECT source, source_size, CASE WHEN lk IS NULL OR k < lk THEN 2::DOUBLE
 d AS (SELECT t.doc_id, size, source_size, target, floor(target + 1e-6)::BIGINT AS words, (sum(size) OVER (PARTITION BY t.source ORDER BY left(md5(doc_id || ':7'), 16), doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos
   FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, greatest(0, least(size, words - pos)) + greatest(0, least(size, words - pos - source_size)) AS taken FROM d"""
+
+#: CRC-32 of bytes given as hex, by the table of the polynomial.
+CRC_TABLE = """tab AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab)"""
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length({h}) // 2), lambda i: ('0x' || substring({h}, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+_TOLD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_TOLD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+#: Levels of the trees of all languages, then those of their subroots; siblings of every node, proofs and folds level by level.
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+h AS (SELECT *, hex(encode(doc_id::VARCHAR)) AS hx FROM documents),
+d AS (SELECT doc_id, lang, sha256({_LEAF} || {_TOLD.format("text")}) AS leaf,
+  CASE WHEN {CRC.format(h="hx")} % 3 = 0 THEN sha256({_LEAF} || {_TOLD.format("low")}) END AS other FROM (SELECT *, {LOWER.format("text")} AS low FROM h, tab)),
+p AS (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf, other) - 1 AS pos FROM d),
+low(k, lev, pos, node) AS (SELECT k, 0, pos, leaf FROM p UNION ALL
+  SELECT k, lev + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM low) WHERE c > 1 GROUP BY k, lev, pos // 8),
+sub AS (SELECT k, arg_max(node, lev) AS subroot, max(lev) AS height, row_number() OVER (ORDER BY encode(k)) - 1 AS pos FROM low GROUP BY k),
+top(lev, pos, node) AS (SELECT 0, pos, subroot FROM sub UNION ALL
+  SELECT lev + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM top) WHERE c > 1 GROUP BY lev, pos // 8),
+root AS (SELECT arg_max(node, lev) AS root, max(lev) AS height FROM top),
+sib AS (SELECT k, lev, pos, coalesce(string_agg(node, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT k, lev, pos, node FROM low UNION ALL SELECT NULL, lev, pos, node FROM top) WINDOW r AS (PARTITION BY k, lev, pos // 8 ORDER BY pos)),
+fold AS (SELECT p.k, p.pos AS at, 0 AS lev, p.pos AS pos, coalesce(other, leaf) AS cur, '' AS proof FROM p UNION ALL
+  SELECT f.k, f.at, f.lev + 1, CASE WHEN f.lev + 1 = s.height THEN s.pos ELSE f.pos // 8 END, sha256(b.l || f.cur || b.r), f.proof || b.l || b.r
+  FROM fold f JOIN sub s ON s.k = f.k JOIN root ON f.lev < s.height + root.height
+  JOIN sib b ON b.k IS NOT DISTINCT FROM (CASE WHEN f.lev < s.height THEN f.k END) AND b.lev = (CASE WHEN f.lev < s.height THEN f.lev ELSE f.lev - s.height END)
+    AND b.pos = (CASE WHEN s.height = 0 AND f.lev = 0 THEN s.pos ELSE f.pos END))
+SELECT p.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM p JOIN sub ON sub.k = p.k, root JOIN fold f ON f.k = p.k AND f.at = p.pos AND f.lev = sub.height + root.height"""
+
+#: Every query against every row.
+NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score
+  FROM u q JOIN u c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+#: Near words by their letters with one left out: two words of one length agree without the same place, others hold each other.
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE},
+run AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+lo AS (SELECT doc_id, {LOWER.format("w")} AS w FROM run WHERE length(w) >= 6),
+c AS (SELECT doc_id, w, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS hx FROM lo GROUP BY doc_id, w),
+x AS (SELECT w, c, {CRC.format(h="hx")} AS h FROM c, tab),
+y AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, c FROM x),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM y WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+i AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+cut AS (SELECT word, n, i, left(word, i) || substring(word, i + 2) AS rest FROM i),
+pair AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM pair GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN (SELECT min(near) FROM pair p WHERE p.word = v.word AND p.n = top) END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)"""

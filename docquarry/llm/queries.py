@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, exact, langid, minhash, mixing, oracle, sharding, substring, urls, vectors, warc
+from . import bpe, exact, langid, merkle, minhash, mixing, nearest, oracle, sharding, spelling, substring, urls, vectors, warc
 from .common import spread
 
 
@@ -83,6 +83,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document under the root of all."""
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth id, out of all."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of all documents."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select(
+        "word", "form", "root", "n", "n_near", "form_n"
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -94,6 +111,9 @@ QUERIES = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_warc": op10_warc,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -104,6 +124,9 @@ ORACLE_SQL = {
     "op7_minhash_near_dedup": oracle.MINHASH,
     "op8_mixing_sources": oracle.MIXING,
     "op5_url_filters": urls.ORACLE_SQL,
+    "op11_merkle_manifest": oracle.MERKLE,
+    "op12_nearest_neighbours": oracle.NEAREST,
+    "op13_spelling_variants": oracle.SPELLING,
     "op10_warc": """
 WITH t AS (SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM t WHERE payload_bytes >= 100 GROUP BY ALL)
