@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from .operators.chunking import chunk_documents
 from .operators.embedding import HashedTerms
 from .operators.lines import first_heading
 from .operators.metadata import with_metadata
-from .operators.store import ChunkStore, batch_totals, chunk_key, document_key, ingest_report
+from .operators.store import REPORT, ChunkStore, batch_totals, chunk_key, document_key, ingest_report
+from .sources import shared
 from .sources.files import full_text, read_files
 
 COUNTS = ["chunks_total", "chunks_inserted", "chunks_summary_scoped", "needs_review_count"]
@@ -38,30 +40,34 @@ def ingest(
 ) -> DataFrame:
     """Write all files to the store; returns one report row per file: status ok, empty or error.
 
-    Files are parsed once. The chunks of a batch get the store's next version; older chunks of the files that parsed
-    are hidden, so a file that has changed leaves none of its old text. Files that failed or are empty change nothing.
+    Files are parsed once, into a table beside the store. Chunks, the removal of older chunks of the files that parsed,
+    and the report are one commit: a reader sees a document's old text or its new one, and a job that fails leaves
+    the store as it was. Files that failed or are empty change nothing, and no files make no commit.
     """
-    began, version = time.monotonic(), store.next_version()
-    files = files.persist()
+    began, staged = time.monotonic(), f"{store.path}/staging/{uuid.uuid4().hex}"
+    files.write.parquet(staged)
+    files = store.spark.read.schema(files.schema).parquet(staged)
+    status = F.when(F.col("error").isNotNull(), "error").when(F.size("pages") == 0, "empty").otherwise("ok")
+    rows = files.select(
+        F.col("file_path").alias("source_file"),
+        document_key(F.col("file_path")).alias("document_id"),
+        status.alias("status"),
+        "error",
+        F.size("pages").alias("pages"),
+    )
+
+    def report(chunks: DataFrame) -> DataFrame:
+        told = rows.join(ingest_report(chunks, by="source_file"), "source_file", "left").fillna(0, COUNTS)
+        return told.withColumn("elapsed_seconds", F.lit(round(time.monotonic() - began, 3)))
+
     try:
-        store.append((provider or HashedTerms()).embed(chunk_files(files, override, recompute)), version)
-        store.hide(
-            files.where("error IS NULL AND size(pages) > 0").select(F.col("file_path").alias("source_file")),
-            version - 1,
-        )
-        counted = ingest_report(store.batch(version), by="source_file")
-        status = F.when(F.col("error").isNotNull(), "error").when(F.size("pages") == 0, "empty").otherwise("ok")
-        rows = files.select(
-            F.col("file_path").alias("source_file"),
-            document_key(F.col("file_path")).alias("document_id"),
-            status.alias("status"),
-            "error",
-            F.size("pages").alias("pages"),
-        )
-        report = rows.join(counted, "source_file", "left").fillna(0, COUNTS)
-        return store.report(report.withColumn("elapsed_seconds", F.lit(round(time.monotonic() - began, 3))), version)
+        if files.isEmpty():
+            return store.spark.createDataFrame([], REPORT)
+        chunks = (provider or HashedTerms()).embed(chunk_files(files, override, recompute))
+        done = store.commit(chunks, rows.where("status = 'ok'").select("source_file"), report)
+        return store.reports_of(done)
     finally:
-        files.unpersist()
+        shared.remove(staged)
 
 
 def ingest_directory(store: ChunkStore, folder: str, **options) -> DataFrame:

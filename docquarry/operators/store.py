@@ -1,13 +1,17 @@
-"""The chunk store: appended batches, tombstones, latest version of each chunk; ingest reports."""
+"""The chunk store: keyed buckets of Parquet files under one manifest a version; ingest reports."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import shared
 from .embedding import check_dimension
 
 EDGES = T.ArrayType(T.StructType([T.StructField("from", T.StringType()), T.StructField("to", T.StringType())]))
@@ -21,10 +25,16 @@ STORE = T.StructType([T.StructField(n, t) for n, t in (
 )])
 
 
-GONE = "source_file string, until long"
 REPORT = """source_file string, document_id string, status string, error string, pages int, chunks_total long, chunks_summary_scoped long, chunks_inserted long,
 needs_review_count long, has_term_pct double, has_phase_pct double, has_doc_type_pct double, needs_review_items array<struct<chunk_id:string,reason:string>>,
-elapsed_seconds double, version long"""
+elapsed_seconds double"""
+#: Chunks of one document that stay in one bucket; longer documents go on in the next ones.
+TOGETHER = 4096
+#: Rows of a file are sorted by these fields, so that a filter skips row groups by their statistics.
+CLUSTERED = ("phase", "doc_type", "term", "project_id", "source_file", "chunk_index")
+#: Fields whose Parquet Bloom filters let an equality skip row groups that their order does not.
+BLOOM = ("source_file", "chunk_uuid", "document_id", "project_id")
+_FOLDERS = "commit string, bucket int"
 
 
 def document_key(path: Column) -> Column:
@@ -80,85 +90,194 @@ def batch_totals(reports: DataFrame) -> DataFrame:
     )
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """What one version of a store consists of: folders ``commit=<id>/bucket=<n>`` of chunks, and folders of reports."""
+
+    version: int
+    buckets: int
+    folders: tuple[str, ...] = ()
+    reports: tuple[str, ...] = ()
+
+
 @dataclass
 class ChunkStore:
-    """A folder of Parquet batches and tombstones. Writers only append; readers take the highest version of each
-    chunk and leave out what a later tombstone names. ``compact`` rewrites the current rows into a new store."""
+    """A folder of chunks in buckets, and of manifests, one for each version, which name the folders that make it up.
+
+    Folders are written once and never changed. A commit writes new folders beside the old ones, then puts the next
+    manifest in place in one step that only one writer of a version can win; before that step nobody sees any of it.
+    Readers take the newest manifest once and keep to its folders. A chunk's bucket follows from its document, so that
+    replacing a document rewrites the few folders that hold it (copy on write), new documents add folders, and no
+    other file is touched. Writers that lose the step start over from the manifest that won, with the new folders they
+    have written already; replacing wins over what it replaces, whoever comes last. ``buckets`` holds for a new store:
+    about one for each GB to come; the first manifest fixes it.
+    """
 
     spark: SparkSession
     path: str
     dims: int | None = None
+    buckets: int = 16
 
-    def _read(self, part: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], schema)
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The newest version, or an older one that has not been vacuumed."""
+        found = [int(n[:-5]) for n in shared.names(f"{self.path}/manifests") if n.endswith(".json")]
+        if not found and version is None:
+            return Snapshot(0, self.buckets)
+        told = json.loads(shared.read_bytes(self._manifest(max(found) if version is None else version)))
+        return Snapshot(told["version"], told["buckets"], tuple(told["folders"]), tuple(told["reports"]))
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifests/{version:020d}.json"
 
     def exists(self) -> bool:
-        return not self._read("chunks", STORE).isEmpty()
-
-    def next_version(self) -> int:
-        """One more than any version that the store holds: the only clock. Writers are expected one at a time."""
-        tops = [
-            self._read("chunks", STORE).agg(F.max("version")),
-            self._read("tombstones", GONE).agg(F.max("until")),
-            self._read("reports", REPORT).agg(F.max("version")),
-        ]
-        return 1 + max(t.first()[0] or 0 for t in tops)
-
-    def append(self, chunks: DataFrame, version: int) -> None:
-        """Add a batch. Vectors of another length raise; missing columns are null."""
-        if self.dims:
-            check_dimension(chunks, self.dims)
-        have = set(chunks.columns)
-        rows = chunks.withColumn("version", F.lit(version).cast("long"))
-        rows = rows.select(
+        return bool(self.snapshot().folders)
+
+    def _folders(self, folders) -> DataFrame:
+        """Chunks of some folders, with the columns commit and bucket."""
+        schema = T.StructType([*STORE.fields, *T.StructType.fromDDL(_FOLDERS).fields])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/data")
+        return reader.parquet(*(f"{self.path}/data/{f}" for f in folders))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The chunks of a snapshot: a scan of its folders, without a shuffle."""
+        return self._folders(self.snapshot(version).folders).select(*STORE.fieldNames())
+
+    def reports(self, version: int | None = None) -> DataFrame:
+        """The report rows of all commits of a snapshot."""
+        found = [f"{self.path}/reports/{r}" for r in self.snapshot(version).reports]
+        rows = self.spark.read.schema(REPORT)
+        return rows.parquet(*found) if found else self.spark.createDataFrame([], REPORT)
+
+    def reports_of(self, done: Snapshot) -> DataFrame:
+        """The report rows of the commit that ``done`` came of."""
+        return self.spark.read.schema(REPORT).parquet(f"{self.path}/reports/{done.reports[-1]}")
+
+    def _write(self, rows: DataFrame) -> list[str]:
+        """Write chunks (with the column bucket) to a new commit; returns its folders."""
+        commit = f"commit={uuid.uuid4().hex}"
+        # rebalancing splits a bucket that grew large and joins small ones
+        dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *CLUSTERED)
+        writer = dealt.write.partitionBy("bucket")
+        for field in BLOOM:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{field}", "true")
+        writer.parquet(f"{self.path}/data/{commit}")
+        return sorted(f"{commit}/{f}" for f in shared.folders(f"{self.path}/data/{commit}", 1))
+
+    def commit(
+        self,
+        chunks: DataFrame | None = None,
+        gone: DataFrame | None = None,
+        report: Callable[[DataFrame], DataFrame] | None = None,
+        expect: int | None = None,
+        retries: int = 8,
+    ) -> Snapshot:
+        """Add ``chunks``, in one step with the removal of all older chunks of the files in ``gone`` (source_file) and with
+        the rows that ``report`` makes of the chunks as written.
+
+        Vectors of another length than the store's raise; missing columns are null. With ``expect``, a version, the
+        commit raises ``Conflict`` if the store has moved on from it; without, it is tried again on what won.
+        """
+        base = self.snapshot()
+        added: list[str] = []
+        if chunks is not None:
+            if self.dims:
+                check_dimension(chunks, self.dims)
+            added = self._write(self._typed(chunks, base))
+        written = self._folders(added)
+        told = [self._report(report(written.select(*STORE.fieldNames())))] if report else []
+        for _ in range(retries):
+            if expect is not None and base.version != expect:
+                raise Conflict(f"version {base.version} where {expect} was expected")
+            touched, kept = self._without(base, gone) if gone is not None else (set(), [])
+            folders = [f for f in base.folders if f not in touched] + kept + added
+            done = Snapshot(base.version + 1, base.buckets, tuple(folders), (*base.reports, *told))
+            content = json.dumps(done.__dict__).encode()
+            if shared.put_if_absent(self.spark, self._manifest(done.version), content):
+                return done
+            base = self.snapshot()
+        raise Conflict(f"other writers committed first {retries} times")
+
+    def _typed(self, chunks: DataFrame, base: Snapshot) -> DataFrame:
+        have = set(chunks.columns) - {"version"}
+        rows = chunks.select(
             *(
-                (F.col(f.name) if f.name in have or f.name == "version" else F.lit(None)).cast(f.dataType).alias(f.name)
+                (F.lit(base.version + 1) if f.name == "version" else F.col(f.name) if f.name in have else F.lit(None))
+                .cast(f.dataType)
+                .alias(f.name)
                 for f in STORE
             )
         )
-        rows.write.mode("append").parquet(f"{self.path}/chunks")
-
-    def batch(self, version: int) -> DataFrame:
-        """The chunks written as ``version``; files of other versions are skipped by their statistics."""
-        return self._read("chunks", STORE).where(F.col("version") == version)
-
-    def read(self) -> DataFrame:
-        rows = self._read("chunks", STORE)
-        latest = (
-            rows.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_uuid").orderBy(F.desc("version"))))
-            .where("_n = 1")
-            .drop("_n")
-        )
-        dead = self._read("tombstones", GONE).groupBy("source_file").agg(F.max("until").alias("until"))
-        return latest.join(dead, (latest.source_file == dead.source_file) & (latest.version <= dead.until), "left_anti")
-
-    def hide(self, source_files: DataFrame, until: int) -> None:
-        """Hide the chunks of all ``source_files`` (source_file) up to the version ``until``."""
-        source_files.select("source_file", F.lit(until).cast("long").alias("until")).write.mode("append").parquet(
-            f"{self.path}/tombstones"
+        place = F.xxhash64("document_id", F.floor(F.coalesce("chunk_index", F.lit(0)) / TOGETHER))
+        return rows.withColumn("bucket", F.pmod(place, F.lit(base.buckets)).cast("int"))
+
+    def _without(self, base: Snapshot, gone: DataFrame) -> tuple[set[str], list[str]]:
+        """(folders of ``base`` that hold chunks of ``gone``, new folders with the rest of their chunks)."""
+        names = gone.select("source_file").distinct()
+        rows = self._folders(base.folders)
+        held = rows.select("commit", "bucket", "source_file").join(names, "source_file", "left_semi")
+        touched = [f"commit={r[0]}/bucket={r[1]}" for r in held.select("commit", "bucket").distinct().collect()]
+        if not touched:
+            return set(), []
+        rest = self._folders(touched).join(names, "source_file", "left_anti").select(*STORE.fieldNames(), "bucket")
+        return set(touched), self._write(rest)
+
+    def _report(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        schema = T.StructType.fromDDL(REPORT)
+        rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(
+            f"{self.path}/reports/{name}"
         )
+        return name
 
     def delete(self, source_file: str) -> int:
-        """Hide all chunks of a file; returns how many there were."""
+        """Remove all chunks of a file; returns how many there were."""
         n = self.read().where(F.col("source_file") == source_file).count()
         if n:
-            self.hide(self.spark.createDataFrame([(source_file,)], "source_file string"), self.next_version())
+            self.commit(gone=self.spark.createDataFrame([(source_file,)], "source_file string"))
         return n
 
-    def report(self, rows: DataFrame, version: int) -> DataFrame:
-        """Add the report rows of a batch and read them back."""
-        schema = T.StructType.fromDDL(REPORT)
-        typed = rows.withColumn("version", F.lit(version).cast("long"))
-        typed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(
-            f"{self.path}/reports"
-        )
-        return self._read("reports", REPORT).where(F.col("version") == version).drop("version")
-
-    def compact(self, target: str) -> ChunkStore:
-        self.read().write.parquet(f"{target}/chunks")
-        return ChunkStore(self.spark, target, self.dims)
+    def merge_folders(self, most: int = 8) -> Snapshot:
+        """Rewrite the buckets of more than ``most`` folders into one folder each, in one commit."""
+        base = self.snapshot()
+        of = {}
+        for f in base.folders:
+            of.setdefault(f.rpartition("=")[2], []).append(f)
+        many = [f for fs in of.values() if len(fs) > most for f in fs]
+        if not many:
+            return base
+        new = self._write(self._folders(many).select(*STORE.fieldNames(), "bucket"))
+        while True:
+            if not set(many) <= set(base.folders):
+                raise Conflict("a folder that was merged has been replaced")
+            folders = (*(f for f in base.folders if f not in set(many)), *new)
+            done = Snapshot(base.version + 1, base.buckets, folders, base.reports)
+            if shared.put_if_absent(self.spark, self._manifest(done.version), json.dumps(done.__dict__).encode()):
+                return done
+            base = self.snapshot()
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove all but the newest ``keep`` manifests and every folder that these do not name, what failed commits left
+        included; returns how many. For times without writers and without readers of older versions."""
+        versions = sorted(int(n[:-5]) for n in shared.names(f"{self.path}/manifests") if n.endswith(".json"))
+        held = [self.snapshot(v) for v in versions[-keep:]]
+        live = {f"data/{f}" for s in held for f in s.folders} | {f"reports/{r}" for s in held for r in s.reports}
+        there = [f"data/{f}" for f in shared.folders(f"{self.path}/data", 2)]
+        there += [f"reports/{f}" for f in shared.folders(f"{self.path}/reports", 1)]
+        dead = [f for f in there if f not in live]
+        for folder in dead:
+            shared.remove(f"{self.path}/{folder}")
+        for v in versions[:-keep]:
+            shared.remove_file(self._manifest(v))
+        return len(dead)
+
+    def compact(self, target: str, buckets: int | None = None) -> ChunkStore:
+        """The current chunks as a new store, of another number of buckets if given."""
+        new = ChunkStore(self.spark, target, self.dims, buckets or self.snapshot().buckets)
+        new.commit(self.read())
+        return new

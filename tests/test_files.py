@@ -2,6 +2,8 @@
 
 import io
 import json
+import os
+import sys
 import zipfile
 from types import SimpleNamespace
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from docquarry import cli, service
 from docquarry.ingest import ingest_directory
 from docquarry.operators.store import ChunkStore
-from docquarry.sources import files
+from docquarry.sources import files, listing
 from docquarry.streaming.ingest import start_ingest
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -196,17 +198,80 @@ def test_delete_then_command_line(spark, store, tmp_path, capsys, monkeypatch):
     assert spark.read.json(f"{tmp_path}/report").first().status == "ok"
 
 
-def test_streaming_after_upload(spark, store, tmp_path):
+def streamed(store, folder, tmp_path) -> list[tuple]:
+    """One run of the stream, restarted from its checkpoint: (file, first word) of every chunk."""
+    start_ingest(store, str(folder), f"{tmp_path}/checkpoint").awaitTermination()
+    return sorted((r.source_file[len(str(folder)) + 1 :], r.text.split()[1]) for r in store.read().collect())
+
+
+def test_streaming_takes_every_change(spark, store, tmp_path):
     folder = tmp_path / "in"
-    folder.mkdir()
-    path = folder / "a.md"
-    service.upload(store, str(path), body("old").encode())
-    path.write_text(body("new", 2))
-    (folder / "copy.md").write_text(body("new", 2))
-    for _ in range(2):
-        start_ingest(store, str(folder), f"{tmp_path}/checkpoint").awaitTermination()
-    rows = store.read().select("source_file", "text").collect()
-    assert len(rows) in (2, 5) and sum("new" in r.text for r in rows) == 2  # one of two equal files
+    (folder / "deep" / "er").mkdir(parents=True)
+    service.upload(store, f"{folder}/a.md", body("old").encode())
+    (folder / "a.md").write_text(body("new", 2))
+    (folder / "deep" / "er" / "b.md").write_text(body("beta", 1))
+    (folder / "_hidden.md").write_text(body("hidden", 1))
+    first = [("a.md", "new"), ("a.md", "new"), ("deep/er/b.md", "beta")]
+    assert streamed(store, folder, tmp_path) == first
+    version = store.snapshot().version
+    assert streamed(store, folder, tmp_path) == first and store.snapshot().version == version  # nothing new, no commit
+    (folder / "a.md").write_text(body("other", 1))  # changed in place
+    (folder / "twin.md").write_text(body("beta", 1))  # what another path holds already
+    (folder / "late.md").write_text(body("late", 1))
+    os.utime(folder / "late.md", (1_000_000, 1_000_000))  # dated far behind all others
+    rest = [("deep/er/b.md", "beta"), ("late.md", "late"), ("twin.md", "beta")]
+    assert streamed(store, folder, tmp_path) == [("a.md", "other"), *rest]
+    (folder / "a.md").write_text(body("new", 2))  # back to what it was
+    os.utime(folder / "twin.md")  # touched, the same
+    assert streamed(store, folder, tmp_path) == [("a.md", "new"), ("a.md", "new"), *rest]
+    taken = {r.source_file[len(str(folder)) + 1 :]: r.n for r in store.reports().groupBy("source_file").agg(F.count("*").alias("n")).collect()}
+    assert taken == {"a.md": 4, "deep/er/b.md": 1, "late.md": 1, "twin.md": 1}
+
+
+def test_listing_on_executors(spark, tmp_path):
+    folder = tmp_path / "in"
+    for i in range(6):
+        (folder / f"d{i}" / "x").mkdir(parents=True)
+        (folder / f"d{i}" / "x" / "f.md").write_bytes(b"a" * i)
+        (folder / f"d{i}" / "g.md").write_bytes(b"b" * 100)
+    (folder / "top.md").write_bytes(b"")
+    (folder / ".hidden").mkdir()
+    (folder / ".hidden" / "no.md").write_text("x")
+    for depth in (0, 1, 2, 5):
+        rows = listing.listed(spark, str(folder), depth)
+        got = {r.path[len(str(folder)) + 1 :]: r.length for r in rows.collect()}
+        want = {f"d{i}/x/f.md": i for i in range(6)} | {f"d{i}/g.md": 100 for i in range(6)} | {"top.md": 0}
+        assert got == want
+    assert listing.listed(spark, str(folder), 1).rdd.getNumPartitions() == 7
+    dealt = listing.by_bytes(listing.listed(spark, str(folder), 0), 150)
+    assert dealt.count() == 13 and dealt.select(F.sum("length")).first()[0] == 615
+    got = listing.contents(dealt, str(folder)).select("length", F.length("content").alias("n")).collect()
+    assert len(got) == 13 and all(r.length == r.n for r in got)
+    gone = spark.createDataFrame([(f"{folder}/none.md", 0, 1)], listing.LISTED)
+    assert listing.contents(gone, str(folder)).count() == 0
+    one = files.read_files(spark, f"{folder}/d1/g.md").collect()
+    assert len(one) == 1 and listing.listed(spark, f"{folder}/missing").count() == 0
+
+
+def test_pages_of_a_pdf_fail_alone(monkeypatch):
+    def bad(**_):
+        raise ValueError("no words here")
+
+    def page(words):
+        return SimpleNamespace(extract_words=words, extract_tables=lambda: [], images=[], extract_text=lambda: "plain")
+
+    class Pdf:
+        pages = [page(lambda **_: [{"text": "w"}]), page(bad)]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", SimpleNamespace(open=lambda _: Pdf()))
+    got = [(e["page"], e["kind"], e.get("text")) for e in files.pdf_entries(b"x")]
+    assert got == [(1, "word", "w"), (1, "images", None), (2, "text", "plain")]
 
 
 def test_search_store(spark, store):
