@@ -11,21 +11,24 @@ from .common import discard, join_groups, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-find over the links (a, b): (node, smallest node of its group) for every node that is not smallest."""
+    """(node, smallest node of its group) for every node that is not the smallest of its group under the links (a, b). Roots of
+    groups that are linked are hooked onto the smaller one and paths are halved until labels agree over all links; the
+    number of groups at least halves with each round."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(nodes)))
-    for x, y in zip(flat[: len(a)].tolist(), flat[len(a) :].tolist(), strict=True):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    for i in range(len(parent)):
-        parent[i] = parent[parent[i]]
-    root = np.array(parent, dtype=np.int64) if parent else np.empty(0, np.int64)
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
+    x, y = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        np.minimum.at(label, high, low)
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
 
 
 def connected_components(links: DataFrame) -> DataFrame:

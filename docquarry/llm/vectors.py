@@ -66,8 +66,8 @@ def near_vectors(
     """(vec_id, n_links, component_id, kept) for every vector; all pairs of cosine >= ``cosine`` are links.
 
     On the unit sphere that is a Euclidean range join of radius r = sqrt(2 - 2 * cosine). Pivots (about one per
-    ``per_cell`` vectors, at most ``max_pivots``, the rows of smallest hash) split the vectors into nearest-pivot
-    cells. For y in the cell of q and d(x, y) <= r the triangle inequality gives
+    ``per_cell`` vectors of a length, at least 8 and over all lengths about ``max_pivots``, the rows of smallest hash)
+    split the vectors into nearest-pivot cells. For y in the cell of q and d(x, y) <= r the triangle inequality gives
     d(x, q) <= d(x, y) + d(y, q) <= r + radius(q), and through d(y, q) <= d(y, p) also d(x, q) <= d(x, p) + 2 r; as
     the metric is Euclidean, x is even within r of the half-space nearer to q than to p, that is
     d(x, q)^2 - d(x, p)^2 <= 2 r d(p, q). x is replicated to the cells of larger number that all bounds allow, so that
@@ -77,11 +77,11 @@ def near_vectors(
     first.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; so do vectors of
-    different lengths with each other. Lengths of at most ``per_cell`` vectors are one cell each, all compared in one job;
-    every other length has a join of its own. Null ids are rows without links. Rows that repeat an id with unlike
-    vectors are judged one by one, and a row's links count rows. Extra columns are ignored; an empty table
-    gives no rows. Where vectors fill many dimensions evenly, distances concentrate and the bounds exclude little:
-    the join stays exact and comes close to all blocks against all blocks.
+    different lengths with each other. All lengths are joined in one job; the 64 most frequent have pivots, any other
+    is one cell. Null ids are rows without links. Rows that repeat an id with unlike vectors are judged one by one,
+    and a row's links count rows. Extra columns are ignored; an empty table gives no rows. Where vectors fill many
+    dimensions evenly, distances concentrate and the bounds exclude little: the join stays exact and comes close to
+    all blocks against all blocks.
     """
     rows = materialize(unit_vectors(vectors, id_col, vector_col), "unit")
     whole = rows.where("id IS NOT NULL AND v IS NOT NULL")
@@ -90,28 +90,7 @@ def near_vectors(
         grouped.select("v", F.size("v").alias("dims"), "least", "weight", F.monotonically_increasing_id().alias("rep")),
         "classes",
     )
-    lengths = classes.groupBy("dims").count()
-    few = lengths.where((F.col("count") > 1) & (F.col("count") <= per_cell)).select("dims")
-    once = F.struct(F.lit(True).alias("row"), F.lit(True).alias("own")), F.struct(
-        F.lit(False).alias("row"), F.lit(True).alias("own")
-    )
-    whole_cells = classes.join(F.broadcast(few), "dims").select(
-        "v",
-        "rep",
-        "weight",
-        F.col("dims").alias("cell"),
-        F.lit(0).alias("i"),
-        F.lit(0).alias("k"),
-        F.explode(F.array(*once)).alias("s"),
-    )
-    done = (
-        whole_cells.select("v", "rep", "weight", "cell", "i", "k", "s.row", "s.own")
-        .groupBy("cell", "i", "k")
-        .applyInArrow(comparison(cosine), LINKS)
-    )
-    # each has more than per_cell vectors
-    for (dims,) in lengths.where(F.col("count") > per_cell).select("dims").collect():
-        done = done.union(_join(classes.where(F.col("dims") == dims), dims, cosine, per_cell, max_pivots))
+    done = _join(classes, cosine, per_cell, max_pivots)
     done = materialize(done, "links")
     counts = done.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
     found = connected_components(done.where("kind = 1").select("a", "b"))  # numbers of classes
@@ -145,7 +124,7 @@ def comparison(cosine: float):
     the same cell. A pair of home rows is seen from both ends, one with a column from elsewhere counts for both."""
 
     def compare(table: pa.Table) -> pa.Table:
-        x = _rows(table["v"], len(table["v"][0]))
+        x = _rows(table["v"], table["dims"][0].as_py())
         rep, weight, row, own = (table[c].to_numpy() for c in ("rep", "weight", "row", "own"))
         left, right, at_home = x[row], x[~row], own[~row]
         ids, other, light, heavy = rep[row], rep[~row], weight[row], weight[~row]
@@ -178,113 +157,133 @@ def comparison(cosine: float):
     return compare
 
 
-def _join(classes: DataFrame, dims: int, cosine: float, per_cell: int, max_pivots: int) -> DataFrame:
-    """kind 0: (rep, weight of partners); kind 1: a link of the forest. ``classes``: v, rep, weight."""
+def draw_pivots(classes: DataFrame, per_cell: int, max_pivots: int) -> dict[int, np.ndarray]:
+    """Pivots of the 64 most frequent lengths: one per ``per_cell`` vectors, 8 at least, of all lengths about ``max_pivots``."""
+    sizes = dict(map(tuple, classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(64).collect()))
+    wanted = {d: max(8, pieces(n, per_cell)) for d, n in sizes.items()}
+    share = min(1.0, max_pivots / max(1, sum(wanted.values())))
+    wanted = {d: min(sizes[d], max(8, int(k * share))) for d, k in wanted.items()}
+    if not wanted:
+        return {}
+    # about twice as many as wanted pass the hash, and 50 more
+    mark, limit = F.pmod(F.xxhash64("least", "weight"), F.lit(1 << 40)), F.lit(0)
+    for d, k in wanted.items():
+        limit = F.when(F.col("dims") == d, int(min(1.0, (2 * k + 50) / sizes[d]) * (1 << 40))).otherwise(limit)
+    drawn = classes.where(mark < limit).select("dims", "v", mark.alias("mark"), "least", "rep").toArrow()
+    drawn = drawn.sort_by([("mark", "ascending"), ("least", "ascending"), ("rep", "ascending")])
+    lengths, out = drawn["dims"].to_numpy(), {}
+    for d, k in wanted.items():
+        own = drawn["v"].filter(pa.array(lengths == d)).slice(0, k)
+        if len(own):
+            out[d] = _rows(own, d)
+    return out
+
+
+def _join(classes: DataFrame, cosine: float, per_cell: int, max_pivots: int) -> DataFrame:
+    """kind 0: (rep, weight of partners); kind 1: a link of the forest. ``classes``: v, dims, rep, weight."""
     spark = classes.sparkSession
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
-    n = classes.count()
-    k = min(max_pivots, pieces(n, per_cell))
-    # at most max_pivots vectors
-    drawn = classes.orderBy(F.xxhash64("least", "weight"), "least", "weight", "rep").limit(k).select("v").collect()
-    centres = np.array([r[0] for r in drawn])
-    pivots, apart = spark.sparkContext.broadcast(centres), spark.sparkContext.broadcast(
-        np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T))).astype(np.float32)
+    centres = draw_pivots(classes.select("v", "dims", "least", "weight", "rep"), per_cell, max_pivots)
+    pivots = spark.sparkContext.broadcast(centres)
+    apart = spark.sparkContext.broadcast(
+        {d: np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T))).astype(np.float32) for d, c in centres.items()}
     )
 
     def distances(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.value.T)))
+        return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.value[x.shape[1]].T)))
+
+    def by_length(batch):
+        lengths = batch.column("dims").to_numpy()
+        for dims in np.unique(lengths):
+            part = batch.filter(pa.array(lengths == dims))
+            yield int(dims), part, _rows(pa.chunked_array([part.column("v")]), dims)
 
     def home(batches):
         for batch in batches:
-            x = _rows(pa.chunked_array([batch.column(0)]), dims)
-            d = distances(x) if len(x) else np.empty((0, 1))
-            cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell])],
-                names=["v", "rep", "weight", "cell", "far"],
-            )
+            for dims, part, x in by_length(batch):
+                cell, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+                if dims in pivots.value:
+                    d = distances(x)
+                    cell = d.argmin(axis=1)
+                    far = d[np.arange(len(x)), cell]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(cell.astype(np.int32)), pa.array(far)],
+                    names=["v", "dims", "rep", "weight", "cell", "far"],
+                )
 
     placed = materialize(
-        classes.select("v", "rep", "weight").mapInArrow(
-            home, "v array<double>, rep long, weight long, cell int, far double"
+        classes.select("v", "dims", "rep", "weight").mapInArrow(
+            home, "v array<double>, dims int, rep long, weight long, cell int, far double"
         ),
         "cells",
     )
-    cells = placed.groupBy("cell").agg(F.count("*"), F.max("far")).collect()  # a row for each pivot
-    sizes, radii = np.zeros(k, np.int64), np.full(k, -np.inf)
-    for cell, count, far in cells:
-        sizes[cell], radii[cell] = count, far
+    # a row for each pivot, and for each other length of more than per_cell vectors
+    cells = placed.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"))
+    sizes, radii = {}, {d: np.full(len(c), -np.inf) for d, c in centres.items()}
+    for r in cells.where(F.col("dims").isin(*centres) | (F.col("n") > per_cell)).collect():
+        sizes[r.dims, r.cell] = r.n
+        if r.dims in radii:
+            radii[r.dims][r.cell] = r.far
     bounds = spark.sparkContext.broadcast(radii)
 
-    def allowed(batch) -> np.ndarray:
-        cell, far = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-        d = distances(_rows(pa.chunked_array([batch.column(0)]), dims))
-        near = (d <= far[:, None] + 2 * radius + SLACK) & (d <= bounds.value + radius + SLACK)
-        near &= d * d - far[:, None] ** 2 <= 2 * radius * apart.value[cell] + 1e-5
-        near &= np.arange(k) > cell[:, None]
-        return near
+    def allowed(dims: int, part, x: np.ndarray) -> np.ndarray:
+        cell, far, d = part.column("cell").to_numpy(), part.column("far").to_numpy(), distances(x)
+        near = (d <= far[:, None] + 2 * radius + SLACK) & (d <= bounds.value[dims] + radius + SLACK)
+        near &= d * d - far[:, None] ** 2 <= 2 * radius * apart.value[dims][cell] + 1e-5
+        return near & (np.arange(d.shape[1]) > cell[:, None])
 
     def tally(batches):  # how many rows each cell will get, before any is copied
-        total = np.zeros(k, np.int64)
+        total = {}
         for batch in batches:
-            if batch.num_rows:
-                total += allowed(batch).sum(axis=0)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+            for dims, part, x in by_length(batch):
+                if dims in bounds.value:
+                    total[dims] = total.get(dims, 0) + allowed(dims, part, x).sum(axis=0)
+        for dims, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), dims, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])],
+                names=["dims", "cell", "n"],
+            )
 
     def copies(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            line, to = np.nonzero(allowed(batch))
-            for at in range(0, len(line), 1 << 14):
-                take = pa.array(line[at : at + (1 << 14)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i).take(take) for i in range(3)),
-                        pa.array(to[at : at + (1 << 14)].astype(np.int32)),
-                    ],
-                    names=["v", "rep", "weight", "cell"],
-                )
+            for dims, part, x in by_length(batch):
+                line, to = np.nonzero(allowed(dims, part, x)) if dims in bounds.value else ((), ())
+                for at in range(0, len(line), 1 << 14):
+                    take = pa.array(line[at : at + (1 << 14)])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(part.column(i).take(take) for i in range(4)),
+                            pa.array(to[at : at + (1 << 14)].astype(np.int32)),
+                        ],
+                        names=["v", "dims", "rep", "weight", "cell"],
+                    )
 
-    # a row for each pivot
-    widths = dict(placed.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())
+    tallied = placed.mapInArrow(tally, "dims int, cell int, n long").groupBy("dims", "cell").agg(F.sum("n").alias("n"))
+    widths = {(r.dims, r.cell): r.n for r in tallied.collect()}  # a row for each pivot
     sizing = [
-        (int(c), pieces(int(sizes[c]), per_cell), pieces(int(sizes[c]) + widths.get(int(c), 0), per_cell))
-        for c in np.flatnonzero(sizes)
+        (*c, pieces(sizes[c], per_cell), pieces(sizes[c] + widths.get(c, 0), per_cell)) for c in sorted(sizes)
     ]
-    plan = F.broadcast(spark.createDataFrame(sizing, "cell int, _rows int, _cols int"))
-    row_of, col_of = (
-        F.pmod(F.xxhash64("rep", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "_rows"), (2, "_cols"))
-    )
-    home_rows = placed.select("v", "rep", "weight", "cell").join(plan, "cell")
+    plan = F.broadcast(spark.createDataFrame(sizing, "dims int, cell int, _rows int, _cols int"))
+    on, one = ["dims", "cell"], F.lit(1)
+    n_rows, n_cols = F.coalesce("_rows", one), F.coalesce("_cols", one)
+    row_of, col_of = (F.pmod(F.xxhash64("rep", F.lit(s)), n).cast("int") for s, n in ((1, n_rows), (2, n_cols)))
+    kept = ("v", "rep", "weight", "dims", "cell")
+    home_rows = placed.select(*kept).join(plan, on, "left")
     lines = home_rows.select(
-        "v",
-        "rep",
-        "weight",
-        "cell",
+        *kept,
         row_of.alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("k"),
+        F.explode(F.sequence(F.lit(0), n_cols - 1)).alias("k"),
         F.lit(True).alias("row"),
         F.lit(True).alias("own"),
     )
-    spread = (
-        placed.mapInArrow(copies, "v array<double>, rep long, weight long, cell int")
-        .join(plan, "cell")
-        .withColumn("own", F.lit(False))
-    )
-    columns = (
-        home_rows.withColumn("own", F.lit(True))
-        .unionByName(spread)
-        .select(
-            "v",
-            "rep",
-            "weight",
-            "cell",
-            F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("i"),
-            col_of.alias("k"),
-            F.lit(False).alias("row"),
-            "own",
-        )
+    spread = placed.mapInArrow(copies, "v array<double>, dims int, rep long, weight long, cell int").join(plan, on, "left")
+    columns = home_rows.withColumn("own", F.lit(True)).unionByName(spread.withColumn("own", F.lit(False)))
+    columns = columns.select(
+        *kept,
+        F.explode(F.sequence(F.lit(0), n_rows - 1)).alias("i"),
+        col_of.alias("k"),
+        F.lit(False).alias("row"),
+        "own",
     )
-    return lines.union(columns).groupBy("cell", "i", "k").applyInArrow(comparison(cosine), LINKS)
+    return lines.union(columns).groupBy("dims", "cell", "i", "k").applyInArrow(comparison(cosine), LINKS)
