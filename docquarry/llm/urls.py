@@ -58,35 +58,50 @@ def _concentration(rows: DataFrame, n: str, k: str, mean: float) -> float:
     return min(1000.0, max(2.0, var / max(spread.s - var * spread.g, 1e-6) - 1))
 
 
-def host_reputation(hosts: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(hosts: DataFrame, z: float = 1.645, usual_z: float = 2.0) -> DataFrame:
     """Posterior of each host's bad rate. ``hosts``: host, n (known outcomes) and k (bad ones), each host once.
 
     Outcomes are summed by registered domain, then by suffix. Each level's posterior mean is the mean of the beta prior
     of the level below; concentrations come from the data by moments (three rows of sums). Output: host, n,
-    bad_mean, bad_lower (mean - z standard deviations, at least 0) and usual, the suffix's posterior mean, which
-    stands for what is usual there.
+    bad_mean, bad_lower (mean - z standard deviations, at least 0) and usual: the upper bound (mean +
+    usual_z standard deviations, at most 1) of the beta prior that the host would have without its own outcomes, up to which rates are
+    those of ordinary hosts under its domain and suffix, however many outcomes a host has. Domains of a suffix and hosts
+    of a domain may be many: they are joined by ``join_groups``.
     """
     domain, suffix = registered_domain(F.col("host"))
     hosts = materialize(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
+    domains = hosts.groupBy("domain", "suffix").agg(
+        F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.count("*").alias("_hosts")
+    )
+    domains = materialize(domains, "domains")
+    suffixes = domains.groupBy("suffix").agg(
+        F.sum("dn").alias("sn"), F.sum("dk").alias("sk"), F.count("*").alias("_domains")
+    )
+    suffixes = materialize(suffixes, "suffixes")
     known, bad = (x or 0 for x in suffixes.agg(F.sum("sn"), F.sum("sk")).first())
     rate = bad / known if known else 0.5
     cs, cd, ch = (_concentration(*x, rate) for x in ((suffixes, "sn", "sk"), (domains, "dn", "dk"), (hosts, "n", "k")))
-    suffix_mean = (F.col("sk") + cs * (bad + 1) / (known + 2)) / (F.col("sn") + cs)
-    domain_mean = (F.col("dk") + cd * F.col("usual")) / (F.col("dn") + cd)
-    a, b = F.col("k") + ch * F.col("dm"), F.col("n") - F.col("k") + ch * (1 - F.col("dm"))
-    rated = (
-        suffixes.select("suffix", suffix_mean.alias("usual"))
-        .join(domains, "suffix")
-        .select("domain", "usual", domain_mean.alias("dm"))
-    )
-    rated = rated.join(hosts, "domain").select("host", "n", "usual", a.alias("a"), b.alias("b"))
+    start = (bad + 1) / (known + 2)
+
+    def prior(n, k) -> Column:
+        """Mean of a host's beta prior, with ``n`` outcomes and ``k`` bad ones left out of its domain and suffix."""
+        of_suffix = (F.col("sk") - k + cs * start) / (F.col("sn") - n + cs)
+        return (F.col("dk") - k + cd * of_suffix) / (F.col("dn") - n + cd)
+
+    sums = materialize(join_groups(domains, suffixes, "suffix", "_domains", stored=True).drop("suffix"), "sums")
+    rated = join_groups(hosts.drop("suffix"), sums, "domain", "_hosts", stored=True)
+    zero = F.lit(0)
+    m, others = prior(zero, zero), prior(F.col("n"), F.col("k"))
+    rated = rated.select("host", "n", "k", m.alias("m"), others.alias("others"))
+    a, b = F.col("k") + ch * F.col("m"), F.col("n") - F.col("k") + ch * (1 - F.col("m"))
+    rated = rated.select("host", "n", "others", a.alias("a"), b.alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
     sd = F.sqrt(F.col("a") * F.col("b") / (F.pow(F.col("a") + F.col("b"), 2) * (F.col("a") + F.col("b") + 1)))
+    usual = F.col("others") + usual_z * F.sqrt(F.col("others") * (1 - F.col("others")) / (ch + 1))
     return rated.select(
-        "host", "n", mean.alias("bad_mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("bad_lower"), "usual"
-    )
+        "host", "n", mean.alias("bad_mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("bad_lower"),
+        F.least(F.lit(1.0), usual).alias("usual"),
+    )
 
 
 def filter_urls(
@@ -101,8 +116,8 @@ def filter_urls(
     """page_id, host, path, rule, verdict, bad_mean, bad_lower for every page.
 
     The longest fitting rule decides; elsewhere a page is blocked when the lower posterior bound of its host's bad
-    rate (``z`` = 1.645: 95 %) exceeds ``lift`` times what is usual under the host's suffix, so when the host is almost
-    surely worse than its like. ``outcomes``: doc_id, quality, toxic; a page's outcome is that of the document whose
+    rate (``z`` = 1.645: 95 %) exceeds ``lift`` times what is usual for hosts of its domain and suffix, the upper bound
+    (two standard deviations) of the fitted prior, so when the host is almost surely worse than nearly all its like. ``outcomes``: doc_id, quality, toxic; a page's outcome is that of the document whose
     number is the first number in its path (bad: quality 0 or toxic 1; several rows: bad if any is; rows with
     neither known are ignored). Null and malformed urls share the empty host; pages repeated are judged each; empty
     tables give no rows, and without outcomes nothing is blocked but by rules; other columns are ignored. Only
@@ -154,10 +169,10 @@ g AS (SELECT (sum(sk) + 1.0) / (sum(sn) + 2.0) AS g, sum(sk) * 1.0 / sum(sn) AS
 cs AS (SELECT least(1000.0, greatest(2.0, m * (1 - m) / greatest(sum(sn * pow(sk * 1.0 / sn - m, 2)) / sum(sn) - m * (1 - m) * count(*) / sum(sn), 1e-6) - 1)) AS c FROM s, g WHERE sn > 0 GROUP BY m),
 cd AS (SELECT least(1000.0, greatest(2.0, m * (1 - m) / greatest(sum(dn * pow(dk * 1.0 / dn - m, 2)) / sum(dn) - m * (1 - m) * count(*) / sum(dn), 1e-6) - 1)) AS c FROM d, g WHERE dn > 0 GROUP BY m),
 ch AS (SELECT least(1000.0, greatest(2.0, m * (1 - m) / greatest(sum(n * pow(k * 1.0 / n - m, 2)) / sum(n) - m * (1 - m) * count(*) / sum(n), 1e-6) - 1)) AS c FROM h, g WHERE n > 0 GROUP BY m),
-sm AS (SELECT suffix, (sk + cs.c * g) / (sn + cs.c) AS sm FROM s, g, cs),
-dm AS (SELECT domain, (dk + cd.c * sm) / (dn + cd.c) AS dm FROM d JOIN sm USING (suffix), cd),
-ab AS (SELECT host, sm, k + ch.c * dm AS a, n - k + ch.c * (1 - dm) AS b FROM hd JOIN dm USING (domain) JOIN sm USING (suffix), ch),
-v AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > sm AS bad FROM ab),
+hs AS (SELECT host, n, k, dn, dk, sn, sk, cs.c AS cs, cd.c AS cd, ch.c AS ch, g FROM hd JOIN d USING (domain) JOIN s ON s.suffix = d.suffix, cs, cd, ch, g),
+pr AS (SELECT *, (dk + cd * (sk + cs * g) / (sn + cs)) / (dn + cd) AS m, (dk - k + cd * (sk - k + cs * g) / (sn - n + cs)) / (dn - n + cd) AS o FROM hs),
+ab AS (SELECT host, o, ch, k + ch * m AS a, n - k + ch * (1 - m) AS b FROM pr),
+v AS (SELECT host, greatest(0, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1)))) > least(1, o + 2 * sqrt(o * (1 - o) / (ch + 1))) AS bad FROM ab),
 r AS (SELECT q.*, v.bad, host = 'net' OR host LIKE '%.net' AS is_net, host = 'com' OR host LIKE '%.com' AS is_com,
   host = 'example.com' OR host LIKE '%.example.com' AS is_ex, host = 'www.example.com' OR host LIKE '%.www.example.com' AS is_www FROM q LEFT JOIN v USING (host)),
 t AS (SELECT *, CASE WHEN is_www AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN is_ex AND path LIKE '/en/%' THEN 'example.com/en/'
