@@ -237,6 +237,40 @@ def test_vectors(spark):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths_meet_in_one_job(spark):
+    """Three lengths of more than per_cell vectors and one of few; pivots at every size."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for dims, n in ((4, 300), (6, 200), (9, 150), (3, 12)):
+        centres = rng.normal(size=(20, dims))
+        rows += [(len(rows) + i, [float(v) for v in centres[i % 20] + rng.normal(0, 0.15, dims)]) for i in range(n)]
+    links = []
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95:
+                links.append((a, b))
+    degree = Counter(i for pair in links for i in pair)
+    group = grouped(links, [i for i, _ in rows])
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = vectors.near_vectors(table, 0.95, per_cell=50).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], group[i]) for i, _ in rows}
+    classes = vectors.unit_vectors(table, "vec_id", "embedding").select(
+        "v", F.size("v").alias("dims"), F.col("id").alias("least"), F.lit(1).cast("long").alias("weight"), F.col("id").alias("rep")
+    )
+    pivots = vectors.draw_pivots(classes, 50, 4096)
+    assert {d: len(p) for d, p in pivots.items()} == {4: 8, 6: 8, 9: 8, 3: 8}
+    assert sum(map(len, vectors.draw_pivots(classes, 1, 64).values())) <= 64
+
+
+def test_forest():
+    rng = np.random.default_rng(1)
+    for n, m in ((0, 1), (1, 3), (40, 40), (400, 500), (3000, 700)):
+        a, b = rng.integers(0, m, n), rng.integers(0, m, n)
+        want = grouped(zip(a.tolist(), b.tolist(), strict=True), {*a.tolist(), *b.tolist()})
+        got = components.forest(a, b)
+        assert dict(zip(*map(np.ndarray.tolist, got), strict=True)) == {i: r for i, r in want.items() if i != r}
+
+
 def test_vectors_repeated_ids_and_short_lengths(spark):
     one, two, far = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 0.0, 1.0]
     rows = [(7, one), (7, far), (3, two), (9, far), (4, [1.0, 2.0]), (5, [2.0, 4.0]), (6, [3.0]), (None, one)]
@@ -321,6 +355,28 @@ def test_reputation_blocks_bad_hosts_alone(spark):
     assert len({(r.host, r.verdict) for r in got}) == len(hosts)
 
 
+def test_ordinary_hosts_are_not_blocked_however_many_labels(spark):
+    """40 hosts of one suffix, bad rates evenly from 27 to 33 % or all alike: nobody stands out at any number of labels."""
+    for spread in (0.03, 0.0):
+        for n in (100, 4000, 1_000_000):
+            rates = np.random.default_rng(n).binomial(n, np.linspace(0.3 - spread, 0.3 + spread, 40))
+            rows = [(f"h{i}.org", n, int(k)) for i, k in enumerate(rates)]
+            got = urls.host_reputation(spark.createDataFrame(rows, "host string, n long, k long")).collect()
+            assert len(got) == 40 and not any(r.bad_lower > r.usual for r in got)
+            worse = [*rows, ("bad.org", n, n * 9 // 10)]
+            got = urls.host_reputation(spark.createDataFrame(worse, "host string, n long, k long")).collect()
+            assert {r.host for r in got if r.bad_lower > r.usual} == {"bad.org"}
+
+
+def test_very_long_urls(spark):
+    given = ["http://" + "a." * 50_000 + "example.com/en/" + "x/" * 50_000, "http://h.org/" + "1" * 100_000, "x" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urls.filter_urls(pages, labels).collect()}
+    assert got[0].verdict == "block" and got[0].rule == "example.com/en/" and len(got[0].host) > 100_000
+    assert got[1].path == "/" + "1" * 100_000 and got[1].verdict == "allow" and (got[2].host, got[2].path) == ("", "")
+
+
 def test_registered_domains(spark):
     cases = {
         "a.b.co.uk": ("b.co.uk", "co.uk"),
