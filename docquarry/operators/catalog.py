@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import PHASES
-from .filters import DOC_TYPE_ALIASES, TEMPLATE_ALIASES, normalize_value
+from ..functions.text import strip
+from .filters import DOC_TYPE_ALIASES, TEMPLATE_ALIASES, canonical_doc_type, normalize_value
 from .retrieval import search
 
 # Template sections and places, skills by phase, phases of document types, default queries.
@@ -97,36 +98,38 @@ PHASE_QUERY = {
 CHAIN_LIMIT = 8
 
 
-def template_sections(spark: SparkSession, doc_types: list[str]) -> DataFrame:
-    """One row per asked type: doc_type, sections, template_path_hint, usage_note; for a type without sections
-    error and available_doc_types instead."""
-    rows = []
-    for asked in doc_types:
-        held = (asked or "").strip()
-        name = TEMPLATE_ALIASES.get(held, held)
-        sections, place = TEMPLATE_SECTIONS.get(name), TEMPLATE_FILES.get(name)
-        found = (name, sections, place, TEMPLATE_NOTE, None, None)
-        rows.append(
-            (
-                asked,
-                *(found if sections else (None, None, None, None, f"未找到文档类型 '{asked}' 的模版", list(TEMPLATE_SECTIONS))),
-            )
-        )
-    return spark.createDataFrame(
-        rows,
-        "asked string, doc_type string, sections array<string>, template_path_hint string, usage_note string, error string, available_doc_types array<string>",
+def template_sections(asked: DataFrame, column: str = "asked") -> DataFrame:
+    """``asked`` with, for each of its types, doc_type, sections, template_path_hint, usage_note; for a type without sections
+    error and available_doc_types instead. The templates are a small constant table, joined by broadcast."""
+    spark = asked.sparkSession
+    made = [(t, s, TEMPLATE_FILES.get(t), TEMPLATE_NOTE) for t, s in TEMPLATE_SECTIONS.items()]
+    templates = spark.createDataFrame(
+        made, "doc_type string, sections array<string>, template_path_hint string, usage_note string"
     )
-
-
-def suggest_skills(spark: SparkSession, phase: str | None = None, doc_type: str | None = None) -> DataFrame:
-    """(position, skill, trigger, description): those of the phase first, general ones always. The document type
-    overrides the phase."""
-    held = (doc_type or "").strip()
-    resolved = DOC_TYPE_PHASE.get(TEMPLATE_ALIASES.get(held, held)) or DOC_TYPE_PHASE.get(doc_type or "") or phase
-    rows = [*(SKILLS.get(resolved, []) if resolved else []), *SKILLS["all"]]
-    return spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(rows)], "position int, skill string, trigger string, description string"
+    held = strip(F.coalesce(column, F.lit("")))
+    rows = asked.withColumn("_type", canonical_doc_type(held, TEMPLATE_ALIASES))
+    rows = rows.join(F.broadcast(templates), F.col("_type") == F.col("doc_type"), "left").drop("_type")
+    known = F.col("sections").isNotNull()
+    missing = F.concat(F.lit("未找到文档类型 '"), F.coalesce(column, F.lit("")), F.lit("' 的模版"))
+    available = F.array(*map(F.lit, TEMPLATE_SECTIONS))
+    return rows.withColumns({"error": F.when(~known, missing), "available_doc_types": F.when(~known, available)})
+
+
+def suggest_skills(asked: DataFrame, phase: str = "phase", doc_type: str = "doc_type") -> DataFrame:
+    """``asked`` with (position, skill, trigger, description) of each skill for its phase and type: those of the phase first,
+    general ones always. The document type overrides the phase. Skills are a small constant table, joined by
+    broadcast."""
+    spark = asked.sparkSession
+    made = [(p, i, *r) for p in (*SKILLS, "") for i, r in enumerate([*(SKILLS[p] if p and p != "all" else ()), *SKILLS["all"]])]
+    skills = spark.createDataFrame(made, "_phase string, position int, skill string, trigger string, description string")
+    table = F.create_map(*(F.lit(x) for pair in DOC_TYPE_PHASE.items() for x in pair))
+    held = strip(F.coalesce(doc_type, F.lit("")))
+    of_type = F.coalesce(
+        F.try_element_at(table, canonical_doc_type(held, TEMPLATE_ALIASES)), F.try_element_at(table, F.col(doc_type))
     )
+    resolved = F.coalesce(of_type, F.col(phase), F.lit(""))
+    known = F.when(resolved.isin(*(p for p in SKILLS if p != "all")), resolved).otherwise("")
+    return asked.withColumn("_phase", known).join(F.broadcast(skills), "_phase").drop("_phase")
 
 
 def project_chain(store: DataFrame, project_id: str | None = None, limit: int = CHAIN_LIMIT) -> DataFrame:
@@ -154,6 +157,7 @@ def _canonical(doc_type):
 
 def _source(hits: DataFrame, *names: str) -> DataFrame:
     return hits.select(
+        "chunk_uuid",
         "text",
         F.struct(*(F.col(f"metadata.{n}").alias(n) for n in names)).alias("source"),
         F.col("composite_score").alias("score"),

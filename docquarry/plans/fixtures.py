@@ -40,16 +40,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(fx(spark, sf_dir).withColumn("first_heading", first_heading(F.col("body"))))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names (a temporary one where it is unset in a local
-    session; a cluster needs one that its machines share)."""
-    context = df.sparkSession.sparkContext
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names (a temporary one where it is unset in a local session; a
+    cluster needs one that its machines share)."""
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="docquarry-")
-    path = f"{folder.rstrip('/')}/docquarry/store-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/docquarry/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a ``new_folder``."""
+    path = new_folder(df.sparkSession, "store")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

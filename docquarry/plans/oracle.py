@@ -124,6 +124,61 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 RERANK = f"""WITH qs AS (SELECT regexp_extract_all(lower(text), '{WORDS_PATTERN}') AS qa, list_distinct(qa) AS w FROM benchmark WHERE item_id = 0), a AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS_PATTERN}') AS all_ FROM documents),
 d AS (SELECT doc_id, all_, len(list_intersect(w, list_distinct(all_)))::DOUBLE / len(w) AS s FROM a, qs)"""
 
+def search_sql(tokens, levels, hits, terms=None, hint=None, named="true", dense=False, limit=None, columns=None) -> str:
+    """The stages of a search in SQL. ``tokens``: of the sparse query, each once; ``levels``: predicates from strict to loose;
+    ``hits``: the fields asked for; ``terms``: of the reranked query, none without reranking; ``hint``: a part of file
+    names that the query names, looked for where ``named``."""
+    lv = " UNION ALL ".join(f"SELECT {i} AS level, * FROM sc WHERE {x}" for i, x in enumerate(levels))
+    fused = "d" if dense else "CASE WHEN rd <= 80 THEN 1 / (60 + rd) ELSE 0 END + CASE WHEN rs <= 80 THEN 1 / (60 + rs) ELSE 0 END"
+    found = "rd <= 80" if dense else "rd <= 80 OR rs <= 80"
+    score = f"CASE WHEN count(*) OVER () > 18 THEN len(list_intersect([{', '.join(map(q, terms))}], regexp_extract_all(lower(text), '{WORDS_PATTERN}'))) / {len(terms)}::DOUBLE END" if terms else "NULL::DOUBLE"
+    looked = f"{named} AND contains(string_split(file_path, '/')[-1], {q(hint)})" if hint else "false"
+    columns = columns or "why_metadata_match, why_continuity, why_docname_match"
+    return rf"""{WITH}{META}, v AS ({VEC}), nv AS (SELECT count(*) AS n FROM embeddings), qv AS (SELECT v AS q FROM v WHERE vec_id = 0),
+      dn AS (SELECT m.chunk_uuid, list_dot_product(v.v, q) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(q, q))) AS d FROM meta m CROSS JOIN nv CROSS JOIN qv JOIN v ON v.vec_id = m.doc_id % nv.n),
+      tok AS (SELECT chunk_uuid, unnest(regexp_extract_all(lower(text), '{WORDS_PATTERN}')) AS w FROM meta), sp AS (SELECT chunk_uuid, count(*)::DOUBLE AS s FROM tok WHERE w IN ({', '.join(map(q, tokens))}) GROUP BY chunk_uuid),
+      sc AS (SELECT m.chunk_uuid, phase, quality_level, doc_type, d, s FROM meta m JOIN dn USING (chunk_uuid) LEFT JOIN sp USING (chunk_uuid)),
+      lv AS ({lv}),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY d DESC, chunk_uuid) AS rd, CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY level ORDER BY s DESC NULLS LAST, chunk_uuid) END AS rs FROM lv),
+      fu AS (SELECT level, chunk_uuid, {fused} AS f FROM rk WHERE {found}),
+      rf AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY f DESC, chunk_uuid) AS rank FROM fu QUALIFY rank <= 80), f1 AS (SELECT * FROM rf QUALIFY row_number() OVER (PARTITION BY chunk_uuid ORDER BY level, rank) = 1),
+      bf AS (SELECT level, (SELECT count(*) FROM f1 WHERE f1.level < x.level) AS before FROM (SELECT DISTINCT level FROM rf) x), rec AS (SELECT chunk_uuid, f AS score, row_number() OVER (ORDER BY level, rank) AS seq FROM f1 JOIN bf USING (level) WHERE before < 18),
+      dc AS (SELECT chunk_uuid, 0.9::DOUBLE AS ds, row_number() OVER (ORDER BY chunk_uuid) AS place FROM meta WHERE {looked} QUALIFY place <= 9),
+      mg AS (SELECT coalesce(rec.chunk_uuid, dc.chunk_uuid) AS chunk_uuid, coalesce(score, 0.2::DOUBLE + 0.2::DOUBLE * 0.9::DOUBLE) AS score, coalesce(ds, 0::DOUBLE) AS ds, row_number() OVER (ORDER BY seq NULLS LAST, place) AS seq0 FROM rec FULL JOIN dc ON rec.chunk_uuid = dc.chunk_uuid),
+      rr AS (SELECT mg.*, {score} AS rs FROM mg JOIN meta USING (chunk_uuid)),
+      top AS (SELECT *, row_number() OVER (ORDER BY rs + 0.2::DOUBLE * ds DESC NULLS LAST, seq0) AS seq FROM rr QUALIFY seq <= 18),
+      hd AS (SELECT seq, list_slice(list_concat(test_ids, design_ids), 1, 4) AS ends FROM top JOIN meta USING (chunk_uuid) WHERE seq <= 9 AND len(req_ids) > 0), lk AS (SELECT seq, unnest(ends) AS t, generate_subscripts(ends, 1) AS pos FROM hd),
+      own AS (SELECT chunk_uuid, unnest(test_ids) AS t FROM meta UNION ALL SELECT chunk_uuid, unnest(design_ids) FROM meta), hit AS (SELECT seq, pos, chunk_uuid, row_number() OVER (PARTITION BY seq, pos ORDER BY chunk_uuid) AS n FROM lk JOIN own USING (t) QUALIFY n <= 2),
+      nw AS (SELECT * FROM hit WHERE chunk_uuid NOT IN (SELECT chunk_uuid FROM top) QUALIFY row_number() OVER (PARTITION BY chunk_uuid ORDER BY seq, pos, n) = 1),
+      ex AS (SELECT chunk_uuid, 1000000 + row_number() OVER (ORDER BY seq, pos, n) AS seq FROM (SELECT *, (SELECT count(*) FROM nw x WHERE x.seq < nw.seq) AS before FROM nw) WHERE before < 4),
+      al AS (SELECT chunk_uuid, coalesce(rs, score) AS sim, ds, seq FROM top UNION ALL SELECT chunk_uuid, 0::DOUBLE, 0::DOUBLE, seq FROM ex),
+      fin AS (SELECT al.*, meta.*, {' + '.join(f'coalesce(({h})::INT, 0)' for h in hits)} AS hits, CASE WHEN n_links > 0 THEN 'trace+req' WHEN len(req_ids) > 0 THEN 'req_only' ELSE 'none' END AS why_continuity FROM al JOIN meta USING (chunk_uuid)),
+      told AS (SELECT *, round_even(0.6::DOUBLE * sim + 0.25::DOUBLE * (hits / {len(hits)}) + 0.15::DOUBLE * CASE why_continuity WHEN 'trace+req' THEN 0.8 WHEN 'req_only' THEN 0.5 ELSE 0.2 END + 0.2::DOUBLE * ds, 4) AS composite_score,
+        hits || '/{len(hits)}' AS why_metadata_match, CASE WHEN ds > 0 THEN 'hint_in_filename' ELSE 'none' END AS why_docname_match FROM fin)
+      SELECT chunk_uuid, composite_score, {columns} FROM told{f" ORDER BY composite_score DESC, seq LIMIT {limit}" if limit else ""}"""
+
+
+#: Values that requests leave out in one way or another, by document; the same text in Spark and DuckDB.
+GIVEN = "CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' WHEN 3 THEN 'string' WHEN 4 THEN ' NONE' WHEN 5 THEN 'Null ' WHEN 6 THEN ' ' || source || ' ' ELSE lang END"
+GIVEN_TOO = "CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE lang || ' ' END"
+#: Types as people write them.
+TYPED = "CASE doc_id % 19 " + " ".join(f"WHEN {i} THEN {q(f' {k} ')}" for i, k in enumerate(DOC_TYPE_ALIASES)) + " WHEN 17 THEN '  ' ELSE source END"
+TEMPLATED = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {q(k)}" for i, k in enumerate(TEMPLATE_NAMES[:5])) + " ELSE source END"
+PHASED = "CASE doc_id % 5 WHEN 0 THEN 'requirement' WHEN 1 THEN 'design' WHEN 2 THEN 'implementation' WHEN 3 THEN 'testing_deployment' END"
+TYPED_TOO = "CASE doc_id % 7 WHEN 0 THEN ' 需求 ' WHEN 1 THEN '测试报告' WHEN 2 THEN '' WHEN 3 THEN source END"
+#: Queries with and without names of files.
+HINTED = """CASE doc_id % 6 WHEN 0 THEN 'see ' || source || '_' || doc_id || '.MD' WHEN 1 THEN '《' || lang || ' guide》 `x` 《' || lang || ' guide》' WHEN 2 THEN 'no ' || chr(39) || 'ab' || chr(39) || ' hint'
+  WHEN 3 THEN NULL WHEN 4 THEN 'a/x.pdf Y' || doc_id || '.DOCX "The ' || source || '" x.pdf' ELSE replace(substring(text, 1, 200), chr(10), ' ') END"""
+
+
+def norm(x: str) -> str:
+    return f"CASE WHEN {strip(x)} <> '' AND lower({strip(x)}) NOT IN ('string', 'none', 'null') THEN {strip(x)} END"
+
+
+def skills(phase: str) -> str:
+    return "[" + ", ".join(q(x[0]) for x in [*SKILLS.get(phase, ()), *SKILLS["all"]]) + "]"
+
+
 ORACLE: dict[str, str] = {
     "noise_filter": f"WITH fx AS ({FX}) SELECT doc_id, array_to_string(list_filter(string_split('说明：x' || chr(10) || body || chr(10) || ' [toc] ' || chr(10) || '> 本条应y', chr(10)), lambda x: NOT ({FLAT_NOISE})), chr(10)) AS cleaned FROM fx",
     "clean_line": f"WITH fx AS ({FX}) SELECT doc_id, {strip(r'''regexp_replace(regexp_replace('    ' || replace(body, ' ', '   ') || chr(1) || '  x ', '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), ' {3,}', '  ', 'g')''')} AS cleaned FROM fx",
@@ -162,8 +217,9 @@ ORACLE: dict[str, str] = {
     "filter_conjunctive": f"{WITH}{META} SELECT chunk_uuid FROM meta WHERE term = '春季' AND phase = 'requirement' AND project_id = 'src0'",
     "filter_any": f"{WITH}{META} SELECT chunk_uuid FROM meta WHERE quality_level IN ('high', 'low') AND doc_type = '概要设计'",
     "filter_array_any": f"{WITH}{META} SELECT chunk_uuid FROM meta WHERE list_has_any(req_ids, ['FR-1', 'FR-5'])",
-    "normalize_params": "SELECT * FROM (VALUES (0, NULL, NULL), (1, NULL, NULL), (2, NULL, NULL), (3, NULL, 'high'), (4, NULL, NULL), (5, NULL, NULL), (6, 'design', 'high,low')) t(id, value, items)",
-    "doc_type_alias": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(v)})" for i, v in enumerate(DOC_TYPE_ALIASES.values())) + ", (100, '其他'), (101, NULL)) t(id, canonical)",
+    "normalize_params": f"""WITH p AS (SELECT doc_id, {GIVEN} AS v, {GIVEN_TOO} AS w FROM documents), n AS (SELECT doc_id, {norm('v')} AS value, list_filter([{norm('v')}, {norm('w')}, {norm("'Null'")}], lambda x: x IS NOT NULL) AS l FROM p)
+      SELECT doc_id, value, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') END AS items FROM n""",
+    "doc_type_alias": f"WITH p AS (SELECT doc_id, {strip('(' + TYPED + ')')} AS v FROM documents) SELECT doc_id, CASE v {' '.join(f'WHEN {q(k)} THEN {q(x)}' for k, x in DOC_TYPE_ALIASES.items())} WHEN '' THEN NULL ELSE v END AS canonical FROM p",
     "relaxed_recall": f"""{WITH}{META}, lv AS (SELECT 0 AS level, chunk_uuid, confidence_overall AS score FROM meta WHERE term = '春季' AND phase = 'requirement' AND doc_type = '需求' AND project_id = 'src3' AND quality_level = 'high'
       UNION ALL SELECT 1, chunk_uuid, confidence_overall FROM meta WHERE term = '春季' AND phase = 'requirement' AND project_id = 'src3' UNION ALL SELECT 2, chunk_uuid, confidence_overall FROM meta WHERE term = '春季' AND project_id = 'src3'
       UNION ALL SELECT 3, chunk_uuid, confidence_overall FROM meta WHERE project_id = 'src3'), r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY score DESC, chunk_uuid) AS rank FROM lv QUALIFY rank <= 80),
@@ -174,9 +230,10 @@ ORACLE: dict[str, str] = {
     "dense_topk_many": f"WITH e AS ({VEC}), s AS (SELECT a.vec_id AS query_id, b.vec_id, {COS} AS s FROM e a, e b WHERE a.vec_id % 20 = 0) SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 5",
     "sparse_topk": SPARSE.format(queries=QUERIES_SQL),
     "rrf_fusion": f"WITH e AS ({VEC}), a1 AS (SELECT b.vec_id, row_number() OVER (ORDER BY {COS} DESC, b.vec_id) AS r FROM e a, e b WHERE a.vec_id = 0 QUALIFY r <= 80), a2 AS (SELECT b.vec_id, row_number() OVER (ORDER BY {COS} DESC, b.vec_id) AS r FROM e a, e b WHERE a.vec_id = 7 QUALIFY r <= 80), f AS (SELECT vec_id, coalesce(1 / (60 + a1.r), 0) + coalesce(1 / (60 + a2.r), 0) AS s FROM a1 FULL JOIN a2 USING (vec_id)) SELECT vec_id, round(s, 9) AS score, row_number() OVER (ORDER BY s DESC, vec_id)::INT AS rank FROM f ORDER BY s DESC, vec_id LIMIT 80",
-    "docname_hints": "SELECT * FROM (VALUES (0, 'a_1.md'), (1, '需求规格说明书'), (2, ''), (3, ''), (4, 'x.pdf,y.docx,the doc')) t(id, hints)",
+    "docname_hints": rf"""WITH p AS (SELECT doc_id, {HINTED} AS v FROM documents), h AS (SELECT doc_id, list_concat(regexp_extract_all(v, '(?i)([^\s/\\]+\.(?:pdf|docx|md|markdown))', 1), regexp_extract_all(v, '["''`《](.{{3,120}}?)["''`》]', 1)) AS l FROM p),
+      c AS (SELECT doc_id, list_filter(list_transform(l, lambda x: lower({strip('x')})), lambda x: x <> '') AS l FROM h) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS hints FROM c""",
     "docname_score": f"WITH fx AS ({FX}) SELECT doc_id, (CASE WHEN doc_id = 12 THEN 1.0 WHEN doc_id % 6 = 0 THEN 0.9 ELSE 0.0 END)::DOUBLE AS score, CASE WHEN doc_id = 12 THEN 'filename_in_query' WHEN doc_id % 6 = 0 THEN 'hint_in_filename' ELSE 'none' END AS reason FROM fx",
-    "candidate_merge": "SELECT * FROM (VALUES ('a', 0.9::DOUBLE, 0.8::DOUBLE, 'token_overlap_high', 1), ('b', 0.5, 0.0, 'none', 2), ('z', 0.4, 1.0, 'filename_in_query', 3), ('y', 0.38, 0.9, 'hint_in_filename', 4)) t(chunk_uuid, score, docname_score, docname_reason, seq)",
+    "candidate_merge": "",
     "composite_score": f"""{WITH}{META}, s AS (SELECT *, (doc_id % 100) / 100.0::DOUBLE AS sim, coalesce((term = '春季')::INT, 0) + coalesce((phase = 'design')::INT, 0) + coalesce((quality_level IN ('high'))::INT, 0) AS hits FROM meta)
       SELECT chunk_uuid, round_even(0.6::DOUBLE * sim + 0.25::DOUBLE * (hits / 3) + 0.15::DOUBLE * CASE WHEN n_links > 0 AND len(req_ids) > 0 THEN 0.8 WHEN len(req_ids) > 0 THEN 0.5 ELSE 0.2 END + 0.2::DOUBLE * 0.6::DOUBLE, 4) AS score, hits || '/3' AS matched,
       CASE WHEN n_links > 0 THEN 'trace+req' WHEN len(req_ids) > 0 THEN 'req_only' ELSE 'none' END AS continuity FROM s""",
@@ -193,8 +250,11 @@ ORACLE: dict[str, str] = {
     "batch_totals": f"{WITH}{META} SELECT count(DISTINCT doc_id) AS files, count(*) AS total_chunks, count(*) FILTER (needs_review) AS total_review FROM meta",
     "delete_by_source": f"WITH fx AS ({FX}) SELECT doc_id, file_path AS source_file FROM fx WHERE doc_id % 10 <> 3",
     "upsert_latest": f"WITH fx AS ({FX}) SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN upper(lang) ELSE lang END AS lang, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS version FROM fx UNION ALL SELECT -1 - doc_id, lang, 2 FROM fx WHERE doc_id % 50 = 0",
-    "template_sections": "SELECT * FROM (VALUES ('软件需求规格说明书', '软件需求规格说明书', 16, false), ('需求', '软件需求规格说明书', 16, false), ('测试报告', '测试报告', 6, false), ('用户手册', NULL, NULL, true), ('迭代需求文档', '迭代需求文档', 6, false), ('x', NULL, NULL, true)) t(asked, doc_type, n_sections, is_error)",
-    "suggest_skills": "SELECT * FROM (VALUES " + ", ".join(f"({q(p)}, {i}, {q(s)})" for p in ("requirement", "design", "implementation", "testing_deployment") for i, (s, _, _) in enumerate([*SKILLS[p], *SKILLS["all"]])) + ") t(phase, position, skill)",
+    "template_sections": f"""WITH p AS (SELECT doc_id, {TEMPLATED} AS asked FROM documents) SELECT doc_id, asked, CASE asked WHEN '软件需求规格说明书' THEN asked WHEN '需求' THEN '软件需求规格说明书' WHEN '测试报告' THEN asked WHEN '迭代需求文档' THEN asked END AS doc_type,
+      CASE asked WHEN '软件需求规格说明书' THEN 16 WHEN '需求' THEN 16 WHEN '测试报告' THEN 6 WHEN '迭代需求文档' THEN 6 END AS n_sections, asked NOT IN ('软件需求规格说明书', '需求', '测试报告', '迭代需求文档') AS is_error FROM p""",
+    "suggest_skills": f"""WITH p AS (SELECT doc_id, {PHASED} AS phase, {TYPED_TOO} AS kind FROM documents), r AS (SELECT doc_id, CASE WHEN trim(kind) = '需求' THEN 'requirement' WHEN kind = '测试报告' THEN 'testing_deployment' ELSE phase END AS phase FROM p),
+      l AS (SELECT doc_id, CASE phase {' '.join(f"WHEN {q(x)} THEN {skills(x)}" for x in ('requirement', 'design', 'implementation', 'testing_deployment'))} ELSE {skills('')} END AS l FROM r)
+      SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS position, unnest(l) AS skill FROM l""",
     "content_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS copies, md5(text) AS digest FROM documents GROUP BY md5(text)",
     "sparse_topk_all": SPARSE.format(queries="(SELECT item_id AS query_id, text FROM benchmark)"),
     "rerank_all": f"""{RERANK} SELECT doc_id, round(s, 6) AS rerank_score, row_number() OVER (ORDER BY s DESC, doc_id) AS seq FROM d""",
@@ -205,25 +265,28 @@ ORACLE: dict[str, str] = {
       d AS (SELECT chunk_uuid, CASE WHEN contains('《概要设计》 概要设计_7', name) THEN 1 WHEN contains('《概要设计》 概要设计_7', stem) THEN 2 WHEN contains(name, '概要设计') THEN 3 WHEN share >= 0.7 THEN 5 WHEN share >= 0.4 THEN 6 END AS k FROM c),
       r AS (SELECT chunk_uuid, [1.0, 0.95, 0.9, 0.85, 0.8, 0.6][k]::DOUBLE AS docname_score, ['filename_in_query', 'filestem_in_query', 'hint_in_filename', 'hint_in_filestem', 'token_overlap_high', 'token_overlap_mid'][k] AS docname_reason FROM d WHERE k IS NOT NULL)
       SELECT chunk_uuid, 0.2::DOUBLE + 0.2::DOUBLE * docname_score AS score, docname_score, docname_reason FROM r ORDER BY docname_score DESC, chunk_uuid LIMIT 9""",
-    "search_hits": rf"""{WITH}{META}, v AS ({VEC}), nv AS (SELECT count(*) AS n FROM embeddings), qv AS (SELECT v AS q FROM v WHERE vec_id = 0),
-      dn AS (SELECT m.chunk_uuid, list_dot_product(v.v, q) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(q, q))) AS d FROM meta m CROSS JOIN nv CROSS JOIN qv JOIN v ON v.vec_id = m.doc_id % nv.n),
-      tok AS (SELECT chunk_uuid, unnest(regexp_extract_all(lower(text), '{WORDS_PATTERN}')) AS w FROM meta), sp AS (SELECT chunk_uuid, count(*)::DOUBLE AS s FROM tok WHERE w IN ('latency', 'fr', '1', '12ms') GROUP BY chunk_uuid),
-      sc AS (SELECT m.chunk_uuid, phase, quality_level, d, s FROM meta m JOIN dn USING (chunk_uuid) LEFT JOIN sp USING (chunk_uuid)),
-      lv AS (SELECT 0 AS level, * FROM sc WHERE phase = 'design' AND quality_level = 'high' UNION ALL SELECT 1, * FROM sc WHERE phase = 'design' UNION ALL SELECT 2, * FROM sc),
-      rk AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY d DESC, chunk_uuid) AS rd, CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY level ORDER BY s DESC NULLS LAST, chunk_uuid) END AS rs FROM lv),
-      fu AS (SELECT level, chunk_uuid, CASE WHEN rd <= 80 THEN 1 / (60 + rd) ELSE 0 END + CASE WHEN rs <= 80 THEN 1 / (60 + rs) ELSE 0 END AS f FROM rk WHERE rd <= 80 OR rs <= 80),
-      rf AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY f DESC, chunk_uuid) AS rank FROM fu QUALIFY rank <= 80), f1 AS (SELECT * FROM rf QUALIFY row_number() OVER (PARTITION BY chunk_uuid ORDER BY level, rank) = 1),
-      bf AS (SELECT level, (SELECT count(*) FROM f1 WHERE f1.level < x.level) AS before FROM (SELECT DISTINCT level FROM rf) x), rec AS (SELECT chunk_uuid, f AS score, row_number() OVER (ORDER BY level, rank) AS seq FROM f1 JOIN bf USING (level) WHERE before < 18),
-      dc AS (SELECT chunk_uuid, 0.9::DOUBLE AS ds, row_number() OVER (ORDER BY chunk_uuid) AS place FROM meta WHERE phase = 'design' AND quality_level = 'high' AND contains(string_split(file_path, '/')[-1], '概要设计') QUALIFY place <= 9),
-      mg AS (SELECT coalesce(rec.chunk_uuid, dc.chunk_uuid) AS chunk_uuid, coalesce(score, 0.2::DOUBLE + 0.2::DOUBLE * 0.9::DOUBLE) AS score, coalesce(ds, 0::DOUBLE) AS ds, row_number() OVER (ORDER BY seq NULLS LAST, place) AS seq0 FROM rec FULL JOIN dc ON rec.chunk_uuid = dc.chunk_uuid),
-      rr AS (SELECT mg.*, CASE WHEN count(*) OVER () > 18 THEN len(list_intersect(['概要设计', 'latency', 'fr', '1'], regexp_extract_all(lower(text), '{WORDS_PATTERN}'))) / 4::DOUBLE END AS rs FROM mg JOIN meta USING (chunk_uuid)),
-      top AS (SELECT *, row_number() OVER (ORDER BY rs + 0.2::DOUBLE * ds DESC NULLS LAST, seq0) AS seq FROM rr QUALIFY seq <= 18),
-      hd AS (SELECT seq, list_slice(list_concat(test_ids, design_ids), 1, 4) AS ends FROM top JOIN meta USING (chunk_uuid) WHERE seq <= 9 AND len(req_ids) > 0), lk AS (SELECT seq, unnest(ends) AS t, generate_subscripts(ends, 1) AS pos FROM hd),
-      own AS (SELECT chunk_uuid, unnest(test_ids) AS t FROM meta UNION ALL SELECT chunk_uuid, unnest(design_ids) FROM meta), hit AS (SELECT seq, pos, chunk_uuid, row_number() OVER (PARTITION BY seq, pos ORDER BY chunk_uuid) AS n FROM lk JOIN own USING (t) QUALIFY n <= 2),
-      nw AS (SELECT * FROM hit WHERE chunk_uuid NOT IN (SELECT chunk_uuid FROM top) QUALIFY row_number() OVER (PARTITION BY chunk_uuid ORDER BY seq, pos, n) = 1),
-      ex AS (SELECT chunk_uuid FROM (SELECT *, (SELECT count(*) FROM nw x WHERE x.seq < nw.seq) AS before FROM nw) WHERE before < 4),
-      al AS (SELECT chunk_uuid, coalesce(rs, score) AS sim, ds FROM top UNION ALL SELECT chunk_uuid, 0::DOUBLE, 0::DOUBLE FROM ex),
-      fin AS (SELECT al.*, (coalesce((phase = 'design')::INT, 0) + coalesce((quality_level = 'high')::INT, 0)) AS hits, CASE WHEN n_links > 0 THEN 'trace+req' WHEN len(req_ids) > 0 THEN 'req_only' ELSE 'none' END AS c FROM al JOIN meta USING (chunk_uuid))
-      SELECT chunk_uuid, round_even(0.6::DOUBLE * sim + 0.25::DOUBLE * (hits / 2) + 0.15::DOUBLE * CASE c WHEN 'trace+req' THEN 0.8 WHEN 'req_only' THEN 0.5 ELSE 0.2 END + 0.2::DOUBLE * ds, 4) AS composite_score, hits || '/2' AS why_metadata_match, c AS why_continuity,
-      CASE WHEN ds > 0 THEN 'hint_in_filename' ELSE 'none' END AS why_docname_match FROM fin""",
-}
+    "search_hits": search_sql(
+        ("latency", "fr", "1", "12ms"), ("phase = 'design' AND quality_level = 'high'", "phase = 'design'", "true"), ("phase = 'design'", "quality_level = 'high'"),
+        ("概要设计", "latency", "fr", "1"), "概要设计", "phase = 'design' AND quality_level = 'high'",
+    ),
+    "search_dense_only": search_sql(
+        ("x",), ("phase = 'design' AND quality_level = 'high'", "phase = 'design'", "true"), ("phase = 'design'", "quality_level = 'high'"), ("latency", "module"), dense=True
+    ),
+    "course_docs": search_sql(
+        ("latency", "fr", "1", "12ms"), ("phase = 'design' AND doc_type = '概要设计'", "phase = 'design'", "true"), ("phase = 'design'", "doc_type = '概要设计'"), ("latency", "fr", "1", "12ms"),
+        columns="project_id, doc_type, phase, section_path, quality_level, year, term",
+    ),
+    "phase_examples": search_sql(
+        ("latency", "12ms"), ("phase = 'requirement' AND doc_type = '需求' AND quality_level = 'high'", "phase = 'requirement'", "true"), ("phase = 'requirement'", "doc_type = '需求'", "quality_level = 'high'"),
+        limit=5, columns="project_id, doc_type, section_path, year, term",
+    ),
+    "section_examples": search_sql(
+        ("doc", "目标", "latency"), ("quality_level = 'high'", "true"), ("quality_level = 'high'",), ("doc", "目标", "latency"), limit=3, columns="project_id, doc_type, section_path, year, term"
+    ),
+}
+ORACLE["sparse_topk_postings"] = ORACLE["sparse_topk_all"]
+ORACLE["dense_topk_cells"] = ORACLE["dense_topk_many"]
+ORACLE["candidate_merge"] = f"""WITH nm AS (SELECT *, row_number() OVER (ORDER BY docname_score DESC, chunk_uuid) AS place FROM ({ORACLE["docname_recall"]})),
+  c AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS chunk_uuid, 1 / (1 + row_number() OVER w)::DOUBLE AS score, row_number() OVER w AS seq FROM documents WINDOW w AS (ORDER BY n_chars DESC, doc_id) QUALIFY seq <= 80)
+  SELECT coalesce(c.chunk_uuid, nm.chunk_uuid) AS chunk_uuid, coalesce(c.score, nm.score) AS score, coalesce(docname_score, 0::DOUBLE) AS docname_score, coalesce(docname_reason, 'none') AS docname_reason,
+  row_number() OVER (ORDER BY seq NULLS LAST, place)::INT AS seq FROM c FULL JOIN nm ON c.chunk_uuid = nm.chunk_uuid"""

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, lines
-from ..operators import catalog, chunking, embedding, filters, metadata, retrieval, store
+from ..operators import catalog, cells, chunking, embedding, filters, metadata, postings, retrieval, store
 from ..operators import lines as line_ops
-from .fixtures import chunks, fx, spread, stored, table
+from . import oracle
+from .fixtures import chunks, fx, new_folder, spread, stored, table
 from .fixtures import metadata as meta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,28 +292,18 @@ def filter_array_any(spark, sf_dir):
 
 @query
 def normalize_params(spark, sf_dir):
-    rows = [
-        (0, None, None),
-        (1, "", []),
-        (2, "  ", ["string"]),
-        (3, "string", ["string", "high"]),
-        (4, "NONE", [" "]),
-        (5, "null", ["Null", "none"]),
-        (6, " design ", [" high", "low "]),
-    ]
-    return spark.createDataFrame(rows, "id int, v string, l array<string>").select(
-        "id",
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{oracle.GIVEN} AS v", f"{oracle.GIVEN_TOO} AS w")
+    return rows.select(
+        "doc_id",
         filters.normalize_text(F.col("v")).alias("value"),
-        F.array_join(filters.normalize_list(F.col("l")), ",").alias("items"),
+        F.array_join(filters.normalize_list(F.array("v", "w", F.lit("Null"))), ",").alias("items"),
     )
 
 
 @query
 def doc_type_alias(spark, sf_dir):
-    rows = [*enumerate(f" {k} " for k in filters.DOC_TYPE_ALIASES), (100, "其他"), (101, " ")]
-    return spark.createDataFrame(rows, "id int, v string").select(
-        "id", filters.canonical_doc_type(F.col("v")).alias("canonical")
-    )
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{oracle.TYPED} AS v")
+    return rows.select("doc_id", filters.canonical_doc_type(F.col("v")).alias("canonical"))
 
 
 @query
@@ -401,10 +392,8 @@ def rrf_fusion(spark, sf_dir):
 
 @query
 def docname_hints(spark, sf_dir):
-    rows = [(0, "see A_1.md"), (1, "《需求规格说明书》"), (2, "'ab'"), (3, "no hint"), (4, "a/x.pdf y.DOCX \"The Doc\" x.pdf")]
-    return spark.createDataFrame(rows, "id int, q string").select(
-        "id", F.array_join(retrieval.docname_hints(F.col("q")), ",").alias("hints")
-    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(oracle.HINTED).alias("q"))
+    return rows.select("doc_id", F.array_join(retrieval.docname_hints(F.col("q")), ",").alias("hints"))
 
 
 @query
@@ -424,16 +413,12 @@ def docname_recall(spark, sf_dir):
 
 @query
 def candidate_merge(spark, sf_dir):
-    found = spark.createDataFrame([("a", 0.9, 1), ("b", 0.5, 2)], "chunk_uuid string, score double, seq int")
-    named = spark.createDataFrame(
-        [
-            ("a", 0.36, 0.8, "token_overlap_high"),
-            ("y", 0.38, 0.9, "hint_in_filename"),
-            ("z", 0.4, 1.0, "filename_in_query"),
-        ],
-        "chunk_uuid string, score double, docname_score double, docname_reason string",
-    )
-    return retrieval.merge_docname(found, named)
+    """The 80 longest documents, and what a query's file name finds among all."""
+    best = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(retrieval.RECALL)
+    place = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))  # over those 80
+    found = best.select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("chunk_uuid"), place.alias("seq"))
+    found = found.select("chunk_uuid", (1 / (1 + F.col("seq"))).alias("score"), "seq")
+    return retrieval.merge_docname(found, docname_recall(spark, sf_dir))
 
 
 @query
@@ -511,8 +496,9 @@ def upsert_latest(spark, sf_dir):
 
 @query
 def template_sections(spark, sf_dir):
-    found = catalog.template_sections(spark, ["软件需求规格说明书", "需求", "测试报告", "用户手册", "迭代需求文档", "x"])
-    return found.select(
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.expr(oracle.TEMPLATED).alias("asked"))
+    return catalog.template_sections(asked).select(
+        "doc_id",
         "asked",
         "doc_type",
         F.when(F.col("sections").isNotNull(), F.size("sections")).alias("n_sections"),
@@ -522,11 +508,10 @@ def template_sections(spark, sf_dir):
 
 @query
 def suggest_skills(spark, sf_dir):
-    out = None
-    for phase in ("requirement", "design", "implementation", "testing_deployment"):
-        rows = catalog.suggest_skills(spark, phase).select(F.lit(phase).alias("phase"), "position", "skill")
-        out = rows if out is None else out.union(rows)
-    return out
+    asked = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"{oracle.PHASED} AS phase", f"{oracle.TYPED_TOO} AS doc_type"
+    )
+    return catalog.suggest_skills(asked).select("doc_id", "position", "skill")
 
 
 @query
@@ -577,22 +562,44 @@ def rerank_all(spark, sf_dir):
 
 
 @query
-def search_hits(spark, sf_dir):
-    """Search over all chunks: dense vectors from the table of embeddings, sparse ones from the terms."""
+def sparse_topk_postings(spark, sf_dir):
+    """Every passage over an inverted index of all documents."""
+    docs = stored(_sparse(spark, sf_dir))
+    segment = postings.segment_of("doc_id", docs.count())
+    index = stored(postings.build_postings(docs, segment, "doc_id"))
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), embedding.term_weights(F.col("text")).alias("sparse")
+    )
+    return postings.sparse_top_k_postings(index, docs, stored(asked), 10, stored, "doc_id").rows
+
+
+@query
+def dense_topk_cells(spark, sf_dir):
+    """The queries of dense_topk_many over vectors laid out by cells."""
+    rows = _vectors(spark, sf_dir)
+    index = cells.VectorCells(spark, new_folder(spark, "cells")).build(rows, "vec_id", per_cell=64)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("dense").alias("vector"))
+    found, _ = index.top_k(asked, 5, stored)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def _searched(spark, sf_dir):
+    """(all chunks with vectors, embedding of queries): dense vectors from the table of embeddings, sparse ones from terms."""
     vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("_vec"), "dense")
     n = vectors.count()
     rows = meta(spark, sf_dir).withColumns(
         {"_vec": F.col("doc_id") % n, "sparse": embedding.term_weights(F.col("text"))}
     )
-    rows = stored(rows.join(vectors, "_vec").drop("_vec"))
-    sparse = (
-        spark.createDataFrame([("latency FR-1 12ms",)], "t string")
-        .select(embedding.term_weights(F.col("t")))
-        .first()[0]
-    )
-    hits = retrieval.search(
-        rows, "《概要设计》 latency FR-1", _vector(spark, sf_dir, 0), sparse, phase="design", quality_level=["high"]
-    )
+    first = _vector(spark, sf_dir, 0)
+
+    def embed(text):
+        row = spark.createDataFrame([(text,)], "t string").select(embedding.term_weights(F.col("t"))).first()
+        return first, row[0]
+
+    return stored(rows.join(vectors, "_vec").drop("_vec")), embed
+
+
+def _told(hits):
     return hits.select(
         "chunk_uuid",
         "composite_score",
@@ -600,3 +607,49 @@ def search_hits(spark, sf_dir):
         "why_hit.why_continuity",
         "why_hit.why_docname_match",
     )
+
+
+@query
+def search_hits(spark, sf_dir):
+    """Search over all chunks."""
+    rows, embed = _searched(spark, sf_dir)
+    vectors = embed("latency FR-1 12ms")
+    hits = retrieval.search(rows, "《概要设计》 latency FR-1", *vectors, phase="design", quality_level=["high"])
+    return _told(hits)
+
+
+@query
+def search_dense_only(spark, sf_dir):
+    """Search where no sparse vectors are."""
+    rows, embed = _searched(spark, sf_dir)
+    query = "latency module"
+    hits = retrieval.search(
+        rows.drop("sparse").withColumn("sparse", F.lit(None).cast("map<bigint,float>")), query, embed(query)[0], {},
+        phase="design", quality_level=["high"], mode="dense",
+    )
+    return _told(hits)
+
+
+def _examples(hits, *fields):
+    return hits.select("chunk_uuid", F.col("score").alias("composite_score"), *(f"source.{f}" for f in fields))
+
+
+@query
+def course_docs(spark, sf_dir):
+    rows, embed = _searched(spark, sf_dir)
+    hits = catalog.search_course_docs(rows, embed, "latency FR-1 12ms", phase="design", doc_type=" 软件概要设计说明书 ")
+    return _examples(hits, "project_id", "doc_type", "phase", "section_path", "quality_level", "year", "term")
+
+
+@query
+def phase_examples(spark, sf_dir):
+    rows, embed = _searched(spark, sf_dir)
+    hits = catalog.phase_examples(rows, embed, "requirement", "软件需求规格说明书", "latency 12ms")
+    return _examples(hits, "project_id", "doc_type", "section_path", "year", "term")
+
+
+@query
+def section_examples(spark, sf_dir):
+    rows, embed = _searched(spark, sf_dir)
+    hits = catalog.search_by_section(rows, embed, "Doc > 目标 latency")
+    return _examples(hits, "project_id", "doc_type", "section_path", "year", "term")
