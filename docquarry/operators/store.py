@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources import shared
 from .embedding import check_dimension
+from .postings import Found, build_postings, sparse_top_k_postings
 
 EDGES = T.ArrayType(T.StructType([T.StructField("from", T.StringType()), T.StructField("to", T.StringType())]))
 _STRINGS = T.ArrayType(T.StringType())
@@ -35,6 +36,7 @@ CLUSTERED = ("phase", "doc_type", "term", "project_id", "source_file", "chunk_in
 #: Fields whose Parquet Bloom filters let an equality skip row groups that their order does not.
 BLOOM = ("source_file", "chunk_uuid", "document_id", "project_id")
 _FOLDERS = "commit string, bucket int"
+POSTINGS = "token long, level int, most double, n long, held array<struct<id:string,weight:double>>"
 
 
 def document_key(path: Column) -> Column:
@@ -102,6 +104,7 @@ class Snapshot:
     buckets: int
     folders: tuple[str, ...] = ()
     reports: tuple[str, ...] = ()
+    indexed: bool = False
 
 
 @dataclass
@@ -114,21 +117,23 @@ class ChunkStore:
     replacing a document rewrites the few folders that hold it (copy on write), new documents add folders, and no
     other file is touched. Writers that lose the step start over from the manifest that won, with the new folders they
     have written already; replacing wins over what it replaces, whoever comes last. ``buckets`` holds for a new store:
-    about one for each GB to come; the first manifest fixes it.
+    about one for each GB to come; the first manifest fixes it. So it is with ``indexed``: every folder of chunks then
+    has a folder of postings, written before the commit, and comes and goes with it.
     """
 
     spark: SparkSession
     path: str
     dims: int | None = None
     buckets: int = 16
+    indexed: bool = False
 
     def snapshot(self, version: int | None = None) -> Snapshot:
         """The newest version, or an older one that has not been vacuumed."""
         found = [int(n[:-5]) for n in shared.names(f"{self.path}/manifests") if n.endswith(".json")]
         if not found and version is None:
-            return Snapshot(0, self.buckets)
+            return Snapshot(0, self.buckets, indexed=self.indexed)
         told = json.loads(shared.read_bytes(self._manifest(max(found) if version is None else version)))
-        return Snapshot(told["version"], told["buckets"], tuple(told["folders"]), tuple(told["reports"]))
+        return Snapshot(told["version"], told["buckets"], tuple(told["folders"]), tuple(told["reports"]), told["indexed"])
 
     def _manifest(self, version: int) -> str:
         return f"{self.path}/manifests/{version:020d}.json"
@@ -158,7 +163,7 @@ class ChunkStore:
         """The report rows of the commit that ``done`` came of."""
         return self.spark.read.schema(REPORT).parquet(f"{self.path}/reports/{done.reports[-1]}")
 
-    def _write(self, rows: DataFrame) -> list[str]:
+    def _write(self, rows: DataFrame, indexed: bool) -> list[str]:
         """Write chunks (with the column bucket) to a new commit; returns its folders."""
         commit = f"commit={uuid.uuid4().hex}"
         # rebalancing splits a bucket that grew large and joins small ones
@@ -167,7 +172,16 @@ class ChunkStore:
         for field in BLOOM:
             writer = writer.option(f"parquet.bloom.filter.enabled#{field}", "true")
         writer.parquet(f"{self.path}/data/{commit}")
-        return sorted(f"{commit}/{f}" for f in shared.folders(f"{self.path}/data/{commit}", 1))
+        folders = sorted(f"{commit}/{f}" for f in shared.folders(f"{self.path}/data/{commit}", 1))
+        if indexed and folders:
+            held = self._folders(folders).select("bucket", "chunk_uuid", "sparse")
+            postings = build_postings(held, F.col("bucket")).withColumnRenamed("segment", "bucket")
+            # a row for each bucket, so that one without tokens has a folder too
+            marks = held.groupBy("bucket").agg(F.count("*").alias("n"))
+            every = postings.unionByName(marks, allowMissingColumns=True)
+            laid = every.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "level")
+            laid.write.partitionBy("bucket").parquet(f"{self.path}/postings/{commit}")
+        return folders
 
     def commit(
         self,
@@ -188,7 +202,7 @@ class ChunkStore:
         if chunks is not None:
             if self.dims:
                 check_dimension(chunks, self.dims)
-            added = self._write(self._typed(chunks, base))
+            added = self._write(self._typed(chunks, base), base.indexed)
         written = self._folders(added)
         told = [self._report(report(written.select(*STORE.fieldNames())))] if report else []
         for _ in range(retries):
@@ -196,7 +210,7 @@ class ChunkStore:
                 raise Conflict(f"version {base.version} where {expect} was expected")
             touched, kept = self._without(base, gone) if gone is not None else (set(), [])
             folders = [f for f in base.folders if f not in touched] + kept + added
-            done = Snapshot(base.version + 1, base.buckets, tuple(folders), (*base.reports, *told))
+            done = Snapshot(base.version + 1, base.buckets, tuple(folders), (*base.reports, *told), base.indexed)
             content = json.dumps(done.__dict__).encode()
             if shared.put_if_absent(self.spark, self._manifest(done.version), content):
                 return done
@@ -225,7 +239,7 @@ class ChunkStore:
         if not touched:
             return set(), []
         rest = self._folders(touched).join(names, "source_file", "left_anti").select(*STORE.fieldNames(), "bucket")
-        return set(touched), self._write(rest)
+        return set(touched), self._write(rest, base.indexed)
 
     def _report(self, rows: DataFrame) -> str:
         name = uuid.uuid4().hex
@@ -235,6 +249,26 @@ class ChunkStore:
         )
         return name
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table beside the store, until the next ``vacuum``."""
+        path = f"{self.path}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def sparse_top_k(self, queries: DataFrame, k: int, version: int | None = None) -> Found:
+        """The ``k`` best chunks of a snapshot for every query (query_id, sparse), over its postings."""
+        held = self.snapshot(version)
+        if not held.indexed:
+            raise ValueError("the store has no postings")
+        if not held.folders:
+            found = self.spark.createDataFrame([], f"{POSTINGS}, {_FOLDERS}")
+        else:
+            reader = self.spark.read.schema(f"{POSTINGS}, {_FOLDERS}").option("basePath", f"{self.path}/postings")
+            found = reader.parquet(*(f"{self.path}/postings/{f}" for f in held.folders)).where("token IS NOT NULL")
+        segments = found.withColumn("segment", F.concat_ws("/", "commit", F.col("bucket").cast("string")))
+        rows = self._folders(held.folders).select("chunk_uuid", "sparse")
+        return sparse_top_k_postings(segments, rows, self.staged(queries), k, self.staged)
+
     def delete(self, source_file: str) -> int:
         """Remove all chunks of a file; returns how many there were."""
         n = self.read().where(F.col("source_file") == source_file).count()
@@ -251,12 +285,12 @@ class ChunkStore:
         many = [f for fs in of.values() if len(fs) > most for f in fs]
         if not many:
             return base
-        new = self._write(self._folders(many).select(*STORE.fieldNames(), "bucket"))
+        new = self._write(self._folders(many).select(*STORE.fieldNames(), "bucket"), base.indexed)
         while True:
             if not set(many) <= set(base.folders):
                 raise Conflict("a folder that was merged has been replaced")
             folders = (*(f for f in base.folders if f not in set(many)), *new)
-            done = Snapshot(base.version + 1, base.buckets, folders, base.reports)
+            done = Snapshot(base.version + 1, base.buckets, folders, base.reports, base.indexed)
             if shared.put_if_absent(self.spark, self._manifest(done.version), json.dumps(done.__dict__).encode()):
                 return done
             base = self.snapshot()
@@ -267,8 +301,9 @@ class ChunkStore:
         versions = sorted(int(n[:-5]) for n in shared.names(f"{self.path}/manifests") if n.endswith(".json"))
         held = [self.snapshot(v) for v in versions[-keep:]]
         live = {f"data/{f}" for s in held for f in s.folders} | {f"reports/{r}" for s in held for r in s.reports}
-        there = [f"data/{f}" for f in shared.folders(f"{self.path}/data", 2)]
-        there += [f"reports/{f}" for f in shared.folders(f"{self.path}/reports", 1)]
+        live |= {f"postings/{f}" for s in held for f in s.folders if s.indexed}
+        there = [f"{part}/{f}" for part in ("data", "postings") for f in shared.folders(f"{self.path}/{part}", 2)]
+        there += [f"{part}/{f}" for part in ("reports", "staging") for f in shared.folders(f"{self.path}/{part}", 1)]
         dead = [f for f in there if f not in live]
         for folder in dead:
             shared.remove(f"{self.path}/{folder}")
@@ -278,6 +313,7 @@ class ChunkStore:
 
     def compact(self, target: str, buckets: int | None = None) -> ChunkStore:
         """The current chunks as a new store, of another number of buckets if given."""
-        new = ChunkStore(self.spark, target, self.dims, buckets or self.snapshot().buckets)
+        held = self.snapshot()
+        new = ChunkStore(self.spark, target, self.dims, buckets or held.buckets, held.indexed)
         new.commit(self.read())
         return new

@@ -284,6 +284,7 @@ ORACLE: dict[str, str] = {
         ("doc", "目标", "latency"), ("quality_level = 'high'", "true"), ("quality_level = 'high'",), ("doc", "目标", "latency"), limit=3, columns="project_id, doc_type, section_path, year, term"
     ),
 }
+ORACLE["section_substring"] = f"{WITH}{CHUNKS} SELECT d.doc_id AS query_id, c.doc_id, chunk_index FROM chunks c JOIN documents d ON d.doc_id % 20 = 0 AND contains(section_path, 'oc ' || d.doc_id)"
 ORACLE["sparse_topk_postings"] = ORACLE["sparse_topk_all"]
 ORACLE["dense_topk_cells"] = ORACLE["dense_topk_many"]
 ORACLE["candidate_merge"] = f"""WITH nm AS (SELECT *, row_number() OVER (ORDER BY docname_score DESC, chunk_uuid) AS place FROM ({ORACLE["docname_recall"]})),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, lines
-from ..operators import catalog, cells, chunking, embedding, filters, metadata, postings, retrieval, store
+from ..operators import catalog, cells, chunking, embedding, filters, metadata, postings, retrieval, store, textindex
 from ..operators import lines as line_ops
 from . import oracle
 from .fixtures import chunks, fx, new_folder, spread, stored, table
@@ -583,6 +583,18 @@ def dense_topk_cells(spark, sf_dir):
     return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def section_substring(spark, sf_dir):
+    """Chunks whose section path holds the title that a document has, for every twentieth document, by trigrams."""
+    rows = stored(chunks(spark, sf_dir).select("doc_id", "chunk_index", "section_path"))
+    index = stored(textindex.build_grams(rows, "section_path"))
+    asked = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(
+        F.col("doc_id").alias("query_id"), F.concat(F.lit("oc "), F.col("doc_id").cast("string")).alias("asked")
+    )
+    found = textindex.find_substrings(index, rows, "section_path", asked)
+    return found.select("query_id", "doc_id", "chunk_index")
+
+
 def _searched(spark, sf_dir):
     """(all chunks with vectors, embedding of queries): dense vectors from the table of embeddings, sparse ones from terms."""
     vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("_vec"), "dense")

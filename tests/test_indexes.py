@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import cells, postings, retrieval
+from docquarry.operators import cells, postings, retrieval, textindex
 from docquarry.plans.fixtures import stored
 
 SPARSE = "id long, sparse map<bigint,float>"
@@ -110,3 +110,19 @@ def test_cells_grow(spark, laid, tmp_path):
         index.build(spark.createDataFrame(rows, schema), "id")
     with pytest.raises(ValueError):
         cells.VectorCells(spark, f"{tmp_path}/other").build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], schema), "id")
+
+
+def test_substrings_equal_a_scan(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcé需求") for _ in range(rng.randrange(0, 12))) for _ in range(400)] + [None, "", "ab", "aaaaaa"] * 3
+    rows = stored(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, path string"))
+    asked = ["abc", "aaaa", "需求a", "é需求é", "ab", "", "zzz", "a" * 20, "b%_"]
+    for per_segment in (4096, 50):
+        index = stored(textindex.build_grams(rows, "path", per_segment))
+        assert index.agg(F.max(F.size("held"))).first()[0] <= max(per_segment * 2, 100)
+        for a in asked:
+            got = sorted(r.id for r in textindex.find_substring(index, rows, "path", a).collect())
+            assert got == [i for i, t in enumerate(texts) if t is not None and a in t]
+        many = spark.createDataFrame([(a, a) for a in asked if len(a) >= 3], "query_id string, asked string")
+        got = {(r.query_id, r.id) for r in textindex.find_substrings(index, rows, "path", many).collect()}
+        assert got == {(a, i) for a in asked if len(a) >= 3 for i, t in enumerate(texts) if t and a in t}

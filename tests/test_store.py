@@ -140,3 +140,67 @@ def test_empty_store(spark, store):
     assert not store.exists() and store.read().count() == 0
     with pytest.raises(ValueError):
         ChunkStore(spark, store.path, dims=3).commit(rows(spark, "a"))
+
+
+def scanned(df) -> int:
+    """Rows that the scan of a plan gives on, after row groups were skipped."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = df.select("*")
+        again.collect()
+        leaf = again._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_filters_skip_row_groups(spark, store):
+    """Files are sorted by the filter fields, and Bloom filters tell what other fields hold."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", "16384")
+    conf.set("parquet.block.size.row.check.min", "100")
+    conf.set("parquet.page.size.row.check.min", "100")
+    try:
+        many = spark.range(20_000).selectExpr(
+            "md5(CAST(id AS STRING)) AS chunk_uuid", "concat('doc', id DIV 50) AS document_id", "concat('f', id DIV 50) AS source_file",
+            "CAST(id % 50 AS INT) AS chunk_index", "concat('phase', id % 7) AS phase", "concat('type', id % 11) AS doc_type", "repeat(md5(CAST(-id AS STRING)), 4) AS text",
+        )
+        store.commit(many)
+    finally:
+        for name in ("parquet.block.size", "parquet.block.size.row.check.min", "parquet.page.size.row.check.min"):
+            conf.unset(name)
+    rows = store.read()
+    of_one = "c4ca4238a0b923820dcc509a6f75849b"  # of 1
+    ids = range(20_000)
+    for condition, matching in (
+        ("phase = 'phase3'", sum(i % 7 == 3 for i in ids)),
+        ("phase = 'phase3' AND doc_type = 'type4'", sum(i % 7 == 3 and i % 11 == 4 for i in ids)),
+        ("source_file = 'f77'", 50),
+        (f"chunk_uuid = '{of_one}'", 1),
+    ):
+        found = rows.where(condition)
+        assert found.count() == matching and scanned(found.select("chunk_uuid", "phase", "source_file")) < 20_000 / 2
+
+
+def test_sparse_search_over_the_stores_postings(spark, tmp_path):
+    store = ChunkStore(spark, f"{tmp_path}/store", buckets=3, indexed=True)
+    asked = spark.createDataFrame([("q", {1: 1.0, 2: 3.0})], "query_id string, sparse map<bigint,float>")
+    assert store.sparse_top_k(asked, 5).rows.count() == 0
+
+    def batch(name, n, weight):
+        return rows(spark, name, n).withColumn(
+            "sparse", F.create_map(F.lit(1), F.col("chunk_index") + F.lit(weight), F.lit(2), F.lit(1.0)).cast("map<bigint,float>")
+        )
+
+    store.commit(batch("a", 40, 1))
+    store.commit(batch("b", 30, 100).unionByName(rows(spark, "none", 5).withColumn("sparse", F.lit(None).cast("map<bigint,float>"))))
+    got = store.sparse_top_k(asked, 3).rows.orderBy("rank").collect()
+    assert [(r.chunk_uuid, r.score) for r in got] == [("b-29", 132.0), ("b-28", 131.0), ("b-27", 130.0)]
+    store.commit(batch("b", 1, 500), named(spark, "b"))
+    got = store.sparse_top_k(asked, 2).rows.orderBy("rank").collect()
+    assert [(r.chunk_uuid, r.score) for r in got] == [("b-0", 503.0), ("a-39", 43.0)]
+    assert ChunkStore(spark, store.path).snapshot().indexed and store.merge_folders(1).indexed
+    store.vacuum()
+    assert store.sparse_top_k(asked, 100).rows.count() == 41
+    with pytest.raises(ValueError):
+        ChunkStore(spark, f"{tmp_path}/plain").sparse_top_k(asked, 1)
