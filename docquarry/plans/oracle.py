@@ -284,6 +284,14 @@ ORACLE: dict[str, str] = {
         ("doc", "目标", "latency"), ("quality_level = 'high'", "true"), ("quality_level = 'high'",), ("doc", "目标", "latency"), limit=3, columns="project_id, doc_type, section_path, year, term"
     ),
 }
+ORACLE["rules_of_a_table"] = """WITH w AS (SELECT item_id, regexp_extract_all(text, '[a-z]{8,}') AS l FROM benchmark),
+k AS (SELECT item_id, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 3)) AS w FROM w)
+SELECT doc_id, (SELECT min(item_id) FROM k WHERE contains(text, k.w))::VARCHAR AS rule FROM documents"""
+#: CRC-32 of terms by the table of its polynomial; the lower 16 bits name a term.
+ORACLE["term_statistics"] = f"""WITH tab AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORDS_PATTERN}'))) AS w FROM documents), u AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM t)),
+c AS (SELECT w, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i: ('0x' || substring(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) & 65535 AS feature FROM u, tab),
+f AS (SELECT feature, count(DISTINCT doc_id) AS df FROM t JOIN c USING (w) GROUP BY feature) SELECT feature::INT AS feature, df, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM f"""
 ORACLE["section_substring"] = f"{WITH}{CHUNKS} SELECT d.doc_id AS query_id, c.doc_id, chunk_index FROM chunks c JOIN documents d ON d.doc_id % 20 = 0 AND contains(section_path, 'oc ' || d.doc_id)"
 ORACLE["sparse_topk_postings"] = ORACLE["sparse_topk_all"]
 ORACLE["dense_topk_cells"] = ORACLE["dense_topk_many"]

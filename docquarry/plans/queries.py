@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, lines
-from ..operators import catalog, cells, chunking, embedding, filters, metadata, postings, retrieval, store, textindex
+from ..operators import catalog, cells, chunking, embedding, filters, metadata, postings, retrieval, rulebook, store, textindex, trained
 from ..operators import lines as line_ops
 from . import oracle
 from .fixtures import chunks, fx, new_folder, spread, stored, table
@@ -595,6 +595,38 @@ def section_substring(spark, sf_dir):
     return found.select("query_id", "doc_id", "chunk_index")
 
 
+@query
+def term_statistics(spark, sf_dir):
+    """Document frequencies and BM25 weights of all hashed terms."""
+    docs = spread(table(spark, sf_dir, "documents").select("text"))
+    return trained.term_statistics(docs).select("feature", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def trained_neighbours(spark, sf_dir):
+    """The five nearest documents of every twentieth, by vectors trained on all."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = trained.fit_terms(docs, stored)
+    rows = stored(model.embed(docs).select("doc_id", "dense"))
+    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("dense").alias("vector"))
+    found = retrieval.dense_top_k_many(rows, asked, 6, "doc_id").where("query_id <> doc_id")
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def rules_of_a_table(spark, sf_dir):
+    """The first rule that a document matches: one for each passage, of its long words, read from the table of passages."""
+    word = F.regexp_extract_all(F.col("text"), F.lit("[a-z]{8,}"), F.lit(0))
+    made = table(spark, sf_dir, "benchmark").select(
+        F.lit("passage").alias("kind"), F.col("item_id").cast("int").alias("place"),
+        F.array_join(F.slice(F.array_distinct(word), 1, 3), "|").alias("pattern"), F.lit(False).alias("fold"),
+        F.col("item_id").cast("string").alias("value"),
+    )
+    book = rulebook.Rulebook.read(made.where("pattern <> ''"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", book.column(spark, "passage", F.col("text")).alias("rule"))
+
+
 def _searched(spark, sf_dir):
     """(all chunks with vectors, embedding of queries): dense vectors from the table of embeddings, sparse ones from terms."""
     vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("_vec"), "dense")
