@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, lines
-from ..operators import catalog, cells, chunking, embedding, filters, metadata, postings, retrieval, rulebook, store, textindex, trained
+from ..operators import batch, catalog, cells, chunking, embedding, filters, metadata, postings, retrieval, rulebook, store, textindex, trained
 from ..operators import lines as line_ops
 from . import oracle
 from .fixtures import chunks, fx, new_folder, spread, stored, table
@@ -697,3 +697,16 @@ def section_examples(spark, sf_dir):
     rows, embed = _searched(spark, sf_dir)
     hits = catalog.search_by_section(rows, embed, "Doc > 目标 latency")
     return _examples(hits, "project_id", "doc_type", "section_path", "year", "term")
+
+
+@query
+def search_batch(spark, sf_dir):
+    """Search for every passage in one plan, each with the vector of its number."""
+    rows, _ = _searched(spark, sf_dir)
+    vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("item_id"), "dense")
+    asked = table(spark, sf_dir, "benchmark").join(vectors, "item_id").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), "dense",
+        embedding.term_weights(F.col("text")).alias("sparse"),
+    )
+    hits = batch.search_many(rows, stored(asked), stored, phase="design", quality_level=["high"])
+    return hits.select("query_id", "place", "chunk_uuid", "composite_score", "why_hit.why_metadata_match")
