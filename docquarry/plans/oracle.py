@@ -287,6 +287,14 @@ ORACLE: dict[str, str] = {
 ORACLE["rules_of_a_table"] = """WITH w AS (SELECT item_id, regexp_extract_all(text, '[a-z]{8,}') AS l FROM benchmark),
 k AS (SELECT item_id, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 3)) AS w FROM w)
 SELECT doc_id, (SELECT min(item_id) FROM k WHERE contains(text, k.w))::VARCHAR AS rule FROM documents"""
+#: Shares of a passage's terms, letters and pairs of neighbours in every document.
+ORACLE["ranker_features"] = f"""WITH qs AS (SELECT lower(text) AS phrase, regexp_extract_all(lower(text), '{WORDS_PATTERN}') AS qa, list_distinct(qa) AS w, list_distinct(list_transform(range(1, len(qa)), lambda i: qa[i] || ' ' || qa[i + 1])) AS qp FROM benchmark WHERE item_id = 0),
+d AS (SELECT doc_id, lower(coalesce(text, '')) AS low, regexp_extract_all(low, '{WORDS_PATTERN}') AS a FROM documents),
+p AS (SELECT *, list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS side, list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 2])) AS further FROM d)
+SELECT doc_id, round(len(list_intersect(w, list_distinct(a)))::DOUBLE / len(w), 6) AS terms,
+  round(coalesce(list_sum(list_transform(list_intersect(w, list_distinct(a)), lambda t: length(t))), 0)::DOUBLE / list_sum(list_transform(w, lambda t: length(t))), 6) AS letters,
+  round(len(list_intersect(qp, side))::DOUBLE / len(qp), 6) AS pairs, round(len(list_intersect(qp, list_distinct(list_concat(side, further))))::DOUBLE / len(qp), 6) AS near_pairs,
+  round(len(list_filter(a, lambda t: list_contains(w, t)))::DOUBLE / greatest(1, len(a)), 6) AS density, contains(low, phrase)::INT::DOUBLE AS phrase, round(1 / (1 + ln(1 + len(a))), 6) AS shortness FROM p, qs"""
 #: CRC-32 of terms by the table of its polynomial; the lower 16 bits name a term.
 ORACLE["term_statistics"] = f"""WITH tab AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
 t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORDS_PATTERN}'))) AS w FROM documents), u AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM t)),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, lines
-from ..operators import batch, catalog, cells, chunking, embedding, filters, metadata, postings, retrieval, rulebook, store, textindex, trained
+from ..operators import batch, catalog, cells, chunking, embedding, filters, metadata, postings, ranker, retrieval, rulebook, store, textindex, trained
 from ..operators import lines as line_ops
 from . import oracle
 from .fixtures import chunks, fx, new_folder, spread, stored, table
@@ -627,6 +627,15 @@ def rules_of_a_table(spark, sf_dir):
     return docs.select("doc_id", book.column(spark, "passage", F.col("text")).alias("rule"))
 
 
+@query
+def ranker_features(spark, sf_dir):
+    """What the learned reranker compares a passage and every document by."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", ranker.features(F.lit(asked), F.col("text")).alias("x"))
+    return rows.select("doc_id", *(F.round(F.col("x")[i], 6).alias(name) for i, name in enumerate(ranker.FEATURES)))
+
+
 def _searched(spark, sf_dir):
     """(all chunks with vectors, embedding of queries): dense vectors from the table of embeddings, sparse ones from terms."""
     vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("_vec"), "dense")
