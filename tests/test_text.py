@@ -52,8 +52,8 @@ def test_store(spark, tmp_path):
         [("a", "f.md", "one", [1.0, 0.0]), ("b", "g.md", "two", [0.0, 1.0])],
         "chunk_uuid string, source_file string, text string, dense array<float>",
     )
-    store.append(rows, 1)
-    store.append(rows.where("chunk_uuid = 'a'").withColumn("text", F.lit("new")), 2)
+    store.commit(rows)
+    store.commit(rows.where("chunk_uuid = 'a'").withColumn("text", F.lit("new")), rows.where("chunk_uuid = 'a'"))
     assert {r.chunk_uuid: r.text for r in store.read().collect()} == {"a": "new", "b": "two"}
     assert store.delete("f.md") == 1 and store.delete("f.md") == 0
     assert [r.chunk_uuid for r in store.compact(f"file://{tmp_path}/next").read().collect()] == ["b"]
