@@ -204,7 +204,8 @@ def misspelt(seed=3, n=150):
                 w = rng.choice((w[:i] + w[i + 1 :], w[:i] + "e" + w[i:], w[:i] + "b" + w[i + 1 :]))
             words.append(rng.choice((w, w, w.upper() if w.isascii() else w)))
         out.append((d * 3, rng.choice((" ", "1", "\n", "日")).join(words)))
-    return [*out, (1, None), (2, ""), (None, " ".join(["abeabeabb"] * 7)), (4, "x" * 30_000 + " " + "a" * 5)] + [out[0]] * 3
+    chain = " ".join(["qwertyui"] * 200 + ["qwertyux"] * 30 + ["qwzrtyux"] * 5)  # the last leads to the first by way of the second
+    return [*out, (7, chain), (1, None), (2, ""), (None, " ".join(["abeabeabb"] * 7)), (4, "x" * 30_000 + " " + "a" * 5)] + [out[0]] * 3
 
 
 def test_variants(spark):
