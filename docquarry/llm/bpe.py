@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import mix64
+from .common import mix64, small_batches, tidy
 
 NONE = np.int32(2**31 - 1)
 LONG = 4096  # bytes from which a piece is merged with a heap instead of a matrix row
@@ -312,7 +312,11 @@ def encode_documents(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "tex
                     ],
                     names=[*names, "ids", "decoded"],
                 )
+                del part, offsets, ids, decoded
+                tidy(every=0.5)
+        tidy()
 
+    small_batches(docs.sparkSession)
     return kept.mapInArrow(run, schema)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
+import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +86,30 @@ def spread(table: DataFrame) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let whole texts go to Python ``rows`` at a time where the session has Spark's default of 10,000: an executor holds a batch
+    for each task several times over, outside its heap. A setting of the user's own stays."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+_tidied = [0.0]
+
+
+def tidy(every: float = 0.0) -> None:
+    """Hand memory that a task has freed back to the machine, at most once in ``every`` seconds. A worker process outlives its
+    tasks, and what its allocators keep for later would add up over the stages of a job."""
+    if time.monotonic() - _tidied[0] >= every:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+        _tidied[0] = time.monotonic()
+
+
 def pieces(rows: int, each: int) -> int:
     """How many pieces of about ``each`` rows; at least one."""
     return max(1, math.ceil(rows / each))

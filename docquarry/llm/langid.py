@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import small_batches, tidy
+
 BITS = 12
 DIM = 1 << BITS
 CHUNK = 1 << 21
@@ -182,14 +184,14 @@ def train(
 
     @arrow_udf("struct<at:array<short>,value:array<float>>")
     def sparse(texts: pa.Array) -> pa.Array:
-        x, _ = features(texts.to_pylist())
-        at = [np.flatnonzero(r).astype(np.int16) for r in x]
+        at, values = [], []
+        for start in range(0, len(texts), 128):
+            x, _ = features(texts[start : start + 128].to_pylist())
+            at += [np.flatnonzero(r).astype(np.int16) for r in x]
+            values += [r[i].astype(np.float32) for r, i in zip(x, at[start:], strict=True)]
+        tidy()
         return pa.StructArray.from_arrays(
-            [
-                pa.array(at, pa.list_(pa.int16())),
-                pa.array([r[i].astype(np.float32) for r, i in zip(x, at, strict=True)], pa.list_(pa.float32())),
-            ],
-            names=["at", "value"],
+            [pa.array(at, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.float32()))], names=["at", "value"]
         )
 
     got = drawn.select("_n", "_lang", sparse("_text").alias("f")).orderBy("_lang", "_n").toArrow()
@@ -218,10 +220,12 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
             lang, score = shared.value.predict(texts[at : at + 128].to_pylist())
             langs += lang
             scores += score
+        tidy(every=0.5)
         return pa.StructArray.from_arrays(
             [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
         )
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, predict(F.col(text_col)))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, mix64
+from .common import join_groups, materialize, mix64, small_batches, tidy
 from .components import connected_components, forest
 from .words import keyed_texts, run_keys, word_keys
 
@@ -141,7 +141,11 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     flat,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n_shingles", "set_hash", "bands"])
+                del part, keys, whole, flat, columns, key, signature
+                tidy(every=0.5)
+        tidy()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, "id long, text_hash long, n_shingles long, set_hash binary, bands array<long>")
 
 
@@ -159,6 +163,8 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) ->
                     last, held = b[i], lower_words(batch.column(3)[i].as_py())
                 keep[i] = similar_texts(lower_words(batch.column(2)[i].as_py()), held, size, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            tidy(every=0.5)
+        tidy()
 
     left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return (
@@ -337,6 +343,7 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, b
             a, b = links_in_group(
                 table["id"].to_numpy(), table["side"].to_numpy(), parts, table["text"].to_pylist(), size, percent
             )
+        tidy(every=0.5)
         return pa.table({"a": a, "b": b})
 
     joined = spread.join(texts, ["id", "text_hash"]).select("key", "i", "k", "id", "component", "side", "text")
