@@ -11,6 +11,7 @@ from .common import join_groups, materialize, pieces
 from .components import connected_components, forest
 
 SLACK = 1e-9
+PIECE = 1 << 17  # pairs of a block that are worked on at a time
 LINKS = "kind int, a long, b long"
 
 
@@ -128,21 +129,25 @@ def comparison(cosine: float):
         rep, weight, row, own = (table[c].to_numpy() for c in ("rep", "weight", "row", "own"))
         left, right, at_home = x[row], x[~row], own[~row]
         ids, other, light, heavy = rep[row], rep[~row], weight[row], weight[~row]
-        partners, back, a, b = np.zeros(len(ids), np.int64), np.zeros(len(other), np.int64), [], []
-        for at in range(0, len(left), 1024):
-            close = left[at : at + 1024] @ right.T >= cosine - SLACK
-            i, j = np.nonzero(close)
-            sure = np.einsum("ij,ij->i", left[at + i], right[j]) >= cosine if len(i) else np.empty(0, bool)
-            i, j = i[sure] + at, j[sure]
-            apart = ids[i] != other[j]
-            i, j = i[apart], j[apart]
-            np.add.at(partners, i, heavy[j])
-            away = ~at_home[j]
-            np.add.at(back, j[away], light[i[away]])
-            tree = forest(ids[i], other[j])
-            a.append(tree[0])
-            b.append(tree[1])
-        a, b = (np.concatenate([np.empty(0, np.int64), *y]) for y in (a, b))
+        partners, back, trees = np.zeros(len(ids), np.int64), np.zeros(len(other), np.int64), []
+        for at in range(0, len(left), 512):
+            product = left[at : at + 512] @ right.T
+            every_i, every_j = np.nonzero(product >= cosine - SLACK)
+            for piece in range(0, len(every_i), PIECE):  # of a dense group all pairs are links
+                i, j = every_i[piece : piece + PIECE], every_j[piece : piece + PIECE]
+                near = np.flatnonzero(product[i, j] < cosine + SLACK)
+                sure = np.ones(len(i), bool)
+                sure[near] = np.einsum("ij,ij->i", left[at + i[near]], right[j[near]]) >= cosine
+                i = i + at
+                keep = sure & (ids[i] != other[j])
+                i, j = i[keep], j[keep]
+                partners += np.bincount(i, heavy[j], len(ids)).astype(np.int64)
+                away = ~at_home[j]
+                back += np.bincount(j[away], light[i[away]], len(other)).astype(np.int64)
+                trees.append(forest(ids[i], other[j]))
+            if len(trees) > 64:
+                trees = [forest(*map(np.concatenate, zip(*trees, strict=True)))]
+        a, b = forest(*map(np.concatenate, zip((np.empty(0, np.int64),) * 2, *trees, strict=True)))
         one, two = partners > 0, back > 0
         counted = int(one.sum() + two.sum())
         kind = np.r_[np.zeros(counted, np.int32), np.ones(len(a), np.int32)]
