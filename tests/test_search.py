@@ -100,3 +100,32 @@ def test_dense_top_k_many_is_exact(spark):
 def test_spread(spark):
     assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(100, numPartitions=30)).rdd.getNumPartitions() == 30
+
+
+def test_dense_top_k_many_holds_one_block_of_scores(spark, monkeypatch):
+    """Blocks, merges and rounds smaller than the tables give what one matrix does; a task's arrays stay small."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(1)
+    x, k = rng.normal(size=(4000, 8)), 3
+    x[2000:2040] = x[0]
+    store = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_uuid int, dense array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 4000, 20)], "query_id int, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit[::20] @ unit.T, 12)
+    want = {(20 * i, int(j)) for i, s in enumerate(scores) for j in np.lexsort((np.arange(4000), -s))[:k]}
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 70)
+    monkeypatch.setattr(retrieval, "BLOCK", 32)
+    found = retrieval.dense_top_k_many(store, asked, k).collect()
+    assert len(found) == len(want) and {(r.query_id, r.chunk_uuid) for r in found} == want
+    monkeypatch.undo()
+    q = rng.normal(size=(4000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(list(x))], names=["id", "dense"])
+    task = retrieval._block_top_k(SimpleNamespace(value=(q, pa.array(range(4000)))), k, "id", 8)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in task([batch])) == 4000 * k
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # all scores at once: 128 MB a copy
+    tracemalloc.stop()
