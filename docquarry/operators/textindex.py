@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE = 3
@@ -39,10 +39,27 @@ def find_substring(index: DataFrame, rows: DataFrame, text_col: str, asked: str)
 
 
 def find_substrings(index: DataFrame, rows: DataFrame, text_col: str, queries: DataFrame) -> DataFrame:
-    """The same for every query (query_id, asked) of at least SIZE characters: ``rows`` with query_id."""
-    own = queries.select("query_id", "asked", F.explode(grams(F.col("asked"))).alias("gram"))
-    need = queries.select("query_id", F.size(grams(F.col("asked"))).alias("_need"))
-    lists = index.join(own, "gram").select("query_id", "asked", F.explode("held").alias("_id"))
-    both = lists.groupBy("query_id", "asked", "_id").agg(F.count("*").alias("_n")).join(need, "query_id")
-    met = rows.join(both.where("_n = _need"), F.md5(text_col) == F.col("_id"))
-    return met.where(F.contains(text_col, "asked")).drop("_id", "_n", "_need")
+    """The same for every query (query_id, asked) of at least SIZE characters: ``rows`` with query_id. Each query takes the
+    list of its rarest gram. What a text of that list has around the gram, at the places and lengths that the gram's
+    queries have, meets the queries by equality: pairs grow with the lists, not with lists times queries."""
+    places = F.sequence(F.lit(1), F.length("asked") - (SIZE - 1))
+    each = F.transform(places, lambda i: F.struct(F.substring("asked", i, F.lit(SIZE)).alias("gram"), i.alias("at")))
+    own = queries.where(F.length("asked") >= SIZE).select("query_id", "asked", F.inline(each))
+    sizes = index.join(own.select("gram").distinct(), "gram").groupBy("gram").agg(F.sum(F.size("held")).alias("n"))
+    rarest = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy("n", "at"))
+    # a gram that no text has comes first, and its query then meets nothing
+    chosen = own.join(sizes, "gram", "left").withColumn("_n", rarest).where("_n = 1 AND n IS NOT NULL").drop("_n", "n")
+    shape = F.struct("at", F.length("asked").alias("len"))
+    shapes = chosen.groupBy("gram").agg(F.collect_set(shape).alias("shapes"))
+    lists = index.join(shapes, "gram").select("gram", "shapes", F.explode("held").alias("_id"))
+    texts = rows.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("_text")).agg(F.lit(1))
+    near = lists.join(texts.select("_text", F.md5("_text").alias("_id")), "_id")
+    starts = F.sequence(F.lit(1), F.length("_text") - (SIZE - 1))
+    met = F.filter(starts, lambda i: F.substring("_text", i, F.lit(SIZE)) == F.col("gram"))
+    near = near.select("gram", "_id", "_text", F.explode(met).alias("_start"), "shapes")
+    near = near.select("gram", "_id", "_text", "_start", F.inline("shapes"))
+    first = F.col("_start") - F.col("at") + 1
+    near = near.where((first >= 1) & (first + F.col("len") - 1 <= F.length("_text")))
+    near = near.select("gram", "at", "_id", F.substring("_text", first, F.col("len")).alias("asked"))
+    both = near.join(chosen, ["gram", "at", "asked"]).select("query_id", "asked", "_id").distinct()
+    return rows.join(both, F.md5(text_col) == F.col("_id")).drop("_id")

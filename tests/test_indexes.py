@@ -126,3 +126,16 @@ def test_substrings_equal_a_scan(spark):
         many = spark.createDataFrame([(a, a) for a in asked if len(a) >= 3], "query_id string, asked string")
         got = {(r.query_id, r.id) for r in textindex.find_substrings(index, rows, "path", many).collect()}
         assert got == {(a, i) for a in asked if len(a) >= 3 for i, t in enumerate(texts) if t and a in t}
+
+
+def test_many_substrings_meet_few_texts(spark):
+    """Queries that share a frequent start meet texts by what they ask, not each other's texts."""
+    rows = stored(spark.createDataFrame([(i, f"Doc {i} oc {i % 7}") for i in range(3000)] + [(9000, None), (9001, "oc")], "id long, path string"))
+    index = stored(textindex.build_grams(rows, "path"))
+    asked = [f"oc {i}" for i in range(0, 3000, 5)] + ["oc x", "Doc", "c 2 oc 2"]
+    many = spark.createDataFrame([(a, a) for a in asked], "query_id string, asked string")
+    found = textindex.find_substrings(index, rows, "path", many)
+    got = sorted((r.query_id, r.id) for r in found.collect())
+    assert got == sorted((a, i) for a in asked for i in range(3000) if a in f"Doc {i} oc {i % 7}")
+    assert {"id", "path", "query_id", "asked"} == set(found.columns)
+    assert "contains" not in found._jdf.queryExecution().optimizedPlan().toString().lower()  # met by keys alone
