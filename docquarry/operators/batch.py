@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import conjunction, relaxed, where
-from .retrieval import EXPAND, KEEP, RECALL, W_DOCNAME, _named, composite, dense_top_k_many, docname_hints, docname_score, sparse_top_k_many, target_field, token_overlap
+from .retrieval import EXPAND, KEEP, RECALL, W_DOCNAME, composite, dense_top_k_many, docname_hints, docname_score, first_holders, sparse_top_k_many, target_field, token_overlap
 
 _BY_QUERY = "query_id"
 
@@ -66,20 +66,14 @@ def docname_recall_many(store: DataFrame, queries: DataFrame, limit: int = KEEP
 
 
 def expand_links_many(results: DataFrame, store: DataFrame, expand: int = EXPAND, top: int = KEEP // 2, same_project: bool = False) -> DataFrame:
-    """``expand_links`` for every query: query_id, chunk_uuid, seq. Of all chunks that hold an id the first two are enough,
-    so an id that many chunks hold is cut to two before links meet it."""
+    """``expand_links`` for every query: query_id, chunk_uuid, seq."""
     links = results.where(F.col("seq") <= top).select(
         _BY_QUERY, "seq", F.col("project_id").alias("_project"), F.posexplode(F.slice("trace_links", 1, expand)).alias("pos", "link")
     )
     links = links.select(_BY_QUERY, "seq", "pos", "_project", F.col("link.to").alias("to")).where("to <> ''")
     links = links.withColumn("field", target_field(F.col("to")))
-    none = F.array().cast("array<struct<own_field:string,to:string>>")
-    held = [F.coalesce(_named(f), none) for f in ("req_ids", "design_ids", "test_ids")]
-    ids = store.select("chunk_uuid", "project_id", F.explode(F.concat(*held)).alias("e"))
-    ids = ids.select("chunk_uuid", "project_id", "e.own_field", "e.to")
-    of = ("own_field", "to", "project_id") if same_project else ("own_field", "to")
-    ids = ids.withColumn("_hit", F.row_number().over(Window.partitionBy(*of).orderBy("chunk_uuid"))).where("_hit <= 2")
-    hits = ids.join(links, "to").where((F.col("field") == "any") | (F.col("field") == F.col("own_field")))
+    hits = first_holders(store, links, same_project).join(links, "to")
+    hits = hits.where((F.col("field") == "any") | (F.col("field") == F.col("own_field")))
     if same_project:
         hits = hits.where(F.col("project_id").eqNullSafe(F.col("_project")))
     new = hits.join(results.select(_BY_QUERY, "chunk_uuid"), [_BY_QUERY, "chunk_uuid"], "left_anti")
