@@ -2,7 +2,7 @@
 
 import pytest
 
-from docquarry.operators import retrieval
+from docquarry.operators import filters, retrieval
 from docquarry.plans import queries as plans
 from docquarry.plans.fixtures import stored
 
@@ -37,3 +37,10 @@ def test_a_frequent_id_is_cut_to_two_chunks_before_links_meet_it(spark, same_pro
         assert got == {("0502", "test_ids", "TC-1", 1), ("0504", "test_ids", "TC-1", 2), ("0501", "test_ids", "TC-1", 1), ("0503", "test_ids", "TC-1", 2)}
     else:
         assert got == {("0501", "test_ids", "TC-1", 1), ("0502", "test_ids", "TC-1", 2)}
+
+
+def test_relaxed_recall_cuts_documents_of_its_project_only(spark, written):
+    assert plans.relaxed_recall(spark, FOLDER).count() > 0
+    assert set(written[0].columns) == {"chunk_uuid", *filters.EQUAL_FIELDS, "quality_level", "_confidence_overall"}
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "= src3)" in plan[plan.index("Generate ") :]  # below the cutting
