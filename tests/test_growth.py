@@ -1,5 +1,7 @@
 """What a query shuffles, writes and holds grows no faster than its input."""
 
+from collections import Counter
+
 import pytest
 
 from docquarry.operators import filters, retrieval
@@ -44,3 +46,35 @@ def test_relaxed_recall_cuts_documents_of_its_project_only(spark, written):
     assert set(written[0].columns) == {"chunk_uuid", *filters.EQUAL_FIELDS, "quality_level", "_confidence_overall"}
     plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "= src3)" in plan[plan.index("Generate ") :]  # below the cutting
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+@pytest.mark.parametrize(("per_round", "k"), [(10_000, 5), (3, 5), (10_000, 500)])
+def test_sparse_scores_are_cut_to_k_in_each_task(spark, monkeypatch, block, per_round, k):
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", per_round)
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    rows = [(i, {t: float((i * 7 + t) % 5 - 1) for t in range(i % 9)} | {-(1 << 62): 0.5}) for i in range(300)]
+    rows += [(300, {}), (301, None), (302, {1: None, 2: 2.0}), (303, {1: None}), (304, rows[8][1])]
+    asked = [(i, {t: float(t - 2) for t in range(i, i + 3)}) for i in range(9)]
+    asked += [(20, {-(1 << 62): 1.0}), (21, {}), (22, None), (23, {999: 1.0}), (24, {1: None, 2: 1.0}), (25, {t: 1.0 for t in range(200)})]
+    schema = "id long, sparse map<bigint,float>"
+    store = spark.createDataFrame(rows, schema).repartition(6)
+    queries = spark.createDataFrame(asked, schema).withColumnRenamed("id", "query_id")
+    want = set()
+    for q, wanted in asked:
+        wanted = {t: w for t, w in (wanted or {}).items() if w is not None}
+        held = [(i, {t: w for t, w in (own or {}).items() if w is not None}) for i, own in rows]
+        scores = sorted((-sum(w * own[t] for t, w in wanted.items() if t in own), i) for i, own in held if wanted.keys() & own.keys())
+        want |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(scores[:k])}
+    found = retrieval.sparse_top_k_many(store, queries, k, "id")
+    got = found.collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert Counter(found.dtypes) == Counter([("query_id", "bigint"), ("id", "bigint"), ("score", "double"), ("rank", "int")])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs of rows and queries stay in their task
+
+
+def test_sparse_without_rows_or_queries(spark):
+    schema = "id long, sparse map<bigint,float>"
+    store, none = spark.createDataFrame([(1, {1: 1.0})], schema), spark.createDataFrame([], schema)
+    assert retrieval.sparse_top_k_many(store, none.withColumnRenamed("id", "query_id"), 3, "id").count() == 0
+    assert retrieval.sparse_top_k_many(none, store.withColumnRenamed("id", "query_id"), 3, "id").count() == 0
