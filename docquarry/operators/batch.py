@@ -11,6 +11,8 @@ from .filters import conjunction, relaxed, where
 from .retrieval import EXPAND, KEEP, RECALL, W_DOCNAME, composite, dense_top_k_many, docname_hints, docname_score, first_holders, sparse_top_k_many, target_field, token_overlap
 
 _BY_QUERY = "query_id"
+#: Hits of all queries that go to every task at most, to meet the store there.
+BROADCAST_HITS = 1 << 20
 
 
 def _place(*order: Column, by: tuple[str, ...] = (_BY_QUERY,)) -> Column:
@@ -103,11 +105,18 @@ def search_many(
 ) -> DataFrame:
     """``search`` for every query (query_id, query, dense, sparse) under the same parameters: query_id, place (from 1), chunk_uuid,
     text, metadata, composite_score, why_hit. Queries share every scan of the store; windows run per query, over the few
-    hundred rows that its recall leaves. ``write`` stores the rows of all queries once and reads them back."""
+    hundred rows that its recall leaves. Up to BROADCAST_HITS of those rows go to the store instead of the store, with its
+    texts, to them. ``write`` stores the rows of all queries once and reads them back."""
     asked = {"term": term, "phase": phase, "doc_type": doc_type, "project_id": project_id, "quality_level": quality_level, "artifact_type": artifact_type}
     # written, since it is read twice, and since Spark 4.1 takes a union of parts that are alike partitioned for one that is,
     # also where adaptive execution has coalesced the parts unlike each other
-    recalled = write(recall_many(store, queries, relaxed(**asked), mode=mode))
+    levels = relaxed(**asked)
+    recalled = write(recall_many(store, queries, levels, mode=mode))
+    few = queries.count() * (RECALL * len(levels) + KEEP) <= BROADCAST_HITS  # rows recalled and those found by name
+
+    def met(hits: DataFrame) -> DataFrame:
+        return (F.broadcast(hits) if few else hits).join(store.select(*payload), "chunk_uuid")
+
     found = first_levels_many(recalled)
     named = docname_recall_many(where(store, conjunction(**asked)), queries)
     merged = found.join(named, [_BY_QUERY, "chunk_uuid"], "full").select(
@@ -119,7 +128,7 @@ def search_many(
         _place(F.col("seq").asc_nulls_last(), F.col("_place")).alias("seq"),
     )
     payload = [c for c in store.columns if c not in ("dense", "sparse")]
-    rows = merged.join(store.select(*payload), "chunk_uuid").join(queries.select(_BY_QUERY, "query"), _BY_QUERY)
+    rows = met(merged).join(queries.select(_BY_QUERY, "query"), _BY_QUERY)
     if use_reranker:
         n = F.count("*").over(Window.partitionBy(_BY_QUERY))
         rows = rows.withColumn("_n", n).withColumn(
@@ -131,8 +140,8 @@ def search_many(
         rows = rows.withColumn("rerank_score", F.lit(None).cast("double"))
     kept = write(rows.where(F.col("seq") <= KEEP).drop("query"))
     links = kept.select(_BY_QUERY, "chunk_uuid", "seq", "trace_links", "project_id")
-    extra = expand_links_many(links, store, same_project=same_project).join(store.select(*payload), "chunk_uuid")
-    added = extra.withColumns(
+    # two chunks a field and link of KEEP // 2 results at most: fewer than RECALL rows a query
+    added = met(expand_links_many(links, store, same_project=same_project)).withColumns(
         {
             "seq": F.col("seq") + 1_000_000,
             "score": F.lit(0.0),

@@ -4,9 +4,10 @@ from collections import Counter
 
 import pytest
 
-from docquarry.operators import filters, retrieval
+from docquarry.operators import batch, filters, retrieval
+from docquarry.operators.embedding import HashedTerms, embed_query
 from docquarry.plans import queries as plans
-from docquarry.plans.fixtures import stored
+from docquarry.plans.fixtures import metadata, stored
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -78,3 +79,28 @@ def test_sparse_without_rows_or_queries(spark):
     store, none = spark.createDataFrame([(1, {1: 1.0})], schema), spark.createDataFrame([], schema)
     assert retrieval.sparse_top_k_many(store, none.withColumnRenamed("id", "query_id"), 3, "id").count() == 0
     assert retrieval.sparse_top_k_many(none, store.withColumnRenamed("id", "query_id"), 3, "id").count() == 0
+
+
+def test_search_in_batches_shuffles_no_store(spark):
+    rows = stored(HashedTerms(16).embed(metadata(spark, FOLDER)))
+    asked = [("a", "《概要设计》 latency FR-1"), ("b", "latency module")]
+    given = [(q, text, *embed_query(spark, HashedTerms(16), text)) for q, text in asked]
+    queries = stored(spark.createDataFrame(given, "query_id string, query string, dense array<double>, sparse map<bigint,float>"))
+    plan = []
+
+    def write(df):
+        plan.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stored(df)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = batch.search_many(rows, queries, write, phase="design", quality_level=["high"])
+        plan.append(hits._jdf.queryExecution().sparkPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plan) == 3 and all("BroadcastHashJoin [chunk_uuid" in p and "SortMergeJoin [chunk_uuid" not in p for p in plan[1:])
+
+
+def test_searches_write_what_they_read(spark, written):
+    plans.search_batch(spark, FOLDER)
+    assert set(written[0].columns) == set(plans.SEARCHED)
