@@ -1,10 +1,15 @@
 """What a query shuffles, writes and holds grows no faster than its input."""
 
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from docquarry.operators import batch, filters, retrieval
+from docquarry.operators import batch, cells, filters, retrieval
 from docquarry.operators.embedding import HashedTerms, embed_query
 from docquarry.plans import queries as plans
 from docquarry.plans.fixtures import metadata, stored
@@ -104,3 +109,59 @@ def test_search_in_batches_shuffles_no_store(spark):
 def test_searches_write_what_they_read(spark, written):
     plans.search_batch(spark, FOLDER)
     assert set(written[0].columns) == set(plans.SEARCHED)
+
+
+@pytest.mark.parametrize("turn", [1 << 15, 7])
+def test_a_query_goes_to_a_group_of_cells_once(spark, tmp_path, monkeypatch, turn):
+    """On vectors that fill their space evenly every query reads every cell."""
+    monkeypatch.setattr(cells, "QUERIES", turn)
+    x = np.random.default_rng(3).normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, dense array<double>").repartition(3)
+    index = cells.VectorCells(spark, f"{tmp_path}/index").build(df, "id", per_cell=20)
+    asked = df.where("id < 40").select(F.col("id").alias("query_id"), F.col("dense").alias("vector"))
+    routed = []
+
+    def write(rows):
+        routed.append(stored(rows))
+        return routed[-1]
+
+    top, reach = index.top_k(asked, 5, write)
+    assert {tuple(r) for r in top.collect()} == {tuple(r) for r in retrieval.dense_top_k_many(df, asked, 5, "id").collect()}
+    n, pairs = routed[-1].count(), routed[-1].agg(F.sum(F.size("cells"))).first()[0]
+    assert n <= 40 * 13 and pairs > 5 * n and len(index.centres()) == 150
+    assert reach.agg(F.min("n_held"), F.max("n_held")).first() == (3000, 3000)
+
+
+def test_cells_make_groups_of_a_block():
+    group, parts = cells._grouped(np.array([3, 3, 3, 25, 0, 4, 0, 10, 1]), 10)
+    assert group.tolist() == [0, 0, 0, 1, 2, 2, 2, 3, 4] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1, 1]
+
+
+def test_distances_to_centres_are_held_a_block_at_a_time(monkeypatch):
+    x, centres = np.random.default_rng(4).normal(size=(5000, 4)), np.random.default_rng(5).normal(size=(500, 4))
+    monkeypatch.setattr(cells, "NUMBERS", 50_000)
+    tracemalloc.start()
+    cell, own = cells._nearest(x, centres)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = x @ centres.T
+    assert (cell == near.argmax(axis=1)).all() and np.allclose(own, near.max(axis=1)) and most < near.nbytes / 10
+
+
+@pytest.mark.parametrize("block", [1024, 4, 1])
+def test_sparse_blocks_of_any_size_agree(monkeypatch, block):
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows, asked = ([{int(t): float(rng.integers(-2, 3)) for t in rng.integers(0, 30, rng.integers(0, 12))} for _ in range(n)] for n in (200, 9))
+    lists = [(pa.array([list(r) for r in some], pa.list_(pa.int64())), pa.array([list(r.values()) for r in some], pa.list_(pa.float64()))) for some in (rows, asked)]
+    line, token, weight = retrieval._entries(*lists[1])
+    known, column = np.unique(token, return_inverse=True)
+    order = np.lexsort((line, column))
+    shared = SimpleNamespace(value=(known, np.searchsorted(column[order], np.arange(len(known) + 1)), line[order], weight[order], pa.array(range(9))))
+    batch_ = pa.RecordBatch.from_arrays([pa.array(range(200)), *lists[0]], names=["id", "tokens", "weights"])
+    found = pa.Table.from_batches(retrieval._token_top_k(shared, 4, "id")([batch_.slice(0, 90), batch_.slice(90)])).to_pylist()
+    want = set()
+    for q, a in enumerate(asked):
+        scores = sorted((-sum(w * r[t] for t, w in a.items() if t in r), i) for i, r in enumerate(rows) if a.keys() & r.keys())
+        want |= {(q, i, -s) for s, i in scores[:4]}
+    assert {(r["query_id"], r["id"], r["score"]) for r in found} == want and len(found) == len(want) > 30
